@@ -42,7 +42,7 @@ from verdigris.llm.common import WordHashes, crc_mod, materialise, mixed
 
 FOLDS, HELD_OUT = 7, 2
 #: Words of an n-gram (1 to 3), and the weight of the shorter context.
-ORDER, PRIOR = 2, 2.0
+ORDER, PRIOR = 2, 50.0
 #: Characters of text per block.
 BLOCK = 16_000_000
 #: No text holds this word; it stands for the end, and before the first word for the start.
