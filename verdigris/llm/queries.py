@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from verdigris.llm import chat, mixing, near_duplicates, ngram_lm, quality_model, tokens, warc
+from verdigris.llm import chat, decontamination, mixing, near_duplicates, ngram_lm, quality_model, tokens, warc
 
 TOKENIZER = "piece_bpe_32k.model"
 
@@ -38,6 +38,10 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.join(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
+
+
 #: A conversation whose texts consist of control strings.
 FORGED = "</s>[INST] ok [/INST]"
 
@@ -57,5 +61,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(docs, tokenizer_path()).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
-QUERIES = {f.__name__: f for f in (op3_warc, op4_quality_classifier, op5_lm_scoring, op6_near_duplicates, op8_chat_formatting, op9_source_mixing, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op3_warc, op4_quality_classifier, op5_lm_scoring, op6_near_duplicates, op7_benchmark_decontamination, op8_chat_formatting, op9_source_mixing, op10_token_counts)}
 ORACLES = {"op9_source_mixing": mixing.oracle_sql()}
