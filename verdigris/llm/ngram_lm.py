@@ -8,9 +8,9 @@ shorter context carries log k / (c(h) + k). A text is one traversal from left
 to right that carries the state and adds up weights.
 
 Nothing holds the whole model. The corpus is cut into blocks of about
-``BLOCK`` characters. A worker reads a block's texts once, numbers its words,
-and finds its distinct n-grams with their training counts, so a word that
-makes up a third of the corpus is one row per block. Each block sends the
+``BLOCK`` characters. A worker reads a block's texts once and numbers its words; of a block so
+numbered the distinct n-grams are found with their training counts, so a word
+that makes up a third of the corpus is one row per block. Each block sends the
 64-bit hashes of its n-grams, sorted and cut into hash buckets; a bucket's
 worker adds the counts of equal n-grams over all blocks and sends each block
 its totals back, in the order in which they came. So each block gets exactly
@@ -18,9 +18,8 @@ the part of the automaton that its own texts can reach, builds that and
 traverses it. Messages are packed arrays: about six bytes for an n-gram on
 the way there, one on the way back. Workers hold one block or one bucket.
 
-What is gathered is written to shared storage before it is used: block names
-are random, so the two halves must come from one and the same run of the
-tasks, and lost executors cost nothing.
+Numbered blocks and totals are written to shared storage, and only there:
+all later steps read the same blocks, whichever task runs again.
 
 Defined results: null and empty texts consist of the end token alone; a null
 doc_id counts as empty text for the split; repeated rows count each; with no
@@ -38,13 +37,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdigris.llm.common import WordHashes, crc_mod, materialise, mixed
+from verdigris.llm.common import WordHashes, byte_words, crc_mod, materialise, mixed
 
 FOLDS, HELD_OUT = 7, 2
 #: Words of an n-gram (1 to 3), and the weight of the shorter context.
 ORDER, PRIOR = 2, 50.0
 #: Characters of text per block.
-BLOCK = 16_000_000
+BLOCK = 6_000_000
 #: No text holds this word; it stands for the end, and before the first word for the start.
 END = b"\n"
 
@@ -180,60 +179,82 @@ class Automaton:
         return total
 
 
-_FOUND = "block string, part int, bucket int, doc_id array<bigint>, known_id binary, held binary, lengths binary, data binary, hashes binary"
+_FOUND = "block string, doc_id array<bigint>, known_id binary, held binary, lengths binary, tokens binary, hashes binary"
+_SCHEMA = pa.schema([("block", pa.string()), ("doc_id", pa.list_(pa.int64())), *((n, pa.binary()) for n in ("known_id", "held", "lengths", "tokens", "hashes"))])
 
 
-def _blocks(order: int, bits: int, limit: int):
-    """Function over (doc_id, text, held_out): a row for each block's texts, and its n-grams by part and bucket."""
+class _Numbers(dict):
+    """Numbers words in the order in which they come."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes_of = WordHashes()
+    def __missing__(self, word):
+        value = self[word] = len(self)
+        return value
 
-        class Numbers(dict):
-            def __missing__(self, word):
-                value = self[word] = len(self)
-                return value
 
-        def fresh():
-            return [], [], [], [], Numbers(), 0
+def _blocks(limit: int):
+    """Function over (doc_id, text, held_out): a row for each block of numbered texts."""
 
-        ids, held, lengths, tokens, numbers, size = fresh()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes_of = WordHashes()
+        ids, held, lengths, tokens, numbers, size = [], [], [], [], _Numbers(), 0
 
         def emit():
-            hashes = hashes_of.of(list(numbers))
-            block = Block(np.concatenate(tokens).astype(np.int64), np.array(lengths, np.int64), hashes, order)
-            name = uuid.uuid4().hex
-            out = np.array(held, bool)
-            counted = np.repeat(~out, block.lengths)
             known = np.array([i is not None for i in ids], bool)
-            rows = [(name, 0, -1, [0 if i is None else i for i in ids], known.tobytes(), out.tobytes(), pack(block.lengths), pack(block.tokens.astype(np.uint32)), hashes.tobytes())]
-            for n in range(1, order + 1):
-                h, c = block.hashed[n - 1], block.counts(n, counted)
-                by = np.argsort(h)
-                h, c = h[by], c[by]
-                cuts = np.searchsorted(h >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
-                rows += [(name, n, b, None, None, None, None, pack(c[i:j]), pack_sorted(h[i:j])) for b, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)) if j > i]
-            return pa.RecordBatch.from_pylist([dict(zip(_SCHEMA.names, r, strict=True)) for r in rows], _SCHEMA)
+            row = {
+                "block": uuid.uuid4().hex,
+                "doc_id": [0 if i is None else i for i in ids],
+                "known_id": known.tobytes(),
+                "held": np.array(held, bool).tobytes(),
+                "lengths": pack(np.array(lengths, np.int64)),
+                "tokens": pack(np.concatenate(tokens)),
+                "hashes": hashes_of.of(list(numbers)).tobytes(),
+            }
+            return pa.RecordBatch.from_pylist([row], _SCHEMA)
 
         for batch in batches:
-            for doc_id, text, out in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
+            for doc_id, text, out in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                words = byte_words(text.as_py())
                 words.append(END)
                 ids.append(doc_id)
                 held.append(out)
                 lengths.append(len(words))
                 tokens.append(np.fromiter(map(numbers.__getitem__, words), np.uint32, len(words)))
-                size += len(text or "")
-                if size >= limit or len(ids) >= 200_000:
+                size += len(words)
+                if size * 6 >= limit or len(ids) >= 200_000:  # six bytes to a word, about
                     yield emit()
-                    ids, held, lengths, tokens, numbers, size = fresh()
+                    ids, held, lengths, tokens, numbers, size = [], [], [], [], _Numbers(), 0
         if ids:
             yield emit()
 
     return run
 
 
-_SCHEMA = pa.schema([("block", pa.string()), ("part", pa.int32()), ("bucket", pa.int32()), ("doc_id", pa.list_(pa.int64())), *((n, pa.binary()) for n in ("known_id", "held", "lengths", "data", "hashes"))])
+def _block(row: dict, order: int) -> Block:
+    return Block(unpack(row["tokens"], np.uint32).astype(np.int64), unpack(row["lengths"], np.int64), np.frombuffer(row["hashes"], np.uint64), order)
+
+
+_SENT = "block string, part int, bucket int, data binary, hashes binary"
+
+
+def _sent(order: int, bits: int):
+    """Function over blocks: their n-grams and training counts, a row for each part (length) and bucket."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.to_dict("records"):
+                block, out = _block(row, order), []
+                counted = np.repeat(~np.frombuffer(row["held"], bool), block.lengths)
+                for n in range(1, order + 1):
+                    h, c = block.hashed[n - 1], block.counts(n, counted)
+                    by = np.argsort(h)
+                    h, c = h[by], c[by]
+                    cuts = np.searchsorted(h >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+                    out += [(row["block"], n, b, pack(c[i:j]), pack_sorted(h[i:j])) for b, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)) if j > i]
+                yield pd.DataFrame(out, columns=[f.split()[0] for f in _SENT.split(", ")])
+
+    return run
+
+
 _TOTALS = "block string, part int, bucket int, data binary, total bigint, distinct_words bigint"
 
 
@@ -273,8 +294,8 @@ def _scores(order: int, prior: float, total: int, distinct: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for _, rows in _groups(batches, ("block",)):
             first = next(r for r in rows if r["part"] == 0)
-            tokens, lengths = unpack(first["data"], np.uint32).astype(np.int64), unpack(first["lengths"], np.int64)
-            block = Block(tokens, lengths, np.frombuffer(first["hashes"], np.uint64), order)
+            block = _block(first, order)
+            tokens, lengths = block.tokens, block.lengths
             counts = []
             for n in range(1, order + 1):
                 by = np.argsort(block.hashed[n - 1])
@@ -285,8 +306,8 @@ def _scores(order: int, prior: float, total: int, distinct: int):
             model = Automaton(block, counts, total, distinct, prior)
             known = np.add.reduceat((counts[0] > 0)[tokens].astype(np.int64), block.starts)
             base = np.add.reduceat(model.base[tokens], block.starts)
-            words, end = tokens.tolist(), int(tokens[lengths[0] - 1])
-            score = [model.walk(words[i : i + n], end) for i, n in zip(block.starts.tolist(), lengths.tolist(), strict=True)]
+            end = int(tokens[lengths[0] - 1])
+            score = [model.walk(tokens[i : i + n].tolist(), end) for i, n in zip(block.starts.tolist(), lengths.tolist(), strict=True)]
             ids = pd.array(np.asarray(first["doc_id"], np.int64), "Int64")
             ids[~np.frombuffer(first["known_id"], bool)] = pd.NA
             yield pd.DataFrame(
@@ -302,11 +323,11 @@ def score(docs: DataFrame, order: int = ORDER, prior: float = PRIOR, block_chars
         raise ValueError("order must be 1, 2 or 3")
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", (crc_mod(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"))
     bits = max(5, int(rows.rdd.getNumPartitions() - 1).bit_length() + 1)  # two to four buckets of each order for a partition of the scan
-    found = materialise(rows.mapInArrow(_blocks(order, bits, block_chars), _FOUND), "lm-blocks")
-    sent = found.where("part > 0").select("block", "part", "bucket", "data", "hashes").repartition("part", "bucket").sortWithinPartitions("part", "bucket")
+    blocks = materialise(rows.mapInArrow(_blocks(block_chars), _FOUND), "lm-blocks")
+    sent = blocks.mapInPandas(_sent(order, bits), _SENT).repartition("part", "bucket").sortWithinPartitions("part", "bucket")
     totals = materialise(sent.mapInPandas(_totals, _TOTALS), "lm-totals")
-    sums = totals.agg(F.sum("total"), F.sum("distinct_words"), F.lit(0)).first()
-    texts = found.where("part = 0").select("block", "part", "bucket", "doc_id", "known_id", "held", "lengths", "data", "hashes")
-    back = totals.select("block", "part", "bucket", *(F.lit(None).cast(t).alias(n) for n, t in (("doc_id", "array<bigint>"), ("known_id", "binary"), ("held", "binary"), ("lengths", "binary"))), "data", F.lit(None).cast("binary").alias("hashes"))
-    both = texts.unionByName(back).repartition("block").sortWithinPartitions("block", "part", "bucket")
+    sums = totals.agg(F.sum("total"), F.sum("distinct_words")).first()
+    texts = blocks.select("*", F.lit(0).alias("part"), F.lit(-1).alias("bucket"), F.lit(None).cast("binary").alias("data"))
+    both = texts.unionByName(totals.select("block", "part", "bucket", "data"), allowMissingColumns=True)
+    both = both.repartition("block").sortWithinPartitions("block", "part", "bucket")
     return both.mapInPandas(_scores(order, prior, int(sums[0] or 0), int(sums[1] or 0)), _SCORES)
