@@ -66,6 +66,15 @@ def similar(a: Counter, b: Counter) -> tuple[int, int]:
     return shared, a.total() + b.total() - shared
 
 
+def shingles_at(words: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """``shingle_hashes`` at the positions ``at`` only."""
+    windows = words[at[:, None] + np.arange(width)]
+    out = np.zeros(len(at), np.uint64)
+    for k in range(width):
+        out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + windows[:, k] + np.uint64(k + 1))
+    return out
+
+
 class HammingIndex:
     """Finds all stored fingerprints within RADIUS of a given one."""
 
@@ -75,7 +84,7 @@ class HammingIndex:
         near = ones[np.arange(256)[:, None] ^ np.arange(256)[None, :]] <= RADIUS // stored.shape[1]
         # tables[b][value]: items whose block b is near the value, as bits
         self.tables = [np.packbits(near[:, stored[:, b]], axis=1) for b in range(stored.shape[1])]
-        self.ones = ones.astype(np.int16)
+        self.halves = np.ascontiguousarray(stored).view(np.uint64)
 
     def search(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row of ``wanted``, stored item) for each pair within the radius."""
@@ -83,7 +92,8 @@ class HammingIndex:
         for b in range(1, wanted.shape[1]):
             met = met | self.tables[b][wanted[:, b]]
         row, item = np.nonzero(np.unpackbits(met, axis=1, count=len(self.stored)))
-        keep = self.ones[wanted[row] ^ self.stored[item]].sum(1) <= RADIUS
+        apart = np.bitwise_count(np.ascontiguousarray(wanted).view(np.uint64)[row] ^ self.halves[item])
+        keep = apart.sum(1, dtype=np.int64) <= RADIUS
         return row[keep], item[keep]
 
 
@@ -102,6 +112,7 @@ class Benchmark:
         self.hash_of = np.array([0, *hashes.values()], np.uint64)
         self.shingles = np.array(sorted({s for b in self.bags for s in b}), np.uint64)
         self.sizes = sorted({b.total() for b in self.bags})
+        self.places = [np.searchsorted(self.shingles, np.fromiter(b, np.uint64)) for b in self.bags]
         if self.bags:
             sums = np.array([(shingle_bits(np.fromiter(b, np.uint64)).astype(np.int64) * np.array(list(b.values()))[:, None]).sum(0) for b in self.bags])
             self.index = HammingIndex(fingerprints(sums))
@@ -119,56 +130,69 @@ class Benchmark:
         whole = known[: len(words) - width + 1].copy()
         for k in range(1, width):
             whole &= known[k : len(words) - width + 1 + k]
-        at = np.flatnonzero(whole)
+        at = np.flatnonzero(whole)  # only shingles all of whose words are known can be an item's
         if len(at) * DENOMINATOR < NUMERATOR * self.sizes[0]:
             return []
-        # only runs of shingles all of whose words are known can be an item's
-        shingles = np.zeros(len(whole), np.uint64)
-        hashed = self.hash_of[number]
-        for run in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1):
-            shingles[run[0] : run[-1] + 1] = shingle_hashes(hashed[run[0] : run[-1] + width], width)
+        shingles = shingles_at(self.hash_of[number], at, width)
         place = np.minimum(np.searchsorted(self.shingles, shingles), len(self.shingles) - 1)
-        anchor = whole & (self.shingles[place] == shingles)
-        upto = np.r_[0, np.cumsum(anchor)]
-        if upto[-1] * DENOMINATOR < NUMERATOR * self.sizes[0]:
+        hit = self.shingles[place] == shingles
+        at, place = at[hit], place[hit]
+        if len(at) * DENOMINATOR < NUMERATOR * self.sizes[0]:
             return []
+        # the text around each run of anchors that are at most the longest item apart is judged by itself
         found: dict[int, tuple] = {}
-        for lo, hi in self.windows(upto, len(whole)):
-            self.compare(words, hashed, shingles, anchor, lo, hi, found)
-        return [{"item_id": self.ids[i], "similarity": n / d, "first_word": lo, "last_word": min(hi - 1 + width, len(words)) - 1} for i, (n, d, lo, hi) in sorted(found.items())]
-
-    def windows(self, upto: np.ndarray, n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Ranges of shingles that have enough anchors, for each size of item."""
+        for run in np.split(np.arange(len(at)), np.flatnonzero(np.diff(at) > self.sizes[-1]) + 1):
+            if len(run) * DENOMINATOR >= NUMERATOR * self.sizes[0]:
+                self.around(words, at[run], place[run], width, found)
+        return [{"item_id": self.ids[i], "similarity": n / d, "first_word": lo, "last_word": hi + width - 2} for i, (n, d, lo, hi) in sorted(found.items())]
+
+    def around(self, words: list[bytes], at: np.ndarray, place: np.ndarray, width: int, found: dict[int, tuple]) -> None:
+        """Judge the windows that hold anchors ``at``, which are the shingles ``place`` of the benchmark."""
+        last_shingle = len(words) - width + 1
+        first, last = max(0, int(at[0]) - self.sizes[-1]), min(last_shingle, int(at[-1]) + self.sizes[-1] + 1)
+        n = last - first
+        member = np.full(n, -1, np.int64)
+        member[at - first] = place
+        upto = np.r_[0, np.cumsum(member >= 0)]
+        lows, highs = [], []
         for size in self.sizes:
             least = -(-NUMERATOR * size // DENOMINATOR)
             if upto[-1] < least:
                 break
-            start = np.arange(-(size - least), n - least + 1)
+            # a window may be cut off by an end of the text
+            start = np.arange(-(size - least) if first == 0 else 0, n - (least if last == last_shingle else size) + 1)
             lo, hi = np.maximum(start, 0), np.minimum(start + size, n)
             keep = upto[hi] - upto[lo] >= least
-            lo, hi = lo[keep], hi[keep]
-            for k in range(0, len(lo), AT_ONCE):
-                yield lo[k : k + AT_ONCE], hi[k : k + AT_ONCE]
-
-    def compare(self, words, hashed, shingles, anchor, lo, hi, found: dict[int, tuple]) -> None:
-        """Fingerprint windows, look them up, verify what the index returns."""
-        if not len(lo):
+            lows.append(lo[keep]), highs.append(hi[keep])
+        if not lows:
             return
-        first, last = int(lo.min()), int(hi.max())
-        width = min(SHINGLE_WORDS, len(words))
-        own = shingles[first:last].copy()
-        if (other := np.flatnonzero(~anchor[first:last])).size:  # words outside the benchmark have no hash yet
-            real = WordHashes().of(words[first : last - 1 + width])
-            own[other] = shingle_hashes(real, width)[other]
-        sums = np.vstack([np.zeros((1, BITS), np.int64), np.cumsum(shingle_bits(own), 0, dtype=np.int64)])
-        rows, items = self.index.search(fingerprints(sums[hi - first] - sums[lo - first]))
-        bags: dict[int, Counter] = {}
-        for r, i in zip(rows.tolist(), items.tolist(), strict=True):
-            if r not in bags:
-                bags[r] = Counter(own[lo[r] - first : hi[r] - first].tolist())
-            n, d = similar(bags[r], self.bags[i])
-            if n * DENOMINATOR >= NUMERATOR * d and (i not in found or n * found[i][1] > found[i][0] * d):
-                found[i] = (n, d, int(lo[r]), int(hi[r]))
+        own = shingle_hashes(WordHashes().of(words[first : last - 1 + width]), width)
+        sums = np.vstack([np.zeros((1, BITS), np.int32), np.cumsum(shingle_bits(own), 0, dtype=np.int32)])
+        low, high = np.concatenate(lows), np.concatenate(highs)
+        for k in range(0, len(low), AT_ONCE):
+            self.compare(own, sums, member, low[k : k + AT_ONCE], high[k : k + AT_ONCE], first, found)
+
+    def compare(self, own, sums, member, low, high, first: int, found: dict[int, tuple]) -> None:
+        """Look windows up in the index and verify what it returns, the most promising first."""
+        rows, items = self.index.search(fingerprints(sums[high] - sums[low]))
+        by = np.argsort(items, kind="stable")
+        rows, items = rows[by], items[by]
+        for part in np.split(np.arange(len(items)), np.flatnonzero(np.diff(items)) + 1):
+            if not len(part):
+                continue
+            i, row = int(items[part[0]]), rows[part]
+            bag = self.bags[i]
+            inside = np.r_[0, np.cumsum(np.isin(member, self.places[i]))]
+            lo, hi = low[row], high[row]
+            most = inside[hi] - inside[lo]  # shares at most these
+            bound = most / (hi - lo + bag.total() - most)
+            order = np.lexsort((lo, -bound))
+            for k in order:
+                if bound[k] * DENOMINATOR < NUMERATOR - 1e-9 or (i in found and bound[k] <= found[i][0] / found[i][1]):
+                    break
+                n, d = similar(Counter(own[lo[k] : hi[k]].tolist()), bag)
+                if n * DENOMINATOR >= NUMERATOR * d and (i not in found or n * found[i][1] > found[i][0] * d):
+                    found[i] = (n, d, int(lo[k]) + first, int(hi[k]) + first)
 
 
 _HIT = pa.struct([("item_id", pa.int64()), ("similarity", pa.float64()), ("first_word", pa.int64()), ("last_word", pa.int64())])
