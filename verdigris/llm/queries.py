@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from verdigris.llm import chat, decontamination, mixing, near_duplicates, ngram_lm, quality_model, quality_rules, tokens, warc
+from verdigris.llm import chat, decontamination, mixing, near_duplicates, ngram_lm, pii, quality_model, quality_rules, tokens, warc
 
 TOKENIZER = "piece_bpe_32k.model"
 
@@ -25,6 +25,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *quality_rules.BASE, "base_failed", "kept", "posterior")
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = warc.round_trip(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -67,5 +71,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(docs, tokenizer_path()).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_warc, op4_quality_classifier, op5_lm_scoring, op6_near_duplicates, op7_benchmark_decontamination, op8_chat_formatting, op9_source_mixing, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_pii, op3_warc, op4_quality_classifier, op5_lm_scoring, op6_near_duplicates, op7_benchmark_decontamination, op8_chat_formatting, op9_source_mixing, op10_token_counts)}
 ORACLES = {"op9_source_mixing": mixing.oracle_sql()}
