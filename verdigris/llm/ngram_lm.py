@@ -43,7 +43,7 @@ FOLDS, HELD_OUT = 7, 2
 #: Words of an n-gram (1 to 3), and the weight of the shorter context.
 ORDER, PRIOR = 2, 50.0
 #: Characters of text per block.
-BLOCK = 6_000_000
+BLOCK = 4_000_000
 #: No text holds this word; it stands for the end, and before the first word for the start.
 END = b"\n"
 
@@ -195,7 +195,7 @@ def _blocks(limit: int):
     """Function over (doc_id, text, held_out): a row for each block of numbered texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes_of = WordHashes()
+        hashes_of = WordHashes(limit=100_000)
         ids, held, lengths, tokens, numbers, size = [], [], [], [], _Numbers(), 0
 
         def emit():
@@ -324,10 +324,10 @@ def score(docs: DataFrame, order: int = ORDER, prior: float = PRIOR, block_chars
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", (crc_mod(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"))
     bits = max(5, int(rows.rdd.getNumPartitions() - 1).bit_length() + 1)  # two to four buckets of each order for a partition of the scan
     blocks = materialise(rows.mapInArrow(_blocks(block_chars), _FOUND), "lm-blocks")
-    sent = blocks.mapInPandas(_sent(order, bits), _SENT).repartition("part", "bucket").sortWithinPartitions("part", "bucket")
+    sent = blocks.mapInPandas(_sent(order, bits), _SENT).repartition(order << bits, "part", "bucket").sortWithinPartitions("part", "bucket")
     totals = materialise(sent.mapInPandas(_totals, _TOTALS), "lm-totals")
     sums = totals.agg(F.sum("total"), F.sum("distinct_words")).first()
     texts = blocks.select("*", F.lit(0).alias("part"), F.lit(-1).alias("bucket"), F.lit(None).cast("binary").alias("data"))
     both = texts.unionByName(totals.select("block", "part", "bucket", "data"), allowMissingColumns=True)
-    both = both.repartition("block").sortWithinPartitions("block", "part", "bucket")
+    both = both.repartition(max(1, blocks.count()), "block").sortWithinPartitions("block", "part", "bucket")
     return both.mapInPandas(_scores(order, prior, int(sums[0] or 0), int(sums[1] or 0)), _SCORES)
