@@ -8,6 +8,7 @@ from typing import Protocol
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from verdigris.config import Paraphrase
 from verdigris.functions import text as T
@@ -57,7 +58,9 @@ def with_model(df: DataFrame, make: Callable[[], Paraphraser], settings: Paraphr
     for k in range(1, settings.iterations + 1):
         least, _, tokens = T.budget(target, settings.tolerance)
         rows = rows.withColumns({"_prompt": T.paraphrase_prompt(F.col(source), least), "_target": target, "_tokens": tokens})
-        schema = rows.drop("_prompt", "_target", "_tokens").withColumn(name := f"paraphrase_iter_{k}", F.lit("")).schema
+        name = f"paraphrase_iter_{k}"
+        kept = rows.drop("_prompt", "_target", "_tokens").schema
+        schema = StructType([*(StructField(f.name, f.dataType) for f in kept), StructField(name, StringType())])
 
         def run(batches: Iterator[pd.DataFrame], name: str = name) -> Iterator[pd.DataFrame]:
             model = make()
