@@ -218,7 +218,7 @@ def trained(rows: DataFrame) -> Column | None:
     spans = rows.where("_spans IS NOT NULL").select(F.explode("_spans").alias("s"))
     patterns = materialise(spans.groupBy(*[F.col(f"s.{x}").alias(x) for x in LABELERS], F.col("s.features").alias("features")).agg(F.count("*").alias("n")), "pii-patterns")
     votes = patterns.groupBy(*LABELERS).agg(F.sum("n").alias("n")).coalesce(1)
-    model = weak.estimate(materialise(votes, "pii-votes"), LABELERS)
+    model = weak.estimate(materialise(votes, "pii-votes"), LABELERS, weak.first_guess(LABELERS, telling=False))
     p = model.posterior({x: F.col(x) for x in LABELERS})
     values = patterns.select("n", p.alias("p"), F.explode("features").alias("f")).groupBy("f").agg(F.sum(F.col("n") * F.col("p")).alias("yes"), F.sum(F.col("n") * (1 - F.col("p"))).alias("no")).collect()
     if not values:

@@ -25,12 +25,17 @@ class VoteModel:
     rules: tuple[str, ...]
     share: float
     given: dict[str, dict[int, tuple[float, float]]]
+    #: Whether an abstention speaks for a class too. Where rules abstain for want of evidence, it must not.
+    telling: bool = True
 
     def log_odds(self, votes: dict[str, Column]) -> Column:
         """Log-odds of the positive class as a column over the votes."""
         total = F.lit(math.log(self.share / (1 - self.share)))
         for r in self.rules:
             a, b, c = (math.log(p / q) for p, q in (self.given[r][v] for v in VOTES))
+            if not self.telling:
+                voting = math.log((1 - self.given[r][0][0]) / (1 - self.given[r][0][1]))
+                a, b, c = a - voting, 0.0, c - voting
             total = total + F.when(votes[r] == -1, a).when(votes[r] == 1, c).otherwise(b)
         return total
 
@@ -45,10 +50,10 @@ class VoteModel:
         return right / (right + wrong)
 
 
-def first_guess(rules: tuple[str, ...], share: float = 0.5, accuracy: float = 0.8, voting: float = 0.5) -> VoteModel:
+def first_guess(rules: tuple[str, ...], share: float = 0.5, accuracy: float = 0.8, voting: float = 0.5, telling: bool = True) -> VoteModel:
     """All rules vote half the time and are right in four of five votes."""
     right, wrong = voting * accuracy, voting * (1 - accuracy)
-    return VoteModel(rules, share, {r: {-1: (wrong, right), 0: (1 - voting, 1 - voting), 1: (right, wrong)} for r in rules})
+    return VoteModel(rules, share, {r: {-1: (wrong, right), 0: (1 - voting, 1 - voting), 1: (right, wrong)} for r in rules}, telling)
 
 
 def estimate(patterns: DataFrame, rules: tuple[str, ...], start: VoteModel | None = None, steps: int = 25, tolerance: float = 1e-4, smoothing: float = 0.01) -> VoteModel:
@@ -71,7 +76,7 @@ def estimate(patterns: DataFrame, rules: tuple[str, ...], start: VoteModel | Non
         positive, negative = s["p"], s["n"] - s["p"]
         more = 1 + smoothing * positive, 1 + smoothing * negative
         given = {r: {v: (((s[f"p{v}{r}"] or 0) + more[0]) / (positive + 3 * more[0]), ((s[f"n{v}{r}"] or 0) - (s[f"p{v}{r}"] or 0) + more[1]) / (negative + 3 * more[1])) for v in VOTES} for r in rules}
-        after = VoteModel(rules, (positive + 1) / (s["n"] + 2), given)
+        after = VoteModel(rules, (positive + 1) / (s["n"] + 2), given, model.telling)
         moved = max(abs(a - b) for r in rules for v in VOTES for a, b in zip(after.given[r][v], model.given[r][v], strict=True))
         model = after
         if moved < tolerance:
