@@ -16,13 +16,19 @@ def uniform(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
 
 
+def below(share: float, *parts: Column) -> Column:
+    """``uniform(*parts) < share``, compared as hexadecimal digits, which needs no conversion."""
+    text = F.concat_ws(":", *[p.cast("string") for p in parts])
+    return F.substring(F.md5(text), 1, 8) < F.lit(f"{math.ceil(share * 4294967296):08x}")
+
+
 def is_green(before: Column, token: Column, key: int, gamma: float) -> Column:
     """Whether a token is on the green list that the token before it seeds.
 
     The list is the set of tokens whose keyed hash falls below gamma, so
     membership takes one hash and no list is ever made.
     """
-    return uniform(F.lit(key), before, token) < gamma
+    return below(gamma, F.lit(key), before, token)
 
 
 def green_bits(tokens: Column, key: int, gamma: float) -> Column:

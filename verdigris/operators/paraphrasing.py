@@ -12,7 +12,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from verdigris.config import Paraphrase
 from verdigris.functions import text as T
-from verdigris.functions.scores import uniform
+from verdigris.functions.scores import below
 from verdigris.sources.storage import stored
 
 
@@ -26,7 +26,7 @@ def stand_in(words: Column, doc_id: Column, text_type: Column, depth: int, rate:
     """Words of the next round: each is replaced with probability ``rate``, by a keyed hash of its place."""
 
     def one(word: Column, pos: Column) -> Column:
-        swap = uniform(F.lit("p"), doc_id, text_type, pos, F.lit(depth)) < rate
+        swap = below(rate, F.lit("p"), doc_id, text_type, pos, F.lit(depth))
         new = F.concat(F.lit("w"), F.substring(F.md5(F.concat_ws(":", F.lit("r"), doc_id.cast("string"), text_type, pos.cast("string"), F.lit(str(depth)))), 1, 4))
         return F.when(swap, new).otherwise(word)
 

@@ -9,7 +9,7 @@ from verdigris.config import EXPERIMENTS, SMALL, Corpus
 from verdigris.functions import scores as S
 from verdigris.functions import text as T
 from verdigris.operators import corpus, detection, generation, metrics, paraphrasing, reshape, stability, vocabulary, windows
-from verdigris.sources.storage import remaining, stored
+from verdigris.sources.storage import remaining, spread, stored
 
 CUT, MARK, PARA, WIN = SMALL.corpus, SMALL.watermark, SMALL.paraphrase, SMALL.windows
 #: Windows of each sequence under SMALL: 60 words give 59 bits.
@@ -22,7 +22,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def docs(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text", *columns)
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text", *columns))
 
 
 def halves(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,16 +33,16 @@ def deep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paraphrasing.rounds(halves(spark, sf_dir), PARA)
 
 
-def detected(spark: SparkSession, sf_dir: str) -> DataFrame:
+def detected(spark: SparkSession, sf_dir: str, texts: DataFrame | None = None) -> DataFrame:
     """(doc_id, text_type, label, depth, bits string, counts, z) of all depths."""
-    rows = detection.scored(deep(spark, sf_dir), MARK).drop("words")
+    rows = detection.scored(paraphrasing.rounds(texts or halves(spark, sf_dir), PARA), MARK).drop("words")
     return rows.withColumn("bits", F.array_join(F.col("bits").cast("array<string>"), ""))
 
 
 def combined(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``detected`` with the ids that serve all depths."""
-    ids = reshape.sequential_ids(halves(spark, sf_dir)).drop("label")
-    return detected(spark, sf_dir).join(ids, ["doc_id", "text_type"])
+    texts = stored(halves(spark, sf_dir), "halves")  # short; read for the ids and for the bits
+    return detected(spark, sf_dir, spread(texts)).join(reshape.sequential_ids(texts).drop("label"), ["doc_id", "text_type"])
 
 
 def all_windows(spark: SparkSession, sf_dir: str, keep: tuple[str, ...] = ("depth", "id", "label")) -> DataFrame:
@@ -326,14 +326,18 @@ def autocorr(spark, sf_dir):
     return rounded(windows.statistics(all_windows(spark, sf_dir), "depth", "id").select("depth", "id", "z_autocorr_lag1", "z_autocorr_lag2"))
 
 
-def _rolling(spark, sf_dir, keep: str = "true") -> DataFrame:
-    base = combined(spark, sf_dir).where(keep).select("depth", "id", "label", "z_score", "bits")
+def _bits(spark, sf_dir) -> DataFrame:
+    """The bits of all depths, stored: what follows reads them more than once."""
+    return stored(combined(spark, sf_dir).select("depth", "id", "label", "z_score", "bits"), "bits")
+
+
+def _rolling(base: DataFrame) -> DataFrame:
     wins = windows.features(windows.windows(base, WIN), MARK.gamma)
     return windows.rolling(base.drop("bits"), wins.drop("z_score", "label"), "depth", "id")
 
 
 def rolling_features(spark, sf_dir):
-    return rounded(_rolling(spark, sf_dir))
+    return rounded(_rolling(_bits(spark, sf_dir)))
 
 
 def rolling_wide(spark, sf_dir):
@@ -361,8 +365,9 @@ def pss_sweep(spark, sf_dir):
 
 
 def _features(spark, sf_dir) -> DataFrame:
-    pss = stability.matrix(all_windows(spark, sf_dir), _members(spark, ("D1-D8",)))
-    return stability.features(pss, _rolling(spark, sf_dir, "depth = 1"), N_WINDOWS)
+    bits = _bits(spark, sf_dir)
+    wins = windows.features(windows.windows(bits.drop("z_score", "label"), WIN), MARK.gamma)
+    return stability.features(stability.matrix(wins, _members(spark, ("D1-D8",))), _rolling(bits.where("depth = 1")), N_WINDOWS)
 
 
 def pss_features(spark, sf_dir):

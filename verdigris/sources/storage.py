@@ -65,6 +65,16 @@ def read_zipped_texts(spark: SparkSession, path: str, prefix: str = "", suffix:
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(members, "filename string, text string")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt out evenly if its scan has fewer partitions than there are cores.
+
+    A small table often lies in one file that one task would read. A scan
+    with enough partitions, as any large table's, stays as it is, unshuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def remaining(todo: DataFrame, done: DataFrame, key: str = "id") -> DataFrame:
     """What a resumed job still has to do."""
     return todo.join(done.select(key), key, "left_anti")
