@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from verdigris.llm import chat, decontamination, mixing, near_duplicates, ngram_lm, pii, quality_model, quality_rules, tokens, warc
+from verdigris.sources.storage import spread
 
 TOKENIZER = "piece_bpe_32k.model"
 
@@ -13,6 +14,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """The documents, spread over the cores where they lie in fewer pieces; a large table isn't shuffled for that."""
+    return spread(_table(spark, sf_dir, "documents").select(*columns or "*"))
+
+
 def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
@@ -20,13 +26,13 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = _documents(spark, sf_dir, "doc_id", "text")
     rows, _ = quality_rules.judged(docs, drop=("text",))
     return rows.select("doc_id", *quality_rules.BASE, "base_failed", "kept", "posterior")
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.digests(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pii.digests(_documents(spark, sf_dir, "doc_id", "text"))
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,21 +41,21 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = _documents(spark, sf_dir, "doc_id", "text")
     model = quality_model.train(docs, _table(spark, sf_dir, "labels").select("doc_id", "quality"))
     return quality_model.score(docs, model).select("doc_id", "held_out", "score", "predicted")
 
 
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_lm.score(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return ngram_lm.score(_documents(spark, sf_dir, "doc_id", "text"))
 
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates.join(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return near_duplicates.join(_documents(spark, sf_dir, "doc_id", "text"))
 
 
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontamination.leaks(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
+    return decontamination.leaks(_documents(spark, sf_dir, "doc_id", "text"), _table(spark, sf_dir, "benchmark"))
 
 
 #: A conversation whose texts consist of control strings.
@@ -63,11 +69,11 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(_table(spark, sf_dir, "documents"))
+    return mixing.mix(_documents(spark, sf_dir))
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = _documents(spark, sf_dir, "doc_id", "text")
     return tokens.count_tokens(docs, tokenizer_path()).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
