@@ -41,23 +41,21 @@ FOLDS, HELD_OUT = 3, 1
 FEATURES = ("length", "word_length", "capitals", "symbols", "exclamations", "bars", "digits", "punctuation", "repeats", "variety", "line_words")
 
 
-def features(text: Column) -> list[Column]:
-    """The figures of a text; all between 0 and about 10."""
+def features(text: Column, words: Column) -> list[Column]:
+    """The figures of a text; all between 0 and about 10.
+
+    ``words`` should be a column of the table: functions over arrays would
+    split the text again each time if it were an expression.
+    """
     t = F.coalesce(text, F.lit(""))
     chars = F.greatest(F.length(t), F.lit(1))
-    words = words_of(text)
     n = F.greatest(F.size(words), F.lit(1))
 
     def share(characters: str) -> Column:
         return (F.length(t) - F.length(F.translate(t, characters, ""))) / chars
 
     capitals = F.regexp_count(t, F.lit(r"\p{Lu}")) / chars
-    repeats = F.aggregate(
-        words,
-        F.struct(F.lit("").alias("last"), F.lit(0).alias("n")),
-        lambda acc, w: F.struct(w.alias("last"), (acc["n"] + F.when(acc["last"] == w, 1).otherwise(0)).alias("n")),
-        lambda acc: acc["n"],
-    )
+    repeats = F.size(F.filter(words, lambda w, i: w == F.get(words, i - 1)))
     return [
         F.log1p(F.size(words).cast("double")),
         F.log1p(F.length(F.translate(t, " \t\n\x0b\x0c\r", "")) / n),
@@ -180,7 +178,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
     ids = spark.createDataFrame([(i,) for i in trusted], "doc_id bigint").withColumn("trusted", F.lit(True))
     rows = rows.join(F.broadcast(ids), "doc_id", "left")  # at most ``sample`` ids
     rows = rows.where(F.col("trusted") | (F.col("key") < share))
-    table = rows.select(F.coalesce("trusted", F.lit(False)).alias("trusted"), (F.col("key") < share).alias("drawn"), F.array(*features(F.col("text"))).alias("x")).collect()
+    rows = rows.withColumn("words", words_of(F.col("text")))
+    table = rows.select(F.coalesce("trusted", F.lit(False)).alias("trusted"), (F.col("key") < share).alias("drawn"), F.array(*features(F.col("text"), F.col("words"))).alias("x")).collect()
     positive = [r.x for r in table if r.trusted]
     unlabelled = [r.x for r in table if r.drawn and not r.trusted]
     if not positive or not unlabelled:
@@ -190,7 +189,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
     """The columns of ``docs`` with ``held_out``, ``score`` and ``predicted``."""
-    rows = packed(docs, (crc_mod(F.col("doc_id"), FOLDS) == HELD_OUT).alias("_out"), F.array(*features(F.col("text"))).alias("_x"))
+    rows = packed(docs, (crc_mod(F.col("doc_id"), FOLDS) == HELD_OUT).alias("_out"), F.col("text").alias("_text"), words_of(F.col("text")).alias("_words"))
+    rows = rows.select("_row", "_out", F.array(*features(F.col("_text"), F.col("_words"))).alias("_x"))
     rows = rows.withColumn("_score", F.lit(0.5) if model is None else model.score(F.col("_x")))
     predicted = F.when(F.col("_score") >= 0.5, 1).otherwise(0)
     return unpacked(rows, F.col("_out").alias("held_out"), F.col("_score").alias("score"), predicted.alias("predicted"), replacing=("held_out", "score", "predicted"))
