@@ -219,3 +219,7 @@ ORACLES = {
     "metrics": f"WITH {JUDGED}, c AS (SELECT toxic, {CELLS} FROM judged GROUP BY toxic) SELECT *, {', '.join(f'{r(v)} AS {k}' for k, v in RATES.items())} FROM c",
     "best_experiment": f"WITH {WINS}, {members()}, {PSS}, m AS (SELECT experiment, position, round(avg(pss), 6) AS mean_pss FROM pss GROUP BY ALL) SELECT experiment, mean_pss FROM m ORDER BY mean_pss DESC, position LIMIT 1",
 }
+
+#: All words of all documents in place of the sample halves.
+DOCS = f"halves AS (SELECT doc_id, 'document' AS text_type, coalesce({words('text')}, []) AS words FROM documents)"
+ORACLES |= {f"{name}_docs": ORACLES[name].replace(CUTS, DOCS) for name in ("vocab", "token_ids", "greenlist_hash", "bias_logits", "bigram_counts", "green_bits", "bits_csv", "score_unique_bigrams")}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +31,12 @@ def halves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.halves(docs(spark, sf_dir), CUT)
 
 
+def whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, text_type, words) of all documents with all their words; a null text has none."""
+    words = F.coalesce(T.words(F.col("text")), F.array().cast("array<string>"))
+    return docs(spark, sf_dir).select("doc_id", F.lit("document").alias("text_type"), words.alias("words"))
+
+
 def deep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paraphrasing.rounds(halves(spark, sf_dir), PARA)
 
@@ -116,13 +124,13 @@ def text_md5(spark, sf_dir):
 # vocabulary and watermark
 
 
-def vocab(spark, sf_dir):
-    return vocabulary.vocabulary(halves(spark, sf_dir))
+def vocab(spark, sf_dir, texts=halves):
+    return vocabulary.vocabulary(texts(spark, sf_dir))
 
 
-def token_ids(spark, sf_dir):
-    texts = halves(spark, sf_dir)
-    rows = vocabulary.token_ids(texts, vocabulary.vocabulary(texts))
+def token_ids(spark, sf_dir, texts=halves):
+    words = texts(spark, sf_dir)
+    rows = vocabulary.token_ids(words, vocabulary.vocabulary(words))
     return rows.select("doc_id", "text_type", F.col("pos").cast("bigint").alias("pos"), "tok_id")
 
 
@@ -137,18 +145,18 @@ def greenlist_rank(spark, sf_dir):
     return vocabulary.greenlists(tokens.select(F.col("token").alias("prev")), tokens, MARK)
 
 
-def greenlist_hash(spark, sf_dir):
-    pairs = vocabulary.corpus_bigrams(halves(spark, sf_dir))
+def greenlist_hash(spark, sf_dir, texts=halves):
+    pairs = vocabulary.corpus_bigrams(texts(spark, sf_dir))
     u = S.uniform(F.lit(MARK.hash_key), F.col("prev"), F.col("token"))
     return rounded(pairs.select("prev", "token", u.alias("u"), S.is_green(F.col("prev"), F.col("token"), MARK.hash_key, MARK.gamma).alias("green")))
 
 
-def bias_logits(spark, sf_dir):
-    return rounded(vocabulary.biased_logits(vocabulary.corpus_bigrams(halves(spark, sf_dir)), MARK))
+def bias_logits(spark, sf_dir, texts=halves):
+    return rounded(vocabulary.biased_logits(vocabulary.corpus_bigrams(texts(spark, sf_dir)), MARK))
 
 
-def bigram_counts(spark, sf_dir):
-    return vocabulary.bigrams(halves(spark, sf_dir))
+def bigram_counts(spark, sf_dir, texts=halves):
+    return vocabulary.bigrams(texts(spark, sf_dir))
 
 
 def watermark_generate(spark, sf_dir):
@@ -173,13 +181,13 @@ def detect_text(spark, sf_dir):
     return rounded(rows.select("doc_id", "text_type", bits, "num_tokens_scored", "num_green_tokens", "green_fraction", "z_score"))
 
 
-def green_bits(spark, sf_dir):
-    rows = detection.scored(halves(spark, sf_dir), MARK)
+def green_bits(spark, sf_dir, texts=halves):
+    rows = detection.scored(texts(spark, sf_dir), MARK)
     return rows.select("doc_id", "text_type", F.posexplode("bits").alias("pos", "bit")).select("doc_id", "text_type", F.col("pos").cast("bigint").alias("pos"), F.col("bit").cast("bigint").alias("bit"))
 
 
-def bits_csv(spark, sf_dir):
-    return detection.csv_bits(detection.scored(halves(spark, sf_dir), MARK)).select("doc_id", "text_type", "watermark_bits")
+def bits_csv(spark, sf_dir, texts=halves):
+    return detection.csv_bits(detection.scored(texts(spark, sf_dir), MARK)).select("doc_id", "text_type", "watermark_bits")
 
 
 def score_sequence(spark, sf_dir):
@@ -191,8 +199,8 @@ def detect_docs(spark, sf_dir):
     return rounded(rows.select("doc_id", "num_tokens_scored", "num_green_tokens", "green_fraction", "z_score", "prediction"))
 
 
-def score_unique_bigrams(spark, sf_dir):
-    return rounded(detection.unique_bigram_scores(halves(spark, sf_dir), MARK).select("doc_id", "text_type", "num_tokens_scored", F.col("num_green_tokens").cast("bigint").alias("num_green_tokens"), "z_score"))
+def score_unique_bigrams(spark, sf_dir, texts=halves):
+    return rounded(detection.unique_bigram_scores(texts(spark, sf_dir), MARK).select("doc_id", "text_type", "num_tokens_scored", F.col("num_green_tokens").cast("bigint").alias("num_green_tokens"), "z_score"))
 
 
 def z_score(spark, sf_dir):
@@ -202,8 +210,8 @@ def z_score(spark, sf_dir):
     return rounded(d.select("doc_id", k.cast("bigint").alias("k"), n.cast("bigint").alias("t"), S.z_score(k, n, MARK.gamma).alias("z")))
 
 
-def p_value(spark, sf_dir):
-    rows = detection.scored(halves(spark, sf_dir), MARK)
+def p_value(spark, sf_dir, texts=halves):
+    rows = detection.scored(texts(spark, sf_dir), MARK)
     return rows.select("doc_id", "text_type", "z_score", S.p_value("z_score").alias("p_value"))
 
 
@@ -425,3 +433,6 @@ QUERIES = {
         confusion_matrix, prf, metrics_all, best_experiment,
     )
 }
+#: Queries over sample halves whose operators take any text; NAME_docs runs them over whole documents (``detect_docs`` has the scores and predictions).
+WHOLE = ("vocab", "token_ids", "greenlist_hash", "bias_logits", "bigram_counts", "green_bits", "bits_csv", "score_unique_bigrams", "p_value")
+QUERIES |= {f"{name}_docs": partial(QUERIES[name], texts=whole) for name in WHOLE}
