@@ -62,6 +62,29 @@ def test_against_brute_force(spark, seed):
         assert r.similarity == pytest.approx(want[(r.doc_id, r.item_id)])
 
 
+def test_matches_beyond_the_radius():
+    rng = random.Random(7)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    items = [(i, " ".join(word() for _ in range(204))) for i in range(12)]
+    docs = []
+    for i, text in items:
+        w = text.split()
+        w[90:108] = ["same"] * 18  # 178 of 200 shingles stay: similarity 0.80, most of them beyond 39 bits
+        docs.append((i, " ".join([word() for _ in range(rng.choice([0, 40]))] + w + [word() for _ in range(rng.choice([0, 40]))])))
+    want, judge = brute(docs, items), dc.Benchmark(items).judge
+    got = {(i, x["item_id"]): x["similarity"] for i, t in docs for x in judge(t)}
+    assert len(want) == 12 and got == pytest.approx(want)
+
+
+def test_repeated_shingles_and_cut_windows():
+    rng = random.Random(3)
+    for _ in range(150):
+        items = [(i, " ".join(rng.choice("ab") for _ in range(rng.choice([3, 9, 20, 40])))) for i in range(4)]
+        docs = [(0, " ".join(rng.choice("aab") for _ in range(rng.choice([2, 8, 30, 60])))), (1, rng.choice(items)[1] + " a b" * rng.randrange(9)), (2, "b " * rng.randrange(4) + rng.choice(items)[1][6:])]
+        got = {(i, x["item_id"]): x["similarity"] for i, t in docs for x in dc.Benchmark(items).judge(t)}
+        assert got == pytest.approx(brute(docs, items))
+
+
 def test_documents_that_stay(spark):
     docs, items = make(1)
     df = spark.createDataFrame([(i, t, "x") for i, t in docs], DOCS)

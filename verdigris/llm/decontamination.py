@@ -14,6 +14,12 @@ Most windows need no fingerprint: one at similarity 0.8 or more has at least
 shingles that occur in any item rule it out. Running sums over a text give
 that bound for all windows of a length at once. No true match is lost by it.
 
+A fixed radius alone would lose matches: a fingerprint weighs a shingle by its
+count, so where a repeated word stands in place of a part of an item, windows
+at similarity 0.8 can differ in more than RADIUS bits. So each item that
+enough of its shingles near each other allow is also compared exactly with
+all windows at once, by running sums. What is found is thus whole.
+
 The documents are only scanned; nothing is shuffled. The benchmark is the
 small side: it is sent to the workers in slices of at most ``SLICE`` items and
 ``SLICE_CHARS`` characters, one scan for a slice, so what a worker holds is
@@ -113,6 +119,10 @@ class Benchmark:
         self.shingles = np.array(sorted({s for b in self.bags for s in b}), np.uint64)
         self.sizes = sorted({b.total() for b in self.bags})
         self.places = [np.searchsorted(self.shingles, np.fromiter(b, np.uint64)) for b in self.bags]
+        self.holders = [[] for _ in self.shingles]  # items with a shingle, and how often they have it
+        for i, (bag, places) in enumerate(zip(self.bags, self.places)):
+            for place, n in zip(places.tolist(), bag.values()):
+                self.holders[place].append((i, n))
         if self.bags:
             sums = np.array([(shingle_bits(np.fromiter(b, np.uint64)).astype(np.int64) * np.array(list(b.values()))[:, None]).sum(0) for b in self.bags])
             self.index = HammingIndex(fingerprints(sums))
@@ -171,6 +181,7 @@ class Benchmark:
         low, high = np.concatenate(lows), np.concatenate(highs)
         for k in range(0, len(low), AT_ONCE):
             self.compare(own, sums, member, low[k : k + AT_ONCE], high[k : k + AT_ONCE], first, found)
+        self.complete(member, first == 0, last == last_shingle, first, found)
 
     def compare(self, own, sums, member, low, high, first: int, found: dict[int, tuple]) -> None:
         """Look windows up in the index and verify what it returns, the most promising first."""
@@ -194,6 +205,45 @@ class Benchmark:
                 if n * DENOMINATOR >= NUMERATOR * d and (i not in found or n * found[i][1] > found[i][0] * d):
                     found[i] = (n, d, int(lo[k]) + first, int(hi[k]) + first)
 
+    def complete(self, member: np.ndarray, from_start: bool, to_end: bool, first: int, found: dict[int, tuple]) -> None:
+        """Judge all windows exactly against the items whose anchors allow a match, whatever their fingerprints.
+
+        Of an item's shingle that it has c times, an occurrence counts in a
+        window if fewer than c others stand before it there: if the c-th
+        before it lies outside. So it counts for a range of window starts,
+        and sums of such ranges give what each window shares with the item.
+        """
+        n, at = len(member), np.flatnonzero(member >= 0)
+        by = np.argsort(member[at], kind="stable")
+        place, at = member[at][by], at[by]  # occurrences of a shingle side by side, in order
+        starts = np.flatnonzero(np.r_[True, np.diff(place) != 0])
+        ends = np.r_[starts[1:], len(place)]
+        met: dict[int, list[tuple[int, int, int]]] = {}  # item: runs of occurrences, and how often it has their shingle
+        for a, b in zip(starts.tolist(), ends.tolist()):
+            for i, c in self.holders[place[a]]:
+                met.setdefault(i, []).append((a, b, c))
+        for i, runs in met.items():
+            total = self.bags[i].total()
+            if sum(min(b - a, c) * DENOMINATOR for a, b, c in runs) < NUMERATOR * total:
+                continue
+            where = np.concatenate([at[a:b] for a, b, _ in runs])
+            before = np.concatenate([np.r_[np.full(min(c, b - a), -self.sizes[-1] - 1), at[a : b - c] if b - a > c else at[:0]] for a, b, c in runs])
+            # whole windows of other lengths can't be similar; the longest gives all that an end of the text cuts off
+            for size in {s for s in self.sizes if s * DENOMINATOR >= NUMERATOR * total and s * NUMERATOR <= DENOMINATOR * total} | {self.sizes[-1]}:
+                ranges = np.zeros(n + size + 1, np.int64)  # by start + size
+                np.add.at(ranges, np.maximum(before, where - size) + 1 + size, 1)
+                np.add.at(ranges, where + 1 + size, -1)
+                start = np.arange(-size + 1 if from_start else 0, (n if to_end else n - size + 1))
+                lo, hi = np.maximum(start, 0), np.minimum(start + size, n)
+                shared = np.cumsum(ranges)[start + size]
+                whole = hi - lo + total - shared
+                good = np.flatnonzero(shared * DENOMINATOR >= NUMERATOR * whole)
+                if len(good):
+                    k = good[np.lexsort((lo[good], -shared[good] / whole[good]))[0]]
+                    k_n, k_d = int(shared[k]), int(whole[k])
+                    if i not in found or k_n * found[i][1] > found[i][0] * k_d:
+                        found[i] = (k_n, k_d, int(lo[k]) + first, int(hi[k]) + first)
+
 
 _HIT = pa.struct([("item_id", pa.int64()), ("similarity", pa.float64()), ("first_word", pa.int64()), ("last_word", pa.int64())])
 HITS = "array<struct<item_id: bigint, similarity: double, first_word: bigint, last_word: bigint>>"
