@@ -131,6 +131,15 @@ def test_spans_that_the_method_adds(spark):
     assert not any(got[200 + i] for i in range(100))  # clean documents have none
 
 
+def test_long_keys_go_whole(spark):
+    rng = random.Random(8)
+    keys = ["".join(rng.choice("abcdef") + rng.choice("0123456789") for _ in range(150)) for _ in range(30)]  # no run of digits that could be a card
+    texts = [(i, f'{prose(rng, 30)} token = "{k}" {prose(rng, 5)}') for i, k in enumerate(keys)]
+    texts += [(100 + i, f"{prose(rng, 40)} write to ann{i}@mail.example.com or 10.0.{i}.7 {prose(rng, 9)}") for i in range(40)]
+    got = {r.doc_id: r.text for r in pii.redact(table(spark, texts)).collect()}
+    assert all("[KEY]" in got[i] and k[-12:] not in got[i] for i, k in enumerate(keys))
+
+
 def test_long_texts_take_no_quadratic_time(spark):
     df = table(spark, [(1, "a" * 200_000), (2, "a@b" + ".c" * 60_000), (3, "+1" + " " * 100_000), (4, "7 " * 60_000)])
     assert [r.n_email for r in pii.digests(df).orderBy("doc_id").collect()] == [0, 1, 0, 0]

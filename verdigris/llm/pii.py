@@ -52,7 +52,7 @@ PATTERNS = {
 LOOSE = {
     "email": (r"(?<![A-Za-z0-9])[A-Za-z0-9._-]{1,64}\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]{1,63}\x20?(?:\.|[\[(]dot[\])])\x20?[A-Za-z]{2,10}(?![A-Za-z])", r"[\[(]at[\])]"),
     "phone": (r"(?<![0-9.+-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9.-])", r"[0-9]{3}[\x20.-][0-9]{4}"),
-    "key": (r"(?i)(?<![A-Za-z])(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\x20?[=:]\x20?[\"']?[A-Za-z0-9/+_-]{12,128}+[\"']?", r"[=:]"),
+    "key": (r"(?i)(?<![A-Za-z])(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\x20?[=:]\x20?[\"']?[A-Za-z0-9/+_-]{12,}+[\"']?", r"[=:]"),
     "ssn": (r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", r"[0-9]{3}-[0-9]{2}-"),
 }
 #: Gazetteers; fixed values.
