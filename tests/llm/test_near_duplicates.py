@@ -82,6 +82,19 @@ def test_one_per_class(spark):
     assert got.count(None) == 2 and sorted(i for i in got if i is not None) == leaders
 
 
+def test_one_per_class_where_ids_repeat(spark):
+    rng = random.Random(6)
+    text = lambda n=60: [f"v{rng.randrange(10**6)}" for _ in range(n)]
+    near = lambda w: [*w[:-1], "other"]
+    a, own = text(), [text() for _ in range(20)]
+    rows = [(1, a)] + [(5, w) for w in own]  # texts that resemble nothing, under one doc_id
+    rows += [(5, near(a)), (5, own[0]), (9, near(own[3])), (None, own[4])]  # copies: one of a row of smaller doc_id, the others of rows of doc_id 5
+    df = spark.createDataFrame([(i, " ".join(w), "x", 7) for i, w in rows] + [(5, "", "x", 7), (5, "", "x", 7), (6, None, "x", 7)], SCHEMA)
+    want = sorted([(1, " ".join(a))] + [(5, " ".join(w)) for w in own] + [(5, ""), (6, "None")] + [(0, " ".join(own[4]))])
+    for parts in (1, 7):
+        assert sorted((r.doc_id or 0, str(r.text)) for r in nd.one_per_class(df.repartition(parts)).collect()) == want
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert nd.join(df).count() == 0 and nd.one_per_class(df).count() == 0

@@ -36,6 +36,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from verdigris.llm.common import WordHashes, byte_words, materialise, shingle_hashes
 
@@ -250,13 +251,8 @@ def verified(docs: DataFrame, nodes: DataFrame, clusters: DataFrame, block_nodes
     return materialise(rows.mapInPandas(_compare, _LINKS), "near-links")
 
 
-def join(docs: DataFrame, block_nodes: int = BLOCK_NODES, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
-    """One row per row of ``docs``: doc_id, class_id, copy_id, n_links.
-
-    ``class_id``: the smallest doc_id of all documents that hang together by
-    links; ``copy_id``: the smallest doc_id with the same set of shingles;
-    ``n_links``: the other documents at Jaccard >= 0.8, copies included.
-    """
+def judged(docs: DataFrame, block_nodes: int, block_shingles: int) -> tuple[DataFrame, DataFrame]:
+    """``sketches``, and (n, root, class_id, copy_id, n_links) of each node; nodes of one class have one root."""
     found = sketches(docs)
     nodes = found.where(F.col("node").isNotNull()).groupBy("node").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id"), F.max("size").alias("size"))
     nodes = materialise(nodes, "near-nodes")
@@ -268,23 +264,47 @@ def join(docs: DataFrame, block_nodes: int = BLOCK_NODES, block_shingles: int =
     roots = whole.union(whole.select("root", "root").distinct()).union(split)
     named = roots.join(nodes.select(F.col("node").alias("n"), "first_id"), F.col("node") == F.col("n"))
     classes = named.groupBy("root").agg(F.min("first_id").alias("class_id")).withColumnRenamed("root", "r")
-    classed = named.join(classes, F.col("root") == F.col("r")).select(F.col("node").alias("n"), "class_id")
+    classed = named.join(classes, F.col("root") == F.col("r")).select(F.col("node").alias("n"), "root", "class_id")
     table = nodes.join(classed, F.col("node") == F.col("n"), "left").drop("n")
     table = table.join(links.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left")
-    table = table.select(F.col("node").alias("n"), F.coalesce("class_id", "first_id").alias("class_id"), F.col("first_id").alias("copy_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    rows = found.select("doc_id", "node").join(table, F.col("node") == F.col("n"), "left")
+    n_links = F.coalesce("links", F.lit(0)) + F.col("copies") - 1
+    return found, table.select(F.col("node").alias("n"), F.coalesce("root", "node").alias("root"), F.coalesce("class_id", "first_id").alias("class_id"), F.col("first_id").alias("copy_id"), n_links.alias("n_links"))
+
+
+def join(docs: DataFrame, block_nodes: int = BLOCK_NODES, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """One row per row of ``docs``: doc_id, class_id, copy_id, n_links.
+
+    ``class_id``: the smallest doc_id of all documents that hang together by
+    links; ``copy_id``: the smallest doc_id with the same set of shingles;
+    ``n_links``: the other documents at Jaccard >= 0.8, copies included.
+    """
+    found, table = judged(docs, block_nodes, block_shingles)
+    rows = found.select("doc_id", "node").join(table.drop("root"), F.col("node") == F.col("n"), "left")
     return rows.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("copy_id", "doc_id").alias("copy_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
 
 
+@F.arrow_udf(T.LongType())
+def _node(texts: pa.Array) -> pa.Array:
+    """``node_of`` each text; null where there are no shingles."""
+    hashes = WordHashes()
+    sets = (shingle_set(t.as_py(), hashes) for t in texts)
+    return pa.array([node_of(s) if len(s) else None for s in sets], pa.int64())
+
+
 def one_per_class(docs: DataFrame) -> DataFrame:
-    """``docs`` without the documents whose class has one of smaller doc_id.
+    """``docs`` with one row of each class, one of its smallest doc_id.
 
-    Of rows that repeat the smallest doc_id one stays; rows without doc_id stay.
+    Rows are told apart by their shingle sets, so rows that share a doc_id are
+    dropped only where another row of their class stays. Of several sets with
+    the smallest doc_id the one of smallest node stays, of equal sets under it
+    the row of smallest hash. Rows without shingles are copies of each other
+    where they share a doc_id; rows without doc_id stay.
     """
-    classes = join(docs)
-    # one verdict per doc_id; where rows with different texts share a doc_id, it stays if any of them leads
-    keep = classes.where("doc_id IS NOT NULL AND doc_id = class_id").select(F.col("doc_id").cast("bigint").alias("_kept")).distinct()
+    _, table = judged(docs, BLOCK_NODES, BLOCK_SHINGLES)
+    lead = table.where("copy_id = class_id").groupBy("root").agg(F.min(F.struct("n", "class_id")).alias("lead")).select(F.col("lead.n").alias("_lead"), F.col("lead.class_id").alias("_kept"))
     packed = docs.select(F.struct(*[docs["`" + c.replace("`", "``") + "`"] for c in docs.columns]).alias("_row"))
     rows = packed.select("_row", F.col("_row.doc_id").cast("bigint").alias("_id"))
-    stay = rows.join(keep, F.col("_id") == F.col("_kept")).dropDuplicates(["_kept"]).select("_row")
+    named = rows.where("_id IS NOT NULL").withColumn("_node", _node(F.col("_row.text")))
+    stay = named.join(lead, (F.col("_id") == F.col("_kept")) & (F.col("_node") == F.col("_lead")), "left").where("_lead IS NOT NULL OR _node IS NULL")
+    stay = stay.groupBy("_id", "_node").agg(F.min_by("_row", F.xxhash64(F.to_json("_row"))).alias("_row")).select("_row")
     return stay.union(rows.where("_id IS NULL").select("_row")).select("_row.*")
