@@ -223,3 +223,4 @@ ORACLES = {
 #: All words of all documents in place of the sample halves.
 DOCS = f"halves AS (SELECT doc_id, 'document' AS text_type, coalesce({words('text')}, []) AS words FROM documents)"
 ORACLES |= {f"{name}_docs": ORACLES[name].replace(CUTS, DOCS) for name in ("vocab", "token_ids", "greenlist_hash", "bias_logits", "bigram_counts", "green_bits", "bits_csv", "score_unique_bigrams")}
+ORACLES["window_literal_depths"] = f"WITH {COMBINED}, top AS (SELECT depth, id, array_to_string(string_split(bits, ''), ',') AS commas FROM combined), {windowed('top', 'depth, id', 'commas')} SELECT depth, id, win_idx::INTEGER AS win_idx, win_start::INTEGER AS win_start, win_end::INTEGER AS win_end, {r('z')} AS z, run::INTEGER AS run, freq::INTEGER AS freq FROM wins"

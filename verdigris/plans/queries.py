@@ -308,13 +308,22 @@ def window_rows(spark, sf_dir):
     return windows.windows(combined(spark, sf_dir).select("depth", "id", "bits"), WIN).select("depth", "id", "win_idx", "win_start", "win_end", "win")
 
 
-def window_literal(spark, sf_dir):
-    """The same over comma-joined text, as files hold it, at depth 0."""
+def _literal(rows: DataFrame) -> DataFrame:
     from dataclasses import replace
 
+    return windows.features(windows.windows(rows, replace(WIN, mode="literal")), MARK.gamma)
+
+
+def window_literal(spark, sf_dir):
+    """The same over comma-joined text, as files hold it, at depth 0."""
     rows = combined(spark, sf_dir).where("depth = 0").select("id", "bits")
-    found = windows.features(windows.windows(rows, replace(WIN, mode="literal")), MARK.gamma)
-    return rounded(found.select("id", "win_idx", "win_start", "win_end", "z", "run", "freq"))
+    return rounded(_literal(rows).select("id", "win_idx", "win_start", "win_end", "z", "run", "freq"))
+
+
+def window_literal_depths(spark, sf_dir):
+    """``window_literal`` at all depths."""
+    rows = combined(spark, sf_dir).select("depth", "id", "bits")
+    return rounded(_literal(rows).select("depth", "id", "win_idx", "win_start", "win_end", "z", "run", "freq"))
 
 
 def window_z(spark, sf_dir):
@@ -428,7 +437,7 @@ QUERIES = {
         length_variations, text_md5, vocab, token_ids, greenlist_rank, greenlist_hash, bias_logits, bigram_counts, watermark_generate, resume_antijoin,
         detect_text, green_bits, bits_csv, score_sequence, detect_docs, score_unique_bigrams, z_score, p_value, detect_prediction, detect_all_depths,
         detection_summary, paraphrase_prompt, clean_output, paraphrase_budget, paraphrase_rounds, words_per_round, resume_point, unpivot_depths,
-        combine_detections, combine_labeled, sequential_id, validate_counts, merge_outer, merge_concat, window_rows, window_literal, window_z, window_runs,
+        combine_detections, combine_labeled, sequential_id, validate_counts, merge_outer, merge_concat, window_rows, window_literal, window_literal_depths, window_z, window_runs,
         window_stats, autocorr, rolling_features, rolling_wide, common_windows, pss_matrix, pss_sweep, pss_features, stratified_split, pss_classify, auc,
         confusion_matrix, prf, metrics_all, best_experiment,
     )
