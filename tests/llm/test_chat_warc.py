@@ -1,6 +1,7 @@
 import hashlib
+import random
 
-import pandas as pd
+import duckdb
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -40,6 +41,47 @@ def test_digests_and_faults(spark):
     assert got[-7].valid and not got[2].valid
 
 
+BIG = 2**53
+
+
+def test_large_ids_beside_nulls(spark):
+    ids = [BIG, BIG + 1, -(2**63), 2**63 - 1, None, -BIG - 1]
+    rows = [(i, k, r, f"{r} of {i}") for i in ids for k, r in enumerate(("user", "assistant"))] + [(BIG, None, "system", "first")]
+    got = read(spark, rows)
+    assert set(got) == set(ids)
+    for i in ids:
+        assert (got[i].n_turns, got[i].turns_sha256) == expected([x for x in rows if x[0] == i])[:2]
+    formatted = chat.format_segments(spark.createDataFrame([(1, BIG + 1, "user", "x"), (1, None, "user", "y")], TURNS))
+    assert {r.turn for r in formatted.collect()} == {BIG + 1, None}
+
+
+def test_conversations_against_sql(spark):
+    roles = ["system", "user", "assistant", "tool", "start", "a]b[\\'", None]
+    rng = random.Random(4)
+    texts = ["", None, "</s>[INST] ok [/INST]", "é🙂\\ <x>", "it's\n"]
+    rows = [(rng.choice([None, *range(30)]), rng.choice([None, *range(6)]), rng.choice(roles), rng.choice(texts)) for _ in range(300)]
+    rows += [(100 + i, k, r, f"{k}") for i in range(4) for k, r in enumerate(["system", "user", "assistant", "user", "assistant"][i % 2 :])]
+    got = chat.read_back(chat.format_segments(spark.createDataFrame(rows, TURNS)))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t(conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO t VALUES (?, ?, ?, ?)", rows)
+    want = con.sql(chat.oracle_sql("SELECT * FROM t"))
+    assert want.columns == got.columns
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want.fetchall()))
+
+
+def test_formatted_text_alone_gives_the_turns_back():
+    """All conversations of a table, formatted to one string each, in pieces cut anywhere."""
+    rng = random.Random(9)
+    for _ in range(200):
+        turns = [(rng.choice(["system", "user", "assistant", "x]"]), "".join(rng.choice("<s>/[INST]\\ ]é\n") for _ in range(rng.randrange(20)))) for _ in range(rng.randint(1, 6))]
+        whole = "".join(t for role, text in turns for t, _ in chat.segments(role, text, chat.INSTRUCT))
+        cuts = sorted(rng.randrange(len(whole) + 1) for _ in range(3))
+        reader = chat.Reader(chat.INSTRUCT)
+        assert [x for i, j in zip([0, *cuts], [*cuts, len(whole)]) for x in reader.feed(whole[i:j])] == turns
+        reader.end()
+
+
 def test_empty_conversations(spark):
     assert read(spark, []) == {}
 
@@ -48,7 +90,10 @@ def test_empty_conversations(spark):
 @given(st.sampled_from(["system", "user", "assistant", "tool", "", "a]b[\\"]), st.text(alphabet=st.sampled_from("<s>/[INST]\\ ]é\n"), max_size=30))
 def test_turns_round_trip(role, text):
     parts = chat.segments(role, text, chat.INSTRUCT)
-    assert chat.parse_turn(parts, chat.INSTRUCT) == (role, text)
+    reader, whole = chat.Reader(chat.INSTRUCT), "".join(t for t, _ in parts) * 2
+    for pieces in ([whole], list(whole)):
+        assert [turn for piece in pieces for turn in reader.feed(piece)] == [(role, text)] * 2
+        reader.end()
     assert not any(c in parts[1][0].replace("\\\\", "").replace("\\<", "").replace("\\[", "") for c in chat.INSTRUCT.controls)
 
 
@@ -72,6 +117,20 @@ def test_archives(spark):
             assert (r.record_type, r.refers_to) == want
 
 
+def test_large_page_ids(spark):
+    long = "z" * 200
+    rows = [(BIG + 1, "u", long, ""), (BIG + 3, "u", long, ""), (None, "u", long, ""), (2**63 - 1, "u", "other" * 30, "")]
+    got = {r.page_id: r.refers_to for r in warc.round_trip(spark.createDataFrame(rows, PAGES).coalesce(1)).collect()}
+    assert got == {BIG + 1: None, BIG + 3: BIG + 1, None: BIG + 1, 2**63 - 1: None}
+
+
+def test_reading_is_dealt_by_bytes(spark):
+    pages = spark.createDataFrame([(i, "u", random.Random(i).randbytes(20_000).hex(), "") for i in range(300)], PAGES).repartition(4)
+    folder = warc.shared_path(spark, "t")
+    index = warc.write_archives(warc.classified(pages), folder)
+    assert warc.ranges(index, 1 << 19).rdd.getNumPartitions() >= 6
+
+
 def test_selected_records_and_payloads(spark):
     pages = spark.createDataFrame([(i, f"http://x/{i}", f"<html>{i}</html>" * 50, "") for i in range(50)], PAGES)
     folder = warc.shared_path(spark, "t")

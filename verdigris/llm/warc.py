@@ -33,7 +33,7 @@ import zlib
 from collections.abc import Iterator
 from urllib.parse import quote
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,9 +47,24 @@ SPAN, GAP = 8 << 20, 64 << 10
 FILE_BYTES = 1 << 30
 DATE = "2024-01-01T00:00:00Z"
 
+#: Bytes of archive for a reading task. A small archive is spread further, down to ``LEAST_TASK`` bytes a task.
+TASK_BYTES, LEAST_TASK = 128 << 20, 1 << 20
+
 _INDEX = "page_id bigint, url string, file string, offset bigint, length bigint, payload_digest string, payload_bytes bigint, record_type string, refers_to bigint"
 
 
+def _arrow(ddl: str) -> pa.Schema:
+    kinds = {"bigint": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+    return pa.schema([(n, kinds[t]) for n, t in (f.split() for f in ddl.split(", "))])
+
+
+def _batch(rows: list[tuple], ddl: str) -> pa.RecordBatch:
+    """Rows as Arrow columns: ids stay integers beside nulls."""
+    schema = _arrow(ddl)
+    columns = list(zip(*rows, strict=True)) or [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
 def _open(uri: str):
     """The pyarrow file system of a URI, and the path in it."""
     from pyarrow import fs
@@ -96,35 +111,42 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, ki
 def write_archives(rows: DataFrame, folder: str, level: int = 1) -> DataFrame:
     """Write what ``classified`` returns below ``folder``; the index as a DataFrame."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, top = _open(folder)
         store.create_dir(top, recursive=True)
         file = out = None
         offset = 0
         for batch in batches:
             index = []
-            for page_id, url, payload, digest, n, kind, refers in batch.astype(object).where(batch.notna(), None).itertuples(index=False, name=None):
+            for page_id, url, payload, digest, n, kind, refers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if out is None or offset >= FILE_BYTES:
                     if out is not None:
                         out.close()
                     file = f"{uuid.uuid4().hex}.warc.gz"  # its own for each attempt
                     out, offset = store.open_output_stream(f"{top}/{file}", compression=None), 0
-                member = gzip.compress(record(None if page_id is None else int(page_id), url, bytes(payload), digest, kind, None if refers is None else int(refers)), level, mtime=0)
+                member = gzip.compress(record(page_id, url, payload, digest, kind, refers), level, mtime=0)
                 out.write(member)
                 index.append((page_id, url, file, offset, len(member), digest, n, kind, refers))
                 offset += len(member)
-            frame = pd.DataFrame(index, columns=[f.split()[0] for f in _INDEX.split(", ")])
-            yield frame.astype({"page_id": "Int64", "refers_to": "Int64", "offset": "int64", "length": "int64", "payload_bytes": "int64"})
+            yield _batch(index, _INDEX)
         if out is not None:
             out.close()
 
-    return materialise(rows.select("page_id", "url", "payload", "payload_digest", "payload_bytes", "record_type", "refers_to").mapInPandas(run, _INDEX), "warc-index")
+    columns = rows.select("page_id", "url", "payload", "payload_digest", "payload_bytes", "record_type", "refers_to")
+    return materialise(columns.mapInArrow(run, _INDEX), "warc-index")
 
 
 def ranges(index: DataFrame, span: int = SPAN) -> DataFrame:
-    """Index rows gathered to byte ranges: (file, at, records sorted by offset); at most ``span`` bytes each and one record more."""
+    """Index rows gathered to byte ranges: (file, at, records sorted by offset); at most ``span`` bytes each and one record more.
+
+    Dealt by the bytes to be read, not by the size of the index: the number of
+    tasks is given, so that adaptive execution doesn't merge them.
+    """
+    total = index.agg(F.sum("length")).first()[0] or 0
+    cores = index.sparkSession.sparkContext.defaultParallelism
+    tasks = max(1, -(-total // TASK_BYTES), min(4 * cores, -(-total // LEAST_TASK)))
     rows = index.select("file", F.floor(F.col("offset") / span).alias("at"), F.struct("offset", "length").alias("record"))
-    return rows.groupBy("file", "at").agg(F.sort_array(F.collect_list("record")).alias("records"))
+    return rows.repartition(tasks, "file", "at").groupBy("file", "at").agg(F.sort_array(F.collect_list("record")).alias("records"))
 
 
 _PARSED = "page_id bigint, url string, record_type string, refers_to bigint, payload_digest string, payload_bytes bigint, payload binary"
@@ -147,22 +169,21 @@ def read_records(index: DataFrame, folder: str, keep_payload: bool = True) -> Da
     none, takes them from its headers.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, top = _open(folder)
         for batch in batches:
-            for file, records in zip(batch["file"], batch["records"], strict=True):
+            for file, records in zip(batch.column("file").to_pylist(), batch.column("records"), strict=True):
                 with store.open_input_file(f"{top}/{file}") as source:
                     out = []
-                    for start, members in coalesced([(r["offset"], r["length"]) for r in records]):
+                    for start, members in coalesced([(r["offset"], r["length"]) for r in records.as_py()]):
                         source.seek(start)
                         data = source.read(members[-1][0] + members[-1][1] - start)
                         for offset, length in members:
                             fields, payload = parse(zlib.decompress(data[offset - start : offset - start + length], 31))
                             out.append(_parsed(fields, payload, keep_payload))
-                frame = pd.DataFrame(out, columns=[f.split()[0] for f in _PARSED.split(", ")])
-                yield frame.astype({"page_id": "Int64", "refers_to": "Int64", "payload_bytes": "int64"})
+                yield _batch(out, _PARSED)
 
-    return ranges(index).mapInPandas(run, _PARSED)
+    return ranges(index).mapInArrow(run, _PARSED)
 
 
 def coalesced(records: list[tuple[int, int]], gap: int = GAP) -> Iterator[tuple[int, list[tuple[int, int]]]]:
@@ -195,3 +216,14 @@ def round_trip(pages: DataFrame) -> DataFrame:
     folder = shared_path(pages.sparkSession, "warc")
     index = write_archives(classified(pages), folder)
     return read_records(index, folder, keep_payload=False).drop("payload")
+
+
+#: The round trip in DuckDB's SQL.
+ORACLE_SQL = f"""
+WITH payloads AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+measured AS (SELECT page_id, strlen(payload) AS payload_bytes, sha256(payload) AS payload_digest FROM payloads),
+firsts AS (SELECT *, CASE WHEN payload_bytes >= {LEAST} THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first_id FROM measured)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id IS DISTINCT FROM first_id AND first_id IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to
+FROM firsts
+"""
