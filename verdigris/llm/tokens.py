@@ -5,11 +5,14 @@ encoder. A pre-token is a run of word marks with the characters up to the
 next mark; no piece of the vocabulary crosses that boundary (checked when the
 model is loaded), so pre-tokens merge apart from each other. The distinct
 pre-tokens of a batch are held as one flat array of symbols with offsets; in
-each round every sequence that still can applies its pair of lowest rank, the
-leftmost among equals, and all sequences do so at once. The symbols that
-survive are counted; a character outside the vocabulary counts its UTF-8
-bytes. Sequences of more than ``LONG`` symbols, such as a text of one endless
-word, go through a heap instead, in n log n steps.
+each round every sequence that still can applies its pair of lowest rank
+wherever it occurs, from left to right, and all sequences do so at once. An
+occurrence whose merged symbol makes a pair of as low a rank with a neighbour
+is the sequence's last one in its round, as the library would go on with that
+pair. The symbols that survive are counted; a character outside the
+vocabulary counts its UTF-8 bytes. A sequence of any length, such as a text of
+one endless word, goes the same way: its rounds are at most the pairs that it
+applies.
 
 Defined results: null counts as the empty text; an empty text has no tokens;
 control strings inside a text are ordinary text, as is the library's default.
@@ -17,7 +20,6 @@ control strings inside a text are ordinary text, as is the library's default.
 
 from __future__ import annotations
 
-import heapq
 import re
 from functools import lru_cache
 
@@ -30,7 +32,8 @@ from pyspark.sql import types as T
 from verdigris.llm.common import packed, unpacked
 
 MARK = "▁"
-LONG = 256
+#: Symbols that are merged at once; a longer sequence is a batch of its own.
+AT_ONCE = 1 << 21
 #: Distinct pre-tokens whose counts a worker remembers before it starts anew.
 REMEMBERED = 300_000
 NONE = np.int64(1) << np.int64(30)
@@ -65,8 +68,11 @@ class PieceModel:
         self.ranks = np.array([pairs[k][0] for k in sorted(pairs)], np.int64)
         self.into = np.array([pairs[k][1] for k in sorted(pairs)], np.int64)
         self.other = len(self.symbol)  # any other character
-        self.pairs = pairs
-        self.cost = {c: len(c.encode("utf-8")) for c, k in self.symbol.items() if k >= self.known}
+        #: Bytes beyond one of each symbol that is no piece: what a merge takes off its count.
+        self.surplus = np.zeros(len(self.symbol) + 1, np.int64)
+        for c, k in self.symbol.items():
+            if k >= self.known:
+                self.surplus[k] = len(c.encode("utf-8")) - 1
 
     def ranked(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank and result of merging each pair; NONE where the pair doesn't merge."""
@@ -78,13 +84,14 @@ class PieceModel:
     def counts(self, sequences: list[str]) -> np.ndarray:
         """Tokens of each pre-token."""
         out = np.zeros(len(sequences), np.int64)
-        short = [k for k, s in enumerate(sequences) if len(s) <= LONG]
-        for k, s in enumerate(sequences):
-            if len(s) > LONG:
-                out[k] = self.by_heap(s)
-        for at in range(0, len(short), 65536):  # bounds the arrays
-            part = short[at : at + 65536]
-            out[part] = self.merged([sequences[k] for k in part])
+        at = 0
+        while at < len(sequences):  # bounds the arrays
+            size, to = 0, at
+            while to < len(sequences) and (to == at or size + len(sequences[to]) <= AT_ONCE):
+                size += len(sequences[to])
+                to += 1
+            out[at:to] = self.merged(sequences[at:to])
+            at = to
         return out
 
     def merged(self, sequences: list[str]) -> np.ndarray:
@@ -93,42 +100,35 @@ class PieceModel:
         flat = "".join(sequences)
         sym = np.fromiter((get(c, other) for c in flat), np.int64, len(flat))
         total = lengths.copy()
+        seq = np.repeat(np.arange(len(sequences)), lengths)
         if (odd := np.flatnonzero(sym >= self.known)).size:  # bytes beyond one for each unknown character
-            seq = np.repeat(np.arange(len(sequences)), lengths)
             extra = np.fromiter((len(flat[i].encode("utf-8", "surrogatepass")) - 1 for i in odd), np.int64, odd.size)
             np.add.at(total, seq[odd], extra)
-        seq = np.repeat(np.arange(len(sequences)), lengths)
         rank, into = self.ranked(sym[:-1], sym[1:])
         rank, into = np.append(rank, NONE), np.append(into, 0)
         rank[:-1][seq[:-1] != seq[1:]] = NONE
         while sym.size:
             starts = np.flatnonzero(np.r_[True, seq[1:] != seq[:-1]])
-            best = np.minimum.reduceat((rank << np.int64(32)) | np.arange(sym.size), starts)
-            live = (best >> np.int64(32)) < NONE
+            best, sizes = np.minimum.reduceat(rank, starts), np.diff(np.r_[starts, sym.size])
+            live = best < NONE
             if not live.all():  # finished sequences leave
-                stay = np.repeat(live, np.diff(np.r_[starts, sym.size]))
+                stay = np.repeat(live, sizes)
                 sym, seq, rank, into = sym[stay], seq[stay], rank[stay], into[stay]
                 if not sym.size:
                     break
-                starts = np.flatnonzero(np.r_[True, seq[1:] != seq[:-1]])
-                best = np.minimum.reduceat((rank << np.int64(32)) | np.arange(sym.size), starts)
-            at = best & np.int64(0xFFFFFFFF)
-            old = seq[at]
+                best, sizes = best[live], sizes[live]
+            at = np.flatnonzero(rank == np.repeat(best, sizes))
+            if at.size > 1:
+                at = self.chosen(at, sym, seq, rank, into)
             # unknown characters never merge, so a merge always takes one symbol away; characters that
             # counted by their bytes and merge after all lose the surplus
-            odd = (sym[at] >= self.known).astype(np.int64) + (sym[at + 1] >= self.known)
-            if odd.any():
-                for i in np.flatnonzero(odd):
-                    for s in (sym[at[i]], sym[at[i] + 1]):
-                        if s >= self.known:
-                            total[old[i]] -= self.surplus[int(s)]
-            total[old] -= 1
+            lost = 1 + self.surplus[sym[at]] + self.surplus[sym[at + 1]]
+            np.subtract.at(total, seq[at], lost)
             sym[at] = into[at]
             stay = np.ones(sym.size, bool)
             stay[at + 1] = False
-            place = np.cumsum(stay) - 1
+            at = at - np.arange(at.size)  # each merge before took one symbol away
             sym, seq, rank, into = sym[stay], seq[stay], rank[stay], into[stay]
-            at = place[at]
             for i in (at, at[at > 0] - 1):
                 i = i[i < sym.size - 1]
                 rank[i], into[i] = self.ranked(sym[i], sym[i + 1])
@@ -136,38 +136,28 @@ class PieceModel:
             rank[-1] = NONE
         return total
 
-    @property
-    def surplus(self) -> dict[int, int]:
-        return {self.symbol[c]: n - 1 for c, n in self.cost.items()}
-
-    def by_heap(self, text: str) -> int:
-        """The same merges for one long sequence, by a heap over a linked list."""
-        sym = [self.symbol.get(c, self.other) for c in text]
-        cost = [1 if s < self.known else len(c.encode("utf-8", "surrogatepass")) for s, c in zip(sym, text, strict=True)]
-        n, base = len(sym), int(self.base)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = []
-
-        def offer(i: int) -> None:
-            j = after[i]
-            if j < n and (hit := self.pairs.get(sym[i] * base + sym[j])):
-                heapq.heappush(heap, (hit[0], i, sym[i], sym[j], hit[1]))
-
-        for i in range(n - 1):
-            offer(i)
-        while heap:
-            _, i, a, b, into = heapq.heappop(heap)
-            j = after[i] if i < n else n
-            if sym[i] != a or j >= n or sym[j] != b:
-                continue
-            sym[i], cost[i], sym[j], cost[j] = into, 1, -1, 0
-            after[i] = after[j]
-            if after[j] < n:
-                before[after[j]] = i
-            offer(i)
-            if before[i] >= 0:
-                offer(before[i])
-        return sum(cost)
+    def chosen(self, at: np.ndarray, sym: np.ndarray, seq: np.ndarray, rank: np.ndarray, into: np.ndarray) -> np.ndarray:
+        """Of the places of each sequence's lowest rank those that are merged in this round."""
+        if (np.diff(at) == 1).any():  # of places that overlap every second one, from the left
+            run = np.maximum.accumulate(np.where(np.r_[True, np.diff(at) != 1], np.arange(at.size), 0))
+            at = at[(np.arange(at.size) - run) % 2 == 0]
+        new, low, own = into[at], rank[at], seq[at]
+        beside = np.minimum(at + 2, sym.size - 1)
+        right, _ = self.ranked(new, sym[beside])
+        stops = (at + 2 < sym.size) & (seq[beside] == own) & (right <= low)
+        beside = np.maximum(at - 1, 0)
+        left = sym[beside]
+        close = np.r_[False, np.diff(at) == 2]  # the neighbour is itself merged just before
+        left = np.where(close, np.r_[0, new[:-1]], left)
+        there, _ = self.ranked(left, new)
+        stops |= (at > 0) & (seq[beside] == own) & (there <= low)
+        if not stops.any():
+            return at
+        # places after a sequence's first stop wait for a later round
+        before = np.cumsum(stops) - stops
+        first = np.flatnonzero(np.r_[True, np.diff(own) != 0])
+        base = np.repeat(before[first], np.diff(np.r_[first, at.size]))
+        return at[before == base]
 
 
 _RUNS = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
