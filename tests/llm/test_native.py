@@ -80,6 +80,12 @@ def test_estimation_recovers_accuracies(spark):
         counts[tuple((truth if rng.random() < p else -truth) if rng.random() < 0.6 else 0 for p in right.values())] += 1
     patterns = spark.createDataFrame([(*k, n) for k, n in counts.items()], "a int, b int, c int, d int, n bigint")
     model = weak.estimate(patterns, tuple(right), steps=60, smoothing=0.0)
+    con = duckdb.connect()
+    con.register("patterns", patterns.toPandas())
+    got = con.sql(f"WITH {weak.estimate_sql('patterns', tuple(right))} SELECT * FROM posteriors").fetchall()
+    same = weak.estimate(patterns, tuple(right))
+    want = {(r.a, r.b, r.c, r.d): r.p for r in patterns.select("*", same.posterior({k: F.col(k) for k in right}).alias("p")).collect()}
+    assert {tuple(r[:4]): r[4] for r in got} == pytest.approx(want, abs=1e-9)
     assert abs(model.share - 0.7) < 0.05
     for rule, p in right.items():
         assert abs(model.accuracy(rule) - p) < 0.05
@@ -140,9 +146,21 @@ def test_long_keys_go_whole(spark):
     assert all("[KEY]" in got[i] and k[-12:] not in got[i] for i, k in enumerate(keys))
 
 
+def test_very_long_secrets_and_spelled_addresses_go_whole(spark):
+    rng = random.Random(3)
+    secret = "".join(rng.choice("abcdefGHIJ") + rng.choice("0123456789") for _ in range(5000))
+    local, host = "n" * 90 + "ame", "h" * 80
+    texts = [(i, f'{prose(rng, 30)} token={secret} {prose(rng, 5)}') for i in range(20)]
+    texts += [(50 + i, f"{prose(rng, 30)} mail {local}{i} [at] {host} [dot] mail [dot] internationals {prose(rng, 5)}") for i in range(20)]
+    texts += [(100 + i, f"{prose(rng, 40)} write to ann{i}@mail.example.com {prose(rng, 9)}") for i in range(40)]
+    got = {r.doc_id: r.text for r in pii.redact(table(spark, texts)).collect()}
+    assert all("[KEY]" in got[i] and secret[-6:] not in got[i] for i in range(20))
+    assert all("[EMAIL]" in got[50 + i] and local not in got[50 + i] and "internationals" not in got[50 + i] for i in range(20))
+
+
 def test_long_texts_take_no_quadratic_time(spark):
-    df = table(spark, [(1, "a" * 200_000), (2, "a@b" + ".c" * 60_000), (3, "+1" + " " * 100_000), (4, "7 " * 60_000)])
-    assert [r.n_email for r in pii.digests(df).orderBy("doc_id").collect()] == [0, 1, 0, 0]
+    df = table(spark, [(1, "a" * 200_000), (2, "a@b" + ".c" * 60_000), (3, "+1" + " " * 100_000), (4, "7 " * 60_000), (5, "a" * 200_000 + " [at"), (6, "a." * 60_000 + "[at]" + "b." * 60_000)])
+    assert [r.n_email for r in pii.digests(df).orderBy("doc_id").collect()] == [0, 1, 0, 0, 0, 0]
 
 
 def test_redaction(spark):
@@ -155,7 +173,7 @@ def test_redaction(spark):
 
 def mixture(spark, n):
     rng = random.Random(n)
-    return [(i, "x" * rng.randint(0, 40), "src0" if i % 3 == 0 else f"s{i % 7}") for i in range(n)] + [(None, "yy", None), (None, None, "empty"), (5, "again", "s1")]
+    return [(i, "x" * rng.randint(0, 40), "src0" if i % 3 == 0 else f"s{i % 7}") for i in range(n)] + [(-1, "z", "rare"), (-2, "", "rare")] + [(None, "yy", None), (None, None, "empty"), (5, "again", "s1")]
 
 
 def test_mixing_against_sql(spark):
@@ -186,12 +204,28 @@ def test_mixing_reaches_its_targets(spark):
 def test_poisson_table(spark):
     import math
 
-    for rate in (0.3, 4.0, 900.0):
+    for rate in (0.3, 4.0, 16.0):
         cdf = spark.range(1).select(mixing.poisson_table(F.lit(rate))).first()[0]
-        exact, total = math.exp(-rate), 0.0
+        total = 0.0
         logs = [-rate + k * math.log(rate) - math.lgamma(k + 1) for k in range(len(cdf))]
         for k, value in enumerate(cdf):
             total += math.exp(logs[k])
             assert value == pytest.approx(total, abs=1e-9)
-        assert cdf[-1] == pytest.approx(1, abs=1e-9) and exact >= 0
+        assert cdf[-1] == pytest.approx(1, abs=1e-9) and len(cdf) <= 77
     assert spark.range(1).select(mixing.poisson_table(F.lit(0.0))).first()[0] == [1.0]
+
+
+def test_very_large_rates(spark):
+    """A source of one character beside one of two million: its document is repeated a million times."""
+    df = spark.createDataFrame([(1, "x", "tiny"), (2, "y" * 2_000_000, "large")], "doc_id bigint, text string, source string")
+    out = mixing.mix(df, {}).groupBy("source").agg(F.count("*").alias("n"), F.countDistinct("copy_no").alias("k"), F.max("copy_no").alias("m")).collect()
+    tiny = next(r for r in out if r.source == "tiny")
+    assert abs(tiny.n - 1_000_000.5) < 6_000 and tiny.n == tiny.k == tiny.m
+
+
+def test_split_rates_are_poisson(spark):
+    """Mean and variance of rates above ``MOST`` agree, as a Poisson number's do."""
+    rate = 50.0
+    rows = spark.range(4000).select(mixing.copies(5, F.col("id").cast("string"), mixing.parts_of(F.lit(rate)), mixing.poisson_table(F.lit(rate) / mixing.parts_of(F.lit(rate)))).alias("n"))
+    mean, var = rows.agg(F.avg("n"), F.variance("n")).first()
+    assert mean == pytest.approx(rate, abs=0.5) and var == pytest.approx(rate, rel=0.1)

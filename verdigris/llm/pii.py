@@ -50,7 +50,7 @@ PATTERNS = {
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]"),
 }
 LOOSE = {
-    "email": (r"(?<![A-Za-z0-9])[A-Za-z0-9._-]{1,64}\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]{1,63}\x20?(?:\.|[\[(]dot[\])])\x20?[A-Za-z]{2,10}(?![A-Za-z])", r"[\[(]at[\])]"),
+    "email": (r"(?:(?<![A-Za-z0-9._-])|\G)[A-Za-z0-9._-]++\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]++\x20?(?:\.|[\[(]dot[\])])\x20?[A-Za-z][A-Za-z0-9-]++(?:(?:\.|\x20?[\[(]dot[\])]\x20?)[A-Za-z0-9-]++)*+", r"[\[(]at[\])]"),
     "phone": (r"(?<![0-9.+-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9.-])", r"[0-9]{3}[\x20.-][0-9]{4}"),
     "key": (r"(?i)(?<![A-Za-z])(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\x20?[=:]\x20?[\"']?[A-Za-z0-9/+_-]{12,}+[\"']?", r"[=:]"),
     "ssn": (r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", r"[0-9]{3}-[0-9]{2}-"),
@@ -217,8 +217,8 @@ def trained(rows: DataFrame) -> Column | None:
     """Array of the spans of ``_spans`` that count, or None where the corpus has no span."""
     spans = rows.where("_spans IS NOT NULL").select(F.explode("_spans").alias("s"))
     patterns = materialise(spans.groupBy(*[F.col(f"s.{x}").alias(x) for x in LABELERS], F.col("s.features").alias("features")).agg(F.count("*").alias("n")), "pii-patterns")
-    votes = patterns.groupBy(*LABELERS).agg(F.sum("n").alias("n")).coalesce(1)
-    model = weak.estimate(materialise(votes, "pii-votes"), LABELERS, weak.first_guess(LABELERS, telling=False))
+    votes = patterns.groupBy(*LABELERS).agg(F.sum("n").alias("n"))
+    model = weak.estimate(votes, LABELERS, weak.first_guess(LABELERS, telling=False))
     p = model.posterior({x: F.col(x) for x in LABELERS})
     values = patterns.select("n", p.alias("p"), F.explode("features").alias("f")).groupBy("f").agg(F.sum(F.col("n") * F.col("p")).alias("yes"), F.sum(F.col("n") * (1 - F.col("p"))).alias("no")).collect()
     if not values:
@@ -245,7 +245,7 @@ def _listed(spans: Column) -> Column:
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """The columns of ``docs`` but its text, with base counts, the base's digest, and all spans."""
+    """The columns of ``docs`` but its text, with base counts, the base's digest, all spans and their number."""
     rows = detected(docs, drop=("text",))
     base = F.filter("_found", lambda s: s["base"])
 
@@ -253,8 +253,8 @@ def digests(docs: DataFrame) -> DataFrame:
         return F.size(F.filter("_found", lambda s: s["base"] & (s["rank"] == rank))).cast("bigint")
 
     counts = [count(rank).alias(f"n_{k}") for rank, k in enumerate(BASE)]
-    more = [*counts, F.sha2(_listed(base).cast("binary"), 256).alias("base_sha256"), _listed(F.col("_found")).alias("spans")]
-    return unpacked(rows, *more, replacing=(*[f"n_{k}" for k in BASE], "base_sha256", "spans"))
+    more = [*counts, F.sha2(_listed(base).cast("binary"), 256).alias("base_sha256"), _listed(F.col("_found")).alias("spans"), F.size("_found").cast("bigint").alias("n_spans")]
+    return unpacked(rows, *more, replacing=(*[f"n_{k}" for k in BASE], "base_sha256", "spans", "n_spans"))
 
 
 def redact(docs: DataFrame) -> DataFrame:

@@ -105,8 +105,7 @@ def judged(docs: DataFrame, drop: tuple[str, ...] = ()) -> tuple[DataFrame, weak
     names = tuple(votes)
     rows = materialise(measured(docs, drop).select("*", *[v.cast("int").alias(f"_vote_{k}") for k, v in votes.items()]), "quality-figures")
     counts = rows.groupBy(*[F.col(f"_vote_{k}").alias(k) for k in names]).agg(F.count("*").alias("n"))
-    patterns = materialise(counts.coalesce(1), "quality-patterns")
-    model = weak.estimate(patterns, names)
+    model = weak.estimate(counts, names)
     n = F.col("n_words")
     failed = (n < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * n)
     rows = rows.withColumn("_failed", failed).withColumn("_good", model.posterior({k: F.col(f"_vote_{k}") for k in names}))
