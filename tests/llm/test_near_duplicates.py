@@ -100,13 +100,64 @@ def test_empty_table(spark):
     assert nd.join(df).count() == 0 and nd.one_per_class(df).count() == 0
 
 
-def test_prefixes_are_long_enough():
+def pairs_at(rng, n, shared, own):
+    """Sets of hashes with so many in common."""
+    for _ in range(n):
+        all_ = rng.integers(0, 1 << 63, shared + 2 * own).astype(np.uint64)
+        yield all_[: shared + own], np.r_[all_[:shared], all_[shared + own :]]
+
+
+def test_recall_and_selection_of_the_forest():
     k = nd.prefix_length()
     assert 1 - (1 - 0.8**k) ** nd.TREES >= nd.RECALL > 1 - (1 - 0.8 ** (k + 1)) ** nd.TREES
-    rng = np.random.default_rng(0)
-    forest, met = nd.Forest(), 0
-    for _ in range(300):
-        all_ = rng.integers(0, 1 << 63, 100).astype(np.uint64)
-        a, b = all_[:90], all_[10:]  # Jaccard 0.8
-        met += bool((forest.prefixes(a) == forest.prefixes(b)).any())
-    assert met >= 298
+    rng, forest = np.random.default_rng(0), nd.Forest()
+
+    def tied(a, b):
+        both = np.stack([forest.signature(a), forest.signature(b)])
+        values = both.reshape(2, nd.TREES, nd.DEEPEST)
+        trees = np.flatnonzero((values[0, :, :k] == values[1, :, :k]).all(1))
+        labels = [nd.hanging_together(both, int(t)) for t in trees]
+        return bool(len(trees)), any(x[0] == x[1] for x in labels)
+
+    at_80 = [tied(a, b) for a, b in pairs_at(rng, 400, 80, 10)]  # Jaccard 0.8
+    assert sum(t for _, t in at_80) >= 397
+    at_50 = [tied(a, b) for a, b in pairs_at(rng, 400, 100, 50)]  # texts that share half: many meet, none is tied
+    assert sum(m for m, _ in at_50) > 40 and not any(t for _, t in at_50)
+
+
+def test_walk_of_a_subtrie_equals_all_pairs():
+    rng = np.random.default_rng(3)
+    for size in (2, 3, 40):
+        for _ in range(20):
+            base = rng.integers(0, 256, (4, nd.TREES * nd.DEEPEST), dtype=np.uint8)
+            rows = base[rng.integers(0, 4, size)]
+            noise = rng.random(rows.shape) < rng.choice([0.02, 0.1, 0.2], (size, 1))
+            rows = np.where(noise, rng.integers(0, 256, rows.shape, dtype=np.uint8), rows)
+            rows[:, 5 * nd.DEEPEST : 5 * nd.DEEPEST + nd.SHORTEST] = 9  # all share the tree's shortest prefix
+            got = nd.hanging_together(rows, 5)
+            label = list(range(size))
+            for a in range(size):
+                for b in range(a):
+                    if (rows[a] == rows[b]).sum() >= nd.least_agreeing():
+                        label = [label[b] if x == label[a] else x for x in label]
+            assert len(set(zip(got.tolist(), label))) == len(set(got.tolist())) == len(set(label))
+
+
+def test_hot_sets_and_many_empty_texts(spark, monkeypatch):
+    monkeypatch.setattr(nd, "HOT_ROWS", 5)
+    same, near = " ".join(f"s{k}" for k in range(40)), [" ".join(f"s{k}" for k in range(40)) + f" n{i}" for i in range(30)]
+    texts = [same] * 40 + near + [""] * 20 + ["alone " * 9]
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame([(i, t, "x", 7) for i, t in rows], SCHEMA)
+    got = sorted((False, r.doc_id, r.class_id, r.n_links) for r in nd.join(df, block_nodes=8).collect())
+    assert got == brute(rows)
+    assert sorted(r.doc_id for r in nd.one_per_class(df).collect()) == [0, *range(70, 91)]
+
+
+@pytest.mark.parametrize("nodes", [3, 64])
+def test_large_subtries_in_blocks(spark, nodes):
+    rows = corpus(8, groups=6, size=20)
+    df = spark.createDataFrame([(i, t, "x", 7) for i, t in rows], SCHEMA)
+    found = nd.sketches(df).where("node IS NOT NULL").groupBy("node").agg({"signature": "first"}).toDF("node", "signature")
+    roots = {r.node: r.root for r in nd.candidates(found, subtrie_nodes=nodes).collect()}
+    assert roots == {r.node: r.root for r in nd.candidates(found).collect()}

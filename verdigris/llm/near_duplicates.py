@@ -2,21 +2,35 @@
 
 A document is the set of its five-word shingles (a shorter text is one
 shingle). Documents with equal sets are copies: one node with a weight. Each
-node has ``TREES`` MinHash signatures; a tree of the forest is the trie over
-one signature's values, and two nodes meet in it if they share a prefix. The
-prefix starts at ``DEEPEST`` values and is shortened until pairs at the wanted
-similarity meet in some tree with probability ``RECALL``.
-
-Prefixes are grouped by a sorted shuffle in which each node is tied to the
-smallest node of its prefix, never to all: a prefix that a third of the nodes
-share makes one row per node. Connected components of these ties are
-clusters of candidates; every pair that meets is inside one. Each cluster's
-texts are brought together once and compared exactly (9 |A n B| >= 4 (|A| +
-|B|), that is Jaccard >= 0.8). A large cluster is dealt into blocks, and pairs
-of blocks are units of work, so no task holds more than two blocks; links are
-counted where they are found and never listed. What leaves a unit is a row
-per node: its links and the smallest node it hangs together with. Components
-of those rows are the classes.
+node has a signature of ``TREES`` times ``DEEPEST`` MinHash values of a byte
+each; a tree of the forest is the trie over its share of the values, in sorted
+order. Nodes meet in a tree if they share a prefix.
+
+A tree's trie is dealt out by its subtries at the shortest prefix that is
+needed: the longest one at which two nodes at the wanted similarity meet in
+some tree with probability ``RECALL``. Inside such a subtrie the matched prefix
+is shortened adaptively, from ``DEEPEST`` values on: at each length the nodes of
+a subtrie that meet anew and don't hang together yet are compared by their
+whole signatures, and the walk ends as soon as all hang together, at the latest
+at the shortest prefix. Near copies are thus joined after about as many
+comparisons as there are nodes, while texts that only share a passage are told
+apart by their signatures and never tied: of 320 values pairs at similarity
+0.8 agree in 256 give or take 7, and less than 210 rule a pair out.
+
+What leaves a subtrie is a row per node, tied to the smallest node that it
+hangs together with, never the pairs. A subtrie of many nodes is dealt into
+blocks, and pairs of blocks are units of work. Connected components of the
+ties are clusters of candidates; every pair that meets and is similar by
+signature is inside one. Each cluster's texts are brought together once and
+compared exactly (9 |A n B| >= 4 (|A| + |B|), that is Jaccard >= 0.8), a large
+cluster in units of two blocks again, so no task holds more; links are counted
+where they are found and never listed. What leaves a unit is a row per node:
+its links and the smallest node it hangs together with. Components of those
+rows are the classes.
+
+Rows are matched with what is known of their node or class by a join that
+broadcasts the few most frequent keys, fewer than ``HOT_KEYS``, and shuffles
+the rest, so a set or class that makes up a third of the rows is no hot task.
 
 Sketches, ties and units go through shared storage.
 
@@ -34,16 +48,22 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from verdigris.llm.common import WordHashes, byte_words, materialise, shingle_hashes
 
-TREES, DEEPEST, RECALL = 32, 12, 0.999
+TREES, DEEPEST, RECALL = 32, 10, 0.999
 SIMILARITY = 0.8
+#: Standard deviations below its mean at which a pair's agreement of signatures rules it out.
+DEVIATIONS = 6.5
+#: Nodes of a block of a large subtrie.
+SUBTRIE_NODES = 1024
 #: Nodes, and shingles, of a block of a large cluster.
 BLOCK_NODES, BLOCK_SHINGLES = 1024, 4_000_000
+#: A key is hot if it has more than this many rows and more than one in HOT_KEYS of all rows, so fewer than HOT_KEYS keys are.
+HOT_ROWS, HOT_KEYS = 1000, 10_000
 
 
 def prefix_length(trees: int = TREES, similarity: float = SIMILARITY, recall: float = RECALL, deepest: int = DEEPEST) -> int:
@@ -54,23 +74,69 @@ def prefix_length(trees: int = TREES, similarity: float = SIMILARITY, recall: fl
     return 1
 
 
+SHORTEST = prefix_length()
+
+
+def least_agreeing(values: int = TREES * DEEPEST, similarity: float = SIMILARITY, deviations: float = DEVIATIONS) -> int:
+    """Of so many byte values, how many agree at least where a pair may have the similarity."""
+    return int(values * (similarity + (1 - similarity) / 256) - deviations * (values * similarity * (1 - similarity)) ** 0.5)
+
+
 class Forest:
-    """MinHash signatures of shingle sets, and a hash of each tree's prefix."""
+    """MinHash signatures of shingle sets: for each tree in turn its values, a byte each."""
 
-    def __init__(self, trees: int = TREES, length: int | None = None, seed: int = 11):
-        self.trees, self.length = trees, length or prefix_length(trees)
+    def __init__(self, trees: int = TREES, deepest: int = DEEPEST, seed: int = 11):
         rng = np.random.default_rng(seed)
-        n = self.trees * self.length
+        n = trees * deepest
         self.factor = rng.integers(1, 1 << 31, n, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
         self.offset = rng.integers(0, 1 << 32, n, dtype=np.uint32)
 
-    def prefixes(self, shingles: np.ndarray) -> np.ndarray:
+    def signature(self, shingles: np.ndarray) -> np.ndarray:
         low = (shingles >> np.uint64(32)).astype(np.uint32)
         least = np.full(len(self.factor), 0xFFFFFFFF, np.uint32)
-        for at in range(0, len(low), 512):  # keeps the product in cache
-            np.minimum(least, ((low[at : at + 512, None] ^ self.offset) * self.factor).min(0), out=least)
-        values = least.reshape(self.trees, self.length)
-        return np.array([xxhash.xxh3_64_intdigest(v.tobytes(), seed=t) for t, v in enumerate(values)], np.uint64)
+        for at in range(0, len(low), 256):  # keeps the product in cache
+            np.minimum(least, ((low[at : at + 256, None] ^ self.offset) * self.factor).min(0), out=least)
+        return (least & np.uint32(0xFF)).astype(np.uint8)
+
+
+def hanging_together(signatures: np.ndarray, tree: int, shortest: int = SHORTEST, deepest: int = DEEPEST, least: int | None = None) -> np.ndarray:
+    """A label for each node of a subtrie of ``tree``: equal for those that hang together by similar signatures.
+
+    The nodes are walked as a sorted trie, from long shared prefixes to
+    shorter ones; pairs that hang together already aren't compared.
+    """
+    least = least_agreeing(signatures.shape[1]) if least is None else least
+    own = signatures[:, tree * deepest : (tree + 1) * deepest]
+    order = np.lexsort(own.T[::-1])
+    sorted_, own = signatures[order], own[order]
+    n = len(order)
+    label, child = np.arange(n), np.arange(n)
+    for depth in range(deepest, shortest - 1, -1):
+        begins = np.r_[True, (own[1:, :depth] != own[:-1, :depth]).any(1)]
+        starts = np.flatnonzero(begins)
+        for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), n]):
+            if child[lo] != child[hi - 1]:  # subtries meet here that were apart one value deeper
+                _join_subtries(sorted_, child, label, lo, hi, least)
+        if (label == label[0]).all():
+            break
+        child = np.cumsum(begins)
+    out = np.empty(n, np.int64)
+    out[order] = label
+    return out
+
+
+def _join_subtries(sorted_: np.ndarray, child: np.ndarray, label: np.ndarray, lo: int, hi: int, least: int) -> None:
+    """Compare nodes ``lo`` to ``hi`` of different children and labels; ``label`` is changed."""
+    for a in range(lo, hi - 1):
+        if (label[lo:hi] == label[lo]).all():
+            return
+        later = np.flatnonzero((child[a + 1 : hi] != child[a]) & (label[a + 1 : hi] != label[a])) + a + 1
+        if not len(later):
+            continue
+        close = later[(sorted_[later] == sorted_[a]).sum(1) >= least]
+        if len(close):
+            joined = np.unique(np.r_[label[a], label[close]])
+            label[np.isin(label, joined)] = joined[0]
 
 
 def shingle_set(text: str | None, hashes: WordHashes) -> np.ndarray:
@@ -82,29 +148,29 @@ def node_of(shingles: np.ndarray) -> int:
     return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(shingles.tobytes()))))
 
 
-_SKETCH = "doc_id bigint, node bigint, size bigint, prefixes array<bigint>"
+_SKETCH = "doc_id bigint, node bigint, size bigint, signature binary"
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, node, size, prefixes) of every row; node is null for what links to nothing."""
+    """(doc_id, node, size, signature) of every row; node is null for what links to nothing."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, forest, known = WordHashes(), Forest(), {}
         for batch in batches:
-            nodes, sizes, prefixes = [], [], []
+            nodes, sizes, signatures = [], [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 shingles = shingle_set(text.as_py(), hashes) if doc_id is not None else ()
                 if not len(shingles):
-                    nodes.append(None), sizes.append(0), prefixes.append(None)
+                    nodes.append(None), sizes.append(0), signatures.append(None)
                     continue
                 node = node_of(shingles)
                 if node not in known:
                     if len(known) > 20_000:
                         known.clear()
-                    known[node] = forest.prefixes(shingles).view(np.int64)
-                nodes.append(node), sizes.append(len(shingles)), prefixes.append(known[node])
+                    known[node] = forest.signature(shingles).tobytes()
+                nodes.append(node), sizes.append(len(shingles)), signatures.append(known[node])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))], names=["doc_id", "node", "size", "prefixes"]
+                [batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(signatures, pa.binary())], names=["doc_id", "node", "size", "signature"]
             )
 
     return materialise(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, _SKETCH), "near-sketches")
@@ -141,12 +207,56 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b"), F.col("b")).distinct())
 
 
-def candidates(found: DataFrame) -> DataFrame:
-    """(node, root): nodes that meet another one in the forest, and their cluster."""
-    met = found.where(F.col("node").isNotNull()).select("node", F.explode("prefixes").alias("prefix"))
-    shared = met.groupBy("prefix").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last")
-    ties = met.join(shared.select(F.col("prefix").alias("p"), "first"), F.col("prefix") == F.col("p"))
-    return components(ties.select(F.col("node").alias("a"), F.col("first").alias("b")).where("a <> b").distinct(), "near-ties")
+_TIES = "a bigint, b bigint"
+
+
+def _tied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over rows sorted by (prefix, i, j): the nodes of each unit that hang together, tied to their smallest."""
+    unit, tree, nodes, signatures = None, 0, [], []
+    a, b = [], []
+
+    def done() -> None:
+        if len(nodes) < 2:
+            return
+        matrix = np.frombuffer(b"".join(signatures), np.uint8).reshape(len(nodes), -1)
+        label = hanging_together(matrix, tree)
+        first: dict[int, int] = {}
+        for node, k in zip(nodes, label.tolist(), strict=True):
+            first[k] = min(node, first.get(k, node))
+        for node, k in zip(nodes, label.tolist(), strict=True):
+            if node != first[k]:
+                a.append(node), b.append(first[k])
+
+    for batch in batches:
+        for prefix, i, j, t, node, signature in zip(*(batch.column(n).to_pylist() for n in ("prefix", "i", "j", "tree", "node", "signature")), strict=True):
+            if (prefix, i, j) != unit:
+                done()
+                unit, tree, nodes, signatures = (prefix, i, j), t, [], []
+            nodes.append(node), signatures.append(signature)
+        if len(a) > 20_000:
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            a, b = [], []
+    done()
+    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def _units(block: Column, parts: Column) -> Column:
+    """The pairs (i, j) of blocks, i <= j, in which a block takes part."""
+    return F.transform(F.sequence(F.lit(0), parts - 1), lambda k: F.struct(F.least(k, block).alias("i"), F.greatest(k, block).alias("j")))
+
+
+def candidates(nodes: DataFrame, subtrie_nodes: int = SUBTRIE_NODES) -> DataFrame:
+    """(node, root): nodes that are similar to another one by signature, and their cluster."""
+    start = lambda t: t * DEEPEST + 1
+    trees = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(t.alias("tree"), F.xxhash64(t, F.substring(F.col("signature"), start(t), F.lit(SHORTEST))).alias("prefix")))
+    met = nodes.select("node", F.inline(trees))
+    shared = met.groupBy("prefix").agg(F.count("*").alias("n")).where("n > 1").select(F.col("prefix").alias("p"), F.ceil(F.col("n") / subtrie_nodes).cast("int").alias("parts"))
+    members = met.join(shared, F.col("prefix") == F.col("p")).drop("p")
+    block = F.pmod(F.xxhash64("node", F.lit("trie")), F.col("parts")).cast("int")
+    rows = members.join(nodes.select(F.col("node").alias("n"), "signature"), F.col("node") == F.col("n"))
+    rows = rows.select("prefix", "tree", "node", "signature", F.inline(_units(block, F.col("parts"))))
+    rows = rows.repartition("prefix", "i", "j").sortWithinPartitions("prefix", "i", "j")
+    return components(materialise(rows.mapInArrow(_tied, _TIES), "near-pairs"), "near-ties")
 
 
 class Union:
@@ -242,8 +352,7 @@ def verified(docs: DataFrame, nodes: DataFrame, clusters: DataFrame, block_nodes
     sizes = sizes.select(F.col("root").alias("cluster"), parts.alias("parts"))
     own = own.join(sizes, F.col("root") == F.col("cluster"))
     own = own.withColumn("block", F.pmod(F.xxhash64("node", F.lit("block")), F.col("parts")).cast("int"))
-    # blocks meet in units (i, j) with i <= j
-    units = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j")))
+    units = _units(F.col("block"), F.col("parts"))
     texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), "text").where("id IS NOT NULL")
     rows = own.select("first_id", "node", "copies", "cluster", "parts", "block", units.alias("units")).join(texts, F.col("first_id") == F.col("id"))
     rows = rows.select("cluster", "parts", "node", "copies", "block", "text", F.explode("units").alias("unit")).select("cluster", "parts", "node", "copies", "block", "text", "unit.*")
@@ -251,24 +360,42 @@ def verified(docs: DataFrame, nodes: DataFrame, clusters: DataFrame, block_nodes
     return materialise(rows.mapInPandas(_compare, _LINKS), "near-links")
 
 
-def judged(docs: DataFrame, block_nodes: int, block_shingles: int) -> tuple[DataFrame, DataFrame]:
-    """``sketches``, and (n, root, class_id, copy_id, n_links) of each node; nodes of one class have one root."""
+def matched(rows: DataFrame, on: str, table: DataFrame, key: str, weight: str, total: int, how: str) -> DataFrame:
+    """``rows`` joined with the row of ``table`` (one per ``key``, for about ``weight`` rows each) that has its key, which is not null.
+
+    Hot keys, of more than ``total`` / HOT_KEYS rows each, are fewer than
+    HOT_KEYS and go out by broadcast; only the others are shuffled.
+    """
+    bound = max(HOT_ROWS, total // HOT_KEYS)
+    hot = table.where(F.col(weight) > bound)
+    same = F.col(on) == F.col(key)
+    frequent = rows.join(F.broadcast(hot), same)
+    others = rows.join(F.broadcast(hot.select(key)), same, "left_anti").join(table.where(F.col(weight) <= bound), same, how)
+    return frequent.unionByName(others).drop(key, weight)
+
+
+def judged(docs: DataFrame, block_nodes: int, block_shingles: int) -> tuple[DataFrame, DataFrame, int]:
+    """``sketches``; (n, root, class_id, copy_id, n_links, copies) of each node, nodes of one class having one root; and the rows with a node."""
     found = sketches(docs)
-    nodes = found.where(F.col("node").isNotNull()).groupBy("node").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id"), F.max("size").alias("size"))
+    nodes = found.where(F.col("node").isNotNull()).groupBy("node").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id"), F.max("size").alias("size"), F.first("signature").alias("signature"))
     nodes = materialise(nodes, "near-nodes")
-    compared = verified(docs, nodes, candidates(found), block_nodes, block_shingles)
+    clusters = candidates(nodes.select("node", "signature"))
+    nodes = nodes.drop("signature")
+    compared = verified(docs, nodes, clusters, block_nodes, block_shingles)
     links = compared.groupBy("node").agg(F.sum("links").alias("links"))
     ties = compared.where("node <> root")
     split = components(ties.where("split").select(F.col("node").alias("a"), F.col("root").alias("b")), "near-classes")
     whole = ties.where("NOT split").select("node", "root")
     roots = whole.union(whole.select("root", "root").distinct()).union(split)
-    named = roots.join(nodes.select(F.col("node").alias("n"), "first_id"), F.col("node") == F.col("n"))
-    classes = named.groupBy("root").agg(F.min("first_id").alias("class_id")).withColumnRenamed("root", "r")
-    classed = named.join(classes, F.col("root") == F.col("r")).select(F.col("node").alias("n"), "root", "class_id")
+    named = materialise(roots.join(nodes.select(F.col("node").alias("n"), "first_id"), F.col("node") == F.col("n")).drop("n"), "near-named")
+    classes = named.groupBy("root").agg(F.min("first_id").alias("class_id"), F.count("*").alias("members")).withColumnRenamed("root", "r")
+    total = nodes.agg(F.sum("copies")).first()[0] or 0
+    classed = matched(named, "root", classes, "r", "members", total, "inner").select(F.col("node").alias("n"), "root", "class_id")
     table = nodes.join(classed, F.col("node") == F.col("n"), "left").drop("n")
     table = table.join(links.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left")
     n_links = F.coalesce("links", F.lit(0)) + F.col("copies") - 1
-    return found, table.select(F.col("node").alias("n"), F.coalesce("root", "node").alias("root"), F.coalesce("class_id", "first_id").alias("class_id"), F.col("first_id").alias("copy_id"), n_links.alias("n_links"))
+    columns = F.col("node").alias("n"), F.coalesce("root", "node").alias("root"), F.coalesce("class_id", "first_id").alias("class_id"), F.col("first_id").alias("copy_id"), n_links.cast("bigint").alias("n_links"), "copies"
+    return found, materialise(table.select(*columns), "near-judged"), total
 
 
 def join(docs: DataFrame, block_nodes: int = BLOCK_NODES, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
@@ -278,9 +405,11 @@ def join(docs: DataFrame, block_nodes: int = BLOCK_NODES, block_shingles: int =
     links; ``copy_id``: the smallest doc_id with the same set of shingles;
     ``n_links``: the other documents at Jaccard >= 0.8, copies included.
     """
-    found, table = judged(docs, block_nodes, block_shingles)
-    rows = found.select("doc_id", "node").join(table.drop("root"), F.col("node") == F.col("n"), "left")
-    return rows.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("copy_id", "doc_id").alias("copy_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
+    found, table, total = judged(docs, block_nodes, block_shingles)
+    rows = found.select("doc_id", "node")
+    alone = rows.where("node IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_id"), F.lit(0).cast("bigint").alias("n_links"))
+    linked = matched(rows.where("node IS NOT NULL"), "node", table.drop("root"), "n", "copies", total, "inner")
+    return linked.select("doc_id", "class_id", "copy_id", "n_links").union(alone)
 
 
 @F.arrow_udf(T.LongType())
@@ -300,7 +429,7 @@ def one_per_class(docs: DataFrame) -> DataFrame:
     the row of smallest hash. Rows without shingles are copies of each other
     where they share a doc_id; rows without doc_id stay.
     """
-    _, table = judged(docs, BLOCK_NODES, BLOCK_SHINGLES)
+    _, table, _ = judged(docs, BLOCK_NODES, BLOCK_SHINGLES)
     lead = table.where("copy_id = class_id").groupBy("root").agg(F.min(F.struct("n", "class_id")).alias("lead")).select(F.col("lead.n").alias("_lead"), F.col("lead.class_id").alias("_kept"))
     packed = docs.select(F.struct(*[docs["`" + c.replace("`", "``") + "`"] for c in docs.columns]).alias("_row"))
     rows = packed.select("_row", F.col("_row.doc_id").cast("bigint").alias("_id"))
