@@ -2,33 +2,39 @@
 
 A document's text is cut into windows as long as a benchmark item, one at
 each word, and at the text's ends also shorter ones. A window's fingerprint
-is the 128-bit SimHash of its five-word shingles, weighted by how often they
-occur. Fingerprints are cut into blocks of eight bits: if two differ in at
-most ``RADIUS`` bits, some block differs in at most RADIUS // blocks of them,
-so looking each block up with that tolerance finds every item within the
-radius. Candidates are then compared exactly: weighted Jaccard of the shingle
-counts, at least 0.8.
+is the 128-bit SimHash of its five-word shingles, each weighted by the square
+root of how often it occurs. With these weights the squared length of a
+window's vector is its number of shingles, so two windows at weighted Jaccard
+similarity J have a cosine of at least 2 J / (1 + J), whatever repeats in
+them: 8/9 at 0.8, and 19.4 differing bits of 128 give or take 4.1. A radius of
+31 bits misses a single window at exactly 0.8 about once in 400 times; a
+passage that is more alike, or alike in several windows, less often.
+
+Fingerprints are cut into eight blocks of 16 bits. If two differ in at most
+31 bits, some block differs in at most three. The items are kept by the value
+of each block, and a block of a window is looked up under all 697 values within
+three bits, so every item within the radius is found; of unrelated items one in
+twelve is met and dropped by its whole distance. Candidates are then compared
+exactly: weighted Jaccard of the shingle counts, at least 0.8.
 
 Most windows need no fingerprint: one at similarity 0.8 or more has at least
 0.8 times the item's number of shingles in common with the item, so fewer
 shingles that occur in any item rule it out. Running sums over a text give
 that bound for all windows of a length at once. No true match is lost by it.
 
-A fixed radius alone would lose matches: a fingerprint weighs a shingle by its
-count, so where a repeated word stands in place of a part of an item, windows
-at similarity 0.8 can differ in more than RADIUS bits. So each item that
-enough of its shingles near each other allow is also compared exactly with
-all windows at once, by running sums. What is found is thus whole.
+An item of fewer than five words is a single shingle of its own width, and
+similar to a window only if equal; such items are looked up by the hash of
+each of a text's windows of that width.
 
 The documents are only scanned; nothing is shuffled. The benchmark is the
 small side: it is sent to the workers in slices of at most ``SLICE`` items and
 ``SLICE_CHARS`` characters, one scan for a slice, so what a worker holds is
 bounded whatever the benchmark's size.
 
-Defined results: null and empty texts and items match nothing; a text or item
-of fewer than five words is a single shingle, so short items match only whole
-texts; words are compared with A-Z in lower case; repeated rows are judged
-alike; rows without doc_id are judged too.
+Defined results: null and empty texts and items match nothing; a text of
+fewer than five words is a single shingle; words are compared with A-Z in
+lower case; rows with one item_id are items of their own, each listed;
+repeated rows are judged alike; rows without doc_id are judged too.
 """
 
 from __future__ import annotations
@@ -36,7 +42,8 @@ from __future__ import annotations
 import uuid
 from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import combinations, repeat
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -45,24 +52,33 @@ from pyspark.sql import functions as F
 
 from verdigris.llm.common import SHINGLE_WORDS, WordHashes, byte_words, mixed, packed, shingle_hashes, unpacked
 
-BITS, BLOCK_BITS, RADIUS = 128, 8, 39
+BITS, BLOCK_BITS, RADIUS = 128, 16, 31
 #: Similarity of at least NUMERATOR / DENOMINATOR.
 NUMERATOR, DENOMINATOR = 4, 5
 #: Items and characters that a worker holds at once.
-SLICE, SLICE_CHARS = 4096, 32_000_000
+SLICE, SLICE_CHARS = 16384, 32_000_000
 #: Windows that are fingerprinted at once.
-AT_ONCE = 4096
+AT_ONCE = 1024
 
 
-def shingle_bits(shingles: np.ndarray) -> np.ndarray:
-    """+1 or -1 for each bit of each shingle's 128-bit hash."""
-    both = np.stack([mixed(shingles), mixed(shingles ^ np.uint64(0xA5A5A5A5A5A5A5A5))], 1)
-    bits = np.unpackbits(both.view(np.uint8).reshape(len(shingles), BITS // 8), axis=1)
-    return bits.astype(np.int8) * 2 - 1
+#: Middle values of 256 equal parts of the normal distribution.
+QUANTILES = np.array([NormalDist().inv_cdf((k + 0.5) / 256) for k in range(256)])
+
+
+def projections(shingles: np.ndarray) -> np.ndarray:
+    """A normally distributed number for each bit of the fingerprint and each shingle, by its hash.
+
+    Sums of such numbers differ in sign with a probability that depends on the
+    cosine of two bags alone, for small bags as for large ones; sums of plain
+    plus and minus ones would often be zero for small bags.
+    """
+    steps = np.arange(BITS // 8, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    words = mixed(shingles[:, None] + steps)
+    return QUANTILES[words.view(np.uint8).reshape(len(shingles), BITS)]
 
 
 def fingerprints(sums: np.ndarray) -> np.ndarray:
-    """The signs of bit sums as bytes."""
+    """The signs of sums as bytes."""
     return np.packbits(sums >= 0, axis=1)
 
 
@@ -81,23 +97,75 @@ def shingles_at(words: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+def window_sums(values: np.ndarray, shingles: np.ndarray, size: int) -> np.ndarray:
+    """Weighted sums of ``values`` over all windows of ``size`` shingles, from the one that holds the first shingle alone to the one that holds the last alone.
+
+    Row k is the window that begins at shingle k - size + 1. The c-th
+    occurrence of a shingle in a window adds sqrt(c) - sqrt(c - 1) times its
+    values when the window reaches it, and the first takes as much away, for as
+    many as there are then, when the window leaves it.
+    """
+    n = len(shingles)
+    order = np.argsort(shingles, kind="stable")
+    begins = np.r_[True, shingles[order][1:] != shingles[order][:-1]]
+    rank = np.empty(n, np.int64)
+    place = np.arange(n) - np.maximum.accumulate(np.where(begins, np.arange(n), 0))  # how many of the same stand before
+    rank[order] = place
+    group = np.cumsum(begins) - 1
+    keys = group * np.int64(4 * n + 4) + order  # by shingle, then place in the text
+    own = np.empty(n, np.int64)
+    own[order] = group
+    at = np.arange(n)
+    since = np.searchsorted(keys, own * np.int64(4 * n + 4) + np.maximum(at - size + 1, 0))  # first occurrence in the window that ends here
+    until = np.searchsorted(keys, own * np.int64(4 * n + 4) + np.minimum(at + size, n))  # end of those in the window that begins here
+    mine = np.empty(n, np.int64)
+    mine[order] = np.arange(n)
+    come, go = mine - since + 1, until - mine
+    root = np.sqrt(np.arange(size + 1))
+    change = np.zeros((n + size, values.shape[1]))
+    change[:n] += (root[come] - root[come - 1])[:, None] * values
+    change[size:] -= (root[go] - root[go - 1])[:, None] * values
+    return np.cumsum(change, 0)[:-1]
+
+
 class HammingIndex:
-    """Finds all stored fingerprints within RADIUS of a given one."""
+    """Finds all stored fingerprints within RADIUS of a given one, by the values of their blocks."""
 
     def __init__(self, stored: np.ndarray):
-        self.stored = stored
-        ones = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).sum(1)
-        near = ones[np.arange(256)[:, None] ^ np.arange(256)[None, :]] <= RADIUS // stored.shape[1]
-        # tables[b][value]: items whose block b is near the value, as bits
-        self.tables = [np.packbits(near[:, stored[:, b]], axis=1) for b in range(stored.shape[1])]
         self.halves = np.ascontiguousarray(stored).view(np.uint64)
+        blocks = np.ascontiguousarray(stored).view(np.uint16)
+        self.order = [np.argsort(blocks[:, b], kind="stable") for b in range(blocks.shape[1])]
+        # starts[b][value]: where the items with that value of block b begin in order[b]
+        self.starts = [np.searchsorted(blocks[o, b], np.arange((1 << BLOCK_BITS) + 1)) for b, o in enumerate(self.order)]
+        apart = RADIUS // blocks.shape[1]
+        self.masks = np.array([sum(1 << k for k in c) for r in range(apart + 1) for c in combinations(range(BLOCK_BITS), r)], np.uint16)
+
+    def candidates(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row of ``wanted``, stored item), each once, for each pair that some block brings together."""
+        pairs = []
+        blocks = np.ascontiguousarray(wanted).view(np.uint16)
+        for b, (order, starts) in enumerate(zip(self.order, self.starts, strict=True)):
+            values, inverse = np.unique(blocks[:, b], return_inverse=True)
+            probes = values[:, None] ^ self.masks
+            counts = starts[probes.astype(np.int64) + 1] - starts[probes]
+            hit = np.flatnonzero(counts)
+            n = counts.ravel()[hit]
+            within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            items = order[np.repeat(starts[probes].ravel()[hit], n) + within]
+            of = np.repeat(hit // len(self.masks), n)  # number of the value
+            # from values to the rows that have them
+            rows = np.argsort(inverse, kind="stable")
+            per = np.bincount(inverse, minlength=len(values))
+            first = np.cumsum(per) - per
+            k = per[of]
+            inside = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+            pairs.append(rows[np.repeat(first[of], k) + inside] * np.int64(len(self.halves)) + np.repeat(items, k))
+        both = np.unique(np.concatenate(pairs))
+        return both // len(self.halves), both % len(self.halves)
 
     def search(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row of ``wanted``, stored item) for each pair within the radius."""
-        met = self.tables[0][wanted[:, 0]]
-        for b in range(1, wanted.shape[1]):
-            met = met | self.tables[b][wanted[:, b]]
-        row, item = np.nonzero(np.unpackbits(met, axis=1, count=len(self.stored)))
+        row, item = self.candidates(wanted)
         apart = np.bitwise_count(np.ascontiguousarray(wanted).view(np.uint64)[row] ^ self.halves[item])
         keep = apart.sum(1, dtype=np.int64) <= RADIUS
         return row[keep], item[keep]
@@ -108,42 +176,66 @@ class Benchmark:
 
     def __init__(self, items: list[tuple[int, str]]):
         hashes = WordHashes(limit=1 << 40)
-        self.ids, self.bags, self.words = [], [], {}
+        self.ids, self.bags = [], []
+        self.short: dict[int, dict[int, list[int]]] = {}  # words: hash of the item: item ids
         for item_id, text in items:
             words = byte_words(text)
-            if words:
-                self.ids.append(item_id)
-                self.bags.append(Counter(shingle_hashes(hashes.of(words)).tolist()))
+            if not words:
+                continue
+            shingles = shingle_hashes(hashes.of(words))
+            if len(words) < SHINGLE_WORDS:
+                self.short.setdefault(len(words), {}).setdefault(int(shingles[0]), []).append(item_id)
+                continue
+            self.ids.append(item_id)
+            self.bags.append(Counter(shingles.tolist()))
         self.words = {w: k + 1 for k, w in enumerate(hashes)}  # 0: in no item
         self.hash_of = np.array([0, *hashes.values()], np.uint64)
         self.shingles = np.array(sorted({s for b in self.bags for s in b}), np.uint64)
         self.sizes = sorted({b.total() for b in self.bags})
         self.places = [np.searchsorted(self.shingles, np.fromiter(b, np.uint64)) for b in self.bags]
-        self.holders = [[] for _ in self.shingles]  # items with a shingle, and how often they have it
-        for i, (bag, places) in enumerate(zip(self.bags, self.places)):
-            for place, n in zip(places.tolist(), bag.values()):
-                self.holders[place].append((i, n))
         if self.bags:
-            sums = np.array([(shingle_bits(np.fromiter(b, np.uint64)).astype(np.int64) * np.array(list(b.values()))[:, None]).sum(0) for b in self.bags])
+            sums = np.array([(projections(np.fromiter(b, np.uint64)) * np.sqrt(list(b.values()))[:, None]).sum(0) for b in self.bags])
             self.index = HammingIndex(fingerprints(sums))
 
     def judge(self, text: str | None) -> list[dict]:
         """The items that the text contains: for each its most similar, first window."""
-        if not text or not self.bags:
+        if not text or not self.words:
             return []
         words = byte_words(text)
         number = np.fromiter(map(self.words.get, words, repeat(0)), np.int64, len(words))
         known = number > 0
-        width = min(SHINGLE_WORDS, len(words))
-        if not width:
-            return []
-        whole = known[: len(words) - width + 1].copy()
+        found = self.judge_short(number, known)
+        if len(words) >= SHINGLE_WORDS and self.bags:
+            found += self.judge_long(words, number, known)
+        return sorted(found, key=lambda x: x["item_id"])
+
+    def _places(self, number: np.ndarray, known: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the shingles of which all words occur in the benchmark, and their hashes; only they can be an item's."""
+        n = len(number) - width + 1
+        whole = known[:n].copy()
         for k in range(1, width):
-            whole &= known[k : len(words) - width + 1 + k]
-        at = np.flatnonzero(whole)  # only shingles all of whose words are known can be an item's
+            whole &= known[k : n + k]
+        at = np.flatnonzero(whole)
+        return at, shingles_at(self.hash_of[number], at, width)
+
+    def judge_short(self, number: np.ndarray, known: np.ndarray) -> list[dict]:
+        """Items of fewer than five words that stand in the text; the first place of each."""
+        found = []
+        for width, items in self.short.items():
+            if width > len(number):
+                continue
+            at, hashes = self._places(number, known, width)
+            _, first = np.unique(hashes, return_index=True)
+            for k in first.tolist():
+                lo = int(at[k])
+                found += [{"item_id": i, "similarity": 1.0, "first_word": lo, "last_word": lo + width - 1} for i in items.get(int(hashes[k]), ())]
+        return found
+
+    def judge_long(self, words: list[bytes], number: np.ndarray, known: np.ndarray) -> list[dict]:
+        width = SHINGLE_WORDS
+        at, shingles = self._places(number, known, width)
         if len(at) * DENOMINATOR < NUMERATOR * self.sizes[0]:
             return []
-        shingles = shingles_at(self.hash_of[number], at, width)
         place = np.minimum(np.searchsorted(self.shingles, shingles), len(self.shingles) - 1)
         hit = self.shingles[place] == shingles
         at, place = at[hit], place[hit]
@@ -164,7 +256,7 @@ class Benchmark:
         member = np.full(n, -1, np.int64)
         member[at - first] = place
         upto = np.r_[0, np.cumsum(member >= 0)]
-        lows, highs = [], []
+        own = values = None
         for size in self.sizes:
             least = -(-NUMERATOR * size // DENOMINATOR)
             if upto[-1] < least:
@@ -173,19 +265,26 @@ class Benchmark:
             start = np.arange(-(size - least) if first == 0 else 0, n - (least if last == last_shingle else size) + 1)
             lo, hi = np.maximum(start, 0), np.minimum(start + size, n)
             keep = upto[hi] - upto[lo] >= least
-            lows.append(lo[keep]), highs.append(hi[keep])
-        if not lows:
-            return
-        own = shingle_hashes(WordHashes().of(words[first : last - 1 + width]), width)
-        sums = np.vstack([np.zeros((1, BITS), np.int32), np.cumsum(shingle_bits(own), 0, dtype=np.int32)])
-        low, high = np.concatenate(lows), np.concatenate(highs)
-        for k in range(0, len(low), AT_ONCE):
-            self.compare(own, sums, member, low[k : k + AT_ONCE], high[k : k + AT_ONCE], first, found)
-        self.complete(member, first == 0, last == last_shingle, first, found)
+            start, lo, hi = start[keep], lo[keep], hi[keep]
+            if not len(start):
+                continue
+            if own is None:
+                own = shingle_hashes(WordHashes().of(words[first : last - 1 + width]), width)
+                values = projections(own)
+                # where no shingle comes twice, all weights are one and running sums serve windows of every size
+                plain = np.vstack([np.zeros((1, BITS)), np.cumsum(values, 0)]) if len(np.unique(own)) == len(own) else None
+            for part in np.split(np.arange(len(start)), np.flatnonzero(np.diff(start) > size) + 1):  # windows near each other
+                if plain is not None:
+                    sums = plain[hi[part]] - plain[lo[part]]
+                else:
+                    a, b = int(lo[part[0]]), int(hi[part[-1]])
+                    sums = window_sums(values[a:b], own[a:b], size)[start[part] + size - 1 - a]
+                for k in range(0, len(part), AT_ONCE):
+                    self.compare(own, sums[k : k + AT_ONCE], member, lo[part[k : k + AT_ONCE]], hi[part[k : k + AT_ONCE]], first, found)
 
     def compare(self, own, sums, member, low, high, first: int, found: dict[int, tuple]) -> None:
         """Look windows up in the index and verify what it returns, the most promising first."""
-        rows, items = self.index.search(fingerprints(sums[high] - sums[low]))
+        rows, items = self.index.search(fingerprints(sums))
         by = np.argsort(items, kind="stable")
         rows, items = rows[by], items[by]
         for part in np.split(np.arange(len(items)), np.flatnonzero(np.diff(items)) + 1):
@@ -199,51 +298,12 @@ class Benchmark:
             bound = most / (hi - lo + bag.total() - most)
             order = np.lexsort((lo, -bound))
             for k in order:
-                if bound[k] * DENOMINATOR < NUMERATOR - 1e-9 or (i in found and bound[k] <= found[i][0] / found[i][1]):
+                if bound[k] * DENOMINATOR < NUMERATOR - 1e-9 or (i in found and bound[k] < found[i][0] / found[i][1]):
                     break
                 n, d = similar(Counter(own[lo[k] : hi[k]].tolist()), bag)
                 if n * DENOMINATOR >= NUMERATOR * d and (i not in found or n * found[i][1] > found[i][0] * d):
                     found[i] = (n, d, int(lo[k]) + first, int(hi[k]) + first)
 
-    def complete(self, member: np.ndarray, from_start: bool, to_end: bool, first: int, found: dict[int, tuple]) -> None:
-        """Judge all windows exactly against the items whose anchors allow a match, whatever their fingerprints.
-
-        Of an item's shingle that it has c times, an occurrence counts in a
-        window if fewer than c others stand before it there: if the c-th
-        before it lies outside. So it counts for a range of window starts,
-        and sums of such ranges give what each window shares with the item.
-        """
-        n, at = len(member), np.flatnonzero(member >= 0)
-        by = np.argsort(member[at], kind="stable")
-        place, at = member[at][by], at[by]  # occurrences of a shingle side by side, in order
-        starts = np.flatnonzero(np.r_[True, np.diff(place) != 0])
-        ends = np.r_[starts[1:], len(place)]
-        met: dict[int, list[tuple[int, int, int]]] = {}  # item: runs of occurrences, and how often it has their shingle
-        for a, b in zip(starts.tolist(), ends.tolist()):
-            for i, c in self.holders[place[a]]:
-                met.setdefault(i, []).append((a, b, c))
-        for i, runs in met.items():
-            total = self.bags[i].total()
-            if sum(min(b - a, c) * DENOMINATOR for a, b, c in runs) < NUMERATOR * total:
-                continue
-            where = np.concatenate([at[a:b] for a, b, _ in runs])
-            before = np.concatenate([np.r_[np.full(min(c, b - a), -self.sizes[-1] - 1), at[a : b - c] if b - a > c else at[:0]] for a, b, c in runs])
-            # whole windows of other lengths can't be similar; the longest gives all that an end of the text cuts off
-            for size in {s for s in self.sizes if s * DENOMINATOR >= NUMERATOR * total and s * NUMERATOR <= DENOMINATOR * total} | {self.sizes[-1]}:
-                ranges = np.zeros(n + size + 1, np.int64)  # by start + size
-                np.add.at(ranges, np.maximum(before, where - size) + 1 + size, 1)
-                np.add.at(ranges, where + 1 + size, -1)
-                start = np.arange(-size + 1 if from_start else 0, (n if to_end else n - size + 1))
-                lo, hi = np.maximum(start, 0), np.minimum(start + size, n)
-                shared = np.cumsum(ranges)[start + size]
-                whole = hi - lo + total - shared
-                good = np.flatnonzero(shared * DENOMINATOR >= NUMERATOR * whole)
-                if len(good):
-                    k = good[np.lexsort((lo[good], -shared[good] / whole[good]))[0]]
-                    k_n, k_d = int(shared[k]), int(whole[k])
-                    if i not in found or k_n * found[i][1] > found[i][0] * k_d:
-                        found[i] = (k_n, k_d, int(lo[k]) + first, int(hi[k]) + first)
-
 
 _HIT = pa.struct([("item_id", pa.int64()), ("similarity", pa.float64()), ("first_word", pa.int64()), ("last_word", pa.int64())])
 HITS = "array<struct<item_id: bigint, similarity: double, first_word: bigint, last_word: bigint>>"
