@@ -176,11 +176,25 @@ def sketches(docs: DataFrame) -> DataFrame:
     return materialise(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, _SKETCH), "near-sketches")
 
 
+def matched(rows: DataFrame, on: str, table: DataFrame, key: str, weight: str, total: int, how: str) -> DataFrame:
+    """``rows`` joined with the row of ``table`` (one per ``key``, for about ``weight`` rows each) that has its key, which is not null.
+
+    Hot keys, of more than ``total`` / HOT_KEYS rows each, are fewer than
+    about HOT_KEYS and go out by broadcast; only the others are shuffled.
+    """
+    bound = max(HOT_ROWS, total // HOT_KEYS)
+    hot = table.where(F.col(weight) > bound)
+    same = F.col(on) == F.col(key)
+    frequent = rows.join(F.broadcast(hot), same)
+    others = rows.join(F.broadcast(hot.select(key)), same, "left_anti").join(table.where(F.col(weight) <= bound), same, how)
+    return frequent.unionByName(others).drop(key, weight)
+
+
 def components(edges: DataFrame, name: str) -> DataFrame:
     """(node, root) for each node of ``edges`` (a, b); root is the smallest node of its component.
 
     Alternating large-star and small-star steps; each step's rows are at most
-    the edges, and a node of many neighbours is joined with skew splitting.
+    the edges, and what is known of a node of very many neighbours is broadcast.
     """
 
     def oriented(e: DataFrame) -> DataFrame:
@@ -194,10 +208,10 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     step = 0
     while state[0]:
         both = now.union(now.select("b", "a")).toDF("a", "b")
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u")
-        joined = large.join(least, F.col("a") == F.col("u"))
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("k")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"), "k")
+        large = matched(both.where("b > a"), "a", least, "u", "k", state[0], "inner").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        least = large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"), F.count("*").alias("k"))
+        joined = matched(large, "a", least, "u", "k", state[0], "inner")
         small = joined.select("b", "m").union(joined.select("a", "m")).toDF("a", "b")
         step += 1
         now = materialise(oriented(small), f"{name}-{step}")
@@ -360,20 +374,6 @@ def verified(docs: DataFrame, nodes: DataFrame, clusters: DataFrame, block_nodes
     return materialise(rows.mapInPandas(_compare, _LINKS), "near-links")
 
 
-def matched(rows: DataFrame, on: str, table: DataFrame, key: str, weight: str, total: int, how: str) -> DataFrame:
-    """``rows`` joined with the row of ``table`` (one per ``key``, for about ``weight`` rows each) that has its key, which is not null.
-
-    Hot keys, of more than ``total`` / HOT_KEYS rows each, are fewer than
-    HOT_KEYS and go out by broadcast; only the others are shuffled.
-    """
-    bound = max(HOT_ROWS, total // HOT_KEYS)
-    hot = table.where(F.col(weight) > bound)
-    same = F.col(on) == F.col(key)
-    frequent = rows.join(F.broadcast(hot), same)
-    others = rows.join(F.broadcast(hot.select(key)), same, "left_anti").join(table.where(F.col(weight) <= bound), same, how)
-    return frequent.unionByName(others).drop(key, weight)
-
-
 def judged(docs: DataFrame, block_nodes: int, block_shingles: int) -> tuple[DataFrame, DataFrame, int]:
     """``sketches``; (n, root, class_id, copy_id, n_links, copies) of each node, nodes of one class having one root; and the rows with a node."""
     found = sketches(docs)
