@@ -51,12 +51,30 @@ ROWS = [(i, t, "x") for i, t in enumerate(["the cat sat", "The CAT sat on\tthe m
 @pytest.mark.parametrize("order", [1, 2, 3])
 @pytest.mark.parametrize("chars", [40, 10**7])
 def test_against_brute_force(spark, order, chars):
-    got = ngram_lm.score(spark.createDataFrame(ROWS, SCHEMA).repartition(3), order, 2.0, chars).collect()
+    compare(ngram_lm.score(spark.createDataFrame(ROWS, SCHEMA).repartition(3), order, 2.0, chars).collect(), order)
+
+
+@pytest.mark.parametrize("group_bytes", [1 << 10, 64 << 20])
+def test_messages_in_two_steps(spark, monkeypatch, group_bytes):
+    """Finer buckets than a block sends to, one or many groups of blocks."""
+    monkeypatch.setattr(ngram_lm, "GROUP_BYTES", group_bytes)
+    df = spark.createDataFrame(ROWS, SCHEMA).repartition(3)
+    compare(ngram_lm.score(df, 2, 2.0, 40, bucket_bytes=1 << 10, coarse=2).collect(), 2)
+
+
+def test_buckets_hold_so_many_bytes():
+    assert ngram_lm.bucket_bits(0) == ngram_lm.LEAST_BITS
+    for tokens in (10**9, 10**11, 10**13):
+        share = tokens * ngram_lm.GRAM_BYTES / 2 ** ngram_lm.bucket_bits(tokens)
+        assert ngram_lm.BUCKET_BYTES / 2 < share <= ngram_lm.BUCKET_BYTES
+
+
+def compare(got, order):
     key = lambda r: (r[0] is None, r[0] or 0, r[2])
     want, got = sorted(brute(ROWS, order, 2.0), key=key), sorted(map(tuple, got), key=key)
     assert [r[:5] for r in got] == [r[:5] for r in want]
     for a, b in zip(got, want):
-        assert a[5] == pytest.approx(b[5], abs=1e-6) and a[6] == pytest.approx(b[6], abs=1e-6)
+        assert a[5] == pytest.approx(b[5], abs=1e-6) and a[6] == pytest.approx(b[6], abs=1e-6) and a[7] == pytest.approx(b[6] / b[2], abs=1e-6)
 
 
 def test_no_documents(spark):

@@ -18,6 +18,13 @@ the part of the automaton that its own texts can reach, builds that and
 traverses it. Messages are packed arrays: about six bytes for an n-gram on
 the way there, one on the way back. Workers hold one block or one bucket.
 
+There are as many buckets as hold ``BUCKET_BYTES`` each. A block sends at most
+2 ** ``COARSE`` messages of each length all the same, or messages would grow with
+the square of the corpus: where more buckets are needed, blocks send to coarse
+ones, a worker for a coarse bucket and a group of blocks merges what they sent
+and passes it on to the buckets inside, and takes their totals back to its
+blocks.
+
 Numbered blocks and totals are written to shared storage, and only there:
 all later steps read the same blocks, whichever task runs again.
 
@@ -41,9 +48,13 @@ from verdigris.llm.common import WordHashes, byte_words, crc_mod, materialise, m
 
 FOLDS, HELD_OUT = 7, 2
 #: Words of an n-gram (1 to 3), and the weight of the shorter context.
-ORDER, PRIOR = 2, 50.0
+ORDER, PRIOR = 2, 50.0  # chosen by ``tuning.language_models`` on training rows alone
 #: Characters of text per block.
 BLOCK = 4_000_000
+#: Bytes of messages for a bucket, and for a group of blocks at a coarse one; what an n-gram takes in a message, about.
+BUCKET_BYTES, GROUP_BYTES, GRAM_BYTES = 16 << 20, 64 << 20, 6
+#: Bits of hash that tell the messages of a block apart; least bits, for small corpora.
+COARSE, LEAST_BITS = 10, 5
 #: No text holds this word; it stands for the end, and before the first word for the start.
 END = b"\n"
 
@@ -179,8 +190,8 @@ class Automaton:
         return total
 
 
-_FOUND = "block string, doc_id array<bigint>, known_id binary, held binary, lengths binary, tokens binary, hashes binary"
-_SCHEMA = pa.schema([("block", pa.string()), ("doc_id", pa.list_(pa.int64())), *((n, pa.binary()) for n in ("known_id", "held", "lengths", "tokens", "hashes"))])
+_FOUND = "block string, n bigint, doc_id array<bigint>, known_id binary, held binary, lengths binary, tokens binary, hashes binary"
+_SCHEMA = pa.schema([("block", pa.string()), ("n", pa.int64()), ("doc_id", pa.list_(pa.int64())), *((n, pa.binary()) for n in ("known_id", "held", "lengths", "tokens", "hashes"))])
 
 
 class _Numbers(dict):
@@ -202,6 +213,7 @@ def _blocks(limit: int):
             known = np.array([i is not None for i in ids], bool)
             row = {
                 "block": uuid.uuid4().hex,
+                "n": size,
                 "doc_id": [0 if i is None else i for i in ids],
                 "known_id": known.tobytes(),
                 "held": np.array(held, bool).tobytes(),
@@ -236,6 +248,16 @@ def _block(row: dict, order: int) -> Block:
 _SENT = "block string, part int, bucket int, data binary, hashes binary"
 
 
+def _frame(rows: list[tuple], ddl: str) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=[f.split()[0] for f in ddl.split(", ")])
+
+
+def _cut(h: np.ndarray, bits: int) -> list[tuple[int, int, int]]:
+    """(bucket, from, to) of sorted hashes, without empty buckets."""
+    cuts = np.searchsorted(h >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64)).tolist()
+    return [(b, i, j) for b, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)) if j > i]
+
+
 def _sent(order: int, bits: int):
     """Function over blocks: their n-grams and training counts, a row for each part (length) and bucket."""
 
@@ -248,28 +270,59 @@ def _sent(order: int, bits: int):
                     h, c = block.hashed[n - 1], block.counts(n, counted)
                     by = np.argsort(h)
                     h, c = h[by], c[by]
-                    cuts = np.searchsorted(h >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
-                    out += [(row["block"], n, b, pack(c[i:j]), pack_sorted(h[i:j])) for b, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)) if j > i]
-                yield pd.DataFrame(out, columns=[f.split()[0] for f in _SENT.split(", ")])
+                    out += [(row["block"], n, b, pack(c[i:j]), pack_sorted(h[i:j])) for b, i, j in _cut(h, bits)]
+                yield _frame(out, _SENT)
+
+    return run
+
+
+def _merged(rows: list[dict]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The distinct hashes of messages, and for each message where its own are among them."""
+    hashes = [unpack_sorted(r["hashes"]) for r in rows]
+    distinct, inverse = np.unique(np.concatenate(hashes), return_inverse=True)
+    return distinct, np.split(inverse, np.cumsum([len(h) for h in hashes])[:-1])
+
+
+def _passed_on(bits: int):
+    """Function over messages sorted by (part, bucket, grp): what a group of blocks sends to the finer buckets."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for (part, bucket, group), rows in _groups(batches, ("part", "bucket", "grp")):
+            distinct, places = _merged(rows)
+            total = np.zeros(len(distinct), np.int64)
+            for r, at in zip(rows, places, strict=True):
+                total[at] += unpack(r["data"], np.int64)
+            yield _frame([(f"{group}/{bucket}", part, b, pack(total[i:j]), pack_sorted(distinct[i:j])) for b, i, j in _cut(distinct, bits)], _SENT)
 
     return run
 
 
+_BACK = "block string, part int, bucket int, data binary"
+
+
+def _taken_back(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Over rows sorted by (part, bucket, grp, fine): a group's totals, then its blocks' messages; the totals of each block."""
+    for (part, bucket, _), rows in _groups(batches, ("part", "bucket", "grp")):
+        total = np.concatenate([unpack(r["data"], np.int64) for r in rows if r["fine"] >= 0])
+        sent = [r for r in rows if r["fine"] < 0]
+        _, places = _merged(sent)
+        yield _frame([(r["block"], part, bucket, pack(total[at])) for r, at in zip(sent, places, strict=True)], _BACK)
+
+
 _TOTALS = "block string, part int, bucket int, data binary, total bigint, distinct_words bigint"
 
 
 def _totals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Over rows sorted by (part, bucket): the totals of each row's n-grams over all blocks."""
     for (part, bucket), rows in _groups(batches, ("part", "bucket")):
-        hashes = [unpack_sorted(r["hashes"]) for r in rows]
-        counts = [unpack(r["data"], np.int64) for r in rows]
-        _, inverse = np.unique(np.concatenate(hashes), return_inverse=True)
-        total = np.bincount(inverse, weights=np.concatenate(counts)).astype(np.int64)  # exact below 2**53
-        ends = np.cumsum([len(h) for h in hashes])
-        out = [(r["block"], part, bucket, pack(total[inverse[j - len(h) : j]]), 0, 0) for r, h, j in zip(rows, hashes, ends, strict=True)]
+        distinct, places = _merged(rows)
+        total = np.zeros(len(distinct), np.int64)
+        for r, at in zip(rows, places, strict=True):
+            total[at] += unpack(r["data"], np.int64)
+        out = [(r["block"], part, bucket, pack(total[at]), 0, 0) for r, at in zip(rows, places, strict=True)]
         if part == 1:
             out[0] = (*out[0][:4], int(total.sum()), int((total > 0).sum()))
-        yield pd.DataFrame(out, columns=[f.split()[0] for f in _TOTALS.split(", ")])
+        yield _frame(out, _TOTALS)
 
 
 def _groups(batches: Iterator[pd.DataFrame], keys: tuple[str, ...]) -> Iterator[tuple[tuple, list[dict]]]:
@@ -287,7 +340,7 @@ def _groups(batches: Iterator[pd.DataFrame], keys: tuple[str, ...]) -> Iterator[
         yield now, rows
 
 
-_SCORES = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
+_SCORES = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, mean_score double"
 
 
 def _scores(order: int, prior: float, total: int, distinct: int):
@@ -311,23 +364,88 @@ def _scores(order: int, prior: float, total: int, distinct: int):
             ids = pd.array(np.asarray(first["doc_id"], np.int64), "Int64")
             ids[~np.frombuffer(first["known_id"], bool)] = pd.NA
             yield pd.DataFrame(
-                {"doc_id": ids, "held_out": np.frombuffer(first["held"], bool), "n_tokens": lengths, "n_known": known, "train_tokens": total, "base_score": base, "score": score}
+                {"doc_id": ids, "held_out": np.frombuffer(first["held"], bool), "n_tokens": lengths, "n_known": known, "train_tokens": total, "base_score": base, "score": score, "mean_score": np.array(score) / lengths}
             )
 
     return run
 
 
-def score(docs: DataFrame, order: int = ORDER, prior: float = PRIOR, block_chars: int = BLOCK) -> DataFrame:
-    """Train on the rows of ``docs`` that aren't held out; score all."""
+def bucket_bits(tokens: int, bucket_bytes: int = BUCKET_BYTES) -> int:
+    """Bits of hash, so that a bucket's messages take about ``bucket_bytes``."""
+    return max(LEAST_BITS, (-(-tokens * GRAM_BYTES // bucket_bytes) - 1).bit_length())
+
+
+def _totalled(sent: DataFrame, order: int, bits: int) -> DataFrame:
+    dealt = sent.repartition(order << bits, "part", "bucket").sortWithinPartitions("part", "bucket")
+    return materialise(dealt.mapInPandas(_totals, _TOTALS), "lm-totals")
+
+
+def _in_two_steps(sent: DataFrame, order: int, bits: int, coarse: int, groups: int) -> tuple[DataFrame, DataFrame]:
+    """``_totalled`` over finer buckets than blocks send to: (totals for each block, totals for each group)."""
+    sent = materialise(sent, "lm-sent").withColumn("grp", F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int"))
+    tasks = (order << coarse) * groups
+    dealt = sent.repartition(tasks, "part", "bucket", "grp").sortWithinPartitions("part", "bucket", "grp", "block")
+    totals = _totalled(dealt.mapInPandas(_passed_on(bits), _SENT), order, bits)
+    named = F.split("block", "/")
+    back = totals.select("part", named[1].cast("int").alias("bucket"), named[0].cast("int").alias("grp"), F.col("bucket").alias("fine"), "data")
+    both = back.unionByName(sent.select("part", "bucket", "grp", F.lit(-1).alias("fine"), "block", "hashes"), allowMissingColumns=True)
+    both = both.repartition(tasks, "part", "bucket", "grp").sortWithinPartitions("part", "bucket", "grp", "fine", "block")
+    return materialise(both.mapInPandas(_taken_back, _BACK), "lm-back"), totals
+
+
+def score(docs: DataFrame, order: int = ORDER, prior: float = PRIOR, block_chars: int = BLOCK, held_out: int = HELD_OUT, bucket_bytes: int = BUCKET_BYTES, coarse: int = COARSE) -> DataFrame:
+    """Train on the rows of ``docs`` that aren't held out; score all.
+
+    ``mean_score`` is the score of a token.
+    """
     if order not in (1, 2, 3):
         raise ValueError("order must be 1, 2 or 3")
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", (crc_mod(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"))
-    bits = max(5, int(rows.rdd.getNumPartitions() - 1).bit_length() + 1)  # two to four buckets of each order for a partition of the scan
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", (crc_mod(F.col("doc_id"), FOLDS) == held_out).alias("held_out"))
     blocks = materialise(rows.mapInArrow(_blocks(block_chars), _FOUND), "lm-blocks")
-    sent = blocks.mapInPandas(_sent(order, bits), _SENT).repartition(order << bits, "part", "bucket").sortWithinPartitions("part", "bucket")
-    totals = materialise(sent.mapInPandas(_totals, _TOTALS), "lm-totals")
+    n, tokens = blocks.agg(F.count("*"), F.sum("n")).first()
+    bits = bucket_bits(tokens or 0, bucket_bytes)
+    if bits <= coarse:
+        totals = back = _totalled(blocks.mapInPandas(_sent(order, bits), _SENT), order, bits)
+    else:
+        groups = max(1, -(-tokens * GRAM_BYTES // (GROUP_BYTES << coarse)))
+        back, totals = _in_two_steps(blocks.mapInPandas(_sent(order, coarse), _SENT), order, bits, coarse, groups)
     sums = totals.agg(F.sum("total"), F.sum("distinct_words")).first()
-    texts = blocks.select("*", F.lit(0).alias("part"), F.lit(-1).alias("bucket"), F.lit(None).cast("binary").alias("data"))
-    both = texts.unionByName(totals.select("block", "part", "bucket", "data"), allowMissingColumns=True)
-    both = both.repartition(max(1, blocks.count()), "block").sortWithinPartitions("block", "part", "bucket")
+    texts = blocks.drop("n").select("*", F.lit(0).alias("part"), F.lit(-1).alias("bucket"), F.lit(None).cast("binary").alias("data"))
+    both = texts.unionByName(back.select("block", "part", "bucket", "data"), allowMissingColumns=True)
+    both = both.repartition(max(1, n), "block").sortWithinPartitions("block", "part", "bucket")
     return both.mapInPandas(_scores(order, prior, int(sums[0] or 0), int(sums[1] or 0)), _SCORES)
+
+
+def crc32_sql(text: str) -> str:
+    """crc32 of a string of ASCII characters in DuckDB's SQL, from the table ``crc_table(entries)``."""
+    step = "xor(c >> 8, crc_table.entries[(xor(c, b) & 255) + 1])"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: {step}), 4294967295::BIGINT)"
+
+
+#: The table is made by its rule: eight steps of the reversed polynomial for each byte.
+CRC_TABLE = """crc_table AS MATERIALIZED (SELECT list(entry ORDER BY byte) AS entries FROM (
+  SELECT byte, list_reduce(list_concat([byte], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END) AS entry FROM range(256) t(byte)))"""
+
+#: Bigram scores in DuckDB's SQL; scores to six places.
+ORACLE_SQL = f"""
+WITH {CRC_TABLE},
+docs AS MATERIALIZED (
+  SELECT row_number() OVER () AS row_id, doc_id, coalesce(text, '') AS text, CASE WHEN doc_id IS NULL THEN false ELSE {crc32_sql("doc_id::VARCHAR")} % {FOLDS} = {HELD_OUT} END AS held_out
+  FROM documents, crc_table),
+words AS (
+  SELECT row_id, held_out, list_concat([chr(10)], list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> ''), [chr(10)]) AS w
+  FROM docs),
+tokens AS MATERIALIZED (SELECT row_id, held_out, w[i] AS before, w[i + 1] AS word FROM (SELECT row_id, held_out, w, unnest(range(1, len(w))) AS i FROM words)),
+unigrams AS MATERIALIZED (SELECT word, sum((NOT held_out)::BIGINT)::BIGINT AS c FROM tokens GROUP BY word),
+bigrams AS MATERIALIZED (SELECT before, word, sum((NOT held_out)::BIGINT)::BIGINT AS c FROM tokens GROUP BY before, word),
+sizes AS (SELECT sum(c)::BIGINT AS n, count(*) FILTER (c > 0) AS v FROM unigrams),
+base AS MATERIALIZED (SELECT word, c, (c + 1.0::DOUBLE) / (n + v + 1.0::DOUBLE) AS p FROM unigrams, sizes),
+weights AS MATERIALIZED (
+  SELECT b.before, b.word, log10((b.c + {PRIOR!r}::DOUBLE * w.p) / (h.c + {PRIOR!r}::DOUBLE)) AS weight, log10(w.p) AS base, w.c > 0 AS known
+  FROM bigrams b JOIN base w USING (word) JOIN unigrams h ON h.word = b.before),
+scored AS (
+  SELECT row_id, count(*) AS n_tokens, sum(known::BIGINT)::BIGINT AS n_known, sum(base) AS base_score, sum(weight) AS score
+  FROM tokens JOIN weights USING (before, word) GROUP BY row_id)
+SELECT doc_id, held_out, n_tokens, n_known, n AS train_tokens, round(round(base_score, 9), 6) AS base_score, round(round(score, 9), 6) AS score, round(round(score / n_tokens, 9), 6) AS mean_score
+FROM docs JOIN scored USING (row_id), sizes
+"""

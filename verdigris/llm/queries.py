@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from verdigris.llm import chat, decontamination, mixing, near_duplicates, ngram_lm, pii, quality_model, quality_rules, tokens, warc
 from verdigris.sources.storage import spread
@@ -47,7 +48,8 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_lm.score(_documents(spark, sf_dir, "doc_id", "text"))
+    scores = ngram_lm.score(_documents(spark, sf_dir, "doc_id", "text"))
+    return scores.withColumns({c: F.round(F.round(c, 9), 6) for c in ("base_score", "score", "mean_score")})  # so that engines can be compared
 
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,6 +83,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_pii, op3_warc, op4_quality_classifier, op5_lm_scoring, op6_near_duplicates, op7_benchmark_decontamination, op8_chat_formatting, op9_source_mixing, op10_token_counts)}
 ORACLES = {
     "op3_warc": warc.ORACLE_SQL,
+    "op5_lm_scoring": ngram_lm.ORACLE_SQL,
     "op8_chat_formatting": chat.oracle_sql(f"SELECT conv_id, turn, role, text FROM conversations UNION ALL {FORGED_TURNS}"),
     "op9_source_mixing": mixing.oracle_sql(),
 }
