@@ -52,7 +52,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from verdigris.llm.common import WordHashes, byte_words, materialise, shingle_hashes
+from verdigris.llm.common import SHINGLE_WORDS, WordHashes, byte_words, materialise, shingle_hashes
 
 TREES, DEEPEST, RECALL = 32, 10, 0.999
 SIMILARITY = 0.8
@@ -437,3 +437,24 @@ def one_per_class(docs: DataFrame) -> DataFrame:
     stay = named.join(lead, (F.col("_id") == F.col("_kept")) & (F.col("_node") == F.col("_lead")), "left").where("_lead IS NOT NULL OR _node IS NULL")
     stay = stay.groupBy("_id", "_node").agg(F.min_by("_row", F.xxhash64(F.to_json("_row"))).alias("_row")).select("_row")
     return stay.union(rows.where("_id IS NULL").select("_row")).select("_row.*")
+
+
+#: The join in DuckDB's SQL: all pairs that share a shingle, compared exactly.
+ORACLE_SQL = f"""
+WITH RECURSIVE docs AS MATERIALIZED (
+  SELECT row_number() OVER () AS row_id, doc_id,
+    list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+places AS (SELECT row_id, doc_id, w, unnest(range(1, greatest(len(w) - {SHINGLE_WORDS - 1}, 1) + 1)) AS i FROM docs WHERE len(w) > 0 AND doc_id IS NOT NULL),
+shingles AS (SELECT DISTINCT row_id, doc_id, md5(array_to_string(w[i:i + {SHINGLE_WORDS - 1}], ' ')) AS s FROM places),
+sets AS MATERIALIZED (SELECT row_id, doc_id, md5(string_agg(s, '' ORDER BY s)) AS node, count(*) AS size FROM shingles GROUP BY row_id, doc_id),
+nodes AS MATERIALIZED (SELECT node, count(*) AS copies, min(doc_id) AS first_id, any_value(size) AS size, min(row_id) AS row_id FROM sets GROUP BY node),
+members AS MATERIALIZED (SELECT node, size, s FROM nodes JOIN shingles USING (row_id)),
+pairs AS MATERIALIZED (SELECT a.node AS a, b.node AS b FROM members a JOIN members b ON a.s = b.s AND a.node < b.node GROUP BY a.node, b.node, a.size, b.size HAVING 9 * count(*) >= 4 * (a.size + b.size)),
+edges AS MATERIALIZED (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+reached(node, other) AS (SELECT node, node FROM nodes UNION SELECT reached.node, edges.b FROM reached JOIN edges ON reached.other = edges.a),
+classes AS (SELECT reached.node, min(first_id) AS class_id FROM reached JOIN nodes ON nodes.node = other GROUP BY reached.node),
+links AS (SELECT edges.a AS node, sum(copies) AS n FROM edges JOIN nodes ON nodes.node = edges.b GROUP BY edges.a)
+SELECT docs.doc_id, coalesce(class_id, docs.doc_id) AS class_id, coalesce(first_id, docs.doc_id) AS copy_id, coalesce(links.n + copies - 1, copies - 1, 0)::BIGINT AS n_links
+FROM docs LEFT JOIN sets USING (row_id) LEFT JOIN nodes ON nodes.node = sets.node LEFT JOIN classes ON classes.node = sets.node LEFT JOIN links ON links.node = sets.node
+"""

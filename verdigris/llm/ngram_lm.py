@@ -48,7 +48,7 @@ from verdigris.llm.common import WordHashes, byte_words, crc_mod, materialise, m
 
 FOLDS, HELD_OUT = 7, 2
 #: Words of an n-gram (1 to 3), and the weight of the shorter context.
-ORDER, PRIOR = 2, 50.0  # chosen by ``tuning.language_models`` on training rows alone
+ORDER, PRIOR = 2, 200.0  # chosen by ``tuning.language_models`` on training rows alone
 #: Characters of text per block.
 BLOCK = 4_000_000
 #: Bytes of messages for a bucket, and for a group of blocks at a coarse one; what an n-gram takes in a message, about.

@@ -12,15 +12,17 @@ below, the step undoes it instead of following it).
 
 Features are figures of the whole text, made by built-in functions inside the
 JVM; the model is a network of one small hidden layer over them, so scoring is
-one projection over the scan, without shuffle and without Python. The model is fitted on the
-driver on a bounded sample of rows: at most ``SAMPLE`` positives and as many
-unlabelled, those of smallest hash of doc_id.
+one projection over the scan, without shuffle and without Python. The model is
+fitted on the driver on a bounded sample of rows: at most ``SAMPLE`` positives
+and twice as many unlabelled, those of smallest hash of (doc_id, text), each
+different pair once; so neither null or repeated ids nor copies fill it.
 
 Defined results: null texts count as empty; an empty text gets the score of
 its (all zero) features; a null doc_id counts as empty text for the split;
 repeated labels of one doc_id count as positive if any is 1; without positives
 or unlabelled rows every score is the prior 0.5. Labels, language, source and
-doc_id are no features.
+doc_id are no features; columns of those names clash with nothing, and input
+columns named like an output column are replaced.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verdigris.llm.common import crc_mod, packed, unpacked, words_of
+from verdigris.llm.common import crc_mod, materialise, packed, unpacked, words_of
 
 #: The documented bound of the training sample: rows of each kind.
 SAMPLE = 20_000
@@ -95,17 +97,33 @@ class Model:
 
 #: Standardised figures are kept within this many deviations.
 CLIP = 6.0
-HIDDEN = 12
+#: Hidden units, and the margin of the class prior in standard errors; chosen by ``tuning.classifiers`` on training rows alone.
+HIDDEN, MARGIN = 12, 0.5
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def _trained(p: np.ndarray, u: np.ndarray, slopes, steps: int, rate: float = 0.02, decay: float = 1e-4) -> list[np.ndarray]:
+def risk(gp: np.ndarray, gu: np.ndarray, prior: float) -> tuple[float, np.ndarray, np.ndarray]:
+    """The non-negative risk of outputs for positives and unlabelled, and the steps' slopes by them.
+
+    Where the unlabelled rows' share of negatives comes out below zero, the
+    slopes are those that undo it.
+    """
+    sp, su = _sigmoid(gp), _sigmoid(gu)
+    steep_p, steep_u = sp * (1 - sp) / len(gp), su * (1 - su) / len(gu)
+    negative = su.mean() - prior * sp.mean()
+    value = prior * (1 - sp).mean() + max(0.0, negative)
+    if negative >= 0:
+        return value, -2 * prior * steep_p, steep_u
+    return value, prior * steep_p, -steep_u
+
+
+def _trained(p: np.ndarray, u: np.ndarray, slopes, steps: int, hidden: int = HIDDEN, rate: float = 0.02, decay: float = 1e-4) -> list[np.ndarray]:
     """Full-batch Adam; ``slopes(gp, gu)`` are the risk's derivatives by the outputs."""
     rng = np.random.default_rng(0)
-    theta = [rng.normal(0, 0.5, (p.shape[1], HIDDEN)), np.zeros(HIDDEN), rng.normal(0, 0.3, HIDDEN), np.zeros(1)]
+    theta = [rng.normal(0, 0.5, (p.shape[1], hidden)), np.zeros(hidden), rng.normal(0, 0.3, hidden), np.zeros(1)]
     first, second = [np.zeros_like(a) for a in theta], [np.zeros_like(a) for a in theta]
     for t in range(1, steps + 1):
         hp, hu = np.tanh(p @ theta[0] + theta[1]), np.tanh(u @ theta[0] + theta[1])
@@ -118,32 +136,24 @@ def _trained(p: np.ndarray, u: np.ndarray, slopes, steps: int, rate: float = 0.0
     return theta
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None, steps: int = 600) -> Model:
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None, steps: int = 600, hidden: int = HIDDEN, margin: float = MARGIN) -> Model:
     """Minimise the non-negative risk. ``prior`` None: estimated."""
     both = np.vstack([positive, unlabelled])
     mean, scale = both.mean(0), np.maximum(both.std(0), 1e-3)
     p, u = (np.clip((x - mean) / scale, -CLIP, CLIP) for x in (positive, unlabelled))
     if prior is None:
-        prior = class_prior(p, u)
-
-    def slopes(gp: np.ndarray, gu: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        sp, su = _sigmoid(gp), _sigmoid(gu)
-        steep_p, steep_u = sp * (1 - sp) / len(p), su * (1 - su) / len(u)
-        if su.mean() - prior * sp.mean() >= 0:
-            return -2 * prior * steep_p, steep_u
-        return prior * steep_p, -steep_u  # undo the overfitted negative part
+        prior = class_prior(p, u, hidden, margin)
+    w, b, out, bias = _trained(p, u, lambda gp, gu: risk(gp, gu, prior)[1:], steps, hidden, decay=max(1e-4, 1 / len(p)))
+    return Model(tuple(mean.tolist()), tuple(scale.tolist()), tuple((*w[:, k].tolist(), float(b[k])) for k in range(hidden)), (*out.tolist(), float(bias[0])), float(prior))
 
-    w, b, out, bias = _trained(p, u, slopes, steps, decay=max(1e-4, 1 / len(p)))
-    return Model(tuple(mean.tolist()), tuple(scale.tolist()), tuple((*w[:, k].tolist(), float(b[k])) for k in range(HIDDEN)), (*out.tolist(), float(bias[0])), float(prior))
 
-
-def class_prior(p: np.ndarray, u: np.ndarray) -> float:
+def class_prior(p: np.ndarray, u: np.ndarray, hidden: int = HIDDEN, margin: float = MARGIN) -> float:
     """Share of positives among the unlabelled.
 
     A classifier of positive against unlabelled gives each row a score. Where
     nearly all rows are positives, the unlabelled are as frequent as the prior
     times the positives; the estimate is the smallest such ratio over upper
-    parts of the scores, with half a standard error as margin.
+    parts of the scores, with ``margin`` standard errors added.
     """
 
     def slopes(gp: np.ndarray, gu: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -151,7 +161,7 @@ def class_prior(p: np.ndarray, u: np.ndarray) -> float:
 
     found = []
     for k in (0, 1):  # scores come from a classifier of the other half, so overfitting can't part the two
-        w, b, out, _ = _trained(p[k::2], u[k::2], slopes, 200, decay=max(1e-4, 1 / len(p)))
+        w, b, out, _ = _trained(p[k::2], u[k::2], slopes, 200, hidden, decay=max(1e-4, 1 / len(p)))
         sp, su = (np.sort(np.tanh(x[1 - k :: 2] @ w + b) @ out) for x in (p, u))
         if not len(sp) or not len(su):
             continue
@@ -160,31 +170,38 @@ def class_prior(p: np.ndarray, u: np.ndarray) -> float:
             cut = sp[int(q * (len(sp) - 1))]
             above_p, above_u = 1 - np.searchsorted(sp, cut) / len(sp), 1 - np.searchsorted(su, cut) / len(su)
             if above_p > 0:
-                best = min(best, (above_u + 0.5 * (above_u * (1 - above_u) / len(su)) ** 0.5) / above_p)
+                best = min(best, (above_u + margin * (above_u * (1 - above_u) / len(su)) ** 0.5) / above_p)
         found.append(best)
     return float(np.clip(np.mean(found or [0.5]), 0.01, 0.99))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
-    """Fit on a bounded sample of the training rows of ``docs`` and ``labels``."""
+def sampled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
+    """Figures of at most ``sample`` positives and 2 ``sample`` other training rows, those of smallest hash of (doc_id, text).
+
+    A row that is trusted is no unlabelled one. What goes to the driver is
+    bounded by ``sample`` whatever repeats in the tables.
+    """
     spark = docs.sparkSession
-    positives = labels.where(F.col("quality") == 1).select("doc_id").where(crc_mod(F.col("doc_id"), FOLDS) != HELD_OUT).distinct()
-    chosen = positives.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    trusted = {r[0] for r in chosen.collect()}
-    count = docs.count()
-    share = min(1.0, 2.0 * sample / max(count, 1))
-    key = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("unlabelled")), 11) / F.lit(2.0**53)
-    rows = docs.where(crc_mod(F.col("doc_id"), FOLDS) != HELD_OUT).select("doc_id", "text", key.alias("key"))
-    ids = spark.createDataFrame([(i,) for i in trusted], "doc_id bigint").withColumn("trusted", F.lit(True))
-    rows = rows.join(F.broadcast(ids), "doc_id", "left")  # at most ``sample`` ids
-    rows = rows.where(F.col("trusted") | (F.col("key") < share))
-    rows = rows.withColumn("words", words_of(F.col("text")))
-    table = rows.select(F.coalesce("trusted", F.lit(False)).alias("trusted"), (F.col("key") < share).alias("drawn"), F.array(*features(F.col("text"), F.col("words"))).alias("x")).collect()
-    positive = [r.x for r in table if r.trusted]
-    unlabelled = [r.x for r in table if r.drawn and not r.trusted]
-    if not positive or not unlabelled:
-        return None
-    return fit(np.array(positive[: 2 * sample]), np.array(unlabelled[: 2 * sample]))
+    training = crc_mod(F.col("doc_id"), FOLDS) != HELD_OUT
+    positives = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id")).where(training).distinct()
+    trusted = [r[0] for r in positives.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()]
+    ids = spark.createDataFrame([(i,) for i in trusted], "trusted_id bigint")  # at most ``sample`` ids
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where(training)
+    rows = rows.withColumn("key", F.xxhash64("doc_id", "text", F.lit("sample")))
+    rows = rows.join(F.broadcast(ids), F.col("doc_id") == F.col("trusted_id"), "left").withColumn("trusted", F.col("trusted_id").isNotNull())
+    share = min(1.0, 6.0 * sample / max(docs.count(), 1))  # well more than are wanted; the smallest keys of them are the smallest of all
+    low = F.shiftrightunsigned("key", 11) / F.lit(2.0**53) < share
+    words = words_of(F.col("text"))
+    rows = rows.where(F.col("trusted") | low).dropDuplicates(["trusted", "key"]).withColumn("words", words)
+    drawn = materialise(rows.select("trusted", F.shiftrightunsigned("key", 11).alias("key"), F.array(*features(F.col("text"), F.col("words"))).alias("x")), "quality-sample")
+    take = lambda df, n: np.array([r.x for r in df.orderBy("key").limit(n).collect()])
+    return take(drawn.where("trusted"), sample), take(drawn.where("NOT trusted"), 2 * sample)
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, hidden: int = HIDDEN, margin: float = MARGIN) -> Model | None:
+    """Fit on a bounded sample of the training rows of ``docs`` and ``labels``."""
+    positive, unlabelled = sampled(docs, labels, sample)
+    return fit(positive, unlabelled, hidden=hidden, margin=margin) if len(positive) and len(unlabelled) else None
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:

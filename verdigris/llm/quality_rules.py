@@ -118,3 +118,51 @@ def keep_good(docs: DataFrame) -> DataFrame:
     whole = docs.select(F.struct(*[docs["`" + c.replace("`", "``") + "`"] for c in docs.columns]).alias("whole"), F.col("text").alias("text"))
     rows, _ = judged(whole, drop=("text",))
     return rows.where("kept").select("whole.*")
+
+
+def oracle_sql() -> str:
+    """Figures, estimation and verdicts in DuckDB's SQL; the posterior to six places."""
+    names = tuple(rules())
+    space, spaces = r"[\x20\x09-\x0D]", "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+    def counted(characters: str) -> str:
+        return f"length(text) - length(translate(text, '{characters}', ''))"
+
+    def fault(found: str) -> str:
+        return f"CASE WHEN {found} THEN -1 ELSE 0 END"
+
+    n, chars, lines = "greatest(n_words, 1)", "greatest(word_chars, 1)", "greatest(n_lines, 1)"
+    symbols, repeats, capitals, shouts, stops = f"n_symbols / {n}", f"n_repeat_words / {n}", f"n_capitals / {chars}", f"n_shouts / {n}", f"n_stops / {n}"
+    votes = {
+        "symbols": fault(f"{symbols} > 0.2::DOUBLE"),
+        "repeats": fault(f"{repeats} > 0.3::DOUBLE"),
+        "lines": fault(f"n_dup_lines / {lines} > 0.3::DOUBLE"),
+        "capitals": fault(f"{capitals} > 0.3::DOUBLE"),
+        "shouts": fault(f"{shouts} > 0.2::DOUBLE"),
+        "digits": fault(f"n_digits / {chars} > 0.3::DOUBLE"),
+        "words": fault(f"word_chars / {n} < 2.5::DOUBLE OR word_chars / {n} > 14"),
+        "sentences": fault(f"{stops} < 0.005::DOUBLE"),
+        "prose": f"CASE WHEN {symbols} < 0.1::DOUBLE AND {repeats} < 0.3::DOUBLE AND {capitals} < 0.2::DOUBLE AND {shouts} < 0.1::DOUBLE AND {stops} > 0.01::DOUBLE AND {stops} < 0.5::DOUBLE THEN 1 ELSE 0 END",
+        "length": f"CASE WHEN {n} < 20 THEN -1 WHEN {n} >= 100 THEN 1 ELSE 0 END",
+    }
+    return f"""
+WITH docs AS MATERIALIZED (SELECT row_number() OVER () AS row_id, doc_id, coalesce(text, '') AS text FROM documents),
+split AS MATERIALIZED (
+  SELECT *, list_filter(regexp_split_to_array(text, '{space}+'), lambda x: x <> '') AS w,
+    list_filter(string_split(text, chr(10)), lambda x: length(translate(x, {spaces}, '')) > 0) AS lines FROM docs),
+windows AS (SELECT row_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS words FROM (SELECT row_id, w, unnest(range(1, len(w) - 1)) AS i FROM split)),
+repeated AS (SELECT row_id, unnest([i, i + 1, i + 2]) AS place FROM (SELECT row_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY row_id, words) > 1)),
+places AS (SELECT row_id, count(DISTINCT place) AS n FROM repeated GROUP BY row_id),
+figures AS MATERIALIZED (
+  SELECT row_id, doc_id, len(w)::BIGINT AS n_words, length(translate(text, {spaces}, ''))::BIGINT AS word_chars, ({counted(SYMBOLS)})::BIGINT AS n_symbols,
+    (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(places.n, 0)::BIGINT AS n_repeat_words, len(lines) AS n_lines,
+    length(regexp_replace(text, '[^\p{{Lu}}]', '', 'g')) AS n_capitals, {counted('!?')} AS n_shouts, {counted('.!?:;。')} AS n_stops, {counted('0123456789')} AS n_digits
+  FROM split LEFT JOIN places USING (row_id)),
+voted AS MATERIALIZED (SELECT *, {', '.join(f'{v} AS {k}' for k, v in votes.items())} FROM figures),
+patterns AS (SELECT {', '.join(names)}, count(*) AS n FROM voted GROUP BY ALL),
+{weak.estimate_sql('patterns', names)}
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words AS base_failed,
+  NOT (n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words) AND p >= 0.5::DOUBLE AS kept, round(round(p, 9), 6) AS posterior
+FROM voted JOIN posteriors USING ({', '.join(names)})
+"""

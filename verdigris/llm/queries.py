@@ -29,7 +29,7 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir, "doc_id", "text")
     rows, _ = quality_rules.judged(docs, drop=("text",))
-    return rows.select("doc_id", *quality_rules.BASE, "base_failed", "kept", "posterior")
+    return rows.select("doc_id", *quality_rules.BASE, "base_failed", "kept", F.round(F.round("posterior", 9), 6).alias("posterior"))
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,8 +82,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_pii, op3_warc, op4_quality_classifier, op5_lm_scoring, op6_near_duplicates, op7_benchmark_decontamination, op8_chat_formatting, op9_source_mixing, op10_token_counts)}
 ORACLES = {
+    "op1_quality_rules": quality_rules.oracle_sql(),
     "op3_warc": warc.ORACLE_SQL,
     "op5_lm_scoring": ngram_lm.ORACLE_SQL,
+    "op6_near_duplicates": near_duplicates.ORACLE_SQL,
     "op8_chat_formatting": chat.oracle_sql(f"SELECT conv_id, turn, role, text FROM conversations UNION ALL {FORGED_TURNS}"),
     "op9_source_mixing": mixing.oracle_sql(),
 }
