@@ -1,6 +1,7 @@
 import random
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -67,6 +68,17 @@ def test_against_brute_force(spark, seed):
         assert r.similarity == pytest.approx(want[(r.doc_id, r.item_id)])
 
 
+def test_places_against_sql(spark):
+    con = duckdb.connect()
+    for seed in (1, 4):
+        docs, items = make(seed)
+        items += [(60, "a1 b2"), (60, items[4][1])]
+        con.execute("CREATE OR REPLACE TABLE documents(doc_id BIGINT, text VARCHAR)"), con.execute("CREATE OR REPLACE TABLE benchmark(item_id BIGINT, text VARCHAR)")
+        con.executemany("INSERT INTO documents VALUES (?, ?)", docs), con.executemany("INSERT INTO benchmark VALUES (?, ?)", items)
+        got = dc.leaks(spark.createDataFrame([(i, t, "x") for i, t in docs], DOCS), spark.createDataFrame([(i, t, 0) for i, t in items], ITEMS))
+        assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, con.sql(dc.ORACLE_SQL).fetchall()))
+
+
 def test_short_items_inside_texts(spark):
     items = [(1, "Secret answer here"), (2, "here"), (3, "four words make one"), (4, "secret answer here and more words"), (4, "no")]
     docs = [(10, "the secret ANSWER here stands among eleven other words of a text"), (11, "four words make"), (12, "four words make one"), (13, "no")]

@@ -1,7 +1,7 @@
 """Benchmark decontamination by SimHash windows and multi-index Hamming search.
 
 A document's text is cut into windows as long as a benchmark item, one at
-each word, and at the text's ends also shorter ones. A window's fingerprint
+each word, and at the text's ends also shorter ones of any length. A window's fingerprint
 is the 128-bit SimHash of its five-word shingles, each weighted by the square
 root of how often it occurs. With these weights the squared length of a
 window's vector is its number of shingles, so two windows at weighted Jaccard
@@ -258,13 +258,11 @@ class Benchmark:
         upto = np.r_[0, np.cumsum(member >= 0)]
         own = values = None
         for size in self.sizes:
-            least = -(-NUMERATOR * size // DENOMINATOR)
-            if upto[-1] < least:
-                break
-            # a window may be cut off by an end of the text
-            start = np.arange(-(size - least) if first == 0 else 0, n - (least if last == last_shingle else size) + 1)
+            # the ends of the text cut windows off to any length up to the longest
+            cut = size == self.sizes[-1]
+            start = np.arange(1 - size if cut and first == 0 else 0, n if cut and last == last_shingle else n - size + 1)
             lo, hi = np.maximum(start, 0), np.minimum(start + size, n)
-            keep = upto[hi] - upto[lo] >= least
+            keep = (upto[hi] - upto[lo]) * DENOMINATOR >= NUMERATOR * (hi - lo)
             start, lo, hi = start[keep], lo[keep], hi[keep]
             if not len(start):
                 continue
@@ -296,13 +294,22 @@ class Benchmark:
             lo, hi = low[row], high[row]
             most = inside[hi] - inside[lo]  # shares at most these
             bound = most / (hi - lo + bag.total() - most)
-            order = np.lexsort((lo, -bound))
-            for k in order:
-                if bound[k] * DENOMINATOR < NUMERATOR - 1e-9 or (i in found and bound[k] < found[i][0] / found[i][1]):
+            for k in np.lexsort((hi, lo, -bound)):
+                if bound[k] * DENOMINATOR < NUMERATOR - 1e-9:
                     break
+                place = int(lo[k]) + first, int(hi[k]) + first
+                if i in found:
+                    best = found[i][0] / found[i][1]
+                    if bound[k] < best:
+                        break
+                    if bound[k] == best and place > found[i][2:]:
+                        continue
                 n, d = similar(Counter(own[lo[k] : hi[k]].tolist()), bag)
-                if n * DENOMINATOR >= NUMERATOR * d and (i not in found or n * found[i][1] > found[i][0] * d):
-                    found[i] = (n, d, int(lo[k]) + first, int(hi[k]) + first)
+                if n * DENOMINATOR < NUMERATOR * d:
+                    continue
+                ahead = n * found[i][1] - found[i][0] * d if i in found else 1
+                if ahead > 0 or (ahead == 0 and place < found[i][2:]):
+                    found[i] = (n, d, *place)
 
 
 _HIT = pa.struct([("item_id", pa.int64()), ("similarity", pa.float64()), ("first_word", pa.int64()), ("last_word", pa.int64())])
@@ -356,3 +363,39 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     for items in slices(benchmark):
         rows = rows.where(F.size(hits(F.col("_text"), docs.sparkSession.sparkContext.broadcast(items))) == 0)
     return unpacked(rows)
+
+
+_WORDS = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+#: The search in DuckDB's SQL: each window around an item's shingles, compared exactly.
+ORACLE_SQL = f"""
+WITH docs AS MATERIALIZED (SELECT row_number() OVER () AS doc, doc_id, {_WORDS} AS w FROM documents),
+items AS MATERIALIZED (SELECT row_number() OVER () AS item, item_id, {_WORDS} AS w FROM benchmark),
+item_shingles AS (SELECT item, item_id, array_to_string(w[i:i + {SHINGLE_WORDS - 1}], ' ') AS s FROM (SELECT *, unnest(range(1, len(w) - {SHINGLE_WORDS - 2})) AS i FROM items WHERE len(w) >= {SHINGLE_WORDS})),
+bags AS MATERIALIZED (SELECT item, item_id, s, count(*) AS c FROM item_shingles GROUP BY ALL),
+totals AS MATERIALIZED (SELECT item, item_id, sum(c)::BIGINT AS total FROM bags GROUP BY ALL),
+sizes AS MATERIALIZED (SELECT DISTINCT total AS size FROM totals),
+longest AS (SELECT max(size) AS most FROM sizes),
+doc_shingles AS (SELECT doc, n, i - 1 AS pos, array_to_string(w[i:i + {SHINGLE_WORDS - 1}], ' ') AS s FROM (SELECT *, len(w) - {SHINGLE_WORDS - 1} AS n, unnest(range(1, len(w) - {SHINGLE_WORDS - 2})) AS i FROM docs WHERE len(w) >= {SHINGLE_WORDS})),
+anchors AS MATERIALIZED (SELECT doc, n, item, item_id, pos, s, c FROM doc_shingles JOIN bags USING (s)),
+counted AS (SELECT doc, n, item, c, count(*) AS found, min(pos) AS low, max(pos) AS high FROM anchors GROUP BY doc, n, item, s, c),
+likely AS MATERIALIZED (
+  SELECT doc, n, item, total, min(low) AS low, max(high) AS high FROM counted JOIN totals USING (item)
+  GROUP BY doc, n, item, total HAVING {DENOMINATOR} * sum(least(found, c)) >= {NUMERATOR} * total),
+spans AS (
+  SELECT doc, item, total, lo, lo + size AS hi FROM (SELECT *, unnest(range(greatest(0, low - size + 1), least(n - size, high) + 1)) AS lo FROM likely, sizes)
+  UNION SELECT doc, item, total, 0, hi FROM (SELECT *, unnest(range(1, least(n, most) + 1)) AS hi FROM likely, longest)
+  UNION SELECT doc, item, total, lo, n FROM (SELECT *, unnest(range(greatest(0, n - most), n)) AS lo FROM likely, longest)),
+fitting AS MATERIALIZED (SELECT * FROM spans WHERE {DENOMINATOR} * (hi - lo) >= {NUMERATOR} * total AND {NUMERATOR} * (hi - lo) <= {DENOMINATOR} * total),
+met AS (SELECT f.doc, f.item, total, lo, hi, least(count(*), c) AS shared FROM fitting f JOIN anchors a ON a.doc = f.doc AND a.item = f.item AND a.pos >= lo AND a.pos < hi GROUP BY f.doc, f.item, total, lo, hi, s, c),
+compared AS (SELECT doc, item, total, lo, hi, sum(shared)::BIGINT AS shared FROM met GROUP BY ALL),
+best AS (
+  SELECT doc, item, shared::DOUBLE / (hi - lo + total - shared) AS similarity, lo AS first_word, hi + {SHINGLE_WORDS - 2} AS last_word FROM compared
+  WHERE {DENOMINATOR} * shared >= {NUMERATOR} * (hi - lo + total - shared)
+  QUALIFY row_number() OVER (PARTITION BY doc, item ORDER BY shared::DOUBLE / (hi - lo + total - shared) DESC, lo, hi) = 1),
+short AS (
+  SELECT doc, item, 1.0::DOUBLE AS similarity, min(i) - 1 AS first_word, min(i) - 2 + k AS last_word
+  FROM (SELECT doc, w, unnest(range(1, len(w) + 1)) AS i FROM docs WHERE EXISTS (FROM items WHERE len(w) BETWEEN 1 AND {SHINGLE_WORDS - 1})) d
+  JOIN (SELECT item, len(w) AS k, w AS words FROM items WHERE len(w) BETWEEN 1 AND {SHINGLE_WORDS - 1}) t ON d.w[i:i + k - 1] = words GROUP BY doc, item, k)
+SELECT doc_id, item_id, similarity, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word
+FROM (FROM best UNION ALL FROM short) JOIN docs USING (doc) JOIN items USING (item)
+"""

@@ -86,6 +86,7 @@ ORACLES = {
     "op3_warc": warc.ORACLE_SQL,
     "op5_lm_scoring": ngram_lm.ORACLE_SQL,
     "op6_near_duplicates": near_duplicates.ORACLE_SQL,
+    "op7_benchmark_decontamination": decontamination.ORACLE_SQL,
     "op8_chat_formatting": chat.oracle_sql(f"SELECT conv_id, turn, role, text FROM conversations UNION ALL {FORGED_TURNS}"),
     "op9_source_mixing": mixing.oracle_sql(),
 }
