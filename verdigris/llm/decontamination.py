@@ -11,11 +11,11 @@ them: 8/9 at 0.8, and 19.4 differing bits of 128 give or take 4.1. A radius of
 passage that is more alike, or alike in several windows, less often.
 
 Fingerprints are cut into eight blocks of 16 bits. If two differ in at most
-31 bits, some block differs in at most three. The items are kept by the value
-of each block, and a block of a window is looked up under all 697 values within
-three bits, so every item within the radius is found; of unrelated items one in
-twelve is met and dropped by its whole distance. Candidates are then compared
-exactly: weighted Jaccard of the shingle counts, at least 0.8.
+31 bits, some block differs in at most three. Each item is kept under all 697
+values within three bits of each of its blocks, and a window is looked up by
+its eight values, so every item within the radius is found; of unrelated items
+one in twelve is met and dropped by its whole distance. Candidates are then
+compared exactly: weighted Jaccard of the shingle counts, at least 0.8.
 
 Most windows need no fingerprint: one at similarity 0.8 or more has at least
 0.8 times the item's number of shingles in common with the item, so fewer
@@ -56,9 +56,9 @@ BITS, BLOCK_BITS, RADIUS = 128, 16, 31
 #: Similarity of at least NUMERATOR / DENOMINATOR.
 NUMERATOR, DENOMINATOR = 4, 5
 #: Items and characters that a worker holds at once.
-SLICE, SLICE_CHARS = 16384, 32_000_000
+SLICE, SLICE_CHARS = 4096, 32_000_000
 #: Windows that are fingerprinted at once.
-AT_ONCE = 1024
+AT_ONCE = 4096
 
 
 #: Middle values of 256 equal parts of the normal distribution.
@@ -134,34 +134,25 @@ class HammingIndex:
     def __init__(self, stored: np.ndarray):
         self.halves = np.ascontiguousarray(stored).view(np.uint64)
         blocks = np.ascontiguousarray(stored).view(np.uint16)
-        self.order = [np.argsort(blocks[:, b], kind="stable") for b in range(blocks.shape[1])]
-        # starts[b][value]: where the items with that value of block b begin in order[b]
-        self.starts = [np.searchsorted(blocks[o, b], np.arange((1 << BLOCK_BITS) + 1)) for b, o in enumerate(self.order)]
         apart = RADIUS // blocks.shape[1]
-        self.masks = np.array([sum(1 << k for k in c) for r in range(apart + 1) for c in combinations(range(BLOCK_BITS), r)], np.uint16)
+        masks = np.array([sum(1 << k for k in c) for r in range(apart + 1) for c in combinations(range(BLOCK_BITS), r)], np.uint16)
+        # items[b][starts[b][value] : starts[b][value + 1]]: items whose block b is near the value
+        self.starts, self.items = [], []
+        for b in range(blocks.shape[1]):
+            values = (blocks[:, b, None] ^ masks).ravel()
+            self.items.append((np.argsort(values, kind="stable") // len(masks)).astype(np.uint16))
+            self.starts.append(np.r_[0, np.cumsum(np.bincount(values, minlength=1 << BLOCK_BITS))])
 
     def candidates(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row of ``wanted``, stored item), each once, for each pair that some block brings together."""
-        pairs = []
+        met = np.zeros((len(wanted), len(self.halves)), bool)
         blocks = np.ascontiguousarray(wanted).view(np.uint16)
-        for b, (order, starts) in enumerate(zip(self.order, self.starts, strict=True)):
-            values, inverse = np.unique(blocks[:, b], return_inverse=True)
-            probes = values[:, None] ^ self.masks
-            counts = starts[probes.astype(np.int64) + 1] - starts[probes]
-            hit = np.flatnonzero(counts)
-            n = counts.ravel()[hit]
-            within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            items = order[np.repeat(starts[probes].ravel()[hit], n) + within]
-            of = np.repeat(hit // len(self.masks), n)  # number of the value
-            # from values to the rows that have them
-            rows = np.argsort(inverse, kind="stable")
-            per = np.bincount(inverse, minlength=len(values))
-            first = np.cumsum(per) - per
-            k = per[of]
-            inside = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
-            pairs.append(rows[np.repeat(first[of], k) + inside] * np.int64(len(self.halves)) + np.repeat(items, k))
-        both = np.unique(np.concatenate(pairs))
-        return both // len(self.halves), both % len(self.halves)
+        for b, (starts, items) in enumerate(zip(self.starts, self.items, strict=True)):
+            first = starts[blocks[:, b]]
+            n = starts[blocks[:, b].astype(np.int64) + 1] - first
+            inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            met[np.repeat(np.arange(len(n)), n), items[np.repeat(first, n) + inside]] = True
+        return np.nonzero(met)
 
     def search(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row of ``wanted``, stored item) for each pair within the radius."""
