@@ -21,18 +21,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verdigris.llm import weak
-from verdigris.llm.common import SEPARATOR, materialise, packed, unpacked
+from verdigris.llm.common import count_of, materialise, packed, unpacked, words_of
 
 LEAST_WORDS, MOST_REPEATED = 50, 50
 SYMBOLS = "#*$%&|<>"
-SPACES = " \t\n\x0b\x0c\r"
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def _without(text: Column, characters: str) -> Column:
-    return F.length(F.translate(text, characters, ""))
-
-
 def measured(docs: DataFrame, drop: tuple[str, ...] = ()) -> DataFrame:
     """``_row`` (the columns of ``docs`` but ``drop``) and the figures of the text."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -41,7 +36,7 @@ def measured(docs: DataFrame, drop: tuple[str, ...] = ()) -> DataFrame:
         kept = [n for n in docs.columns if n not in drop]
         rows = rows.select(F.struct(*[F.col("_row").getField(n).alias(n) for n in kept]).alias("_row"), "_text")
     # each array is a column of its own: lambdas then read it instead of making it again
-    rows = rows.withColumn("_words", F.filter(F.split("_text", SEPARATOR), lambda w: w != ""))
+    rows = rows.withColumn("_words", words_of(F.col("_text")))
     rows = rows.withColumn("n_words", F.size("_words").cast("bigint"))
     windows = F.transform("_words", lambda w, i: F.xxhash64(w, F.get("_words", i + 1), F.get("_words", i + 2)))
     rows = rows.withColumn("_windows", F.slice(windows, F.lit(1), F.greatest(F.size("_words") - 2, F.lit(0))))
@@ -53,22 +48,26 @@ def measured(docs: DataFrame, drop: tuple[str, ...] = ()) -> DataFrame:
     inside = F.flatten(F.transform(repeated, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2)))
     rows = rows.withColumn("n_repeat_words", F.coalesce(F.size(F.array_distinct(inside)), F.lit(0)).cast("bigint"))
     rows = rows.withColumn("n_repeat_words", F.when(F.col("_sorted").isNull(), F.lit(0).cast("bigint")).otherwise(F.col("n_repeat_words")))
-    rows = rows.withColumn("_lines", F.filter(F.split("_text", "\n"), lambda x: _without(x, SPACES) > 0))
+    rows = rows.withColumn("_lines", F.filter(F.split("_text", "\n"), lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]"))))
+    text = F.col("_text")
     return rows.select(
         "_row",
         "n_words",
-        _without(F.col("_text"), SPACES).cast("bigint").alias("word_chars"),
-        (F.length("_text") - _without(F.col("_text"), SYMBOLS)).cast("bigint").alias("n_symbols"),
+        F.length(F.array_join("_words", "")).cast("bigint").alias("word_chars"),
+        count_of(text, SYMBOLS).cast("bigint").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint").alias("n_dup_lines"),
         "n_repeat_words",
         F.size("_lines").cast("bigint").alias("n_lines"),
-        F.regexp_count("_text", F.lit(r"\p{Lu}")).cast("bigint").alias("n_capitals"),
-        (F.length("_text") - _without(F.col("_text"), "!?")).cast("bigint").alias("n_shouts"),
-        (F.length("_text") - _without(F.col("_text"), ".!?:;。")).cast("bigint").alias("n_stops"),
-        (F.length("_text") - _without(F.col("_text"), "0123456789")).cast("bigint").alias("n_digits"),
+        count_of(text, r"\p{Lu}").cast("bigint").alias("n_capitals"),
+        count_of(text, "!?").cast("bigint").alias("n_shouts"),
+        count_of(text, ".!?:;。").cast("bigint").alias("n_stops"),
+        count_of(text, "0-9").cast("bigint").alias("n_digits"),
     )
 
 
+RULES = ("symbols", "repeats", "lines", "capitals", "shouts", "digits", "words", "sentences", "prose", "length")
+
+
 def rules() -> dict[str, Column]:
     """The votes, over the figures.
 
@@ -102,13 +101,12 @@ def rules() -> dict[str, Column]:
 def judged(docs: DataFrame, drop: tuple[str, ...] = ()) -> tuple[DataFrame, weak.VoteModel]:
     """``docs`` without ``drop``, with the base columns, ``kept`` and ``posterior``; and the fitted model."""
     votes = rules()
-    names = tuple(votes)
     rows = materialise(measured(docs, drop).select("*", *[v.cast("int").alias(f"_vote_{k}") for k, v in votes.items()]), "quality-figures")
-    counts = rows.groupBy(*[F.col(f"_vote_{k}").alias(k) for k in names]).agg(F.count("*").alias("n"))
-    model = weak.estimate(counts, names)
+    counts = rows.groupBy(*[F.col(f"_vote_{k}").alias(k) for k in RULES]).agg(F.count("*").alias("n"))
+    model = weak.estimate(counts, RULES)
     n = F.col("n_words")
     failed = (n < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * n)
-    rows = rows.withColumn("_failed", failed).withColumn("_good", model.posterior({k: F.col(f"_vote_{k}") for k in names}))
+    rows = rows.withColumn("_failed", failed).withColumn("_good", model.posterior({k: F.col(f"_vote_{k}") for k in RULES}))
     more = [*(F.col(c) for c in BASE), F.col("_failed").alias("base_failed"), (~F.col("_failed") & (F.col("_good") >= 0.5)).alias("kept"), F.col("_good").alias("posterior")]
     return unpacked(rows, *more, replacing=(*BASE, "base_failed", "kept", "posterior")), model
 
@@ -122,7 +120,6 @@ def keep_good(docs: DataFrame) -> DataFrame:
 
 def oracle_sql() -> str:
     """Figures, estimation and verdicts in DuckDB's SQL; the posterior to six places."""
-    names = tuple(rules())
     space, spaces = r"[\x20\x09-\x0D]", "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
     def counted(characters: str) -> str:
@@ -156,13 +153,13 @@ places AS (SELECT row_id, count(DISTINCT place) AS n FROM repeated GROUP BY row_
 figures AS MATERIALIZED (
   SELECT row_id, doc_id, len(w)::BIGINT AS n_words, length(translate(text, {spaces}, ''))::BIGINT AS word_chars, ({counted(SYMBOLS)})::BIGINT AS n_symbols,
     (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(places.n, 0)::BIGINT AS n_repeat_words, len(lines) AS n_lines,
-    length(regexp_replace(text, '[^\p{{Lu}}]', '', 'g')) AS n_capitals, {counted('!?')} AS n_shouts, {counted('.!?:;。')} AS n_stops, {counted('0123456789')} AS n_digits
+    length(regexp_replace(text, '[^\\p{{Lu}}]', '', 'g')) AS n_capitals, {counted('!?')} AS n_shouts, {counted('.!?:;。')} AS n_stops, {counted('0123456789')} AS n_digits
   FROM split LEFT JOIN places USING (row_id)),
 voted AS MATERIALIZED (SELECT *, {', '.join(f'{v} AS {k}' for k, v in votes.items())} FROM figures),
-patterns AS (SELECT {', '.join(names)}, count(*) AS n FROM voted GROUP BY ALL),
-{weak.estimate_sql('patterns', names)}
+patterns AS (SELECT {', '.join(RULES)}, count(*) AS n FROM voted GROUP BY ALL),
+{weak.estimate_sql('patterns', RULES)}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words AS base_failed,
   NOT (n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words) AND p >= 0.5::DOUBLE AS kept, round(round(p, 9), 6) AS posterior
-FROM voted JOIN posteriors USING ({', '.join(names)})
+FROM voted JOIN posteriors USING ({', '.join(RULES)})
 """
