@@ -1,10 +1,14 @@
 """Token counts against the library, the classifier by held-out accuracy, the pipeline stage by stage."""
 
+import math
 import random
+import re
+import unicodedata
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from verdigris.llm import queries, quality_model, tokens
@@ -83,3 +87,111 @@ def test_pipeline(spark, tmp_path):
     assert seen["PII"][103].endswith("mail [EMAIL]") and seen["PII"][0] == clean[0]
     mixed = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in mixed} <= set(seen["PII"]) and len(mixed) > 20
+
+
+def figures(text):
+    """The classifier's figures by a plain loop."""
+    t = text or ""
+    w = re.findall(r"[^\x20\x09-\x0D]+", t)
+    n, chars = max(len(w), 1), max(len(t), 1)
+    share = lambda keep: sum(map(keep, t)) / chars
+    letters = lambda s: (lambda c: c in s)
+    return [
+        math.log1p(len(w)), math.log1p(sum(map(len, w)) / n), share(lambda c: unicodedata.category(c) == "Lu"), share(letters("#*$%&<>=@^~_\\{}")), share(letters("!?")), share(letters("|")),
+        share(letters("0123456789")), share(letters(",.;:'\"()")), sum(a == b for a, b in zip(w, w[1:])) / n, len(set(w)) / n, math.log1p(n / (t.count("\n") + 1)),
+    ]
+
+
+def test_figures_by_a_plain_loop(spark):
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("aBÉ ß\n\t#$|!?09.,;'\"()\\{}^~_@=<>🙂") for _ in range(rng.choice((0, 1, 5, 200)))) for _ in range(200)] + [None, "", " \n", "x " * 5000]
+    rows = spark.createDataFrame([*enumerate(texts)], "i int, text string").withColumn("w", quality_model.words_of(F.col("text")))
+    for r in rows.select("text", F.array(*quality_model.features(F.col("text"), F.col("w"))).alias("x")).collect():
+        assert list(r.x) == pytest.approx(figures(r.text))
+
+
+@pytest.mark.parametrize("prior", [0.3, 0.9])
+def test_risk_and_its_slopes(prior):
+    rng = np.random.default_rng(1)
+    gp, gu = rng.normal(1, 2, 40), rng.normal(0, 2, 70)
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    negative = lambda p, u: np.mean(sigmoid(u)) - prior * np.mean(sigmoid(p))
+    plain = lambda p, u: prior * np.mean(sigmoid(-p)) + max(0, negative(p, u))
+    for shift in (0, -8):  # at -8 the unlabelled share of negatives comes out below zero
+        u = gu + shift
+        value, dp, du = quality_model.risk(gp, u, prior)
+        below = negative(gp, u) < 0
+        assert value == pytest.approx(plain(gp, u)) and (below if shift else below == (prior == 0.9))
+        target = plain if not below else (lambda p, x: -negative(p, x))  # below zero it is undone
+        step = 1e-6
+        for got, at in ((dp, 0), (du, 1)):
+            for k in (0, 7, 39):
+                args = [gp.copy(), u.copy()]
+                args[at][k] += step
+                up = target(*args)
+                args[at][k] -= 2 * step
+                assert got[k] == pytest.approx((up - target(*args)) / (2 * step), abs=1e-7)
+
+
+def test_network_follows_the_slopes():
+    """One small step of training lowers the risk that brute force computes."""
+    rng = np.random.default_rng(4)
+    p, u = rng.normal(1, 1, (200, 3)), np.vstack([rng.normal(1, 1, (200, 3)), rng.normal(-1, 1, (200, 3))])
+
+    def after(steps):
+        w, b, out, bias = quality_model._trained(p, u, lambda gp, gu: quality_model.risk(gp, gu, 0.5)[1:], steps)
+        return quality_model.risk(np.tanh(p @ w + b) @ out + bias, np.tanh(u @ w + b) @ out + bias, 0.5)[0]
+
+    assert after(200) < after(20) < after(1)
+
+
+def test_sample_stays_bounded(spark):
+    """Null ids, one id on many texts and copies neither fill the sample nor leave it empty."""
+    rows = spark.range(3000).selectExpr("IF(id % 3 = 0, NULL, IF(id % 3 = 1, 6L, id)) AS doc_id", "concat('text ', id, repeat(' word', int(id % 50))) AS text")
+    rows = rows.union(spark.range(500).selectExpr("6L AS doc_id", "'same text' AS text"))
+    labels = spark.range(3000).selectExpr("id AS doc_id", "1 AS quality").union(spark.sql("SELECT CAST(NULL AS BIGINT), 1"))
+    assert zlib.crc32(b"6") % 3 != 1
+    positive, unlabelled = quality_model.sampled(rows, labels, 100)
+    assert len(positive) == 100 and 150 < len(unlabelled) <= 200
+    same = quality_model.sampled(rows.repartition(7), labels, 100)
+    assert (same[0] == positive).all() and (same[1] == unlabelled).all()
+
+
+def test_classifier_on_empty_and_odd_tables(spark):
+    docs = spark.createDataFrame([(1, "a b", "mine", "x"), (1, "other words", "mine", "y"), (None, None, "mine", None)], "doc_id bigint, text string, score string, predicted string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (None, 1)], "doc_id bigint, quality int")
+    model = quality_model.train(docs, labels)
+    rows = quality_model.score(docs, model).collect()
+    assert len(rows) == 3 and all(isinstance(r.score, float) and r.predicted in (0, 1) for r in rows)
+    assert quality_model.train(docs.limit(0), labels) is None and quality_model.score(docs.limit(0), None).count() == 0
+
+
+def test_token_counts_of_an_empty_table(spark):
+    assert tokens.count_tokens(spark.createDataFrame([], "doc_id bigint, text string"), queries.tokenizer_path()).count() == 0
+
+
+def test_long_sequences_are_merged_by_ranks():
+    library = sentencepiece.SentencePieceProcessor(model_file=queries.tokenizer_path())
+    rng = random.Random(6)
+    texts = ["".join(rng.choice(s) for _ in range(n)) for s in ("ab", "abcdeinorst", "01-=", "漢字仮名") for n in (257, 3000, 20_000)]
+    assert tokens.Counter(queries.tokenizer_path())(texts) == [len(x) for x in library.encode(texts)]
+
+
+def test_pipeline_on_odd_tables(spark, tmp_path):
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, copy_no string"
+    rng = random.Random(9)
+    text = lambda: " ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(80)) + "."
+    a, b = text(), text()
+    rows = [(1, a, "en", "s", 0, "c"), (1, b, "en", "s", 0, "c"), (1, a, "en", "s", 0, "c"), (None, text(), None, None, None, None)]
+    items = spark.createDataFrame([], "item_id bigint, text string")
+    for name, table in (("empty", []), ("odd", rows)):
+        folder = f"{tmp_path}/{name}"
+        spark.createDataFrame(table, schema).write.parquet(f"{folder}/documents.parquet")
+        items.write.parquet(f"{folder}/benchmark.parquet")
+        now = spark.read.parquet(f"{folder}/documents.parquet")
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            now = stage(spark, now, folder)
+            assert now.columns == schema.replace(" bigint", "").replace(" string", "").split(", ")
+        assert sorted(r.text for r in now.collect() if r.doc_id) == (sorted([a, b]) if table else [])
+        out = corpus_pipeline.run(spark, folder)
+        assert out.columns.count("copy_no") == 1 and out.where("doc_id IS NULL AND text IS NULL").count() == 0

@@ -33,7 +33,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verdigris.llm.common import crc_mod, materialise, packed, unpacked, words_of
+from verdigris.llm.common import count_of, crc_mod, materialise, packed, unpacked, words_of
 
 #: The documented bound of the training sample: rows of each kind.
 SAMPLE = 20_000
@@ -54,18 +54,17 @@ def features(text: Column, words: Column) -> list[Column]:
     n = F.greatest(F.size(words), F.lit(1))
 
     def share(characters: str) -> Column:
-        return (F.length(t) - F.length(F.translate(t, characters, ""))) / chars
+        return count_of(t, characters) / chars
 
-    capitals = F.regexp_count(t, F.lit(r"\p{Lu}")) / chars
     repeats = F.size(F.filter(words, lambda w, i: w == F.get(words, i - 1)))
     return [
         F.log1p(F.size(words).cast("double")),
-        F.log1p(F.length(F.translate(t, " \t\n\x0b\x0c\r", "")) / n),
-        capitals,
-        share("#*$%&<>=@^~_\\{}"),
+        F.log1p(F.length(F.array_join(words, "")) / n),
+        share(r"\p{Lu}"),
+        share(r"#*$%&<>=@\^~_\\{}"),
         share("!?"),
         share("|"),
-        share("0123456789"),
+        share("0-9"),
         share(",.;:'\"()"),
         repeats / n,
         F.size(F.array_distinct(words)) / n,
@@ -189,13 +188,19 @@ def sampled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[n
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where(training)
     rows = rows.withColumn("key", F.xxhash64("doc_id", "text", F.lit("sample")))
     rows = rows.join(F.broadcast(ids), F.col("doc_id") == F.col("trusted_id"), "left").withColumn("trusted", F.col("trusted_id").isNotNull())
-    share = min(1.0, 6.0 * sample / max(docs.count(), 1))  # well more than are wanted; the smallest keys of them are the smallest of all
-    low = F.shiftrightunsigned("key", 11) / F.lit(2.0**53) < share
-    words = words_of(F.col("text"))
-    rows = rows.where(F.col("trusted") | low).dropDuplicates(["trusted", "key"]).withColumn("words", words)
-    drawn = materialise(rows.select("trusted", F.shiftrightunsigned("key", 11).alias("key"), F.array(*features(F.col("text"), F.col("words"))).alias("x")), "quality-sample")
-    take = lambda df, n: np.array([r.x for r in df.orderBy("key").limit(n).collect()])
-    return take(drawn.where("trusted"), sample), take(drawn.where("NOT trusted"), 2 * sample)
+    share = min(1.0, 4.0 * sample / max(docs.count(), 1))  # more than are wanted; the smallest keys of them are the smallest of all
+    rows = rows.withColumn("key", F.shiftrightunsigned("key", 11)).where(F.col("trusted") | (F.col("key") / F.lit(2.0**53) < share))
+    found = []
+    keys = materialise(rows.select("trusted", "key").distinct(), "quality-keys")
+    for trusted, n in ((True, sample), (False, 2 * sample)):
+        last = keys.where(F.col("trusted") == trusted).orderBy("key").limit(n).agg(F.max("key")).first()[0]
+        found.append(-1 if last is None else last)
+    # copies are dropped before their figures are made
+    chosen = rows.where(F.col("key") <= F.when(F.col("trusted"), found[0]).otherwise(found[1])).groupBy("trusted", "key").agg(F.first("text").alias("text"))
+    chosen = chosen.withColumn("words", words_of(F.col("text")))
+    table = chosen.select("trusted", "key", F.array(*features(F.col("text"), F.col("words"))).alias("x")).collect()  # at most 3 ``sample`` rows
+    table.sort(key=lambda r: r.key)
+    return tuple(np.array([r.x for r in table if r.trusted == trusted]) for trusted in (True, False))
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, hidden: int = HIDDEN, margin: float = MARGIN) -> Model | None:
