@@ -52,9 +52,9 @@ ORDER, PRIOR = 2, 200.0  # chosen by ``tuning.language_models`` on training rows
 #: Characters of text per block.
 BLOCK = 4_000_000
 #: Bytes of messages for a bucket, and for a group of blocks at a coarse one; what an n-gram takes in a message, about.
-BUCKET_BYTES, GROUP_BYTES, GRAM_BYTES = 16 << 20, 64 << 20, 6
+BUCKET_BYTES, GROUP_BYTES, GRAM_BYTES = 4 << 20, 64 << 20, 6
 #: Bits of hash that tell the messages of a block apart; least bits, for small corpora.
-COARSE, LEAST_BITS = 10, 5
+COARSE, LEAST_BITS = 10, 3
 #: No text holds this word; it stands for the end, and before the first word for the start.
 END = b"\n"
 
