@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import tempfile
 import uuid
 
 import numpy as np
@@ -11,6 +10,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from verdigris.sources.storage import shared_folder
+
 #: A word is a run of characters other than space, tab, LF, VT, FF and CR.
 SEPARATOR = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -23,18 +24,9 @@ SIMILARITY = (4, 5)
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh folder that the driver and all executors see.
 
-    It lies in ``spark.checkpoint.dir``. Only where that is unset, as in tests
-    on one machine, is a temporary folder made and set as checkpoint folder.
+    It lies in the session's checkpoint folder.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        set_by_hand = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if set_by_hand.isDefined():
-            base = set_by_hand.get()
-        else:
-            base = "file://" + tempfile.mkdtemp(prefix="verdigris-")
-            spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
