@@ -6,7 +6,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from verdigris import cli, config
+from verdigris import cli, config, utilities
 from verdigris.sources import storage
 from verdigris.streaming import ingest
 
@@ -28,10 +28,54 @@ def test_command_line(spark, corpus, tmp_path):
     assert out("halves").count() == 60 and out("depths").count() == 240 and out("combined").count() == 240
     assert out("watermarked").count() == 30 and out("variations").count() == 240
     results = spark.read.options(header="true").csv(f"{tmp_path}/out/results").collect()
-    assert {r.experiment for r in results} == {n for n, d in config.EXPERIMENTS if len([x for x in d if x <= 3]) > 1}
+    assert results[0].asDict().keys() == {"Experiment", "AUC", "Precision", "Recall", "F1", "ConfusionMatrix", "Accuracy"} and results[0].ConfusionMatrix.startswith("[[")
+    assert {r.Experiment for r in results} == {n for n, d in config.EXPERIMENTS if len([x for x in d if x <= 3]) > 1}
     cli.main(["watermark", *common, "--new-words", "20"])  # nothing is left to do
     assert spark.read.parquet(f"{tmp_path}/out/watermarked").count() == 30
     cli.main(["analyze", *common, "--skip-combine", "--skip-rolling"])
+    cli.main(["detect", *common, "--csv"])  # nothing is left to do, too
+    assert out("detected").count() == 240
+    cli.main(["pipeline", *common, "--csv", "--input", corpus, "--window-size", "20", "--stride", "5", "--steps", "combine", "rolling"])
+    back = cli.read_combined(spark, str(tmp_path / "out" / "csv"), [0, 1, 2, 3])
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, out("combined").select(*back.columns).collect()))
+    files = {p.name for p in (tmp_path / "out" / "csv").iterdir()}
+    assert {"AI_D0.csv", "Human_D3.csv", "combined_D2.csv", "rolling_D1.csv"} <= files
+    assert "z_score_1" in spark.read.options(header="true").csv(str(tmp_path / "out" / "csv" / "rolling_D1.csv")).columns
+
+
+FAILING = '''
+class Failing:
+    """A paraphraser that can't do with texts that hold a certain word."""
+
+    def transform(self, batch):
+        if batch["prompt"].str.contains("poison").any():
+            raise RuntimeError("no such text")
+        return batch["prompt"].str.len().map(lambda n: f"Output: {n} words")
+'''
+
+
+def test_paraphrase_by_a_model(spark, tmp_path):
+    (tmp_path / "failing_model.py").write_text(FAILING)
+    spark.sparkContext.addPyFile(str(tmp_path / "failing_model.py"))
+    rows = [(2**53 + 1, "ai", 1, ["good", "text"]), (None, "ai", 1, ["poison"]), (3, "human", 0, ["fine"])]
+    spark.createDataFrame(rows, "doc_id bigint, text_type string, label int, words array<string>").write.parquet(f"{tmp_path}/out/halves")
+    cli.main(["paraphrase", "--output", f"{tmp_path}/out", "--iterations", "2", "--text-type", "ai", "--model-path", "failing_model:Failing", "--csv"])
+    got = spark.read.parquet(f"{tmp_path}/out/depths").collect()
+    assert {r.doc_id for r in got} == {2**53 + 1, None} and len(got) == 6
+    assert " ".join(next(r.words for r in got if r.depth == 1 and r.doc_id is None)) == "ERROR: no such text"
+
+
+def test_missing_input_and_helpers(tmp_path, spark, capsys):
+    cli.main(["dataset", "--output", str(tmp_path / "o"), "--input", str(tmp_path / "none" / "*")])
+    assert "nothing at" in capsys.readouterr().err and not (tmp_path / "o").exists()
+    log = utilities.setup_logging(tmp_path / "logs", name="test")
+    log.info("hello")
+    assert "hello" in next((tmp_path / "logs").iterdir()).read_text()
+    utilities.ensure_directories(tmp_path / "a" / "b", tmp_path / "c")
+    assert (tmp_path / "a" / "b").is_dir() and utilities.cleanup_temp_files(tmp_path / "a") and not utilities.cleanup_temp_files(tmp_path / "a")
+    assert utilities.get_device() in ("cpu", "cuda") and utilities.get_memory_usage()["rss_mb"] > 1
+    (tmp_path / "k.json").write_text('{"username": "u", "key": "k"}')
+    assert utilities.setup_download_credentials(tmp_path / "k.json", tmp_path).stat().st_mode & 0o777 == 0o600
 
 
 def test_streaming_detection(spark, tmp_path):

@@ -74,8 +74,7 @@ def test_closed_form_against_walk(spark):
 
 def test_statistics(spark):
     df = spark.createDataFrame([(1, "1101100111"), (2, "0000000000"), (3, "0110100"), (4, "")], "id int, bits string")
-    wins = windows.features(windows.windows(df.where("id <> 3"), config.Windows(4, 2)), 0.25).unionByName(windows.features(windows.windows(df.where("id = 3"), config.Windows(5, 10)), 0.25))
-    got = {r.id: r for r in windows.rolling(df, wins.drop("bits"), "id").collect()}
+    got = {r.id: r for part, shape in (("id <> 3", (4, 2)), ("id = 3", (5, 10))) for r in windows.rolling(df.where(part), config.Windows(*shape), 0.25, "id").collect()}
     near = lambda r, p, values: [getattr(r, f"{p}_{m}") for m in windows.MOMENTS] == pytest.approx(values, abs=1e-6)
     assert near(got[1], "z", [2.067653, 0.280365, 1.154701, 2.449490, -1.123096, -0.689763])
     assert near(got[1], "run", [2.5, 0.25, 2, 3, 0, -2]) and near(got[1], "freq", [1.25, 0.1875, 1, 2, 1.154701, -0.666667])
@@ -131,6 +130,37 @@ def test_detection(spark):
     assert [r.prediction for r in detection.predicted(z, MARK).collect()] == [False, True]
     assert [r.prediction for r in detection.predicted(z, MARK, threshold=0).collect()] == [False, True]
     assert detection.text_column(spark.createDataFrame([(1, "")], "id int, my_Text string")) == "my_Text"
+    assert detection.text_column(spark.createDataFrame([(1, "")], "doc_id int, paraphrase_iter_3 string")) == "paraphrase_iter_3"
+    assert detection.text_column(spark.createDataFrame([(1, "")], "doc_id int, content string")) == "doc_id"
+    file = detection.detection_file(spark.createDataFrame([("a b",), (None,)], "original_text string"), MARK).collect()
+    assert [(r.watermark_bits == "ERROR", r.num_tokens_scored) for r in file] == [(False, 1), (True, 0)]
+    pieces = detection.detection_file(spark.createDataFrame([("abcd",)], "text string"), MARK, tokenize=lambda t: F.split(t, "")).first()
+    assert pieces.num_tokens_scored == 3
+
+
+def test_upper_end_of_the_lists(spark):
+    other = replace(MARK, select_green_tokens=False)
+    words = [f"w{k}" for k in range(4000)]
+    df = spark.createDataFrame([(words,)], "words array<string>")
+    low, high = (detection.scored(df, m).first().bits for m in (MARK, other))
+    assert high == [int(generation.green(a, b, other)) for a, b in zip(words, words[1:])] and abs(sum(high) / 3999 - 0.25) < 0.03
+    assert not any(a and b for a, b in zip(low, high))
+
+
+def test_exact_lists_by_ranges(spark, monkeypatch):
+    monkeypatch.setattr(vocabulary, "RANGES", 8)
+    import hashlib
+
+    tokens = [f"t{k}" for k in range(203)]
+    vocab, prev = spark.createDataFrame([(t,) for t in tokens], "token string"), spark.createDataFrame([("p",), ("q",), ("p",), (None,)], "prev string")
+    for mark in (MARK, replace(MARK, select_green_tokens=False), replace(MARK, gamma=0.999)):
+        got = {(r.prev, r.token) for r in vocabulary.greenlists(prev, vocab, mark).collect()}
+        n = int(203 * mark.gamma)
+        for p in "pq":
+            order = sorted(tokens, key=lambda t: (hashlib.md5(f"{mark.hash_key}:{p}:{t}".encode()).hexdigest()[:8], t))
+            assert {t for x, t in got if x == p} == set(order[:n] if mark.select_green_tokens else order[203 - n :])
+        assert len(got) == 2 * n
+    assert vocabulary.greenlists(prev, vocab.limit(0), MARK).count() == 0
 
 
 def test_green_share_and_lists(spark):
@@ -193,7 +223,7 @@ def test_merging_and_labelling(spark):
 def test_stability_and_metrics(spark):
     rows = [(d, 1, 0, float(z)) for d, z in zip((1, 2, 3), (1, 2, 4))] + [(d, 1, 1, 5.0) for d in (1, 2, 3)] + [(d, 1, 2, 1.0) for d in (1, 3)]
     wins = spark.createDataFrame(rows, "depth int, id bigint, win_idx int, z double")
-    pss = {r.win_idx: r.pss for r in stability.matrix(wins, stability.experiments(spark, [("x", (1, 2, 3))])).collect()}
+    pss = {r.win_idx: r.pss for r in stability.matrix(wins, [("x", (1, 2, 3))]).collect()}
     assert pss == {0: pytest.approx(1.247219, abs=1e-6), 1: 0.0, 2: 0.0}
     assert stability.common_windows(wins).first().n_windows == 2
     table = spark.createDataFrame([(1, 0.9), (0, 0.1), (1, 0.4), (0, 0.4), (0, 0.3)], "label int, p double")
@@ -232,4 +262,4 @@ def test_settings(tmp_path):
     assert config.load(tmp_path / "d.yaml") == s
     with pytest.raises(NotImplementedError):
         config.Watermark(scheme="other")
-    assert len(config.EXPERIMENTS) == 13
+    assert len(config.EXPERIMENTS) == 13 and config.EXPERIMENTS[1] == ("D1-D2-D3", (1, 2, 3)) and config.EXPERIMENTS[-1] == ("D7-D8", (7, 8))

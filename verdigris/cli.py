@@ -1,18 +1,22 @@
 """Commands: dataset, watermark, paraphrase, detect, analyze, pipeline.
 
 ``python -m verdigris.cli COMMAND --help`` tells the options of each. Tables
-between the steps are Parquet; ``--csv`` exports in the columns that files of
-this kind have.
+between the steps are Parquet; ``--csv`` exports each step's result as files
+of the usual names and columns besides, and ``read_combined`` takes such files
+back.
 """
 
 from __future__ import annotations
 
 import argparse
+import sys
 from dataclasses import replace
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from verdigris import utilities
 from verdigris.config import EXPERIMENTS, Settings, load
 from verdigris.operators import corpus, detection, generation, metrics, paraphrasing, reshape, stability, windows
 from verdigris.sources import storage
@@ -33,13 +37,45 @@ def save(df: DataFrame, path: str, csv: bool = False) -> None:
     storage.write_csv(df, path, single=True) if csv else df.write.mode("overwrite").parquet(path)
 
 
+def export(df: DataFrame, a: argparse.Namespace, name: str) -> None:
+    """One CSV folder of one file below ``csv``, if wanted."""
+    if a.csv:
+        save(df, f"{a.output}/csv/{name}.csv", csv=True)
+
+
+def depths_of(df: DataFrame) -> list[int]:
+    return sorted(r.depth for r in df.select("depth").distinct().collect())  # a row per depth
+
+
+def factory(name: str):
+    """``module:callable`` as a function that makes a model on a worker."""
+    module, _, attribute = name.partition(":")
+    return lambda: getattr(import_module(module), attribute)()
+
+
 def dataset(spark: SparkSession, a: argparse.Namespace, s: Settings) -> None:
+    if a.kaggle_json:
+        utilities.setup_download_credentials(a.kaggle_json)
+    if a.download:
+        raise SystemExit("downloads are not part of this package: fetch the archive and pass its path as --input")
+    if not storage.exists(spark, a.input):
+        print(f"nothing at {a.input}", file=sys.stderr)
+        return
     texts = read(spark, a.input)
     made = corpus.halves(texts, replace(s.corpus, num_samples=a.num_samples) if a.num_samples else s.corpus)
     made.write.mode("overwrite").partitionBy("text_type").parquet(f"{a.output}/halves")
+    saved = spark.read.parquet(f"{a.output}/halves")
+    table = saved.select("text_type", F.array_join("words", " ").alias("text"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("filename"), F.size("words").alias("word_count"))
+    for kind in ("human", "ai"):
+        export(table.where(F.col("text_type") == kind).drop("text_type"), a, f"{kind}_text")
     if a.create_variations:
-        rows = made.withColumn("text", F.array_join("words", " ")).drop("words")
+        rows = saved.withColumn("text", F.array_join("words", " ")).drop("words")
         corpus.length_variations(rows).write.mode("overwrite").partitionBy("text_type", "target_words").parquet(f"{a.output}/variations")
+        cut = spark.read.parquet(f"{a.output}/variations")
+        for kind in ("human", "ai"):
+            for n in corpus.LENGTHS:
+                rows = cut.where((F.col("text_type") == kind) & (F.col("target_words") == n)).drop("text_type", "target_words")
+                export(rows, a, f"{'ai_watermarked' if kind == 'ai' else kind}_{n}")
 
 
 def watermark(spark: SparkSession, a: argparse.Namespace, s: Settings) -> None:
@@ -51,24 +87,61 @@ def watermark(spark: SparkSession, a: argparse.Namespace, s: Settings) -> None:
         work(prompts).write.mode("overwrite").parquet(f"{a.output}/watermarked")
     else:
         storage.append_new(prompts, f"{a.output}/watermarked", work, "doc_id")
+    export(spark.read.parquet(f"{a.output}/watermarked"), a, "ai_watermark_bits")
 
 
 def paraphrase(spark: SparkSession, a: argparse.Namespace, s: Settings) -> None:
     settings = replace(s.paraphrase, iterations=a.iterations or s.paraphrase.iterations)
     texts = spark.read.parquet(f"{a.output}/halves")
-    paraphrasing.rounds(texts, settings).write.mode("overwrite").partitionBy("text_type", "depth").parquet(f"{a.output}/depths")
+    if a.text_type != "both":
+        texts = texts.where(F.col("text_type") == a.text_type)
+    if a.model_path:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", a.batch_size)
+        table = texts.select("doc_id", "text_type", "label", F.array_join("words", " ").alias("text"))
+        wide = paraphrasing.with_model(table, factory(a.model_path), settings)
+        export(wide.drop("label"), a, f"{a.text_type}_paraphrased")
+        deep = reshape.unpivoted(wide, settings.iterations, ("doc_id", "text_type", "label")).withColumn("words", F.split("text", " ")).drop("text")
+    else:
+        deep = paraphrasing.rounds(texts, settings)
+    deep.write.mode("overwrite").partitionBy("text_type", "depth").parquet(f"{a.output}/depths")
 
 
 def detect(spark: SparkSession, a: argparse.Namespace, s: Settings) -> None:
-    rows = detection.scored(spark.read.parquet(f"{a.output}/depths"), s.watermark).drop("words")
-    rows = rows.withColumn("bits", F.array_join(F.col("bits").cast("array<string>"), ""))
-    rows.write.mode("overwrite").partitionBy("text_type", "depth").parquet(f"{a.output}/detected")
+    """Scores what is not scored yet, or with --force-restart all."""
+    key, path = ["doc_id", "text_type", "depth"], f"{a.output}/detected"
+
+    def work(df: DataFrame) -> DataFrame:
+        rows = detection.scored(df, s.watermark).drop("words")
+        return rows.withColumn("bits", F.array_join(F.col("bits").cast("array<string>"), ""))
+
+    todo = spark.read.parquet(f"{a.output}/depths")
+    if a.text_type != "both":
+        todo = todo.where(F.col("text_type") == a.text_type)
+    if a.force_restart:
+        work(todo).write.mode("overwrite").partitionBy("text_type", "depth").parquet(path)
+    else:
+        storage.append_new(todo, path, work, key, ("text_type", "depth"))
+    found = spark.read.parquet(path)
+    columns = found.withColumn("watermark_bits", windows.literal(F.col("bits"))).withColumnRenamed("num_green_tokens", "green_token_count")
+    for k in depths_of(found) if a.csv else []:
+        for kind, name in (("ai", "AI"), ("human", "Human")):
+            export(columns.where((F.col("depth") == k) & (F.col("text_type") == kind)).select("doc_id", *detection.FILE_COLUMNS), a, f"{name}_D{k}")
 
 
 def combine(spark: SparkSession, a: argparse.Namespace, s: Settings) -> None:
     found = spark.read.parquet(f"{a.output}/detected")
     ids = reshape.sequential_ids(found.where("depth = 0").select("doc_id", "text_type", "label")).drop("label")
     found.join(ids, ["doc_id", "text_type"]).write.mode("overwrite").partitionBy("depth").parquet(f"{a.output}/combined")
+    made = spark.read.parquet(f"{a.output}/combined")
+    for k in depths_of(made) if a.csv else []:
+        export(made.where(F.col("depth") == k).select("id", F.col("bits").alias("0_1_sequence"), "z_score", "label"), a, f"combined_D{k}")
+
+
+def read_combined(spark: SparkSession, folder: str, depths: list[int]) -> DataFrame:
+    """(depth, id, label, z_score, bits) of exported ``combined_D{k}`` files, as the later steps take them."""
+    schema = "id bigint, `0_1_sequence` string, z_score double, label int"
+    parts = [storage.read_csv(spark, f"{folder}/combined_D{k}.csv", schema).withColumn("depth", F.lit(k)) for k in depths]
+    return reshape.merged(parts).select("depth", "id", "label", "z_score", F.coalesce(F.col("0_1_sequence"), F.lit("")).alias("bits"))
 
 
 def rolling(spark: SparkSession, a: argparse.Namespace, s: Settings) -> None:
@@ -76,27 +149,33 @@ def rolling(spark: SparkSession, a: argparse.Namespace, s: Settings) -> None:
     rows = spark.read.parquet(f"{a.output}/combined").select("depth", "id", "label", "z_score", "bits")
     wins = windows.features(windows.windows(rows.drop("z_score"), chosen), s.watermark.gamma)
     wins.drop("win", "bits").write.mode("overwrite").partitionBy("depth").parquet(f"{a.output}/windows")
-    saved = spark.read.parquet(f"{a.output}/windows")
-    windows.rolling(rows.drop("bits"), saved.drop("label"), "depth", "id").write.mode("overwrite").partitionBy("depth").parquet(f"{a.output}/rolling")
+    windows.rolling(rows, chosen, s.watermark.gamma, "id").write.mode("overwrite").partitionBy("depth").parquet(f"{a.output}/rolling")
+    saved, static = spark.read.parquet(f"{a.output}/windows"), spark.read.parquet(f"{a.output}/rolling")
+    for k in depths_of(static) if a.csv else []:
+        here = saved.where(F.col("depth") == k)
+        n = (here.agg(F.max("win_idx")).first()[0] or 0) + 1
+        export(static.where(F.col("depth") == k).drop("depth").join(windows.wide(here, n, "id"), "id", "left"), a, f"rolling_D{k}")
 
 
 def pss(spark: SparkSession, a: argparse.Namespace, s: Settings) -> None:
     wins, static = spark.read.parquet(f"{a.output}/windows"), spark.read.parquet(f"{a.output}/rolling")
-    there = {r.depth for r in wins.select("depth").distinct().collect()}  # a row per depth
+    there = depths_of(wins)
     results = []
-    for position, (name, depths) in enumerate(EXPERIMENTS):
+    for position, (name, depths) in enumerate(s.experiments or EXPERIMENTS):
         depths = tuple(d for d in depths if d in there)
         if len(depths) < 2:
             continue
         chosen = wins.where(F.col("depth").isin(*depths))
         n = stability.common_windows(chosen).first().n_windows
-        pss = stability.matrix(chosen.where(F.col("win_idx") < n), stability.experiments(spark, [(name, depths)]))
-        table = stability.split(storage.stored(stability.features(pss, static.where(F.col("depth") == depths[0]), n), "features"), s.classifier)
+        pss = stability.matrix(chosen.where(F.col("win_idx") < n), [(name, depths)])
+        own = stability.features(pss, static.where(F.col("depth") == depths[0]), n, s.static_features or windows.STATIC)
+        table = stability.split(storage.stored(own, "features"), s.classifier)
         judged = storage.stored(stability.classified(storage.stored(table, "split"), s.classifier), "judged")
         auc = metrics.roc_auc(judged, "probability").first().auc
         results.append(metrics.rates(metrics.cells(judged)).select(F.lit(position).alias("position"), F.lit(name).alias("experiment"), F.lit(auc).alias("auc"), "*"))
     if results:
-        save(metrics.formatted(reshape.merged(results)), f"{a.output}/results", csv=True)
+        save(metrics.formatted(reshape.merged(results).orderBy("position")), f"{a.output}/results", csv=True)
+        print(metrics.summarised(spark.read.options(header="true", inferSchema="true").csv(f"{a.output}/results")))
 
 
 def parser() -> argparse.ArgumentParser:
@@ -105,21 +184,25 @@ def parser() -> argparse.ArgumentParser:
 
     def command(name: str, text: str, *options: tuple[str, dict]) -> None:
         c = commands.add_parser(name, help=text)
-        c.add_argument("--output", required=True, help="folder of the tables of all steps")
+        c.add_argument("--output", "--output-dir", "--results-dir", required=True, help="folder of the tables of all steps")
+        c.add_argument("--csv", action="store_true", help="export each step's result as CSV, too")
         c.add_argument("--exp-config"), c.add_argument("--model-config")
         for flag, more in options:
             c.add_argument(flag, **more)
 
     number, flag = {"type": int, "default": 0}, {"action": "store_true"}
-    cut = [("--input", {"required": True}), ("--num-samples", number), ("--create-variations", flag)]
-    mark = [("--max-rows", number), ("--new-words", {"type": int, "default": 200}), ("--force-restart", flag)]
+    cut = [("--input", {"required": True}), ("--num-samples", number), ("--create-variations", flag), ("--download", flag), ("--kaggle-json", {"default": None})]
+    again = ("--force-restart", flag)
+    mark = [("--max-rows", number), ("--new-words", {"type": int, "default": 200})]
+    kind = ("--text-type", {"choices": ("human", "ai", "both"), "default": "both"})
+    para = [("--iterations", number), ("--model-path", {"default": None, "help": "module:callable that makes a paraphraser; without it a stand-in"}), ("--batch-size", {"type": int, "default": 10})]
     look = [("--window-size", number), ("--stride", number), ("--mode", {"choices": ("clean", "literal")})]
     command("dataset", "cut samples from a corpus", *cut)
-    command("watermark", "continue the machine side with a watermark", *mark)
-    command("paraphrase", "rounds of paraphrase", ("--iterations", number))
-    command("detect", "score all depths")
+    command("watermark", "continue the machine side with a watermark", *mark, again)
+    command("paraphrase", "rounds of paraphrase", *para, kind)
+    command("detect", "score all depths", kind, again)
     command("analyze", "windows, stability, classifier", *look, ("--skip-combine", flag), ("--skip-rolling", flag))
-    command("pipeline", "several steps", *cut, *mark, ("--iterations", number), *look, ("--steps", {"nargs": "+", "choices": ("all", *STEPS), "default": ["all"]}))
+    command("pipeline", "several steps", *cut, *mark, *para, kind, again, *look, ("--steps", {"nargs": "+", "choices": ("all", *STEPS), "default": ["all"]}))
     return p
 
 

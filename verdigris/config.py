@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import asdict, dataclass, field, fields, replace
+from dataclasses import asdict, dataclass, field, fields, is_dataclass, replace
 from pathlib import Path
 
 SCHEMES = ("simple_1",)
@@ -77,10 +77,13 @@ class Settings:
     paraphrase: Paraphrase = field(default_factory=Paraphrase)
     windows: Windows = field(default_factory=Windows)
     classifier: Classifier = field(default_factory=Classifier)
+    #: (name, depths) of each experiment, and the static figures that the classifier sees.
+    experiments: tuple[tuple[str, tuple[int, ...]], ...] = ()
+    static_features: tuple[str, ...] = ()
 
 
-#: Depth sets of the sweep: prefixes from D1-D2 on, suffixes down to D7-D8.
-EXPERIMENTS = tuple([(f"D1-D{k}", tuple(range(1, k + 1))) for k in range(2, 9)] + [(f"D{k}-D8", tuple(range(k, 9))) for k in range(2, 8)])
+#: Depth sets of the sweep, named by their depths: those from D1 on, then those up to D8.
+EXPERIMENTS = tuple(("-".join(f"D{d}" for d in ds), ds) for ds in [tuple(range(1, k + 1)) for k in range(2, 9)] + [tuple(range(k, 9)) for k in range(2, 8)])
 
 #: Settings that leave enough of the small synthetic corpus.
 SMALL = Settings(Corpus(2, 120, None), Watermark(), Paraphrase(), Windows(20, 5), Classifier(trees=10))
@@ -102,6 +105,11 @@ def _flat(value) -> dict:
     return out
 
 
+def _listed(value) -> list[dict]:
+    """Experiments as mappings; ``save`` writes them as pairs."""
+    return [e if isinstance(e, dict) else {"name": e[0], "depths": e[1]} for e in value or ()]
+
+
 def load(*paths: str | Path, base: Settings | None = None) -> Settings:
     """Settings from YAML files; unknown keys are ignored, later files win."""
     import yaml
@@ -110,10 +118,13 @@ def load(*paths: str | Path, base: Settings | None = None) -> Settings:
     for path in paths:
         found |= _flat(yaml.safe_load(Path(path).read_text(encoding="utf-8")))
     settings = base or Settings()
-    return Settings(**{f.name: replace(part := getattr(settings, f.name), **_known(type(part), found)) for f in fields(settings)})
+    parts = {f.name: replace(part, **_known(type(part), found)) for f in fields(settings) if is_dataclass(part := getattr(settings, f.name))}
+    sets = [(e["name"], tuple(e["depths"])) for key in ("depth_experiments", "alternative_depth_experiments", "experiments") for e in _listed(found.get(key))]
+    return Settings(**parts, experiments=tuple(sets) or settings.experiments, static_features=tuple(found.get("static_features") or settings.static_features))
 
 
 def save(settings: Settings, path: str | Path) -> None:
     import yaml
 
-    Path(path).write_text(yaml.safe_dump(asdict(settings), sort_keys=False), encoding="utf-8")
+    values = asdict(settings) | {"experiments": [{"name": n, "depths": list(d)} for n, d in settings.experiments], "static_features": list(settings.static_features)}
+    Path(path).write_text(yaml.safe_dump(values, sort_keys=False), encoding="utf-8")

@@ -11,9 +11,9 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, r"\s+"), lambda w: w != "")
 
 
-def word_count(text: Column) -> Column:
-    """Number of words; a null text counts none."""
-    return F.coalesce(F.size(words(text)), F.lit(0)).cast("bigint")
+def word_count(text: Column, null: int = 0) -> Column:
+    """Number of words; a null text counts ``null`` (1 where files hold it as the word ``nan``)."""
+    return F.coalesce(F.size(words(text)), F.lit(null)).cast("bigint")
 
 
 def lines(text: Column) -> Column:

@@ -52,7 +52,11 @@ def with_trimmed(df: DataFrame, n: int, text_column: str = "text", output_column
     return df.withColumns({output_column: text, count_name: count})
 
 
-def length_variations(df: DataFrame, lengths: tuple[int, ...] = (1500, 1000, 500, 300), text_column: str = "text") -> DataFrame:
+#: Words of the usual length variations.
+LENGTHS = (1500, 1000, 500, 300)
+
+
+def length_variations(df: DataFrame, lengths: tuple[int, ...] = LENGTHS, text_column: str = "text") -> DataFrame:
     """A row for each wanted length: ``target_words``, the cut text and its count."""
     rows = df.withColumn("target_words", F.explode(F.array(*map(F.lit, lengths))))
     text, count = T.trimmed(F.col(text_column), F.col("target_words"))

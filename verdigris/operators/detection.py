@@ -5,7 +5,9 @@ A text is scored inside its row: no token is exploded and nothing shuffled.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verdigris.config import Watermark
@@ -13,8 +15,8 @@ from verdigris.functions import scores as S
 from verdigris.functions.text import words
 from verdigris.operators.vocabulary import bigrams
 
-#: Names of text columns in order of preference is not kept: the first column that fits is taken.
-TEXT_COLUMNS = ("text", "content", "original_text", "generated_text", "paraphrased_text", "text_cleaned", "paraphrase", "document", "body", "article")
+#: Names under which files of this kind have their text; fixed values.
+TEXT_COLUMNS = ("text", "original_text", "paraphrase_iter_1", "paraphrase_iter_2", "paraphrase_iter_3", "paraphrase_iter_4", "paraphrase_iter_5", "paraphrase_iter_6", "paraphrase_iter_7", "paraphrase_iter_8")
 
 
 def text_column(df: DataFrame) -> str:
@@ -27,7 +29,7 @@ def scored(df: DataFrame, mark: Watermark, tokens: str = "words") -> DataFrame:
 
     A text of one token or none has no bits and zeros; so has a null one.
     """
-    rows = df.withColumn("bits", F.coalesce(S.green_bits(F.col(tokens), mark.hash_key, mark.gamma), F.array().cast("array<int>")))
+    rows = df.withColumn("bits", F.coalesce(S.green_bits(F.col(tokens), mark.hash_key, mark.gamma, mark.select_green_tokens), F.array().cast("array<int>")))
     n, green = F.col("num_tokens_scored"), F.col("num_green_tokens")
     rows = rows.withColumn("num_tokens_scored", F.size("bits").cast("bigint"))
     rows = rows.withColumn("num_green_tokens", F.aggregate("bits", F.lit(0), lambda a, b: a + b).cast("bigint"))
@@ -47,7 +49,7 @@ def predicted(df: DataFrame, mark: Watermark, threshold: float | None = None, co
 
 def unique_bigram_scores(texts: DataFrame, mark: Watermark) -> DataFrame:
     """Scores over each text's distinct bigrams, each counted once."""
-    green = F.when(S.is_green(F.col("prev"), F.col("token"), mark.hash_key, mark.gamma), 1).otherwise(0)
+    green = F.when(S.is_green(F.col("prev"), F.col("token"), mark.hash_key, mark.gamma, mark.select_green_tokens), 1).otherwise(0)
     counts = bigrams(texts).groupBy("doc_id", "text_type").agg(F.count("*").alias("num_tokens_scored"), F.sum(green).alias("num_green_tokens"))
     return counts.withColumn("z_score", S.z_score(F.col("num_green_tokens"), F.col("num_tokens_scored"), mark.gamma))
 
@@ -57,5 +59,20 @@ def summary(scores: DataFrame, *by: str) -> DataFrame:
 
 
 def csv_bits(df: DataFrame) -> DataFrame:
-    """The columns of a detection file; bits joined by commas."""
-    return df.withColumn("watermark_bits", F.array_join(F.col("bits").cast("array<string>"), ","))
+    """The columns of a detection file; bits joined by commas, ``ERROR`` where there is no array of bits."""
+    return df.withColumn("watermark_bits", F.coalesce(F.array_join(F.col("bits").cast("array<string>"), ","), F.lit("ERROR")))
+
+
+#: Columns of a detection file, in order.
+FILE_COLUMNS = ("watermark_bits", "z_score", "green_fraction", "green_token_count", "num_tokens_scored")
+
+
+def detection_file(df: DataFrame, mark: Watermark, text: str | None = None, tokenize: Callable[[Column], Column] = words) -> DataFrame:
+    """``df`` with the columns of a detection file. ``tokenize`` makes an array of tokens of a text column.
+
+    A text that can't be tokenised, a null one, gets the bits ``ERROR`` and zeros.
+    """
+    text = text or text_column(df)
+    rows = scored(df.withColumn("_tokens", tokenize(F.col(text))), mark, "_tokens")
+    rows = rows.withColumn("bits", F.when(F.col("_tokens").isNotNull(), F.col("bits")))
+    return csv_bits(rows).withColumnRenamed("num_green_tokens", "green_token_count").drop("bits", "_tokens")

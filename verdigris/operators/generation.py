@@ -8,7 +8,7 @@ import random
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +24,8 @@ class Generator(Protocol):
 
 def green(before: str, token: str, mark: Watermark) -> bool:
     """The column predicate of ``functions.scores`` for one pair."""
-    return int(hashlib.md5(f"{mark.hash_key}:{before}:{token}".encode()).hexdigest()[:8], 16) < mark.gamma * 4294967296
+    u = int(hashlib.md5(f"{mark.hash_key}:{before}:{token}".encode()).hexdigest()[:8], 16)
+    return u < mark.gamma * 4294967296 if mark.select_green_tokens else u >= (1 - mark.gamma) * 4294967296
 
 
 class PromptSampler:
@@ -41,7 +42,8 @@ class PromptSampler:
         last = prompt[-1] if prompt else None
         while last is not None and len(out) < length:
             # half of the candidates follow the last word somewhere, half come from anywhere
-            choices = (follow.get(last) or prompt)[:8] + [draw.choice(prompt) for _ in range(8)]
+            near = follow.get(last) or prompt
+            choices = [draw.choice(near) for _ in range(8)] + [draw.choice(prompt) for _ in range(8)]
             weights = [math.exp(self.mark.delta) if green(last, t, self.mark) else 1.0 for t in choices]
             last = draw.choices(choices, weights)[0]
             out.append(last)
@@ -52,12 +54,14 @@ def generated(prompts: DataFrame, make: Callable[[], Generator], length: int, ma
     """(doc_id, original_text, generated_text, counts) and the bits and z of prompt and continuation together."""
     schema = "doc_id bigint, words array<string>, new array<string>"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = make()
         for batch in batches:
-            yield batch.assign(new=[model.generate(list(w), length, str(i)) for i, w in zip(batch["doc_id"], batch["words"], strict=True)])
+            ids, words = batch.column("doc_id"), batch.column("words")  # as Arrow columns, ids stay integers beside nulls
+            new = [model.generate(w or [], length, str(i)) for i, w in zip(ids.to_pylist(), words.to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([ids, words, pa.array(new, pa.list_(pa.string()))], names=["doc_id", "words", "new"])
 
-    rows = prompts.select("doc_id", F.slice("words", F.lit(1), F.lit(2000)).alias("words")).mapInPandas(run, schema)
+    rows = prompts.select("doc_id", F.slice("words", F.lit(1), F.lit(2000)).alias("words")).mapInArrow(run, schema)
     rows = scored(rows.withColumn("full", F.concat("words", "new")), mark, "full")
     return rows.select(
         "doc_id", F.array_join("words", " ").alias("original_text"), F.array_join("new", " ").alias("generated_text"), F.size("words").cast("bigint").alias("original_word_count"),

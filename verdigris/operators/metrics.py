@@ -48,8 +48,19 @@ def roc_auc(table: DataFrame, score: str) -> DataFrame:
 
 
 def formatted(results: DataFrame) -> DataFrame:
-    """Results as they are printed: AUC with three places, rates with four."""
-    return results.withColumns({"auc": F.format_string("%.3f", "auc"), **{c: F.round(c, 4) for c in ("accuracy", "precision", "recall", "f1")}})
+    """Results in the columns of a results file: AUC with three places as text, rates with four, the matrix as text."""
+    cell = lambda c: F.col(c).cast("string")
+    matrix = F.concat(F.lit("[["), cell("tn"), F.lit(", "), cell("fp"), F.lit("], ["), cell("fn"), F.lit(", "), cell("tp"), F.lit("]]"))
+    rates = [F.round(c, 4).alias(name) for c, name in (("precision", "Precision"), ("recall", "Recall"), ("f1", "F1"))]
+    return results.select(F.col("experiment").alias("Experiment"), F.format_string("%.3f", "auc").alias("AUC"), *rates, matrix.alias("ConfusionMatrix"), F.round("accuracy", 4).alias("Accuracy"))
+
+
+def summarised(results: DataFrame, limit: int = 1000) -> str:
+    """A few lines for each experiment of ``formatted`` results, and the one of best accuracy; a row per experiment, at most ``limit``."""
+    rows = results.limit(limit).collect()
+    lines = [f"{r.Experiment}: AUC {r.AUC}, F1 {r.F1:.4f}, precision {r.Precision:.4f}, recall {r.Recall:.4f}, accuracy {r.Accuracy:.4f}, {r.ConfusionMatrix}" for r in rows]
+    top = max(rows, key=lambda r: r.Accuracy, default=None)
+    return "\n".join([*lines, *([f"best: {top.Experiment} ({top.Accuracy:.4f})"] if top else [])])
 
 
 def best(results: DataFrame, by: str, name: str = "experiment", order: str = "position") -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -50,9 +51,33 @@ def wide(deep: DataFrame, iterations: int) -> DataFrame:
     return deep.groupBy("doc_id", "text_type").agg(*picks)
 
 
+#: What stands in place of a paraphrase that failed, with the reason; its word count is 0.
+ERROR = "ERROR: "
+
+
+def answered(model: Paraphraser, asked: pd.DataFrame) -> pd.Series:
+    """The model's answers; where a batch fails, row by row, so that one text's failure is one text's ``ERROR``."""
+    try:
+        return model.transform(asked)
+    except Exception as whole:
+        if len(asked) == 1:
+            return pd.Series([f"{ERROR}{whole}"], index=asked.index)
+        return pd.concat([answered(model, asked.iloc[[k]]) for k in range(len(asked))])
+
+
+def text_and_count(df: DataFrame, text: str = "text", count: str = "word_count") -> tuple[str, str | None]:
+    """The text column, else the first of the names that files of this kind use; and the count column if there is one."""
+    if text not in df.columns:
+        text = next((c for c in ("text", "generated_text", "text_cleaned") if c in df.columns), None)
+        if text is None:
+            raise ValueError(f"no text column among {df.columns}")
+    return text, count if count in df.columns else None
+
+
 def with_model(df: DataFrame, make: Callable[[], Paraphraser], settings: Paraphrase, text: str = "text", count: str | None = None) -> DataFrame:
     """Rounds by a real model; each is stored before the next reads it, null inputs stay null."""
     names = []
+    text, count = text_and_count(df, text, count or "")
     rows = df.withColumn("original_text", F.col(text)).withColumn("original_word_count", F.col(count) if count else T.word_count(F.col(text)))
     source, target = "original_text", F.col("original_word_count")
     for k in range(1, settings.iterations + 1):
@@ -62,16 +87,22 @@ def with_model(df: DataFrame, make: Callable[[], Paraphraser], settings: Paraphr
         kept = rows.drop("_prompt", "_target", "_tokens").schema
         schema = StructType([*(StructField(f.name, f.dataType) for f in kept), StructField(name, StringType())])
 
-        def run(batches: Iterator[pd.DataFrame], name: str = name) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch], name: str = name) -> Iterator[pa.RecordBatch]:
             model = make()
-            for batch in batches:
-                some = batch["_prompt"].notna()
-                answers = pd.Series([None] * len(batch), index=batch.index, dtype=object)
-                answers[some] = model.transform(batch.loc[some, ["_prompt", "_target", "_tokens"]].rename(columns=lambda c: c[1:]))
-                yield batch.drop(columns=["_prompt", "_target", "_tokens"]).assign(**{name: answers})
-
-        rows = rows.mapInPandas(run, schema).withColumn(name, T.cleaned_output(F.col(name)))
-        rows = stored(rows.withColumn(f"word_count_iter_{k}", F.when(F.col(name).isNotNull(), T.word_count(F.col(name)))), f"round-{k}")
+            for batch in batches:  # other columns pass through untouched, so ids stay integers beside nulls
+                asked = batch.select(["_prompt", "_target", "_tokens"]).to_pandas()
+                some = asked["_prompt"].notna()
+                answers = pd.Series([None] * len(asked), dtype=object)
+                if some.any():
+                    answers[some] = answered(model, asked[some].rename(columns=lambda c: c[1:]))
+                kept = batch.drop_columns(["_prompt", "_target", "_tokens"])
+                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(answers, pa.string())], names=[*kept.schema.names, name])
+
+        rows = rows.mapInArrow(run, schema)
+        failed = F.col(name).startswith(ERROR)
+        rows = rows.withColumn(name, F.when(failed, F.col(name)).otherwise(T.cleaned_output(F.col(name))))
+        count = F.when(failed, F.lit(0).cast("bigint")).when(F.col(name).isNotNull(), T.word_count(F.col(name)))
+        rows = stored(rows.withColumn(f"word_count_iter_{k}", count), f"round-{k}")
         names.append(name)
         source, target = name, F.col(f"word_count_iter_{k}")
     return rows

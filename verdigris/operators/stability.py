@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+from operator import add
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verdigris.config import EXPERIMENTS, Classifier
@@ -15,26 +18,34 @@ def common_windows(wins: DataFrame) -> DataFrame:
     return wins.groupBy("depth").agg((F.max("win_idx") + 1).alias("n")).agg(F.min("n").alias("n_windows"))
 
 
-def experiments(spark: SparkSession, sets=EXPERIMENTS) -> DataFrame:
-    """(experiment, depth, n_depths, first_depth): which depths each experiment takes."""
-    return spark.createDataFrame([(name, d, len(depths), depths[0]) for name, depths in sets for d in depths], "experiment string, depth int, n_depths int, first_depth int")
+def _deviation(values: list[Column]) -> Column:
+    """Population deviation of columns of a row."""
+    n = len(values)
+    mean = reduce(add, values) / n
+    return F.sqrt(reduce(add, [(v - mean) * (v - mean) for v in values]) / n)
 
 
-def matrix(wins: DataFrame, members: DataFrame) -> DataFrame:
+def matrix(wins: DataFrame, sets=EXPERIMENTS) -> DataFrame:
     """(experiment, id, win_idx, pss): population deviation of z over the experiment's depths.
 
-    All experiments are one aggregation; a window that some depth lacks has 0.
+    A window's z-scores of all depths are brought into one row once; the
+    experiments are columns made of that row. A window that some depth of an
+    experiment lacks has 0 there, and one that all its depths lack no row.
     """
-    rows = wins.join(F.broadcast(members), "depth")  # a few dozen rows
-    found = rows.groupBy("experiment", "id", "win_idx", "n_depths").agg(F.stddev_pop("z").alias("sd"), F.count("z").alias("n"))
-    pss = F.when(F.col("n") == F.col("n_depths"), F.col("sd")).otherwise(F.lit(0.0))
-    return found.select("experiment", "id", "win_idx", pss.alias("pss"))
-
-
-def features(pss: DataFrame, static: DataFrame, n: int) -> DataFrame:
-    """(id, label, pss_win1.., the static figures) of one experiment; nulls are 0."""
+    depths = sorted({d for _, ds in sets for d in ds})
+    rows = wins.where(F.col("depth").isin(*depths)).groupBy("id", "win_idx").agg(*[F.max(F.when(F.col("depth") == d, F.col("z"))).alias(f"_z{d}") for d in depths])
+    made = []
+    for name, ds in sets:
+        own = [F.col(f"_z{d}") for d in ds]
+        pss = F.coalesce(_deviation(own), F.lit(0.0))  # null if any z is
+        made.append(F.when(F.coalesce(*own).isNotNull(), F.struct(F.lit(name).alias("experiment"), pss.alias("pss"))))
+    return rows.select("id", "win_idx", F.inline(F.array_compact(F.array(*made)))).select("experiment", "id", "win_idx", "pss")
+
+
+def features(pss: DataFrame, static: DataFrame, n: int, names: tuple[str, ...] = STATIC) -> DataFrame:
+    """(id, label, pss_win1.., the static figures ``names``) of one experiment; nulls are 0."""
     picks = [F.max(F.when(F.col("win_idx") == i, F.col("pss"))).alias(f"pss_win{i + 1}") for i in range(n)]
-    return static.select("id", "label", *STATIC).join(pss.groupBy("id").agg(*picks), "id", "left").na.fill(0.0)
+    return static.select("id", "label", *names).join(pss.groupBy("id").agg(*picks), "id", "left").na.fill(0.0)
 
 
 def split(table: DataFrame, settings: Classifier) -> DataFrame:

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from verdigris.config import Watermark
 from verdigris.functions.scores import is_green, uniform
 from verdigris.operators.order import ranked
 
-#: A green list over an array of tokens is made only for vocabularies of at most so many entries.
-LARGEST_LIST = 500_000
+#: Contexts for which exact lists are made at once; a stated query set against the vocabulary.
+MOST_CONTEXTS = 100_000
+#: Ranges of hash values by which a context's tokens are counted.
+RANGES = 1024
 
 
 def vocabulary(texts: DataFrame) -> DataFrame:
@@ -32,17 +34,31 @@ def token_ids(texts: DataFrame, vocab: DataFrame) -> DataFrame:
 def greenlists(contexts: DataFrame, vocab: DataFrame, mark: Watermark) -> DataFrame:
     """(prev, token) of the exact lists: for each context the ``int(gamma V)`` tokens of least keyed hash.
 
-    With ``select_green_tokens`` false the last ones. The vocabulary travels as
-    one array, so its size is checked; lists are cut inside a row.
+    With ``select_green_tokens`` false the last ones. Each vocabulary row meets
+    the stated contexts; tokens are counted by ranges of hash values, which
+    shows the range in which a context's list ends, and only that range's
+    tokens are sorted. So a vocabulary of any size is spread over all tasks.
     """
     n = vocab.count()
-    if n > LARGEST_LIST:
-        raise ValueError(f"{n} tokens; use the hash predicate, which needs no lists")
+    names = [r.prev for r in contexts.select("prev").where("prev IS NOT NULL").distinct().limit(MOST_CONTEXTS + 1).collect()]
+    if len(names) > MOST_CONTEXTS:
+        raise ValueError(f"more than {MOST_CONTEXTS} contexts; use the hash predicate, which needs no lists")
+    if not n or not names:
+        return vocab.select(F.col("token").alias("prev"), "token").limit(0)
     size = int(n * mark.gamma)
-    tokens = F.lit([r.token for r in vocab.select("token").collect()]) if n else F.array().cast("array<string>")
-    order = F.sort_array(F.transform(tokens, lambda t: F.struct(uniform(F.lit(mark.hash_key), F.col("prev"), t).alias("u"), t.alias("token"))))
-    chosen = F.slice(order, F.lit(1 if mark.select_green_tokens else n - size + 1), F.lit(size))
-    return contexts.select("prev", F.explode(F.transform(chosen, lambda x: x["token"])).alias("token"))
+    first = size if mark.select_green_tokens else n - size  # tokens of least hash that are, or are not, on a list
+    u = uniform(F.lit(mark.hash_key), F.col("prev"), F.col("token"))
+    pairs = vocab.select("token", F.explode(F.lit(sorted(names))).alias("prev")).withColumn("u", u).withColumn("range", F.floor(F.col("u") * RANGES).cast("int"))
+    counts = pairs.groupBy("prev", "range").agg(F.count("*").alias("k"))  # at most RANGES rows to a context
+    upto = F.sum("k").over(Window.partitionBy("prev").orderBy("range"))
+    ends = counts.withColumn("upto", upto).where((F.col("upto") >= first) & (F.col("upto") - F.col("k") < first))
+    ends = ends.select(F.col("prev").alias("p"), F.col("range").alias("last"), (first - F.col("upto") + F.col("k")).alias("left"))
+    rows = pairs.join(F.broadcast(ends), F.col("prev") == F.col("p"), "left")  # a row per context
+    inside = rows.where(F.col("range") == F.col("last")).withColumn("at", F.row_number().over(Window.partitionBy("prev").orderBy("u", "token")))
+    low = rows.where(F.col("range") < F.col("last")).select("prev", "token", F.lit(True).alias("low"))
+    high = rows.where((F.col("range") > F.col("last")) | F.col("last").isNull()).select("prev", "token", F.lit(False).alias("low"))
+    both = low.union(high).union(inside.select("prev", "token", (F.col("at") <= F.col("left")).alias("low")))
+    return both.where("low" if mark.select_green_tokens else "NOT low").select("prev", "token")
 
 
 def bigrams(texts: DataFrame) -> DataFrame:
@@ -59,6 +75,6 @@ def corpus_bigrams(texts: DataFrame) -> DataFrame:
 
 def biased_logits(pairs: DataFrame, mark: Watermark) -> DataFrame:
     """(prev, token, logit, biased): log counts, and delta more on green tokens."""
-    green = is_green(F.col("prev"), F.col("token"), mark.hash_key, mark.gamma)
+    green = is_green(F.col("prev"), F.col("token"), mark.hash_key, mark.gamma, mark.select_green_tokens)
     logit = F.ln(F.col("n").cast("double"))
     return pairs.select("prev", "token", logit.alias("logit"), (logit + F.when(green, mark.delta).otherwise(0.0)).alias("biased"))

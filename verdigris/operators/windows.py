@@ -21,13 +21,19 @@ def literal(bits: Column) -> Column:
     return F.coalesce(F.regexp_replace(bits, r"(?<=.)(?=.)", ","), F.lit("nan"))
 
 
-def windows(table: DataFrame, settings: Windows, bits: str = "bits") -> DataFrame:
-    """``table``'s columns with win_idx, win_start, win_end (0-based, end exclusive) and win; no rows for empty sequences."""
+def windows(table: DataFrame, settings: Windows, bits: str = "bits", keep_empty: bool = False) -> DataFrame:
+    """``table``'s columns with win_idx, win_start, win_end (0-based, end exclusive) and win.
+
+    An empty sequence gives no row, or with ``keep_empty`` one of nulls.
+    """
     size, stride = F.lit(settings.size), F.lit(settings.stride)
     text = literal(F.col(bits)) if settings.mode == "literal" else F.col(bits)
-    rows = table.withColumn("_s", text).withColumn("_n", F.length("_s")).where("_n > 0")
+    rows = table.withColumn("_s", text).withColumn("_n", F.length("_s"))
+    if not keep_empty:
+        rows = rows.where("_n > 0")
     count = F.least(F.ceil(F.col("_n") / stride), 1 + F.ceil(F.greatest(F.col("_n") - size, F.lit(0)) / stride)).cast("int")
-    rows = rows.withColumn("win_idx", F.explode(F.sequence(F.lit(0), count - 1)))
+    places = F.when(F.col("_n") > 0, F.sequence(F.lit(0), count - 1))
+    rows = rows.withColumn("win_idx", F.explode_outer(places) if keep_empty else F.explode(places))
     start, end = F.col("win_idx") * stride, F.least(F.col("win_idx") * stride + size, F.col("_n"))
     head, tail = F.substring(F.col("_s"), F.lit(1), start + 1), F.substring(F.col("_s"), end, F.col("_n"))
     first = F.greatest(F.length(F.rtrim(head, F.lit("1"))) - 1, F.lit(0))
@@ -68,9 +74,15 @@ def statistics(wins: DataFrame, *by: str) -> DataFrame:
     return rows.select(*by, *STATIC)
 
 
-def rolling(table: DataFrame, wins: DataFrame, *by: str) -> DataFrame:
-    """Every sequence of ``table`` with its figures; sequences without windows have zeros."""
-    return table.join(statistics(wins, *by), list(by), "left").na.fill(0.0, list(STATIC))
+def rolling(table: DataFrame, settings: Windows, gamma: float, key: str, bits: str = "bits") -> DataFrame:
+    """Every sequence of ``table`` with its figures in place of its bits; sequences without windows have zeros.
+
+    The sequences are dealt by ``key`` before they are cut, a row each, so the
+    many windows are summed up where they are made: neither shuffled nor joined.
+    """
+    by = [c for c in table.columns if c != bits]
+    rows = windows(table.repartition(F.col(key)), settings, bits, keep_empty=True)
+    return statistics(features(rows.select(*by, "win_idx", "win"), gamma), *by).na.fill(0.0, list(STATIC))
 
 
 def wide(wins: DataFrame, n: int, *by: str) -> DataFrame:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from verdigris.config import EXPERIMENTS, SMALL
+from verdigris.config import EXPERIMENTS, SMALL, WINDOW_PRESETS
+from verdigris.functions.scores import ERFC
 from verdigris.operators.windows import STATIC
 
 K, M = SMALL.corpus.skip_lines, SMALL.corpus.words_per_sample
@@ -77,7 +78,7 @@ IDS = "ids AS (SELECT doc_id, text_type, label, row_number() OVER (ORDER BY labe
 COMBINED = f"{DETECTED}, {IDS}, combined AS (SELECT d.*, id FROM detected d JOIN ids USING (doc_id, text_type))"
 
 
-def windowed(source: str, keys: str, bits: str = "bits") -> str:
+def windowed(source: str, keys: str, bits: str = "bits", W: int = W, STEP: int = STEP) -> str:
     """CTEs that end in ``wins``: (keys, win_idx, win_start, win_end, win, z, run, freq)."""
     return f"""
 sized AS (SELECT {keys}, {bits} AS s, length({bits}) AS n FROM {source} WHERE length({bits}) > 0),
@@ -111,16 +112,16 @@ def moments(p: str) -> list[str]:
     ]
 
 
-def statistics(source: str) -> str:
-    """CTEs that end in ``stats``: (depth, id, the twenty figures)."""
+def statistics(source: str, keys: str = "depth, id") -> str:
+    """CTEs that end in ``stats``: (keys, the twenty figures)."""
     return f"""
-centred AS (SELECT *, z - avg(z) OVER (PARTITION BY depth, id) AS c FROM {source}),
-lagged AS (SELECT *, lag(c, 1) OVER w AS c1, lag(c, 2) OVER w AS c2 FROM centred WINDOW w AS (PARTITION BY depth, id ORDER BY win_idx)),
+centred AS (SELECT *, z - avg(z) OVER (PARTITION BY {keys}) AS c FROM {source}),
+lagged AS (SELECT *, lag(c, 1) OVER w AS c1, lag(c, 2) OVER w AS c2 FROM centred WINDOW w AS (PARTITION BY {keys} ORDER BY win_idx)),
 stats AS (
-  SELECT depth, id, {', '.join(x for p in ('z', 'run', 'freq') for x in moments(p))},
+  SELECT {keys}, {', '.join(x for p in ('z', 'run', 'freq') for x in moments(p))},
     CASE WHEN count(*) > 1 AND sum(c * c) > 1e-18 THEN coalesce(sum(c * c1), 0) / sum(c * c) ELSE 0.0 END AS z_autocorr_lag1,
     CASE WHEN count(*) > 2 AND sum(c * c) > 1e-18 THEN coalesce(sum(c * c2), 0) / sum(c * c) ELSE 0.0 END AS z_autocorr_lag2
-  FROM lagged GROUP BY depth, id)"""
+  FROM lagged GROUP BY {keys})"""
 
 
 def members(names: tuple[str, ...] | None = None) -> str:
@@ -128,6 +129,7 @@ def members(names: tuple[str, ...] | None = None) -> str:
     return f"members AS (SELECT * FROM (VALUES {rows}) t(experiment, depth, n_depths, position))"
 
 
+ALL_DEPTHS = max(EXPERIMENTS, key=lambda e: len(e[1]))[0]
 PSS = """
 pss AS (
   SELECT experiment, position, id, win_idx, CASE WHEN count(z) = n_depths THEN stddev_pop(z) ELSE 0.0 END AS pss
@@ -209,9 +211,9 @@ ORACLES = {
     "rolling_features": f"WITH {WINS}, {statistics('wins')} SELECT c.depth, c.id, c.label, {r('c.z_score')} AS z_score, {', '.join(f'{r(f"coalesce(s.{c}, 0)")} AS {c}' for c in STATIC)} FROM combined c LEFT JOIN stats s USING (depth, id)",
     "rolling_wide": f"WITH {WINS} SELECT depth, id, {WIDE} FROM wins GROUP BY depth, id",
     "common_windows": f"WITH {WINS}, d AS (SELECT depth, max(win_idx) + 1 AS n FROM wins WHERE depth BETWEEN 1 AND 8 GROUP BY depth) SELECT min(n)::BIGINT AS n_windows FROM d",
-    "pss_matrix": f"WITH {WINS}, {members(('D1-D8',))}, {PSS} SELECT id, win_idx::INTEGER AS win_idx, {r('pss')} AS pss FROM pss",
+    "pss_matrix": f"WITH {WINS}, {members((ALL_DEPTHS,))}, {PSS} SELECT id, win_idx::INTEGER AS win_idx, {r('pss')} AS pss FROM pss",
     "pss_sweep": f"WITH {WINS}, {members()}, {PSS} SELECT experiment, win_idx::INTEGER AS win_idx, count(*) AS n, {r('avg(pss)')} AS mean_pss, {r('max(pss)')} AS max_pss FROM pss GROUP BY experiment, win_idx",
-    "pss_features": f"WITH {WINS}, {statistics('(SELECT * FROM wins WHERE depth = 1)')}, {members(('D1-D8',))}, {PSS}, p AS (SELECT id, {', '.join(f'max(CASE WHEN win_idx = {i} THEN pss END) AS pss_win{i + 1}' for i in range(9))} FROM pss GROUP BY id) SELECT c.id, c.label, {', '.join(f'{r(f"coalesce(p.pss_win{i + 1}, 0)")} AS pss_win{i + 1}' for i in range(9))}, {', '.join(f'{r(f"coalesce(s.{c}, 0)")} AS {c}' for c in STATIC)} FROM combined c LEFT JOIN stats s ON c.id = s.id LEFT JOIN p ON c.id = p.id WHERE c.depth = 1",
+    "pss_features": f"WITH {WINS}, {statistics('(SELECT * FROM wins WHERE depth = 1)')}, {members((ALL_DEPTHS,))}, {PSS}, p AS (SELECT id, {', '.join(f'max(CASE WHEN win_idx = {i} THEN pss END) AS pss_win{i + 1}' for i in range(9))} FROM pss GROUP BY id) SELECT c.id, c.label, {', '.join(f'{r(f"coalesce(p.pss_win{i + 1}, 0)")} AS pss_win{i + 1}' for i in range(9))}, {', '.join(f'{r(f"coalesce(s.{c}, 0)")} AS {c}' for c in STATIC)} FROM combined c LEFT JOIN stats s ON c.id = s.id LEFT JOIN p ON c.id = p.id WHERE c.depth = 1",
     "stratified_split": f"WITH {CUTS}, {IDS}, o AS (SELECT id, label, row_number() OVER (PARTITION BY label ORDER BY md5('{SMALL.classifier.seed}:' || id), id) AS n, count(*) OVER (PARTITION BY label) AS total FROM ids) SELECT id, label, n <= ceil(total * {SMALL.classifier.test_size}::DOUBLE) AS is_test FROM o",
     "auc": f"WITH {DETECTED}, s AS (SELECT label, z_score AS s FROM detected WHERE depth = 0), v AS (SELECT s, sum((label = 1)::BIGINT) AS pos, sum((label = 0)::BIGINT) AS neg FROM s GROUP BY s), c AS (SELECT *, sum(neg) OVER (ORDER BY s) AS upto FROM v) SELECT {r('sum(pos * (upto - neg / 2.0)) / (sum(pos)::DOUBLE * sum(neg))')} AS auc FROM c",
     "confusion_matrix": f"WITH {JUDGED}, c AS (SELECT {CELLS} FROM judged) SELECT [[tn, fp], [fn, tp]] AS confusion_matrix FROM c",
@@ -220,7 +222,24 @@ ORACLES = {
     "best_experiment": f"WITH {WINS}, {members()}, {PSS}, m AS (SELECT experiment, position, round(avg(pss), 6) AS mean_pss FROM pss GROUP BY ALL) SELECT experiment, mean_pss FROM m ORDER BY mean_pss DESC, position LIMIT 1",
 }
 
+#: The polynomial fit of the normal distribution's upper tail that the query uses.
+X = "(abs(z) / sqrt(2.0::DOUBLE))"
+TAIL = "0"
+for c in ERFC[::-1]:
+    TAIL = f"({c!r}::DOUBLE + t * {TAIL})"
+TAIL = f"(0.5::DOUBLE * t * exp({TAIL} - x * x))"
+ORACLES["p_value"] = f"WITH {SCORED}, s AS (SELECT doc_id, text_type, {z('k', 't')} AS z FROM scored), x AS (SELECT *, {X} AS x, 1 / (1 + 0.5::DOUBLE * {X}) AS t FROM s) SELECT doc_id, text_type, {r('z')} AS z_score, {r(f'CASE WHEN z >= 0 THEN {TAIL} ELSE 1 - {TAIL} END')} AS p_value FROM x"
+LIST_U = u(f"'{KEY}'", "prev", "token")
+ORACLES["greenlist_words"] = f"WITH v AS (SELECT DISTINCT unnest({words('text')}) AS token FROM documents), p AS (SELECT prev, token FROM v, (SELECT DISTINCT lang AS prev FROM documents WHERE lang IS NOT NULL)), o AS (SELECT prev, token, row_number() OVER (PARTITION BY prev ORDER BY {LIST_U}, token) AS n FROM p) SELECT prev, token FROM o WHERE n <= floor((SELECT count(*) FROM v) * {GAMMA})"
+WHOLE_BITS = f"marked AS (SELECT doc_id, {bits_of('words')} AS b FROM (SELECT doc_id, coalesce({words('text')}, []) AS words FROM documents)), whole AS (SELECT doc_id, array_to_string(b, '') AS bits, len(b) AS t, coalesce(list_sum(b), 0)::BIGINT AS k FROM marked)"
+ORACLES["windows_docs"] = f"WITH {WHOLE_BITS}, {windowed('whole', 'doc_id', W=50, STEP=10)} SELECT doc_id, win_idx::INTEGER AS win_idx, win_start::INTEGER AS win_start, win_end::INTEGER AS win_end, win, {r('z')} AS z, run::INTEGER AS run, freq::INTEGER AS freq FROM wins"
+ORACLES["rolling_presets"] = " UNION ALL ".join(
+    f"(WITH {WHOLE_BITS}, {windowed('whole', 'doc_id', W=size, STEP=step)}, {statistics('wins', 'doc_id')} SELECT whole.doc_id, {r(z('k', 't'))} AS z_score, '{name}' AS preset, {', '.join(f'round({r(f"coalesce(stats.{c}, 0)")}, 4) + 0.0::DOUBLE AS {c}' for c in STATIC)} FROM whole LEFT JOIN stats USING (doc_id))"
+    for name, (size, step) in WINDOW_PRESETS.items()
+)
+ORACLES["detection_file"] = f"WITH w AS (SELECT doc_id, text, coalesce({words('text')}, []) AS words FROM documents), b AS (SELECT doc_id, text, {bits_of('words')} AS bits FROM w), s AS (SELECT *, len(bits) AS t, coalesce(list_sum(bits), 0)::BIGINT AS k FROM b) SELECT doc_id, CASE WHEN text IS NULL THEN 'ERROR' ELSE array_to_string(bits, ',') END AS watermark_bits, {r(z('k', 't'))} AS z_score, {r('CASE WHEN t > 0 THEN k::DOUBLE / t ELSE 0 END')} AS green_fraction, k AS green_token_count, t AS num_tokens_scored FROM s"
+
 #: All words of all documents in place of the sample halves.
-DOCS = f"halves AS (SELECT doc_id, 'document' AS text_type, coalesce({words('text')}, []) AS words FROM documents)"
-ORACLES |= {f"{name}_docs": ORACLES[name].replace(CUTS, DOCS) for name in ("vocab", "token_ids", "greenlist_hash", "bias_logits", "bigram_counts", "green_bits", "bits_csv", "score_unique_bigrams")}
+DOCS = f"halves AS (SELECT doc_id, 'document' AS text_type, 0 AS label, coalesce({words('text')}, []) AS words FROM documents)"
+ORACLES |= {f"{name}_docs": ORACLES[name].replace(CUTS, DOCS) for name in ("vocab", "token_ids", "greenlist_hash", "bias_logits", "bigram_counts", "green_bits", "bits_csv", "score_unique_bigrams", "p_value", "detect_text", "score_sequence", "detect_prediction", "paraphrase_rounds", "words_per_round", "detect_all_depths", "detection_summary")}
 ORACLES["window_literal_depths"] = f"WITH {COMBINED}, top AS (SELECT depth, id, array_to_string(string_split(bits, ''), ',') AS commas FROM combined), {windowed('top', 'depth, id', 'commas')} SELECT depth, id, win_idx::INTEGER AS win_idx, win_start::INTEGER AS win_start, win_end::INTEGER AS win_end, {r('z')} AS z, run::INTEGER AS run, freq::INTEGER AS freq FROM wins"

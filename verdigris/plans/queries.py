@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdigris.config import EXPERIMENTS, SMALL, Corpus
+from verdigris.config import EXPERIMENTS, SMALL, WINDOW_PRESETS, Corpus, Windows
 from verdigris.functions import scores as S
 from verdigris.functions import text as T
 from verdigris.operators import corpus, detection, generation, metrics, paraphrasing, reshape, stability, vocabulary, windows
@@ -32,13 +32,13 @@ def halves(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, text_type, words) of all documents with all their words; a null text has none."""
+    """(doc_id, text_type, label, words) of all documents with all their words; a null text has none."""
     words = F.coalesce(T.words(F.col("text")), F.array().cast("array<string>"))
-    return docs(spark, sf_dir).select("doc_id", F.lit("document").alias("text_type"), words.alias("words"))
+    return docs(spark, sf_dir).select("doc_id", F.lit("document").alias("text_type"), F.lit(0).alias("label"), words.alias("words"))
 
 
-def deep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paraphrasing.rounds(halves(spark, sf_dir), PARA)
+def deep(spark: SparkSession, sf_dir: str, texts=halves) -> DataFrame:
+    return paraphrasing.rounds(texts(spark, sf_dir), PARA)
 
 
 def detected(spark: SparkSession, sf_dir: str, texts: DataFrame | None = None) -> DataFrame:
@@ -145,6 +145,12 @@ def greenlist_rank(spark, sf_dir):
     return vocabulary.greenlists(tokens.select(F.col("token").alias("prev")), tokens, MARK)
 
 
+def greenlist_words(spark, sf_dir):
+    """The exact lists of the language marks over the vocabulary of all documents."""
+    tokens = stored(vocabulary.vocabulary(whole(spark, sf_dir)).select("token"), "tokens")
+    return vocabulary.greenlists(table(spark, sf_dir, "documents").select(F.col("lang").alias("prev")), tokens, MARK)
+
+
 def greenlist_hash(spark, sf_dir, texts=halves):
     pairs = vocabulary.corpus_bigrams(texts(spark, sf_dir))
     u = S.uniform(F.lit(MARK.hash_key), F.col("prev"), F.col("token"))
@@ -175,8 +181,8 @@ def _scores(rows: DataFrame, *ids: str) -> DataFrame:
     return rounded(rows.select(*ids, "num_tokens_scored", "num_green_tokens", "green_fraction", "z_score"))
 
 
-def detect_text(spark, sf_dir):
-    rows = detection.scored(halves(spark, sf_dir), MARK)
+def detect_text(spark, sf_dir, texts=halves):
+    rows = detection.scored(texts(spark, sf_dir), MARK)
     bits = F.array_join(F.col("bits").cast("array<string>"), "").alias("bits")
     return rounded(rows.select("doc_id", "text_type", bits, "num_tokens_scored", "num_green_tokens", "green_fraction", "z_score"))
 
@@ -190,8 +196,14 @@ def bits_csv(spark, sf_dir, texts=halves):
     return detection.csv_bits(detection.scored(texts(spark, sf_dir), MARK)).select("doc_id", "text_type", "watermark_bits")
 
 
-def score_sequence(spark, sf_dir):
-    return _scores(detection.scored(halves(spark, sf_dir), MARK), "doc_id", "text_type")
+def detection_file(spark, sf_dir):
+    """The documents' detection file; null texts have the bits ``ERROR``. The text column is found by its name."""
+    rows = detection.detection_file(docs(spark, sf_dir), MARK)
+    return rounded(rows.select("doc_id", *detection.FILE_COLUMNS))
+
+
+def score_sequence(spark, sf_dir, texts=halves):
+    return _scores(detection.scored(texts(spark, sf_dir), MARK), "doc_id", "text_type")
 
 
 def detect_docs(spark, sf_dir):
@@ -212,20 +224,20 @@ def z_score(spark, sf_dir):
 
 def p_value(spark, sf_dir, texts=halves):
     rows = detection.scored(texts(spark, sf_dir), MARK)
-    return rows.select("doc_id", "text_type", "z_score", S.p_value("z_score").alias("p_value"))
+    return rounded(rows.select("doc_id", "text_type", "z_score", S.p_value("z_score").alias("p_value")))
 
 
-def detect_prediction(spark, sf_dir):
-    rows = detection.predicted(detection.scored(halves(spark, sf_dir), MARK), MARK, threshold=1.0)
+def detect_prediction(spark, sf_dir, texts=halves):
+    rows = detection.predicted(detection.scored(texts(spark, sf_dir), MARK), MARK, threshold=1.0)
     return rounded(rows.select("doc_id", "text_type", "z_score", "prediction"))
 
 
-def detect_all_depths(spark, sf_dir):
-    return rounded(detected(spark, sf_dir).select("doc_id", "text_type", "depth", "bits", "z_score", "green_fraction", F.col("num_green_tokens").alias("green_token_count")))
+def detect_all_depths(spark, sf_dir, texts=halves):
+    return rounded(detected(spark, sf_dir, texts(spark, sf_dir)).select("doc_id", "text_type", "depth", "bits", "z_score", "green_fraction", F.col("num_green_tokens").alias("green_token_count")))
 
 
-def detection_summary(spark, sf_dir):
-    return rounded(detection.summary(detected(spark, sf_dir), "text_type", "depth"))
+def detection_summary(spark, sf_dir, texts=halves):
+    return rounded(detection.summary(detected(spark, sf_dir, texts(spark, sf_dir)), "text_type", "depth"))
 
 
 # paraphrase
@@ -247,12 +259,12 @@ def paraphrase_budget(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", n.alias("target"), least.alias("min_words"), most.alias("max_words"), tokens.alias("max_tokens"))
 
 
-def paraphrase_rounds(spark, sf_dir):
-    return deep(spark, sf_dir).select("doc_id", "text_type", "depth", F.array_join("words", " ").alias("text"))
+def paraphrase_rounds(spark, sf_dir, texts=halves):
+    return deep(spark, sf_dir, texts).select("doc_id", "text_type", "depth", F.array_join("words", " ").alias("text"))
 
 
-def words_per_round(spark, sf_dir):
-    return rounded(paraphrasing.words_per_round(deep(spark, sf_dir)))
+def words_per_round(spark, sf_dir, texts=halves):
+    return rounded(paraphrasing.words_per_round(deep(spark, sf_dir, texts)))
 
 
 def resume_point(spark, sf_dir):
@@ -336,11 +348,11 @@ def window_runs(spark, sf_dir):
 
 def window_stats(spark, sf_dir):
     names = [c for c in windows.STATIC if "autocorr" not in c]
-    return rounded(windows.statistics(all_windows(spark, sf_dir), "depth", "id").select("depth", "id", *names))
+    return rounded(_rolling(combined(spark, sf_dir).where("length(bits) > 0").select("depth", "id", "bits")).select("depth", "id", *names))
 
 
 def autocorr(spark, sf_dir):
-    return rounded(windows.statistics(all_windows(spark, sf_dir), "depth", "id").select("depth", "id", "z_autocorr_lag1", "z_autocorr_lag2"))
+    return rounded(_rolling(combined(spark, sf_dir).where("length(bits) > 0").select("depth", "id", "bits")).select("depth", "id", "z_autocorr_lag1", "z_autocorr_lag2"))
 
 
 def _bits(spark, sf_dir) -> DataFrame:
@@ -349,8 +361,27 @@ def _bits(spark, sf_dir) -> DataFrame:
 
 
 def _rolling(base: DataFrame) -> DataFrame:
-    wins = windows.features(windows.windows(base, WIN), MARK.gamma)
-    return windows.rolling(base.drop("bits"), wins.drop("z_score", "label"), "depth", "id")
+    return windows.rolling(base, WIN, MARK.gamma, "id")
+
+
+def _whole_bits(spark, sf_dir) -> DataFrame:
+    """(doc_id, z_score, bits) of all words of all documents, stored: what follows reads them more than once."""
+    rows = detection.scored(whole(spark, sf_dir), MARK)
+    return stored(rows.select("doc_id", "z_score", F.array_join(F.col("bits").cast("array<string>"), "").alias("bits")), "whole-bits")
+
+
+def windows_docs(spark, sf_dir):
+    """Windows of the default size over whole documents."""
+    rows = windows.features(windows.windows(_whole_bits(spark, sf_dir).drop("z_score"), Windows()), MARK.gamma)
+    return rounded(rows.select("doc_id", "win_idx", "win_start", "win_end", "win", "z", "run", "freq"))
+
+
+def rolling_presets(spark, sf_dir):
+    """The figures of whole documents, to four places, under each preset of window size and stride."""
+    bits = _whole_bits(spark, sf_dir)
+    parts = [windows.rolling(bits.withColumn("preset", F.lit(name)), Windows(*shape), MARK.gamma, "doc_id") for name, shape in WINDOW_PRESETS.items()]
+    rows = rounded(reduce(DataFrame.unionByName, parts))
+    return rows.withColumns({c: F.round(c, 4) + F.lit(0.0) for c in windows.STATIC})
 
 
 def rolling_features(spark, sf_dir):
@@ -368,23 +399,29 @@ def common_windows(spark, sf_dir):
     return stability.common_windows(all_windows(spark, sf_dir).where("depth BETWEEN 1 AND 8")).select(F.col("n_windows").cast("bigint").alias("n_windows"))
 
 
-def _members(spark, names: tuple[str, ...] | None = None) -> DataFrame:
-    return stability.experiments(spark, [e for e in EXPERIMENTS if names is None or e[0] in names])
+#: The experiment that takes all depths.
+ALL_DEPTHS = max(EXPERIMENTS, key=lambda e: len(e[1]))
+
+
+def _by_id(spark, sf_dir) -> DataFrame:
+    """The windows' figures, made where their sequence's id is dealt: what groups them by id and window shuffles nothing more."""
+    rows = combined(spark, sf_dir).select("depth", "id", "bits").repartition("id")
+    return windows.features(windows.windows(rows, WIN), MARK.gamma).select("depth", "id", "win_idx", "z")
 
 
 def pss_matrix(spark, sf_dir):
-    return rounded(stability.matrix(all_windows(spark, sf_dir), _members(spark, ("D1-D8",))).drop("experiment"))
+    return rounded(stability.matrix(_by_id(spark, sf_dir), [ALL_DEPTHS]).drop("experiment"))
 
 
 def pss_sweep(spark, sf_dir):
-    pss = stability.matrix(all_windows(spark, sf_dir), _members(spark))
+    pss = stability.matrix(_by_id(spark, sf_dir))
     return rounded(pss.groupBy("experiment", "win_idx").agg(F.count("*").alias("n"), F.avg("pss").alias("mean_pss"), F.max("pss").alias("max_pss")))
 
 
 def _features(spark, sf_dir) -> DataFrame:
     bits = _bits(spark, sf_dir)
-    wins = windows.features(windows.windows(bits.drop("z_score", "label"), WIN), MARK.gamma)
-    return stability.features(stability.matrix(wins, _members(spark, ("D1-D8",))), _rolling(bits.where("depth = 1")), N_WINDOWS)
+    wins = windows.features(windows.windows(bits.select("depth", "id", "bits").repartition("id"), WIN), MARK.gamma)
+    return stability.features(stability.matrix(wins, [ALL_DEPTHS]), _rolling(bits.where("depth = 1")), N_WINDOWS)
 
 
 def pss_features(spark, sf_dir):
@@ -424,7 +461,7 @@ def metrics_all(spark, sf_dir):
 
 
 def best_experiment(spark, sf_dir):
-    pss = stability.matrix(all_windows(spark, sf_dir), _members(spark)).groupBy("experiment").agg(F.round(F.avg("pss"), 6).alias("mean_pss"))
+    pss = stability.matrix(_by_id(spark, sf_dir)).groupBy("experiment").agg(F.round(F.avg("pss"), 6).alias("mean_pss"))
     order = spark.createDataFrame([(n, k) for k, (n, _) in enumerate(EXPERIMENTS)], "experiment string, position int")
     return metrics.best(pss.join(F.broadcast(order), "experiment"), "mean_pss")
 
@@ -434,14 +471,17 @@ QUERIES = {
     _RENAMED.get(f.__name__, f.__name__): f
     for f in (
         scan_pruned, validate_tables, viable_docs, word_tokens, word_count, extract_words, sample_docs, human_ai_split, create_dataset, trim_words,
-        length_variations, text_md5, vocab, token_ids, greenlist_rank, greenlist_hash, bias_logits, bigram_counts, watermark_generate, resume_antijoin,
-        detect_text, green_bits, bits_csv, score_sequence, detect_docs, score_unique_bigrams, z_score, p_value, detect_prediction, detect_all_depths,
+        length_variations, text_md5, vocab, token_ids, greenlist_rank, greenlist_words, greenlist_hash, bias_logits, bigram_counts, watermark_generate, resume_antijoin,
+        detect_text, green_bits, bits_csv, detection_file, score_sequence, detect_docs, score_unique_bigrams, z_score, p_value, detect_prediction, detect_all_depths,
         detection_summary, paraphrase_prompt, clean_output, paraphrase_budget, paraphrase_rounds, words_per_round, resume_point, unpivot_depths,
         combine_detections, combine_labeled, sequential_id, validate_counts, merge_outer, merge_concat, window_rows, window_literal, window_literal_depths, window_z, window_runs,
-        window_stats, autocorr, rolling_features, rolling_wide, common_windows, pss_matrix, pss_sweep, pss_features, stratified_split, pss_classify, auc,
+        window_stats, autocorr, windows_docs, rolling_presets, rolling_features, rolling_wide, common_windows, pss_matrix, pss_sweep, pss_features, stratified_split, pss_classify, auc,
         confusion_matrix, prf, metrics_all, best_experiment,
     )
 }
 #: Queries over sample halves whose operators take any text; NAME_docs runs them over whole documents (``detect_docs`` has the scores and predictions).
-WHOLE = ("vocab", "token_ids", "greenlist_hash", "bias_logits", "bigram_counts", "green_bits", "bits_csv", "score_unique_bigrams", "p_value")
+WHOLE = (
+    "vocab", "token_ids", "greenlist_hash", "bias_logits", "bigram_counts", "green_bits", "bits_csv", "score_unique_bigrams", "p_value", "detect_text", "score_sequence", "detect_prediction",
+    "paraphrase_rounds", "words_per_round", "detect_all_depths", "detection_summary",
+)
 QUERIES |= {f"{name}_docs": partial(QUERIES[name], texts=whole) for name in WHOLE}

@@ -20,12 +20,22 @@ CSV = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"'}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder; one of its own where none is set."""
+    """The session's checkpoint folder, which the driver and all executors see.
+
+    Only where all run in one process, as in tests, is a temporary folder made
+    if none is set; on a cluster that would scatter data over machines, so it
+    is an error there.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = known.get() if known.isDefined() else "file://" + tempfile.mkdtemp(prefix="verdigris-")
-        spark.sparkContext.setCheckpointDir(base)
+        if known.isDefined():
+            base = known.get()
+        elif spark.sparkContext.master.split("[")[0] == "local":
+            base = "file://" + tempfile.mkdtemp(prefix="verdigris-")
+            spark.sparkContext.setCheckpointDir(base)
+        else:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return base.rstrip("/")
 
 
@@ -75,18 +85,23 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def remaining(todo: DataFrame, done: DataFrame, key: str = "id") -> DataFrame:
+def remaining(todo: DataFrame, done: DataFrame, key: str | list[str] = "id") -> DataFrame:
     """What a resumed job still has to do."""
     return todo.join(done.select(key), key, "left_anti")
 
 
-def append_new(todo: DataFrame, path: str, work, key: str = "id") -> None:
-    """Run ``work`` on the rows whose key is not yet at ``path`` and append its result there."""
-    spark = todo.sparkSession
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is something at ``path``, in whatever store it lies."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
-        todo = remaining(todo, spark.read.parquet(path), key)
-    work(todo).write.mode("append").parquet(path)
+    found = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(hadoop)
+    return found is not None and len(found) > 0
+
+
+def append_new(todo: DataFrame, path: str, work, key: str | list[str] = "id", by: tuple[str, ...] = ()) -> None:
+    """Run ``work`` on the rows whose key is not yet at ``path`` and append its result there, in folders ``by`` columns."""
+    if exists(todo.sparkSession, path):
+        todo = remaining(todo, todo.sparkSession.read.parquet(path), key)
+    work(todo).write.mode("append").partitionBy(*by).parquet(path)
 
 
 def save_state(state: dict, path: str | Path) -> None:
