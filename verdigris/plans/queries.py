@@ -381,7 +381,8 @@ def rolling_presets(spark, sf_dir):
     bits = _whole_bits(spark, sf_dir)
     parts = [windows.rolling(bits.withColumn("preset", F.lit(name)), Windows(*shape), MARK.gamma, "doc_id") for name, shape in WINDOW_PRESETS.items()]
     rows = rounded(reduce(DataFrame.unionByName, parts))
-    return rows.withColumns({c: F.round(c, 4) + F.lit(0.0) for c in windows.STATIC})
+    # ties by the binary product, as other engines round doubles: F.round goes by the decimal text (0.53175)
+    return rows.withColumns({c: F.signum(c) * F.floor(F.abs(c) * 10000 + 0.5) / 10000 + F.lit(0.0) for c in windows.STATIC})
 
 
 def rolling_features(spark, sf_dir):
