@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdigris.llm import chat, decontamination, mixing, near_duplicates, ngram_lm, pii, quality_model, quality_rules, tokens, warc
+from verdigris.llm import chat, decontamination, mixing, near_duplicates, ngram_lm, pii, quality_model, quality_rules, tokens, vector_codes, vector_links, warc
 from verdigris.sources.storage import spread
 
 TOKENIZER = "piece_bpe_32k.model"
@@ -80,7 +80,15 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(docs, tokenizer_path()).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_pii, op3_warc, op4_quality_classifier, op5_lm_scoring, op6_near_duplicates, op7_benchmark_decontamination, op8_chat_formatting, op9_source_mixing, op10_token_counts)}
+def op11_vector_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(spread(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")))
+
+
+def op12_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_links.link(spread(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_pii, op3_warc, op4_quality_classifier, op5_lm_scoring, op6_near_duplicates, op7_benchmark_decontamination, op8_chat_formatting, op9_source_mixing, op10_token_counts, op11_vector_compression, op12_embedding_dedup)}
 ORACLES = {
     "op1_quality_rules": quality_rules.oracle_sql(),
     "op3_warc": warc.ORACLE_SQL,
@@ -89,4 +97,6 @@ ORACLES = {
     "op7_benchmark_decontamination": decontamination.ORACLE_SQL,
     "op8_chat_formatting": chat.oracle_sql(f"SELECT conv_id, turn, role, text FROM conversations UNION ALL {FORGED_TURNS}"),
     "op9_source_mixing": mixing.oracle_sql(),
+    "op11_vector_compression": vector_codes.oracle_sql(),
+    "op12_embedding_dedup": vector_links.ORACLE_SQL,
 }
