@@ -126,6 +126,8 @@ def test_detection(spark):
         assert (got[k].bits, got[k].z_score, got[k].green_fraction, got[k].num_tokens_scored) == ([], 0.0, 0.0, 0)
     texts = df.select(F.lit(1).alias("doc_id"), F.col("id").alias("text_type"), "words").where("id = 'a'")
     assert detection.unique_bigram_scores(texts, MARK).first().num_tokens_scored == 2
+    same = spark.createDataFrame([(1, "a b c d".split()), (1, "e f g h e f".split()), (1, "e f g h e f".split()), (2, ["x"]), (3, None)], "doc_id int, words array<string>")
+    assert sorted(r.num_tokens_scored for r in detection.unique_bigram_scores(same, MARK).collect()) == [0, 0, 3, 4, 4]
     z = spark.createDataFrame([(4.0,), (4.1,)], "z_score double")
     assert [r.prediction for r in detection.predicted(z, MARK).collect()] == [False, True]
     assert [r.prediction for r in detection.predicted(z, MARK, threshold=0).collect()] == [False, True]
@@ -133,7 +135,9 @@ def test_detection(spark):
     assert detection.text_column(spark.createDataFrame([(1, "")], "doc_id int, paraphrase_iter_3 string")) == "paraphrase_iter_3"
     assert detection.text_column(spark.createDataFrame([(1, "")], "doc_id int, content string")) == "doc_id"
     file = detection.detection_file(spark.createDataFrame([("a b",), (None,)], "original_text string"), MARK).collect()
-    assert [(r.watermark_bits == "ERROR", r.num_tokens_scored) for r in file] == [(False, 1), (True, 0)]
+    assert [(r.watermark_bits, r.num_tokens_scored) for r in file][1] == ("", 0) and file[0].num_tokens_scored == 1  # null is the word nan
+    odd = detection.detection_file(spark.createDataFrame([("a b",), ("bad c",)], "text string"), MARK, tokenize=lambda t: F.when(~t.startswith("bad"), F.split(t, " "))).collect()
+    assert [(r.watermark_bits == "ERROR", r.num_tokens_scored) for r in odd] == [(False, 1), (True, 0)]
     pieces = detection.detection_file(spark.createDataFrame([("abcd",)], "text string"), MARK, tokenize=lambda t: F.split(t, "")).first()
     assert pieces.num_tokens_scored == 3
 

@@ -147,9 +147,9 @@ def read_combined(spark: SparkSession, folder: str, depths: list[int]) -> DataFr
 def rolling(spark: SparkSession, a: argparse.Namespace, s: Settings) -> None:
     chosen = replace(s.windows, size=a.window_size or s.windows.size, stride=a.stride or s.windows.stride, mode=a.mode or s.windows.mode)
     rows = spark.read.parquet(f"{a.output}/combined").select("depth", "id", "label", "z_score", "bits")
-    wins = windows.features(windows.windows(rows.drop("z_score"), chosen), s.watermark.gamma)
-    wins.drop("win", "bits").write.mode("overwrite").partitionBy("depth").parquet(f"{a.output}/windows")
-    windows.rolling(rows, chosen, s.watermark.gamma, "id").write.mode("overwrite").partitionBy("depth").parquet(f"{a.output}/rolling")
+    wins = windows.figures(rows.drop("z_score"), chosen, s.watermark.gamma)
+    wins.write.mode("overwrite").partitionBy("depth").parquet(f"{a.output}/windows")
+    windows.rolling(rows, chosen, s.watermark.gamma).write.mode("overwrite").partitionBy("depth").parquet(f"{a.output}/rolling")
     saved, static = spark.read.parquet(f"{a.output}/windows"), spark.read.parquet(f"{a.output}/rolling")
     for k in depths_of(static) if a.csv else []:
         here = saved.where(F.col("depth") == k)

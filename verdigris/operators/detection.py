@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from verdigris.config import Watermark
 from verdigris.functions import scores as S
 from verdigris.functions.text import words
-from verdigris.operators.vocabulary import bigrams
 
 #: Names under which files of this kind have their text; fixed values.
 TEXT_COLUMNS = ("text", "original_text", "paraphrase_iter_1", "paraphrase_iter_2", "paraphrase_iter_3", "paraphrase_iter_4", "paraphrase_iter_5", "paraphrase_iter_6", "paraphrase_iter_7", "paraphrase_iter_8")
@@ -47,11 +46,20 @@ def predicted(df: DataFrame, mark: Watermark, threshold: float | None = None, co
     return out.withColumn("confidence", F.when(F.col("prediction"), 1 - S.p_value("z_score"))) if confidence else out
 
 
-def unique_bigram_scores(texts: DataFrame, mark: Watermark) -> DataFrame:
-    """Scores over each text's distinct bigrams, each counted once."""
-    green = F.when(S.is_green(F.col("prev"), F.col("token"), mark.hash_key, mark.gamma, mark.select_green_tokens), 1).otherwise(0)
-    counts = bigrams(texts).groupBy("doc_id", "text_type").agg(F.count("*").alias("num_tokens_scored"), F.sum(green).alias("num_green_tokens"))
-    return counts.withColumn("z_score", S.z_score(F.col("num_green_tokens"), F.col("num_tokens_scored"), mark.gamma))
+def unique_bigram_scores(texts: DataFrame, mark: Watermark, tokens: str = "words") -> DataFrame:
+    """``texts`` with num_tokens_scored, num_green_tokens and z_score over each text's distinct bigrams, each counted once.
+
+    Bigrams are made distinct inside the row, so rows that share an id stay
+    apart and nothing is shuffled; a text of fewer than two tokens, or a null
+    one, has zeros.
+    """
+    w = F.col(tokens)
+    places = F.when(F.size(w) > 1, F.sequence(F.lit(1), F.size(w) - 1)).otherwise(F.array().cast("array<int>"))
+    pairs = F.array_distinct(F.transform(places, lambda i: F.struct(F.get(w, i - 1).alias("prev"), F.get(w, i).alias("token"))))
+    rows = texts.withColumn("_pairs", pairs)
+    green = F.filter("_pairs", lambda p: S.is_green(p["prev"], p["token"], mark.hash_key, mark.gamma, mark.select_green_tokens))
+    rows = rows.withColumns({"num_tokens_scored": F.size("_pairs").cast("bigint"), "num_green_tokens": F.size(green).cast("bigint")}).drop("_pairs")
+    return rows.withColumn("z_score", S.z_score(F.col("num_green_tokens"), F.col("num_tokens_scored"), mark.gamma))
 
 
 def summary(scores: DataFrame, *by: str) -> DataFrame:
@@ -70,9 +78,11 @@ FILE_COLUMNS = ("watermark_bits", "z_score", "green_fraction", "green_token_coun
 def detection_file(df: DataFrame, mark: Watermark, text: str | None = None, tokenize: Callable[[Column], Column] = words) -> DataFrame:
     """``df`` with the columns of a detection file. ``tokenize`` makes an array of tokens of a text column.
 
-    A text that can't be tokenised, a null one, gets the bits ``ERROR`` and zeros.
+    A null text is the word ``nan``, as files hold it, so it has no bits. A
+    text that can't be tokenised, for which ``tokenize`` gives null, gets the
+    bits ``ERROR`` and zeros.
     """
     text = text or text_column(df)
-    rows = scored(df.withColumn("_tokens", tokenize(F.col(text))), mark, "_tokens")
+    rows = scored(df.withColumn("_tokens", tokenize(F.coalesce(F.col(text), F.lit("nan")))), mark, "_tokens")
     rows = rows.withColumn("bits", F.when(F.col("_tokens").isNotNull(), F.col("bits")))
     return csv_bits(rows).withColumnRenamed("num_green_tokens", "green_token_count").drop("bits", "_tokens")

@@ -34,12 +34,33 @@ def matrix(wins: DataFrame, sets=EXPERIMENTS) -> DataFrame:
     """
     depths = sorted({d for _, ds in sets for d in ds})
     rows = wins.where(F.col("depth").isin(*depths)).groupBy("id", "win_idx").agg(*[F.max(F.when(F.col("depth") == d, F.col("z"))).alias(f"_z{d}") for d in depths])
+    return _by_experiment(rows, ("id",), sets)
+
+
+def _by_experiment(rows: DataFrame, keys: tuple[str, ...], sets) -> DataFrame:
+    """(experiment, keys, win_idx, pss) of rows with a column ``_z{d}`` for each depth."""
     made = []
     for name, ds in sets:
         own = [F.col(f"_z{d}") for d in ds]
         pss = F.coalesce(_deviation(own), F.lit(0.0))  # null if any z is
         made.append(F.when(F.coalesce(*own).isNotNull(), F.struct(F.lit(name).alias("experiment"), pss.alias("pss"))))
-    return rows.select("id", "win_idx", F.inline(F.array_compact(F.array(*made)))).select("experiment", "id", "win_idx", "pss")
+    return rows.select(*keys, "win_idx", F.inline(F.array_compact(F.array(*made)))).select("experiment", *keys, "win_idx", "pss")
+
+
+def matrix_of_arrays(scores: DataFrame, keys: tuple[str, ...], sets=EXPERIMENTS) -> DataFrame:
+    """``matrix`` of rows (keys, depth, zs) that hold a text's local scores at a depth as an array.
+
+    The arrays of a text's depths meet in one row, so a shuffle moves a row per
+    text and depth where windows as rows would be many times as many. Of rows
+    that repeat a key and depth the longest array counts.
+    """
+    depths = sorted({d for _, ds in sets for d in ds})
+    longest = lambda d: F.max_by("zs", F.when(F.col("depth") == d, F.struct(F.size("zs"), "zs")))
+    rows = scores.where(F.col("depth").isin(*depths)).groupBy(*keys).agg(*[longest(d).alias(f"_z{d}") for d in depths])
+    names = [f"_z{d}" for d in depths]
+    zipped = F.arrays_zip(*[F.coalesce(n, F.array().cast("array<double>")).alias(n) for n in names])
+    rows = rows.select(*keys, F.posexplode(zipped).alias("win_idx", "_w")).select(*keys, "win_idx", "_w.*")
+    return _by_experiment(rows, keys, sets)
 
 
 def features(pss: DataFrame, static: DataFrame, n: int, names: tuple[str, ...] = STATIC) -> DataFrame:

@@ -184,7 +184,7 @@ ORACLES = {
     "bits_csv": f"WITH {SCORED} SELECT doc_id, text_type, array_to_string(bits, ',') AS watermark_bits FROM scored",
     "score_sequence": f"WITH {SCORED} SELECT doc_id, text_type, {SCORES} FROM scored",
     "detect_docs": f"WITH w AS (SELECT doc_id, coalesce({words('text')}, []) AS words FROM documents), b AS (SELECT doc_id, {bits_of('words')} AS bits FROM w), s AS (SELECT doc_id, len(bits) AS t, coalesce(list_sum(bits), 0)::BIGINT AS k FROM b) SELECT doc_id, {SCORES}, ({z('k', 't')}) > 1.5 AS prediction FROM s",
-    "score_unique_bigrams": f"WITH {PAIRS}, s AS (SELECT doc_id, text_type, count(*) AS t, sum(CASE WHEN {green('prev', 'token')} THEN 1 ELSE 0 END)::BIGINT AS k FROM bigrams GROUP BY ALL) SELECT doc_id, text_type, t AS num_tokens_scored, k AS num_green_tokens, {r(z('k', 't'))} AS z_score FROM s",
+    "score_unique_bigrams": f"WITH {CUTS}, p AS (SELECT doc_id, text_type, list_distinct(list_transform(range(2, len(words) + 1), lambda i: {{'prev': words[i - 1], 'token': words[i]}})) AS pairs FROM halves), s AS (SELECT doc_id, text_type, len(pairs) AS t, len(list_filter(pairs, lambda x: {green('x.prev', 'x.token')}))::BIGINT AS k FROM p) SELECT doc_id, text_type, t AS num_tokens_scored, k AS num_green_tokens, {r(z('k', 't'))} AS z_score FROM s",
     "z_score": f"WITH s AS (SELECT doc_id, length(coalesce(text, '')) AS t, length(regexp_replace(coalesce(text, ''), '[^aeiou]', '', 'g')) AS k FROM documents) SELECT doc_id, k, t, {r(z('k', 't'))} AS z FROM s",
     "detect_prediction": f"WITH {SCORED} SELECT doc_id, text_type, {r(z('k', 't'))} AS z_score, ({z('k', 't')}) > 1.0 AS prediction FROM scored",
     "detect_all_depths": f"WITH {DETECTED} SELECT doc_id, text_type, depth, bits, {r('z_score')} AS z_score, {r('CASE WHEN t > 0 THEN k::DOUBLE / t ELSE 0 END')} AS green_fraction, k AS green_token_count FROM detected",
@@ -233,11 +233,12 @@ LIST_U = u(f"'{KEY}'", "prev", "token")
 ORACLES["greenlist_words"] = f"WITH v AS (SELECT DISTINCT unnest({words('text')}) AS token FROM documents), p AS (SELECT prev, token FROM v, (SELECT DISTINCT lang AS prev FROM documents WHERE lang IS NOT NULL)), o AS (SELECT prev, token, row_number() OVER (PARTITION BY prev ORDER BY {LIST_U}, token) AS n FROM p) SELECT prev, token FROM o WHERE n <= floor((SELECT count(*) FROM v) * {GAMMA})"
 WHOLE_BITS = f"marked AS (SELECT doc_id, {bits_of('words')} AS b FROM (SELECT doc_id, coalesce({words('text')}, []) AS words FROM documents)), whole AS (SELECT doc_id, array_to_string(b, '') AS bits, len(b) AS t, coalesce(list_sum(b), 0)::BIGINT AS k FROM marked)"
 ORACLES["windows_docs"] = f"WITH {WHOLE_BITS}, {windowed('whole', 'doc_id', W=50, STEP=10)} SELECT doc_id, win_idx::INTEGER AS win_idx, win_start::INTEGER AS win_start, win_end::INTEGER AS win_end, win, {r('z')} AS z, run::INTEGER AS run, freq::INTEGER AS freq FROM wins"
+ORACLES["windows_chunked"] = f"WITH {WHOLE_BITS}, {windowed('whole', 'doc_id', W=50, STEP=10)} SELECT doc_id, win_idx, win_start, win_end, {r('z')} AS z, run, freq FROM wins"
 ORACLES["rolling_presets"] = " UNION ALL ".join(
     f"(WITH {WHOLE_BITS}, {windowed('whole', 'doc_id', W=size, STEP=step)}, {statistics('wins', 'doc_id')} SELECT whole.doc_id, {r(z('k', 't'))} AS z_score, '{name}' AS preset, {', '.join(f'round({r(f"coalesce(stats.{c}, 0)")}, 4) + 0.0::DOUBLE AS {c}' for c in STATIC)} FROM whole LEFT JOIN stats USING (doc_id))"
     for name, (size, step) in WINDOW_PRESETS.items()
 )
-ORACLES["detection_file"] = f"WITH w AS (SELECT doc_id, text, coalesce({words('text')}, []) AS words FROM documents), b AS (SELECT doc_id, text, {bits_of('words')} AS bits FROM w), s AS (SELECT *, len(bits) AS t, coalesce(list_sum(bits), 0)::BIGINT AS k FROM b) SELECT doc_id, CASE WHEN text IS NULL THEN 'ERROR' ELSE array_to_string(bits, ',') END AS watermark_bits, {r(z('k', 't'))} AS z_score, {r('CASE WHEN t > 0 THEN k::DOUBLE / t ELSE 0 END')} AS green_fraction, k AS green_token_count, t AS num_tokens_scored FROM s"
+ORACLES["detection_file"] = f"WITH w AS (SELECT doc_id, text, coalesce({words('text')}, []) AS words FROM documents), b AS (SELECT doc_id, text, {bits_of('words')} AS bits FROM w), s AS (SELECT *, len(bits) AS t, coalesce(list_sum(bits), 0)::BIGINT AS k FROM b) SELECT doc_id, array_to_string(bits, ',') AS watermark_bits, {r(z('k', 't'))} AS z_score, {r('CASE WHEN t > 0 THEN k::DOUBLE / t ELSE 0 END')} AS green_fraction, k AS green_token_count, t AS num_tokens_scored FROM s"
 
 #: All words of all documents in place of the sample halves.
 DOCS = f"halves AS (SELECT doc_id, 'document' AS text_type, 0 AS label, coalesce({words('text')}, []) AS words FROM documents)"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import partial, reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdigris.config import EXPERIMENTS, SMALL, WINDOW_PRESETS, Corpus, Windows
@@ -54,7 +54,13 @@ def combined(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def all_windows(spark: SparkSession, sf_dir: str, keep: tuple[str, ...] = ("depth", "id", "label")) -> DataFrame:
-    return windows.features(windows.windows(combined(spark, sf_dir).select(*keep, "bits"), WIN), MARK.gamma)
+    return windows.figures(combined(spark, sf_dir).select(*keep, "bits"), WIN, MARK.gamma)
+
+
+def places(c: Column | str, n: int) -> Column:
+    """To ``n`` places, halves away from zero, by the binary product, as other engines round doubles; ``F.round`` goes by the decimal text."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.signum(c) * F.floor(F.abs(c) * 10**n + 0.5) / 10**n + F.lit(0.0)
 
 
 def rounded(df: DataFrame, *columns: str) -> DataFrame:
@@ -63,7 +69,7 @@ def rounded(df: DataFrame, *columns: str) -> DataFrame:
     Nine places first: values that lie halfway then round alike whatever the last bit.
     """
     names = columns or [n for n, t in df.dtypes if t == "double"]
-    return df.withColumns({c: F.round(F.round(F.col(c), 9), 6) + F.lit(0.0) for c in names})
+    return df.withColumns({c: places(places(c, 9), 6) for c in names})
 
 
 # scans and corpus preparation
@@ -212,7 +218,7 @@ def detect_docs(spark, sf_dir):
 
 
 def score_unique_bigrams(spark, sf_dir, texts=halves):
-    return rounded(detection.unique_bigram_scores(texts(spark, sf_dir), MARK).select("doc_id", "text_type", "num_tokens_scored", F.col("num_green_tokens").cast("bigint").alias("num_green_tokens"), "z_score"))
+    return rounded(detection.unique_bigram_scores(texts(spark, sf_dir), MARK).select("doc_id", "text_type", "num_tokens_scored", "num_green_tokens", "z_score"))
 
 
 def z_score(spark, sf_dir):
@@ -323,7 +329,7 @@ def window_rows(spark, sf_dir):
 def _literal(rows: DataFrame) -> DataFrame:
     from dataclasses import replace
 
-    return windows.features(windows.windows(rows, replace(WIN, mode="literal")), MARK.gamma)
+    return windows.figures(rows, replace(WIN, mode="literal"), MARK.gamma)
 
 
 def window_literal(spark, sf_dir):
@@ -361,7 +367,7 @@ def _bits(spark, sf_dir) -> DataFrame:
 
 
 def _rolling(base: DataFrame) -> DataFrame:
-    return windows.rolling(base, WIN, MARK.gamma, "id")
+    return windows.rolling(base, WIN, MARK.gamma)
 
 
 def _whole_bits(spark, sf_dir) -> DataFrame:
@@ -376,13 +382,22 @@ def windows_docs(spark, sf_dir):
     return rounded(rows.select("doc_id", "win_idx", "win_start", "win_end", "win", "z", "run", "freq"))
 
 
+#: Bits of a chunk row, less than a window, so that a window takes several.
+CHUNK = 37
+
+
+def windows_chunked(spark, sf_dir):
+    """``windows_docs`` of sequences that come in chunk rows, as those too long for a row do."""
+    rows = _whole_bits(spark, sf_dir).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.floor(F.length("bits") / CHUNK).cast("int"))))
+    chunks = rows.select("doc_id", "chunk", F.substring(F.col("bits"), F.col("chunk") * CHUNK + 1, F.lit(CHUNK)).alias("bits"))
+    return rounded(windows.windows_of_chunks(chunks, Windows(), MARK.gamma, "doc_id", tile=100))
+
+
 def rolling_presets(spark, sf_dir):
     """The figures of whole documents, to four places, under each preset of window size and stride."""
     bits = _whole_bits(spark, sf_dir)
-    parts = [windows.rolling(bits.withColumn("preset", F.lit(name)), Windows(*shape), MARK.gamma, "doc_id") for name, shape in WINDOW_PRESETS.items()]
-    rows = rounded(reduce(DataFrame.unionByName, parts))
-    # ties by the binary product, as other engines round doubles: F.round goes by the decimal text (0.53175)
-    return rows.withColumns({c: F.signum(c) * F.floor(F.abs(c) * 10000 + 0.5) / 10000 + F.lit(0.0) for c in windows.STATIC})
+    parts = [windows.rolling(bits.withColumn("preset", F.lit(name)), Windows(*shape), MARK.gamma) for name, shape in WINDOW_PRESETS.items()]
+    return rounded(reduce(DataFrame.unionByName, parts)).withColumns({c: places(c, 4) for c in windows.STATIC})
 
 
 def rolling_features(spark, sf_dir):
@@ -404,25 +419,27 @@ def common_windows(spark, sf_dir):
 ALL_DEPTHS = max(EXPERIMENTS, key=lambda e: len(e[1]))
 
 
-def _by_id(spark, sf_dir) -> DataFrame:
-    """The windows' figures, made where their sequence's id is dealt: what groups them by id and window shuffles nothing more."""
-    rows = combined(spark, sf_dir).select("depth", "id", "bits").repartition("id")
-    return windows.features(windows.windows(rows, WIN), MARK.gamma).select("depth", "id", "win_idx", "z")
+def _stability(spark, sf_dir, sets=EXPERIMENTS) -> DataFrame:
+    """(experiment, doc_id, text_type, win_idx, pss), made of arrays: no window is a row before it has its figure."""
+    return stability.matrix_of_arrays(windows.local_scores(detected(spark, sf_dir).select("doc_id", "text_type", "depth", "bits"), WIN, MARK.gamma), ("doc_id", "text_type"), sets)
 
 
 def pss_matrix(spark, sf_dir):
-    return rounded(stability.matrix(_by_id(spark, sf_dir), [ALL_DEPTHS]).drop("experiment"))
+    texts = stored(halves(spark, sf_dir), "halves")  # short; read for the ids and for the scores
+    scores = windows.local_scores(detected(spark, sf_dir, spread(texts)).select("doc_id", "text_type", "depth", "bits"), WIN, MARK.gamma)
+    pss = stability.matrix_of_arrays(scores, ("doc_id", "text_type"), [ALL_DEPTHS])
+    return rounded(pss.join(reshape.sequential_ids(texts).drop("label"), ["doc_id", "text_type"]).select("id", "win_idx", "pss"))
 
 
 def pss_sweep(spark, sf_dir):
-    pss = stability.matrix(_by_id(spark, sf_dir))
+    pss = _stability(spark, sf_dir)
     return rounded(pss.groupBy("experiment", "win_idx").agg(F.count("*").alias("n"), F.avg("pss").alias("mean_pss"), F.max("pss").alias("max_pss")))
 
 
 def _features(spark, sf_dir) -> DataFrame:
     bits = _bits(spark, sf_dir)
-    wins = windows.features(windows.windows(bits.select("depth", "id", "bits").repartition("id"), WIN), MARK.gamma)
-    return stability.features(stability.matrix(wins, [ALL_DEPTHS]), _rolling(bits.where("depth = 1")), N_WINDOWS)
+    pss = stability.matrix_of_arrays(windows.local_scores(bits.select("id", "depth", "bits"), WIN, MARK.gamma), ("id",), [ALL_DEPTHS])
+    return stability.features(pss, _rolling(bits.where("depth = 1")), N_WINDOWS)
 
 
 def pss_features(spark, sf_dir):
@@ -462,7 +479,7 @@ def metrics_all(spark, sf_dir):
 
 
 def best_experiment(spark, sf_dir):
-    pss = stability.matrix(_by_id(spark, sf_dir)).groupBy("experiment").agg(F.round(F.avg("pss"), 6).alias("mean_pss"))
+    pss = _stability(spark, sf_dir).groupBy("experiment").agg(F.round(F.avg("pss"), 6).alias("mean_pss"))
     order = spark.createDataFrame([(n, k) for k, (n, _) in enumerate(EXPERIMENTS)], "experiment string, position int")
     return metrics.best(pss.join(F.broadcast(order), "experiment"), "mean_pss")
 
@@ -476,7 +493,7 @@ QUERIES = {
         detect_text, green_bits, bits_csv, detection_file, score_sequence, detect_docs, score_unique_bigrams, z_score, p_value, detect_prediction, detect_all_depths,
         detection_summary, paraphrase_prompt, clean_output, paraphrase_budget, paraphrase_rounds, words_per_round, resume_point, unpivot_depths,
         combine_detections, combine_labeled, sequential_id, validate_counts, merge_outer, merge_concat, window_rows, window_literal, window_literal_depths, window_z, window_runs,
-        window_stats, autocorr, windows_docs, rolling_presets, rolling_features, rolling_wide, common_windows, pss_matrix, pss_sweep, pss_features, stratified_split, pss_classify, auc,
+        window_stats, autocorr, windows_docs, windows_chunked, rolling_presets, rolling_features, rolling_wide, common_windows, pss_matrix, pss_sweep, pss_features, stratified_split, pss_classify, auc,
         confusion_matrix, prf, metrics_all, best_experiment,
     )
 }
