@@ -15,28 +15,28 @@ def viable(docs: DataFrame, corpus: Corpus) -> Column:
     return (F.size(T.lines(t)) >= corpus.skip_lines) & (F.size(T.body(t, corpus.skip_lines)) >= corpus.words_per_sample)
 
 
-def extracted(docs: DataFrame, corpus: Corpus) -> DataFrame:
-    """(doc_id, words, success): the first words after the skipped lines; short texts give what they have."""
+def extracted(docs: DataFrame, corpus: Corpus, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, keep..., words, success): the first words after the skipped lines; short texts give what they have."""
     enough_lines = F.size(T.lines(F.col("text"))) >= corpus.skip_lines
-    rows = docs.select("doc_id", enough_lines.alias("enough"), T.body(F.col("text"), corpus.skip_lines).alias("body"))
+    rows = docs.select("doc_id", *keep, enough_lines.alias("enough"), T.body(F.col("text"), corpus.skip_lines).alias("body"))
     got = F.when(F.col("enough"), F.slice("body", F.lit(1), F.lit(corpus.words_per_sample))).otherwise(F.array().cast("array<string>"))
-    return rows.select("doc_id", got.alias("words")).withColumn("success", F.size("words") >= corpus.words_per_sample)
+    return rows.select("doc_id", *keep, got.alias("words")).withColumn("success", F.size("words") >= corpus.words_per_sample)
 
 
-def samples(docs: DataFrame, corpus: Corpus) -> DataFrame:
-    """(doc_id, words) of viable documents; the first ``num_samples`` by doc_id if that is set."""
-    rows = extracted(docs, corpus).where("success").select("doc_id", "words")
+def samples(docs: DataFrame, corpus: Corpus, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, keep..., words) of viable documents; the first ``num_samples`` by doc_id if that is set."""
+    rows = extracted(docs, corpus, keep).where("success").drop("success")
     return rows.orderBy("doc_id").limit(corpus.num_samples) if corpus.num_samples else rows
 
 
-def halves(docs: DataFrame, corpus: Corpus) -> DataFrame:
-    """(doc_id, text_type, label, words): the first half of each sample as human text, the rest for the machine side."""
+def halves(docs: DataFrame, corpus: Corpus, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, keep..., text_type, label, words): the first half of each sample as human text, the rest for the machine side."""
     middle = corpus.words_per_sample // 2
     sides = F.array(
         F.struct(F.lit("human").alias("text_type"), F.lit(0).alias("label"), F.slice("words", F.lit(1), F.lit(middle)).alias("words")),
         F.struct(F.lit("ai").alias("text_type"), F.lit(1).alias("label"), F.slice("words", F.lit(middle + 1), F.greatest(F.size("words"), F.lit(1))).alias("words")),
     )
-    return samples(docs, corpus).select("doc_id", F.inline(sides))
+    return samples(docs, corpus, keep).select("doc_id", *keep, F.inline(sides))
 
 
 def dataset(docs: DataFrame, corpus: Corpus) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verdigris.operators.order import running_total
+from verdigris.operators.order import running_total, running_totals
+from verdigris.sources.storage import stored
 
 
 def _cell(label: int, prediction: int) -> Column:
@@ -47,6 +48,44 @@ def roc_auc(table: DataFrame, score: str) -> DataFrame:
     return summed.agg(F.when(both > 0, pairs / F.when(both > 0, both)).alias("auc"))
 
 
+def roc_curves(table: DataFrame, score: str, *by: str) -> DataFrame:
+    """(by..., threshold, pos, neg, tp, fp, all_pos, all_neg): one ROC curve per group, a row per distinct score.
+
+    ``pos`` and ``neg`` have exactly that score, ``tp`` and ``fp`` that score or
+    more. All groups' curves come from one pass: scores are counted by value
+    before they are shuffled, running totals go on across groups, and each group
+    takes off what was there where it began. So no task holds a group, however
+    many rows or distinct scores it has. Null scores are left out; a null group
+    is a group.
+    """
+    values = table.where(F.col(score).isNotNull()).groupBy(*by, F.col(score).alias("threshold")).agg(F.sum((F.col("label") == 1).cast("bigint")).alias("pos"), F.sum((F.col("label") == 0).cast("bigint")).alias("neg"))
+    summed = running_totals(values, [*[F.col(c).asc() for c in by], F.col("threshold").asc()], {"_pos": F.col("pos"), "_neg": F.col("neg")})
+    summed = stored(summed, "curves")
+    totals = summed.groupBy(*by).agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"), F.max("_pos").alias("_pos_end"), F.max("_neg").alias("_neg_end"))
+    totals = totals.withColumnsRenamed({c: f"_by_{c}" for c in by})
+    same = [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by]
+    rows = summed.join(totals, same, "inner") if by else summed.crossJoin(F.broadcast(totals))  # one row
+    tp, fp = F.col("_pos_end") - F.col("_pos") + F.col("pos"), F.col("_neg_end") - F.col("_neg") + F.col("neg")
+    return rows.select(*by, "threshold", "pos", "neg", tp.alias("tp"), fp.alias("fp"), "all_pos", "all_neg")
+
+
+def operating_points(curves: DataFrame, *by: str, most_false: float = 0.05) -> DataFrame:
+    """(by..., n_pos, n_neg, auc, threshold, tpr, fpr) of each group of ``roc_curves``.
+
+    ``threshold`` is the least score from which at most the share ``most_false``
+    of the negatives is flagged, null where even the highest flags more. ``auc``
+    is null where a group has only one class, and so is the rate of the class it lacks.
+    """
+    fits = F.col("fp") <= F.col("all_neg") * F.lit(most_false)
+    pairs = F.sum((F.col("pos").cast("decimal(18,0)") * (2 * (F.col("all_neg") - F.col("fp")) + F.col("neg")).cast("decimal(19,0)")).cast("decimal(38,0)"))
+    best = F.min_by(F.struct("threshold", "tp", "fp"), F.when(fits, F.col("threshold")))
+    rows = curves.groupBy(*by).agg(F.max("all_pos").alias("n_pos"), F.max("all_neg").alias("n_neg"), pairs.cast("double").alias("_pairs"), best.alias("_best"))
+    share = lambda a, n: F.when(F.col(n) > 0, F.col(a) / F.greatest(F.col(n), F.lit(1)))
+    both = F.col("n_pos").cast("double") * F.col("n_neg")
+    auc = F.when(both > 0, F.col("_pairs") / 2 / F.when(both > 0, both))
+    return rows.select(*by, "n_pos", "n_neg", auc.alias("auc"), "_best.threshold", share("_best.tp", "n_pos").alias("tpr"), share("_best.fp", "n_neg").alias("fpr"))
+
+
 def formatted(results: DataFrame) -> DataFrame:
     """Results in the columns of a results file: AUC with three places as text, rates with four, the matrix as text."""
     cell = lambda c: F.col(c).cast("string")

@@ -35,12 +35,12 @@ def stand_in(words: Column, doc_id: Column, text_type: Column, depth: int, rate:
 
 
 def rounds(texts: DataFrame, settings: Paraphrase) -> DataFrame:
-    """(doc_id, text_type, label, depth, words) for depth 0, the original, to the last round."""
+    """``texts`` (doc_id, text_type, words and any more) with ``depth`` and its words, from depth 0, the original, to the last round."""
     rows = texts.withColumn("_w0", F.col("words"))
     for k in range(1, settings.iterations + 1):
         rows = rows.withColumn(f"_w{k}", stand_in(F.col(f"_w{k - 1}"), F.col("doc_id"), F.col("text_type"), k, settings.rate))
     depths = F.array(*[F.struct(F.lit(k).alias("depth"), F.col(f"_w{k}").alias("words")) for k in range(settings.iterations + 1)])
-    return rows.select("doc_id", "text_type", "label", F.inline(depths))
+    return rows.select(*[c for c in texts.columns if c != "words"], F.inline(depths))
 
 
 def wide(deep: DataFrame, iterations: int) -> DataFrame:

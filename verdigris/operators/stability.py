@@ -54,13 +54,30 @@ def matrix_of_arrays(scores: DataFrame, keys: tuple[str, ...], sets=EXPERIMENTS)
     text and depth where windows as rows would be many times as many. Of rows
     that repeat a key and depth the longest array counts.
     """
+    rows = _zipped(scores, keys, sets).select(*keys, F.posexplode("_zipped").alias("win_idx", "_w")).select(*keys, "win_idx", "_w.*")
+    return _by_experiment(rows, keys, sets)
+
+
+def _zipped(scores: DataFrame, keys: tuple[str, ...], sets) -> DataFrame:
+    """(keys, _zipped): for each window of a text a struct of its scores at all depths."""
     depths = sorted({d for _, ds in sets for d in ds})
     longest = lambda d: F.max_by("zs", F.when(F.col("depth") == d, F.struct(F.size("zs"), "zs")))
     rows = scores.where(F.col("depth").isin(*depths)).groupBy(*keys).agg(*[longest(d).alias(f"_z{d}") for d in depths])
     names = [f"_z{d}" for d in depths]
-    zipped = F.arrays_zip(*[F.coalesce(n, F.array().cast("array<double>")).alias(n) for n in names])
-    rows = rows.select(*keys, F.posexplode(zipped).alias("win_idx", "_w")).select(*keys, "win_idx", "_w.*")
-    return _by_experiment(rows, keys, sets)
+    return rows.select(*keys, F.arrays_zip(*[F.coalesce(n, F.array().cast("array<double>")).alias(n) for n in names]).alias("_zipped"))
+
+
+def summary_of_arrays(scores: DataFrame, keys: tuple[str, ...], sets=EXPERIMENTS) -> DataFrame:
+    """(experiment, keys, n_windows, mean_pss, max_pss): ``matrix_of_arrays`` summed up inside a text's row, where no window becomes a row."""
+    rows, made = _zipped(scores, keys, sets), []
+    for name, ds in sets:
+        own = lambda w, ds=ds: [w[f"_z{d}"] for d in ds]
+        there = F.filter("_zipped", lambda w: F.coalesce(*own(w)).isNotNull())
+        pss = F.transform(there, lambda w: F.coalesce(_deviation(own(w)), F.lit(0.0)))
+        made.append(F.struct(F.lit(name).alias("experiment"), pss.alias("pss")))
+    rows = rows.select(*keys, F.inline(F.array(*made))).where(F.size("pss") > 0)
+    total = F.aggregate("pss", F.lit(0.0), lambda a, x: a + x)
+    return rows.select("experiment", *keys, F.size("pss").cast("bigint").alias("n_windows"), (total / F.size("pss")).alias("mean_pss"), F.array_max("pss").alias("max_pss"))
 
 
 def features(pss: DataFrame, static: DataFrame, n: int, names: tuple[str, ...] = STATIC) -> DataFrame:

@@ -214,6 +214,33 @@ def local_scores(table: DataFrame, settings: Windows, gamma: float, bits: str =
     return rows.mapInArrow(run, schema)
 
 
+def peaks(table: DataFrame, settings: Windows, gamma: float, threshold: float, bits: str = "bits") -> DataFrame:
+    """``table`` with what its windows say where a sequence is marked, in place of its bits.
+
+    n_windows, hot_windows (how many score above ``threshold``), and z and
+    extent of the window of highest score, the first among equals (null where
+    there is none). Made inside the row.
+    """
+    rows = _prepared(table, settings, bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in _slices(whole, "_s"):
+                cut, n = Cut(batch.column("_s"), settings), len(batch)
+                z = cut.z(gamma)
+                order = np.lexsort((cut.index, -z, cut.row))
+                top = order[np.flatnonzero(np.r_[True, cut.row[1:] != cut.row[:-1]])] if len(z) else order  # rows keep their places in any order of their windows
+                at, none = np.zeros(n, np.int64), np.ones(n, bool)
+                at[cut.row[top]], none[cut.row[top]] = top, False
+                pick = lambda a: pa.array(a[at] if len(z) else np.zeros(n, a.dtype), mask=none)
+                counts = np.bincount(cut.row, minlength=n), np.bincount(cut.row[z > threshold], minlength=n)
+                more = [pa.array(c.astype(np.int64)) for c in counts] + [pick(z), pick(cut.first.astype(np.int64)), pick(cut.last.astype(np.int64))]
+                yield pa.RecordBatch.from_arrays([*batch.drop_columns(["_s"]).columns, *more], names=schema.names)
+
+    schema = _schema(rows, ("_s",), "n_windows bigint, hot_windows bigint, peak_z double, peak_start bigint, peak_end bigint")
+    return rows.mapInArrow(run, schema)
+
+
 MOMENTS = ("mean", "var", "min", "max", "skew", "kurtosis")
 STATIC = tuple([f"z_{m}" for m in MOMENTS] + ["z_autocorr_lag1", "z_autocorr_lag2"] + [f"{p}_{m}" for p in ("run", "freq") for m in MOMENTS])
 

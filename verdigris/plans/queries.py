@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import partial, reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdigris.config import EXPERIMENTS, SMALL, WINDOW_PRESETS, Corpus, Windows
@@ -57,19 +57,13 @@ def all_windows(spark: SparkSession, sf_dir: str, keep: tuple[str, ...] = ("dept
     return windows.figures(combined(spark, sf_dir).select(*keep, "bits"), WIN, MARK.gamma)
 
 
-def places(c: Column | str, n: int) -> Column:
-    """To ``n`` places, halves away from zero, by the binary product, as other engines round doubles; ``F.round`` goes by the decimal text."""
-    c = F.col(c) if isinstance(c, str) else c
-    return F.signum(c) * F.floor(F.abs(c) * 10**n + 0.5) / 10**n + F.lit(0.0)
-
-
 def rounded(df: DataFrame, *columns: str) -> DataFrame:
     """Doubles to six places, with no negative zero, so that engines can be compared.
 
     Nine places first: values that lie halfway then round alike whatever the last bit.
     """
     names = columns or [n for n, t in df.dtypes if t == "double"]
-    return df.withColumns({c: places(places(c, 9), 6) for c in names})
+    return df.withColumns({c: S.places(S.places(c, 9), 6) for c in names})
 
 
 # scans and corpus preparation
@@ -397,7 +391,7 @@ def rolling_presets(spark, sf_dir):
     """The figures of whole documents, to four places, under each preset of window size and stride."""
     bits = _whole_bits(spark, sf_dir)
     parts = [windows.rolling(bits.withColumn("preset", F.lit(name)), Windows(*shape), MARK.gamma) for name, shape in WINDOW_PRESETS.items()]
-    return rounded(reduce(DataFrame.unionByName, parts)).withColumns({c: places(c, 4) for c in windows.STATIC})
+    return rounded(reduce(DataFrame.unionByName, parts)).withColumns({c: S.places(c, 4) for c in windows.STATIC})
 
 
 def rolling_features(spark, sf_dir):
