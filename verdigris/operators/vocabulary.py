@@ -1,11 +1,20 @@
-"""Vocabularies, token ids, green lists, bigrams and biased logits."""
+"""Vocabularies, token ids, green lists, bigrams and biased logits.
+
+Green lists come in three forms. The hash predicate of ``functions.scores``
+needs no vocabulary and gives lists of about gamma V tokens. ``exact_green``
+gives lists of exactly int(gamma V) tokens by a keyed permutation of the token
+ids: a pair costs the same few operations whatever the vocabulary, no list is
+made and the number of contexts has no limit; ``exact_lists`` writes such lists
+out. ``greenlists`` ranks a whole vocabulary by hash for stated contexts.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verdigris.config import Watermark
+from verdigris.functions.permutation import permuted
 from verdigris.functions.scores import is_green, uniform
 from verdigris.operators.order import ranked
 
@@ -42,7 +51,7 @@ def greenlists(contexts: DataFrame, vocab: DataFrame, mark: Watermark) -> DataFr
     n = vocab.count()
     names = [r.prev for r in contexts.select("prev").where("prev IS NOT NULL").distinct().limit(MOST_CONTEXTS + 1).collect()]
     if len(names) > MOST_CONTEXTS:
-        raise ValueError(f"more than {MOST_CONTEXTS} contexts; use the hash predicate, which needs no lists")
+        raise ValueError(f"more than {MOST_CONTEXTS} contexts; use exact_green or exact_lists, which have no such limit")
     if not n or not names:
         return vocab.select(F.col("token").alias("prev"), "token").limit(0)
     size = int(n * mark.gamma)
@@ -61,6 +70,43 @@ def greenlists(contexts: DataFrame, vocab: DataFrame, mark: Watermark) -> DataFr
     return both.where("low" if mark.select_green_tokens else "NOT low").select("prev", "token")
 
 
+def _seed(prev: Column, mark: Watermark) -> Column:
+    return F.concat(F.lit(f"{mark.hash_key}:"), prev.cast("string"))
+
+
+def exact_place(prev: Column, tok_id: Column, size: int, mark: Watermark) -> Column:
+    """Where the context's permutation sends a token of a vocabulary of ``size``."""
+    return permuted(tok_id, size, _seed(prev, mark))
+
+
+def on_list(place: Column, size: int, mark: Watermark) -> Column:
+    """Whether a place in a permutation is on the list: at the front, or without ``select_green_tokens`` at the end."""
+    length = int(size * mark.gamma)
+    return place < length if mark.select_green_tokens else place >= size - length
+
+
+def exact_green(prev: Column, tok_id: Column, size: int, mark: Watermark) -> Column:
+    """Whether a token is among the context's exactly ``int(gamma size)`` green ones; null for a null context or an unknown token."""
+    return on_list(exact_place(prev, tok_id, size, mark), size, mark)
+
+
+def exact_lists(contexts: DataFrame, vocab: DataFrame, mark: Watermark) -> DataFrame:
+    """(prev, token): the exact list of each distinct, not null ``prev`` of ``contexts``, written out.
+
+    The places on a list are turned back into token ids, so a context costs as
+    much as its list is long, and only that is joined with the vocabulary.
+    """
+    size = vocab.count()
+    length = int(size * mark.gamma)
+    first = 0 if mark.select_green_tokens else size - length
+    names = contexts.select("prev").where("prev IS NOT NULL").distinct()
+    if not length:
+        return vocab.select(F.col("token").alias("prev"), "token").limit(0)
+    places = names.withColumn("place", F.explode(F.sequence(F.lit(first).cast("bigint"), F.lit(first + length - 1).cast("bigint"))))
+    listed = places.select("prev", permuted(F.col("place"), size, _seed(F.col("prev"), mark), backwards=True).alias("tok_id"))
+    return listed.join(vocab.select("tok_id", "token"), "tok_id").select("prev", "token")
+
+
 def bigrams(texts: DataFrame) -> DataFrame:
     """(doc_id, text_type, prev, token, n): how often each pair of neighbours occurs in a text."""
     pairs = F.arrays_zip(F.slice("words", F.lit(1), F.greatest(F.size("words") - 1, F.lit(0))).alias("prev"), F.slice("words", F.lit(2), F.greatest(F.size("words"), F.lit(1))).alias("token"))

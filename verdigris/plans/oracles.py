@@ -240,7 +240,42 @@ ORACLES["rolling_presets"] = " UNION ALL ".join(
 )
 ORACLES["detection_file"] = f"WITH w AS (SELECT doc_id, text, coalesce({words('text')}, []) AS words FROM documents), b AS (SELECT doc_id, text, {bits_of('words')} AS bits FROM w), s AS (SELECT *, len(bits) AS t, coalesce(list_sum(bits), 0)::BIGINT AS k FROM b) SELECT doc_id, array_to_string(bits, ',') AS watermark_bits, {r(z('k', 't'))} AS z_score, {r('CASE WHEN t > 0 THEN k::DOUBLE / t ELSE 0 END')} AS green_fraction, k AS green_token_count, t AS num_tokens_scored FROM s"
 
+
+
+#: How often the twin walks on from a number beyond the vocabulary; no test table's vocabulary needs more.
+WALKS = 8
+
+
+def permuted(source: str) -> str:
+    """CTEs that end in ``permuted``: ``source`` (prev, tok_id, size, ...) with ``place``."""
+    word = lambda k: f"('0x' || substr(digest, {8 * k + 1}, 8))::BIGINT"
+    steps = [f"""
+shapes AS (SELECT size, root, unnest(range(greatest(root // 4, 0) + 1, root + 1)) AS a FROM (SELECT DISTINCT size, ceil(sqrt(size))::BIGINT AS root FROM {source})),
+shape AS (SELECT size, a, (size + a - 1) // a AS b FROM shapes QUALIFY row_number() OVER (PARTITION BY size ORDER BY a * ((size + a - 1) // a), a DESC) = 1),
+keyed AS (SELECT s.*, a, b, md5('{KEY}:' || prev) AS digest FROM {source} s JOIN shape USING (size)),
+worded AS (SELECT * EXCLUDE (digest), [{', '.join(map(word, range(4)))}] AS ks, tok_id AS y, true AS moves FROM keyed)"""]
+    last = "worded"
+    for walk in range(WALKS + 1):
+        steps.append(f"w{walk} AS (SELECT *, y // b AS l, y % b AS r FROM {last})")
+        last = f"w{walk}"
+        for k in range(6):
+            moving, radix = ("r", "a") if k % 2 == 0 else ("l", "b")
+            target = "l" if k % 2 == 0 else "r"
+            steps += [
+                f"m{walk}_{k} AS (SELECT *, (({moving} + ((ks[{k % 4 + 1}] + {k * 0x9E3779B9}) & 4294967295)) & 4294967295) AS v FROM {last})",
+                f"n{walk}_{k} AS (SELECT * REPLACE (((xor(v, v >> 16)) * 73244475) & 4294967295 AS v) FROM m{walk}_{k})",
+                f"o{walk}_{k} AS (SELECT * EXCLUDE (v) REPLACE (({target} + xor(v, v >> 16)) % {radix} AS {target}) FROM n{walk}_{k})",
+            ]
+            last = f"o{walk}_{k}"
+        steps.append(f"p{walk} AS (SELECT * EXCLUDE (l, r) REPLACE (CASE WHEN moves THEN l * b + r ELSE y END AS y, moves AND l * b + r >= size AS moves) FROM {last})")
+        last = f"p{walk}"
+    return ", ".join([*steps, f"permuted AS (SELECT * EXCLUDE (ks, y, moves, a, b), y AS place FROM {last})"])
+
+
+ORACLES["greenlist_exact"] = f"WITH {PAIRS}, tokens AS (SELECT unnest(words) AS token FROM halves), counts AS (SELECT token, count(*) AS n FROM tokens GROUP BY token), vocab AS (SELECT token, row_number() OVER (ORDER BY n DESC, token) - 1 AS tok_id, count(*) OVER () AS size FROM counts), met AS (SELECT prev, pairs.token, tok_id, size FROM pairs JOIN vocab ON pairs.token = vocab.token), {permuted('met')} SELECT prev, token, tok_id, place, place < floor(size * {GAMMA}) AS green FROM permuted"
+ORACLES["greenlist_exact_lists"] = f"WITH tokens AS (SELECT unnest({words('text')}) AS token FROM documents), counts AS (SELECT token, count(*) AS n FROM tokens GROUP BY token), vocab AS (SELECT token, row_number() OVER (ORDER BY n DESC, token) - 1 AS tok_id, count(*) OVER () AS size FROM counts), met AS (SELECT prev, token, tok_id, size FROM vocab, (SELECT DISTINCT lang AS prev FROM documents WHERE lang IS NOT NULL)), {permuted('met')} SELECT prev, token FROM permuted WHERE place < floor(size * {GAMMA})"
+
 #: All words of all documents in place of the sample halves.
 DOCS = f"halves AS (SELECT doc_id, 'document' AS text_type, 0 AS label, coalesce({words('text')}, []) AS words FROM documents)"
-ORACLES |= {f"{name}_docs": ORACLES[name].replace(CUTS, DOCS) for name in ("vocab", "token_ids", "greenlist_hash", "bias_logits", "bigram_counts", "green_bits", "bits_csv", "score_unique_bigrams", "p_value", "detect_text", "score_sequence", "detect_prediction", "paraphrase_rounds", "words_per_round", "detect_all_depths", "detection_summary")}
+ORACLES |= {f"{name}_docs": ORACLES[name].replace(CUTS, DOCS) for name in ("vocab", "token_ids", "greenlist_exact", "greenlist_hash", "bias_logits", "bigram_counts", "green_bits", "bits_csv", "score_unique_bigrams", "p_value", "detect_text", "score_sequence", "detect_prediction", "paraphrase_rounds", "words_per_round", "detect_all_depths", "detection_summary")}
 ORACLES["window_literal_depths"] = f"WITH {COMBINED}, top AS (SELECT depth, id, array_to_string(string_split(bits, ''), ',') AS commas FROM combined), {windowed('top', 'depth, id', 'commas')} SELECT depth, id, win_idx::INTEGER AS win_idx, win_start::INTEGER AS win_start, win_end::INTEGER AS win_end, {r('z')} AS z, run::INTEGER AS run, freq::INTEGER AS freq FROM wins"

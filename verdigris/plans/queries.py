@@ -151,6 +151,22 @@ def greenlist_words(spark, sf_dir):
     return vocabulary.greenlists(table(spark, sf_dir, "documents").select(F.col("lang").alias("prev")), tokens, MARK)
 
 
+def greenlist_exact(spark, sf_dir, texts=halves):
+    """For each pair of neighbours: the place of the second word in the permutation that the first one seeds, and whether it is on the exact list."""
+    words = texts(spark, sf_dir)
+    tokens = stored(vocabulary.vocabulary(words), "vocabulary")
+    size = tokens.count()
+    pairs = vocabulary.corpus_bigrams(words).join(tokens.select("token", "tok_id"), "token")
+    placed = pairs.select("prev", "token", "tok_id", vocabulary.exact_place(F.col("prev"), F.col("tok_id"), size, MARK).alias("place"))
+    return placed.withColumn("green", vocabulary.on_list(F.col("place"), size, MARK))
+
+
+def greenlist_exact_lists(spark, sf_dir):
+    """The exact lists of the language marks over the vocabulary of all documents."""
+    tokens = stored(vocabulary.vocabulary(whole(spark, sf_dir)), "vocabulary")
+    return vocabulary.exact_lists(table(spark, sf_dir, "documents").select(F.col("lang").alias("prev")), tokens, MARK)
+
+
 def greenlist_hash(spark, sf_dir, texts=halves):
     pairs = vocabulary.corpus_bigrams(texts(spark, sf_dir))
     u = S.uniform(F.lit(MARK.hash_key), F.col("prev"), F.col("token"))
@@ -483,7 +499,7 @@ QUERIES = {
     _RENAMED.get(f.__name__, f.__name__): f
     for f in (
         scan_pruned, validate_tables, viable_docs, word_tokens, word_count, extract_words, sample_docs, human_ai_split, create_dataset, trim_words,
-        length_variations, text_md5, vocab, token_ids, greenlist_rank, greenlist_words, greenlist_hash, bias_logits, bigram_counts, watermark_generate, resume_antijoin,
+        length_variations, text_md5, vocab, token_ids, greenlist_rank, greenlist_words, greenlist_exact, greenlist_exact_lists, greenlist_hash, bias_logits, bigram_counts, watermark_generate, resume_antijoin,
         detect_text, green_bits, bits_csv, detection_file, score_sequence, detect_docs, score_unique_bigrams, z_score, p_value, detect_prediction, detect_all_depths,
         detection_summary, paraphrase_prompt, clean_output, paraphrase_budget, paraphrase_rounds, words_per_round, resume_point, unpivot_depths,
         combine_detections, combine_labeled, sequential_id, validate_counts, merge_outer, merge_concat, window_rows, window_literal, window_literal_depths, window_z, window_runs,
@@ -493,7 +509,7 @@ QUERIES = {
 }
 #: Queries over sample halves whose operators take any text; NAME_docs runs them over whole documents (``detect_docs`` has the scores and predictions).
 WHOLE = (
-    "vocab", "token_ids", "greenlist_hash", "bias_logits", "bigram_counts", "green_bits", "bits_csv", "score_unique_bigrams", "p_value", "detect_text", "score_sequence", "detect_prediction",
+    "vocab", "token_ids", "greenlist_exact", "greenlist_hash", "bias_logits", "bigram_counts", "green_bits", "bits_csv", "score_unique_bigrams", "p_value", "detect_text", "score_sequence", "detect_prediction",
     "paraphrase_rounds", "words_per_round", "detect_all_depths", "detection_summary",
 )
 QUERIES |= {f"{name}_docs": partial(QUERIES[name], texts=whole) for name in WHOLE}
