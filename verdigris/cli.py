@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from verdigris import utilities
 from verdigris.config import EXPERIMENTS, Settings, load
-from verdigris.operators import corpus, detection, generation, metrics, paraphrasing, reshape, stability, windows
+from verdigris.operators import corpus, decoding, detection, generation, metrics, paraphrasing, reshape, stability, windows
 from verdigris.sources import storage
 
 STEPS = ("dataset", "watermark", "paraphrase", "detect", "combine", "rolling", "pss")
@@ -82,7 +82,12 @@ def watermark(spark: SparkSession, a: argparse.Namespace, s: Settings) -> None:
     prompts = spark.read.parquet(f"{a.output}/halves").where("label = 1")
     if a.max_rows:
         prompts = prompts.orderBy("doc_id").limit(a.max_rows)
-    work = lambda df: generation.generated(df, lambda: generation.PromptSampler(s.watermark), a.new_words, s.watermark)
+    if a.generator_path:  # a model that is stepped, or one that generates by itself
+        step = hasattr(factory(a.generator_path)(), "step") if a.generator_kind == "auto" else a.generator_kind == "step"
+        make = decoding.decoded if step else generation.generated
+        work = lambda df: make(df, factory(a.generator_path), a.new_words, s.watermark)
+    else:
+        work = lambda df: generation.generated(df, lambda: generation.PromptSampler(s.watermark), a.new_words, s.watermark)
     if a.force_restart:
         work(prompts).write.mode("overwrite").parquet(f"{a.output}/watermarked")
     else:
@@ -194,15 +199,17 @@ def parser() -> argparse.ArgumentParser:
     cut = [("--input", {"required": True}), ("--num-samples", number), ("--create-variations", flag), ("--download", flag), ("--kaggle-json", {"default": None})]
     again = ("--force-restart", flag)
     mark = [("--max-rows", number), ("--new-words", {"type": int, "default": 200})]
+    model = {"default": None, "dest": "generator_path", "help": "module:callable that makes a generator or a model that is stepped; without it a stand-in"}
+    made = ("--generator-kind", {"choices": ("auto", "step", "text"), "default": "auto", "help": "auto loads the model once on the driver to see"})
     kind = ("--text-type", {"choices": ("human", "ai", "both"), "default": "both"})
     para = [("--iterations", number), ("--model-path", {"default": None, "help": "module:callable that makes a paraphraser; without it a stand-in"}), ("--batch-size", {"type": int, "default": 10})]
     look = [("--window-size", number), ("--stride", number), ("--mode", {"choices": ("clean", "literal")})]
     command("dataset", "cut samples from a corpus", *cut)
-    command("watermark", "continue the machine side with a watermark", *mark, again)
+    command("watermark", "continue the machine side with a watermark", *mark, again, ("--model-path", model), made)
     command("paraphrase", "rounds of paraphrase", *para, kind)
     command("detect", "score all depths", kind, again)
     command("analyze", "windows, stability, classifier", *look, ("--skip-combine", flag), ("--skip-rolling", flag))
-    command("pipeline", "several steps", *cut, *mark, *para, kind, again, *look, ("--steps", {"nargs": "+", "choices": ("all", *STEPS), "default": ["all"]}))
+    command("pipeline", "several steps", *cut, *mark, ("--generator-path", model), made, *para, kind, again, *look, ("--steps", {"nargs": "+", "choices": ("all", *STEPS), "default": ["all"]}))
     return p
 
 

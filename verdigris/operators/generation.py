@@ -50,6 +50,19 @@ class PromptSampler:
         return out
 
 
+#: Words of a prompt that a generator sees.
+MOST_WORDS = 2000
+
+
+def finished(rows: DataFrame, mark: Watermark) -> DataFrame:
+    """Rows (doc_id, words, new) in the columns of a generation file, with the bits and z of prompt and continuation together."""
+    rows = scored(rows.withColumn("full", F.concat("words", "new")), mark, "full")
+    return rows.select(
+        "doc_id", F.array_join("words", " ").alias("original_text"), F.array_join("new", " ").alias("generated_text"), F.size("words").cast("bigint").alias("original_word_count"),
+        F.size("new").cast("bigint").alias("generated_word_count"), F.array_join(F.col("bits").cast("array<string>"), ",").alias("watermark_bits"), "z_score",
+    )
+
+
 def generated(prompts: DataFrame, make: Callable[[], Generator], length: int, mark: Watermark) -> DataFrame:
     """(doc_id, original_text, generated_text, counts) and the bits and z of prompt and continuation together."""
     schema = "doc_id bigint, words array<string>, new array<string>"
@@ -61,9 +74,5 @@ def generated(prompts: DataFrame, make: Callable[[], Generator], length: int, ma
             new = [model.generate(w or [], length, str(i)) for i, w in zip(ids.to_pylist(), words.to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([ids, words, pa.array(new, pa.list_(pa.string()))], names=["doc_id", "words", "new"])
 
-    rows = prompts.select("doc_id", F.slice("words", F.lit(1), F.lit(2000)).alias("words")).mapInArrow(run, schema)
-    rows = scored(rows.withColumn("full", F.concat("words", "new")), mark, "full")
-    return rows.select(
-        "doc_id", F.array_join("words", " ").alias("original_text"), F.array_join("new", " ").alias("generated_text"), F.size("words").cast("bigint").alias("original_word_count"),
-        F.size("new").cast("bigint").alias("generated_word_count"), F.array_join(F.col("bits").cast("array<string>"), ",").alias("watermark_bits"), "z_score",
-    )
+    rows = prompts.select("doc_id", F.slice("words", F.lit(1), F.lit(MOST_WORDS)).alias("words")).mapInArrow(run, schema)
+    return finished(rows, mark)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from verdigris.config import EXPERIMENTS, SMALL, WINDOW_PRESETS, Corpus, Windows
 from verdigris.functions import scores as S
 from verdigris.functions import text as T
-from verdigris.operators import corpus, detection, generation, metrics, paraphrasing, reshape, stability, vocabulary, windows
+from verdigris.operators import corpus, decoding, detection, generation, metrics, paraphrasing, reshape, stability, vocabulary, windows
 from verdigris.sources.storage import remaining, spread, stored
 
 CUT, MARK, PARA, WIN = SMALL.corpus, SMALL.watermark, SMALL.paraphrase, SMALL.windows
@@ -185,6 +185,12 @@ def watermark_generate(spark, sf_dir):
     return generation.generated(halves(spark, sf_dir).where("label = 1"), lambda: generation.PromptSampler(MARK), 60, MARK)
 
 
+def watermark_decode(spark, sf_dir):
+    """The machine side continued by a model of the whole corpus, all rows of a batch a step at a time."""
+    model = decoding.corpus_model(whole(spark, sf_dir))
+    return decoding.decoded(halves(spark, sf_dir).where("label = 1"), lambda: model, 60, MARK)
+
+
 def resume_antijoin(spark, sf_dir):
     todo = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "n_chars")
     return remaining(todo, table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id")))
@@ -499,7 +505,7 @@ QUERIES = {
     _RENAMED.get(f.__name__, f.__name__): f
     for f in (
         scan_pruned, validate_tables, viable_docs, word_tokens, word_count, extract_words, sample_docs, human_ai_split, create_dataset, trim_words,
-        length_variations, text_md5, vocab, token_ids, greenlist_rank, greenlist_words, greenlist_exact, greenlist_exact_lists, greenlist_hash, bias_logits, bigram_counts, watermark_generate, resume_antijoin,
+        length_variations, text_md5, vocab, token_ids, greenlist_rank, greenlist_words, greenlist_exact, greenlist_exact_lists, greenlist_hash, bias_logits, bigram_counts, watermark_generate, watermark_decode, resume_antijoin,
         detect_text, green_bits, bits_csv, detection_file, score_sequence, detect_docs, score_unique_bigrams, z_score, p_value, detect_prediction, detect_all_depths,
         detection_summary, paraphrase_prompt, clean_output, paraphrase_budget, paraphrase_rounds, words_per_round, resume_point, unpivot_depths,
         combine_detections, combine_labeled, sequential_id, validate_counts, merge_outer, merge_concat, window_rows, window_literal, window_literal_depths, window_z, window_runs,
