@@ -82,7 +82,11 @@ def detection_file(df: DataFrame, mark: Watermark, text: str | None = None, toke
     text that can't be tokenised, for which ``tokenize`` gives null, gets the
     bits ``ERROR`` and zeros.
     """
-    text = text or text_column(df)
-    rows = scored(df.withColumn("_tokens", tokenize(F.coalesce(F.col(text), F.lit("nan")))), mark, "_tokens")
-    rows = rows.withColumn("bits", F.when(F.col("_tokens").isNotNull(), F.col("bits")))
-    return csv_bits(rows).withColumnRenamed("num_green_tokens", "green_token_count").drop("bits", "_tokens")
+    return detection_file_of_tokens(df.withColumn("tokens", tokenize(F.coalesce(F.col(text or text_column(df)), F.lit("nan")))), mark)
+
+
+def detection_file_of_tokens(df: DataFrame, mark: Watermark) -> DataFrame:
+    """``df``, which has ``tokens`` (null where a tokenizer failed), with the columns of a detection file."""
+    rows = scored(df, mark, "tokens")
+    rows = rows.withColumn("bits", F.when(F.col("tokens").isNotNull(), F.col("bits")))
+    return csv_bits(rows).withColumnRenamed("num_green_tokens", "green_token_count").drop("bits", "tokens")

@@ -279,3 +279,24 @@ ORACLES["greenlist_exact_lists"] = f"WITH tokens AS (SELECT unnest({words('text'
 DOCS = f"halves AS (SELECT doc_id, 'document' AS text_type, 0 AS label, coalesce({words('text')}, []) AS words FROM documents)"
 ORACLES |= {f"{name}_docs": ORACLES[name].replace(CUTS, DOCS) for name in ("vocab", "token_ids", "greenlist_exact", "greenlist_hash", "bias_logits", "bigram_counts", "green_bits", "bits_csv", "score_unique_bigrams", "p_value", "detect_text", "score_sequence", "detect_prediction", "paraphrase_rounds", "words_per_round", "detect_all_depths", "detection_summary")}
 ORACLES["window_literal_depths"] = f"WITH {COMBINED}, top AS (SELECT depth, id, array_to_string(string_split(bits, ''), ',') AS commas FROM combined), {windowed('top', 'depth, id', 'commas')} SELECT depth, id, win_idx::INTEGER AS win_idx, win_start::INTEGER AS win_start, win_end::INTEGER AS win_end, {r('z')} AS z, run::INTEGER AS run, freq::INTEGER AS freq FROM wins"
+
+#: Longest-match segmentation of each distinct word: the longest piece at every place first, then the walk from piece to piece.
+SUBWORDS = f"""
+texts AS (SELECT doc_id, coalesce({words('text')}, []) AS words FROM documents),
+tokens AS (SELECT unnest(words) AS token FROM texts),
+counts AS (SELECT token, count(*) AS n FROM tokens GROUP BY token),
+pieces AS MATERIALIZED (
+  SELECT piece, row_number() OVER (ORDER BY piece) - 1 AS id FROM (
+    SELECT token AS piece FROM (SELECT token, row_number() OVER (ORDER BY n DESC, token) AS k FROM counts) WHERE k <= 5000
+    UNION SELECT unnest(string_split(token, '')) FROM counts) WHERE piece <> ''),
+ats AS (SELECT token, unnest(range(1, length(token) + 1)) AS spot FROM counts),
+sizes AS (SELECT token, spot, unnest(range(1, least(length(token) - spot + 1, (SELECT max(length(piece)) FROM pieces)) + 1)) AS size FROM ats),
+best AS MATERIALIZED (SELECT token, spot, max(size) AS size, arg_max(id, size) AS id FROM sizes JOIN pieces ON substr(token, spot, size) = piece GROUP BY token, spot),
+walk(token, spot, size, id, k) AS (
+  SELECT token, spot, size, id, 0 FROM best WHERE spot = 1
+  UNION ALL SELECT b.token, b.spot, b.size, b.id, k + 1 FROM walk w JOIN best b ON b.token = w.token AND b.spot = w.spot + w.size),
+segments AS MATERIALIZED (SELECT token, list((2 * id + (k > 0)::BIGINT)::INTEGER ORDER BY k) AS ids FROM walk GROUP BY token),
+places AS (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS i FROM texts),
+segmented AS MATERIALIZED (SELECT doc_id, coalesce(flatten(list(ids ORDER BY i) FILTER (WHERE ids IS NOT NULL)), []) AS words FROM texts LEFT JOIN places USING (doc_id) LEFT JOIN segments ON token = places.words[i] GROUP BY doc_id)"""
+ORACLES["token_ids_subword"] = f"WITH RECURSIVE {SUBWORDS}, p AS (SELECT doc_id, words, unnest(range(0, len(words)))::INTEGER AS pos FROM segmented) SELECT doc_id, pos, words[pos + 1] AS tok_id FROM p"
+ORACLES["detect_subword"] = f"WITH RECURSIVE {SUBWORDS}, b AS (SELECT doc_id, {bits_of('words')} AS bits FROM segmented), s AS (SELECT doc_id, len(bits) AS t, coalesce(list_sum(bits), 0)::BIGINT AS k FROM b) SELECT doc_id, {SCORES} FROM s"

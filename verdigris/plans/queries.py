@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from verdigris.config import EXPERIMENTS, SMALL, WINDOW_PRESETS, Corpus, Windows
 from verdigris.functions import scores as S
 from verdigris.functions import text as T
-from verdigris.operators import corpus, decoding, detection, generation, metrics, paraphrasing, reshape, stability, vocabulary, windows
+from verdigris.operators import corpus, decoding, detection, generation, metrics, paraphrasing, reshape, stability, subwords, vocabulary, windows
 from verdigris.sources.storage import remaining, spread, stored
 
 CUT, MARK, PARA, WIN = SMALL.corpus, SMALL.watermark, SMALL.paraphrase, SMALL.windows
@@ -262,6 +262,20 @@ def detection_summary(spark, sf_dir, texts=halves):
     return rounded(detection.summary(detected(spark, sf_dir, texts(spark, sf_dir)), "text_type", "depth"))
 
 
+def _subwords(spark, sf_dir) -> DataFrame:
+    """All documents with their subword tokens, by the corpus's own pieces."""
+    texts = whole(spark, sf_dir)
+    return subwords.segmented(texts, subwords.corpus_pieces(texts))
+
+
+def token_ids_subword(spark, sf_dir):
+    return _subwords(spark, sf_dir).select("doc_id", F.posexplode("tokens").alias("pos", "tok_id"))
+
+
+def detect_subword(spark, sf_dir):
+    return _scores(detection.scored(_subwords(spark, sf_dir), MARK, "tokens"), "doc_id")
+
+
 # paraphrase
 
 
@@ -507,7 +521,7 @@ QUERIES = {
         scan_pruned, validate_tables, viable_docs, word_tokens, word_count, extract_words, sample_docs, human_ai_split, create_dataset, trim_words,
         length_variations, text_md5, vocab, token_ids, greenlist_rank, greenlist_words, greenlist_exact, greenlist_exact_lists, greenlist_hash, bias_logits, bigram_counts, watermark_generate, watermark_decode, resume_antijoin,
         detect_text, green_bits, bits_csv, detection_file, score_sequence, detect_docs, score_unique_bigrams, z_score, p_value, detect_prediction, detect_all_depths,
-        detection_summary, paraphrase_prompt, clean_output, paraphrase_budget, paraphrase_rounds, words_per_round, resume_point, unpivot_depths,
+        detection_summary, token_ids_subword, detect_subword, paraphrase_prompt, clean_output, paraphrase_budget, paraphrase_rounds, words_per_round, resume_point, unpivot_depths,
         combine_detections, combine_labeled, sequential_id, validate_counts, merge_outer, merge_concat, window_rows, window_literal, window_literal_depths, window_z, window_runs,
         window_stats, autocorr, windows_docs, windows_chunked, rolling_presets, rolling_features, rolling_wide, common_windows, pss_matrix, pss_sweep, pss_features, stratified_split, pss_classify, auc,
         confusion_matrix, prf, metrics_all, best_experiment,
