@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from verdigris import utilities
 from verdigris.config import EXPERIMENTS, Settings, load
-from verdigris.operators import corpus, decoding, detection, generation, metrics, paraphrasing, reshape, stability, windows
+from verdigris.functions import text as functions
+from verdigris.operators import corpus, decoding, detection, generation, metrics, paraphrasing, reshape, stability, subwords, windows
 from verdigris.sources import storage
 
 STEPS = ("dataset", "watermark", "paraphrase", "detect", "combine", "rolling", "pss")
@@ -100,12 +101,16 @@ def paraphrase(spark: SparkSession, a: argparse.Namespace, s: Settings) -> None:
     texts = spark.read.parquet(f"{a.output}/halves")
     if a.text_type != "both":
         texts = texts.where(F.col("text_type") == a.text_type)
-    if a.model_path:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", a.batch_size)
+    if a.model_path:  # goes on where an earlier run stopped
         table = texts.select("doc_id", "text_type", "label", F.array_join("words", " ").alias("text"))
-        wide = paraphrasing.with_model(table, factory(a.model_path), settings)
-        export(wide.drop("label"), a, f"{a.text_type}_paraphrased")
-        deep = reshape.unpivoted(wide, settings.iterations, ("doc_id", "text_type", "label")).withColumn("words", F.split("text", " ")).drop("text")
+        path = f"{a.output}/rounds"
+        if a.force_restart:  # what is there is replaced by the originals, whose rounds are then missing
+            first = table.withColumns({"word_count": functions.word_count(F.col("text")), "depth": F.lit(0)})
+            first.write.mode("overwrite").partitionBy("text_type", "depth").parquet(path)
+        deep = paraphrasing.resumed_rounds(table, path, factory(a.model_path), settings, a.batch_size)
+        deep = deep if a.text_type == "both" else deep.where(F.col("text_type") == a.text_type)
+        export(paraphrasing.wide_texts(deep, settings.iterations), a, f"{a.text_type}_paraphrased")
+        deep = deep.withColumn("words", F.split("text", " ")).drop("text", "word_count")
     else:
         deep = paraphrasing.rounds(texts, settings)
     deep.write.mode("overwrite").partitionBy("text_type", "depth").parquet(f"{a.output}/depths")
@@ -116,7 +121,11 @@ def detect(spark: SparkSession, a: argparse.Namespace, s: Settings) -> None:
     key, path = ["doc_id", "text_type", "depth"], f"{a.output}/detected"
 
     def work(df: DataFrame) -> DataFrame:
-        rows = detection.scored(df, s.watermark).drop("words")
+        if a.tokenizer:
+            rows = subwords.tried(df.withColumn("_joined", F.array_join("words", " ")).drop("words"), factory(a.tokenizer), "_joined").drop("_joined")
+        else:
+            rows = df.withColumnRenamed("words", "tokens").withColumn("error", F.lit(None).cast("string"))
+        rows = detection.scored(rows, s.watermark, "tokens").drop("tokens")
         return rows.withColumn("bits", F.array_join(F.col("bits").cast("array<string>"), ""))
 
     todo = spark.read.parquet(f"{a.output}/depths")
@@ -127,7 +136,7 @@ def detect(spark: SparkSession, a: argparse.Namespace, s: Settings) -> None:
     else:
         storage.append_new(todo, path, work, key, ("text_type", "depth"))
     found = spark.read.parquet(path)
-    columns = found.withColumn("watermark_bits", windows.literal(F.col("bits"))).withColumnRenamed("num_green_tokens", "green_token_count")
+    columns = found.withColumn("watermark_bits", F.when(F.col("error").isNotNull(), "ERROR").otherwise(windows.literal(F.col("bits")))).withColumnRenamed("num_green_tokens", "green_token_count")
     for k in depths_of(found) if a.csv else []:
         for kind, name in (("ai", "AI"), ("human", "Human")):
             export(columns.where((F.col("depth") == k) & (F.col("text_type") == kind)).select("doc_id", *detection.FILE_COLUMNS), a, f"{name}_D{k}")
@@ -206,10 +215,11 @@ def parser() -> argparse.ArgumentParser:
     look = [("--window-size", number), ("--stride", number), ("--mode", {"choices": ("clean", "literal")})]
     command("dataset", "cut samples from a corpus", *cut)
     command("watermark", "continue the machine side with a watermark", *mark, again, ("--model-path", model), made)
-    command("paraphrase", "rounds of paraphrase", *para, kind)
-    command("detect", "score all depths", kind, again)
+    command("paraphrase", "rounds of paraphrase", *para, kind, again)
+    tokens = ("--tokenizer", {"default": None, "help": "module:callable that makes a function from texts to tokens or ids; without it words"})
+    command("detect", "score all depths", kind, again, tokens)
     command("analyze", "windows, stability, classifier", *look, ("--skip-combine", flag), ("--skip-rolling", flag))
-    command("pipeline", "several steps", *cut, *mark, ("--generator-path", model), made, *para, kind, again, *look, ("--steps", {"nargs": "+", "choices": ("all", *STEPS), "default": ["all"]}))
+    command("pipeline", "several steps", *cut, *mark, ("--generator-path", model), made, *para, kind, again, tokens, *look, ("--steps", {"nargs": "+", "choices": ("all", *STEPS), "default": ["all"]}))
     return p
 
 

@@ -9,12 +9,12 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 from verdigris.config import Paraphrase
 from verdigris.functions import text as T
 from verdigris.functions.scores import below
-from verdigris.sources.storage import stored
+from verdigris.sources.storage import exists, remaining, stored
 
 
 class Paraphraser(Protocol):
@@ -74,40 +74,85 @@ def text_and_count(df: DataFrame, text: str = "text", count: str = "word_count")
     return text, count if count in df.columns else None
 
 
+def asked(df: DataFrame, make: Callable[[], Paraphraser], settings: Paraphrase, source: str, target: Column, name: str, count: str, batch_size: int = 0) -> DataFrame:
+    """``df`` with the model's answer to ``source`` in ``name`` and its words in ``count``; a null source stays null.
+
+    The model sees at most ``batch_size`` rows at once (0: what Spark sends at
+    once). Other columns pass through untouched.
+    """
+    least, _, tokens = T.budget(target, settings.tolerance)
+    rows = df.withColumns({"_prompt": T.paraphrase_prompt(F.col(source), least), "_target": target, "_tokens": tokens})
+    schema = StructType([*(StructField(f.name, f.dataType) for f in df.schema), StructField(name, StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = make()
+        for whole in batches:  # other columns as Arrow columns, so ids stay integers beside nulls
+            for at in range(0, len(whole), batch_size or max(len(whole), 1)):
+                batch = whole.slice(at, batch_size or len(whole))
+                texts = batch.select(["_prompt", "_target", "_tokens"]).to_pandas()
+                some = texts["_prompt"].notna()
+                answers = pd.Series([None] * len(texts), dtype=object)
+                if some.any():
+                    answers[some] = answered(model, texts[some].rename(columns=lambda c: c[1:]))
+                kept = batch.drop_columns(["_prompt", "_target", "_tokens"])
+                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(answers, pa.string())], names=[*kept.schema.names, name])
+
+    failed = F.col(name).startswith(ERROR)
+    rows = rows.mapInArrow(run, schema).withColumn(name, F.when(failed, F.col(name)).otherwise(T.cleaned_output(F.col(name))))
+    return rows.withColumn(count, F.when(failed, F.lit(0).cast("bigint")).when(F.col(name).isNotNull(), T.word_count(F.col(name))))
+
+
 def with_model(df: DataFrame, make: Callable[[], Paraphraser], settings: Paraphrase, text: str = "text", count: str | None = None) -> DataFrame:
     """Rounds by a real model; each is stored before the next reads it, null inputs stay null."""
-    names = []
     text, count = text_and_count(df, text, count or "")
     rows = df.withColumn("original_text", F.col(text)).withColumn("original_word_count", F.col(count) if count else T.word_count(F.col(text)))
-    source, target = "original_text", F.col("original_word_count")
+    source, target = "original_text", "original_word_count"
     for k in range(1, settings.iterations + 1):
-        least, _, tokens = T.budget(target, settings.tolerance)
-        rows = rows.withColumns({"_prompt": T.paraphrase_prompt(F.col(source), least), "_target": target, "_tokens": tokens})
-        name = f"paraphrase_iter_{k}"
-        kept = rows.drop("_prompt", "_target", "_tokens").schema
-        schema = StructType([*(StructField(f.name, f.dataType) for f in kept), StructField(name, StringType())])
-
-        def run(batches: Iterator[pa.RecordBatch], name: str = name) -> Iterator[pa.RecordBatch]:
-            model = make()
-            for batch in batches:  # other columns pass through untouched, so ids stay integers beside nulls
-                asked = batch.select(["_prompt", "_target", "_tokens"]).to_pandas()
-                some = asked["_prompt"].notna()
-                answers = pd.Series([None] * len(asked), dtype=object)
-                if some.any():
-                    answers[some] = answered(model, asked[some].rename(columns=lambda c: c[1:]))
-                kept = batch.drop_columns(["_prompt", "_target", "_tokens"])
-                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(answers, pa.string())], names=[*kept.schema.names, name])
-
-        rows = rows.mapInArrow(run, schema)
-        failed = F.col(name).startswith(ERROR)
-        rows = rows.withColumn(name, F.when(failed, F.col(name)).otherwise(T.cleaned_output(F.col(name))))
-        count = F.when(failed, F.lit(0).cast("bigint")).when(F.col(name).isNotNull(), T.word_count(F.col(name)))
-        rows = stored(rows.withColumn(f"word_count_iter_{k}", count), f"round-{k}")
-        names.append(name)
-        source, target = name, F.col(f"word_count_iter_{k}")
+        name, words = f"paraphrase_iter_{k}", f"word_count_iter_{k}"
+        rows = stored(asked(rows, make, settings, source, F.col(target), name, words), f"round-{k}")
+        source, target = name, words
     return rows
 
 
+#: Key of a row of rounds, and the slices in which a round is saved: what a job that breaks off loses is one slice of one round.
+KEY, SLICES = ("doc_id", "text_type"), 16
+
+
+def resumed_rounds(texts: DataFrame, path: str, make: Callable[[], Paraphraser], settings: Paraphrase, batch_size: int = 0, slices: int = SLICES) -> DataFrame:
+    """(doc_id, text_type, label, depth, text, word_count) of all rounds, kept at ``path`` and returned from there.
+
+    ``texts`` has doc_id, text_type, label and text. Each round asks for what
+    the round before has and the table lacks, slice by slice, and appends each
+    slice by itself. So a job that broke off goes on where it stopped when it is
+    called again: the model is not asked again for a row that was saved, new
+    texts are taken up in all rounds, and a finished table is only read. Rows
+    that share a key share a slice. A null text has null rounds.
+    """
+    spark = texts.sparkSession
+    schema = StructType([texts.schema[c] for c in ("doc_id", "label")] + [StructField("text", StringType()), StructField("word_count", LongType()), StructField("text_type", StringType()), StructField("depth", IntegerType())])
+
+    def save(rows: DataFrame, depth: int) -> None:
+        if exists(spark, f"{path}/text_type=*/depth={depth}"):
+            rows = remaining(rows, spark.read.schema(schema).parquet(path).where(F.col("depth") == depth), list(KEY))
+        if depth:
+            rows = asked(rows.drop("depth"), make, settings, "source", F.col("source_count"), "text", "word_count", batch_size).drop("source", "source_count")
+        rows.withColumn("depth", F.lit(depth)).write.mode("append").partitionBy("text_type", "depth").parquet(path)
+
+    save(texts.select(*KEY, "label", "text", T.word_count(F.col("text")).alias("word_count")), 0)
+    for depth in range(1, settings.iterations + 1):
+        before = spark.read.schema(schema).parquet(path).where(F.col("depth") == depth - 1)
+        before = before.withColumnsRenamed({"text": "source", "word_count": "source_count"})
+        for k in range(slices):
+            save(before.where(F.pmod(F.xxhash64(*KEY), F.lit(slices)) == k), depth)
+    return spark.read.schema(schema).parquet(path).where(F.col("depth") <= settings.iterations)
+
+
+def wide_texts(deep: DataFrame, iterations: int) -> DataFrame:
+    """``wide`` of rows that hold their text and its count."""
+    names = [("original_text", "original_word_count")] + [(f"paraphrase_iter_{k}", f"word_count_iter_{k}") for k in range(1, iterations + 1)]
+    return deep.groupBy(*KEY).agg(*[F.max(F.when(F.col("depth") == k, F.col(c))).alias(n) for k, pair in enumerate(names) for c, n in zip(("text", "word_count"), pair, strict=True)])
+
+
 def resume_point(df: DataFrame, iterations: int, key: str = "doc_id") -> DataFrame:
     """(iteration, first_key): the first round with a missing text and the smallest key that lacks it.
 

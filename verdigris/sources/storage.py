@@ -86,8 +86,10 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def remaining(todo: DataFrame, done: DataFrame, key: str | list[str] = "id") -> DataFrame:
-    """What a resumed job still has to do."""
-    return todo.join(done.select(key), key, "left_anti")
+    """What a resumed job still has to do; a null key is done if a null one is there."""
+    keys = [key] if isinstance(key, str) else key
+    known = done.select(*[F.col(k).alias(f"_done_{n}") for n, k in enumerate(keys)])
+    return todo.join(known, [F.col(k).eqNullSafe(F.col(f"_done_{n}")) for n, k in enumerate(keys)], "left_anti")
 
 
 def exists(spark: SparkSession, path: str) -> bool:
