@@ -66,19 +66,6 @@ report AS (
 _CUTS = sql.CUTS.replace("FROM documents)", "FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0 OR toxic = 1))", 1)
 
 
-def _curve(source: str, score: str, by: str, name: str) -> str:
-    return f"""
-v_{name} AS (SELECT {by}, lang, {score} AS s, sum((label = 1)::BIGINT) AS pos, sum((label = 0)::BIGINT) AS neg FROM {source} GROUP BY ALL),
-c_{name} AS (
-  SELECT *, sum(pos) OVER (PARTITION BY {by}, lang ORDER BY s DESC) AS tp, sum(neg) OVER (PARTITION BY {by}, lang ORDER BY s DESC) AS fp,
-    sum(pos) OVER (PARTITION BY {by}, lang) AS p, sum(neg) OVER (PARTITION BY {by}, lang) AS n FROM v_{name}),
-a_{name} AS (SELECT {by}, lang, max(p) AS p, max(n) AS n, sum(pos * (n - fp + neg / 2.0)) AS pairs, min(s) FILTER (WHERE fp <= n * 0.05::DOUBLE) AS threshold FROM c_{name} GROUP BY {by}, lang),
-{name} AS (
-  SELECT a.{by}, a.lang, a.p::BIGINT AS n_pos, a.n::BIGINT AS n_neg, CASE WHEN a.p > 0 AND a.n > 0 THEN a.pairs / (a.p::DOUBLE * a.n) END AS auc, a.threshold,
-    CASE WHEN a.p > 0 THEN c.tp::DOUBLE / a.p END AS tpr, CASE WHEN a.n > 0 THEN c.fp::DOUBLE / a.n END AS fpr
-  FROM a_{name} a LEFT JOIN c_{name} c ON a.{by} = c.{by} AND a.lang IS NOT DISTINCT FROM c.lang AND a.threshold = c.s)"""
-
-
 def _rounded(*columns: str) -> str:
     return ", ".join(f"{sql.r(c)} AS {c}" for c in columns)
 
@@ -94,8 +81,8 @@ scores AS (SELECT c.*, lang FROM combined c JOIN langs USING (doc_id)),
 texts AS (
   SELECT experiment, doc_id, text_type, label, lang, count(*) AS n_windows, {sql.r('avg(pss)')} AS mean_pss, {sql.r('max(pss)')} AS max_pss
   FROM pss JOIN ids USING (id) JOIN langs USING (doc_id) GROUP BY experiment, doc_id, text_type, label, lang),
-{_curve('scores', 'z_score', 'depth', 'depths')},
-{_curve('texts', 'mean_pss', 'experiment', 'experiments')}
+{sql.curve('scores', 'z_score', 'depth, lang', 'depths')},
+{sql.curve('texts', 'mean_pss', 'experiment, lang', 'experiments')}
 SELECT 'scores' AS part, doc_id, text_type, label, lang, bits, t AS num_tokens_scored, k AS num_green_tokens, {sql.r('CASE WHEN t > 0 THEN k::DOUBLE / t ELSE 0 END')} AS green_fraction, {sql.r('z_score')} AS z_score, depth FROM scores
 UNION ALL BY NAME SELECT 'texts' AS part, * FROM texts
 UNION ALL BY NAME SELECT 'depths' AS part, depth, {_RATES} FROM depths

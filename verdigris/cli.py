@@ -184,11 +184,14 @@ def pss(spark: SparkSession, a: argparse.Namespace, s: Settings) -> None:
         pss = stability.matrix(chosen.where(F.col("win_idx") < n), [(name, depths)])
         own = stability.features(pss, static.where(F.col("depth") == depths[0]), n, s.static_features or windows.STATIC)
         table = stability.split(storage.stored(own, "features"), s.classifier)
-        judged = storage.stored(stability.classified(storage.stored(table, "split"), s.classifier), "judged")
-        auc = metrics.roc_auc(judged, "probability").first().auc
-        results.append(metrics.rates(metrics.cells(judged)).select(F.lit(position).alias("position"), F.lit(name).alias("experiment"), F.lit(auc).alias("auc"), "*"))
+        judged = stability.classified(storage.stored(table, "split"), s.classifier)
+        results.append(judged.select(F.lit(position).alias("position"), F.lit(name).alias("experiment"), "label", "prediction", "probability"))
     if results:
-        save(metrics.formatted(reshape.merged(results).orderBy("position")), f"{a.output}/results", csv=True)
+        judged = storage.stored(reshape.merged(results), "judged")  # all experiments are judged in one pass
+        by = ("position", "experiment")
+        points = metrics.operating_points(metrics.roc_curves(judged, "probability", *by), *by).select("position", "auc")
+        found = metrics.rates(metrics.cells(judged, *by)).join(points, "position")  # a row per experiment
+        save(metrics.formatted(found.orderBy("position")), f"{a.output}/results", csv=True)
         print(metrics.summarised(spark.read.options(header="true", inferSchema="true").csv(f"{a.output}/results")))
 
 

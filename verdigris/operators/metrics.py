@@ -94,9 +94,9 @@ def formatted(results: DataFrame) -> DataFrame:
     return results.select(F.col("experiment").alias("Experiment"), F.format_string("%.3f", "auc").alias("AUC"), *rates, matrix.alias("ConfusionMatrix"), F.round("accuracy", 4).alias("Accuracy"))
 
 
-def summarised(results: DataFrame, limit: int = 1000) -> str:
-    """A few lines for each experiment of ``formatted`` results, and the one of best accuracy; a row per experiment, at most ``limit``."""
-    rows = results.limit(limit).collect()
+def summarised(results: DataFrame) -> str:
+    """A few lines for each experiment of ``formatted`` results, and the one of best accuracy."""
+    rows = results.collect()  # a row per experiment
     lines = [f"{r.Experiment}: AUC {r.AUC}, F1 {r.F1:.4f}, precision {r.Precision:.4f}, recall {r.Recall:.4f}, accuracy {r.Accuracy:.4f}, {r.ConfusionMatrix}" for r in rows]
     top = max(rows, key=lambda r: r.Accuracy, default=None)
     return "\n".join([*lines, *([f"best: {top.Experiment} ({top.Accuracy:.4f})"] if top else [])])

@@ -300,3 +300,23 @@ places AS (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS i FROM text
 segmented AS MATERIALIZED (SELECT doc_id, coalesce(flatten(list(ids ORDER BY i) FILTER (WHERE ids IS NOT NULL)), []) AS words FROM texts LEFT JOIN places USING (doc_id) LEFT JOIN segments ON token = places.words[i] GROUP BY doc_id)"""
 ORACLES["token_ids_subword"] = f"WITH RECURSIVE {SUBWORDS}, p AS (SELECT doc_id, words, unnest(range(0, len(words)))::INTEGER AS pos FROM segmented) SELECT doc_id, pos, words[pos + 1] AS tok_id FROM p"
 ORACLES["detect_subword"] = f"WITH RECURSIVE {SUBWORDS}, b AS (SELECT doc_id, {bits_of('words')} AS bits FROM segmented), s AS (SELECT doc_id, len(bits) AS t, coalesce(list_sum(bits), 0)::BIGINT AS k FROM b) SELECT doc_id, {SCORES} FROM s"
+
+
+def curve(source: str, score: str, by: str, name: str) -> str:
+    """CTEs that end in ``name``: AUC and the operating point at 5 % false positives, for each group of ``by``."""
+    same = " AND ".join(f"a.{c} IS NOT DISTINCT FROM c.{c}" for c in by.split(", "))
+    return f"""
+v_{name} AS (SELECT {by}, {score} AS s, sum((label = 1)::BIGINT) AS pos, sum((label = 0)::BIGINT) AS neg FROM {source} GROUP BY ALL),
+c_{name} AS (
+  SELECT *, sum(pos) OVER (PARTITION BY {by} ORDER BY s DESC) AS tp, sum(neg) OVER (PARTITION BY {by} ORDER BY s DESC) AS fp,
+    sum(pos) OVER (PARTITION BY {by}) AS p, sum(neg) OVER (PARTITION BY {by}) AS n FROM v_{name}),
+a_{name} AS (SELECT {by}, max(p) AS p, max(n) AS n, sum(pos * (n - fp + neg / 2.0)) AS pairs, min(s) FILTER (WHERE fp <= n * 0.05::DOUBLE) AS threshold FROM c_{name} GROUP BY {by}),
+{name} AS (
+  SELECT {', '.join(f'a.{c}' for c in by.split(', '))}, a.p::BIGINT AS n_pos, a.n::BIGINT AS n_neg, CASE WHEN a.p > 0 AND a.n > 0 THEN a.pairs / (a.p::DOUBLE * a.n) END AS auc, a.threshold,
+    CASE WHEN a.p > 0 THEN c.tp::DOUBLE / a.p END AS tpr, CASE WHEN a.n > 0 THEN c.fp::DOUBLE / a.n END AS fpr
+  FROM a_{name} a LEFT JOIN c_{name} c ON {same} AND a.threshold = c.s)"""
+
+
+POINTS = ", ".join(f"{r(c)} AS {c}" for c in ("auc", "threshold", "tpr", "fpr"))
+ORACLES["auc_by_depth"] = f"WITH {DETECTED}, {curve('detected', 'z_score', 'depth', 'points')} SELECT depth, n_pos, n_neg, {POINTS} FROM points"
+ORACLES["auc_by_experiment"] = f"WITH {WINS}, {members()}, {PSS}, texts AS (SELECT experiment, label, {r('avg(pss)')} AS mean_pss FROM pss JOIN ids USING (id) GROUP BY experiment, id, label), {curve('texts', 'mean_pss', 'experiment', 'points')} SELECT experiment, n_pos, n_neg, {POINTS} FROM points"

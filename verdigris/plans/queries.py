@@ -496,6 +496,18 @@ def auc(spark, sf_dir):
     return rounded(metrics.roc_auc(detected(spark, sf_dir).where("depth = 0").select("label", "z_score"), "z_score"))
 
 
+def auc_by_depth(spark, sf_dir):
+    """AUC of the score at every depth, and the threshold at five percent false positives, in one pass."""
+    return rounded(metrics.operating_points(metrics.roc_curves(detected(spark, sf_dir).select("depth", "label", "z_score"), "z_score", "depth"), "depth"))
+
+
+def auc_by_experiment(spark, sf_dir):
+    """The same for every experiment, with a text's mean spread as its score."""
+    scores = windows.local_scores(detected(spark, sf_dir).select("doc_id", "text_type", "label", "depth", "bits"), WIN, MARK.gamma)
+    texts = rounded(stability.summary_of_arrays(scores, ("doc_id", "text_type", "label")))  # ties of scores are then ties
+    return rounded(metrics.operating_points(metrics.roc_curves(texts, "mean_pss", "experiment"), "experiment"))
+
+
 def confusion_matrix(spark, sf_dir):
     return metrics.confusion(_judged(spark, sf_dir))
 
@@ -523,7 +535,7 @@ QUERIES = {
         detect_text, green_bits, bits_csv, detection_file, score_sequence, detect_docs, score_unique_bigrams, z_score, p_value, detect_prediction, detect_all_depths,
         detection_summary, token_ids_subword, detect_subword, paraphrase_prompt, clean_output, paraphrase_budget, paraphrase_rounds, words_per_round, resume_point, unpivot_depths,
         combine_detections, combine_labeled, sequential_id, validate_counts, merge_outer, merge_concat, window_rows, window_literal, window_literal_depths, window_z, window_runs,
-        window_stats, autocorr, windows_docs, windows_chunked, rolling_presets, rolling_features, rolling_wide, common_windows, pss_matrix, pss_sweep, pss_features, stratified_split, pss_classify, auc,
+        window_stats, autocorr, windows_docs, windows_chunked, rolling_presets, rolling_features, rolling_wide, common_windows, pss_matrix, pss_sweep, pss_features, stratified_split, pss_classify, auc, auc_by_depth, auc_by_experiment,
         confusion_matrix, prf, metrics_all, best_experiment,
     )
 }
