@@ -109,6 +109,25 @@ def numbered(both: Column) -> Column:
     return F.when(F.size(both) > 1, F.aggregate(stretches, first, stretch, lambda acc: F.flatten(acc["out"]))).otherwise(none)
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often and in whatever lambda it is read."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def overlaps(span: Column, spans: Column) -> Column:
+    """Whether a span meets one of ``spans``, which are in order and apart: by binary search for the first that ends behind its start."""
+    n = F.size(spans)
+
+    def halve(acc: Column, _: Column) -> Column:
+        middle = F.shiftright(acc["lo"] + acc["hi"], 1)
+        over, ends = acc["lo"] >= acc["hi"], F.get(spans, middle)["end"] > span["start"]
+        return F.struct(F.when(over | ends, acc["lo"]).otherwise(middle + 1).alias("lo"), F.when(~over & ends, middle).otherwise(acc["hi"]).alias("hi"))
+
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(n + 1)).cast("int"))
+    first = F.aggregate(steps, F.struct(F.lit(0).alias("lo"), n.alias("hi")), halve, lambda acc: F.get(spans, acc["lo"]))
+    return F.coalesce(first["start"] < span["end"], F.lit(False))
+
+
 def _digits(match: Column) -> Column:
     return F.regexp_replace(match, "[^0-9]", "")
 
@@ -207,9 +226,9 @@ def measured(docs: DataFrame, drop: tuple[str, ...] = ()) -> DataFrame:
         some = some | (F.size(name) > 0)
     kept = [n for n in docs.columns if n not in drop]
     rows = rows.select(F.struct(*[F.col("_row").getField(n).alias(n) for n in kept]).alias("_row"), F.when(some, spans).alias("_all"))
-    sure = F.filter("_all", lambda s: s["base"])
-    rows = rows.withColumn("_sure", sure)
-    clear = F.filter("_all", lambda s: ~s["loose"] | ~F.exists("_sure", lambda b: (s["start"] < b["end"]) & (b["start"] < s["end"])))
+    # base spans of one kind are in order and apart
+    sure = F.array(*[F.filter("_all", lambda s, k=rank: s["base"] & (s["rank"] == k)) for rank in range(len(BASE))])
+    clear = _let(sure, lambda by_kind: F.filter("_all", lambda s: ~s["loose"] | ~F.exists(by_kind, lambda spans: overlaps(s, spans))))
     return rows.select("_row", F.sort_array(clear).alias("_spans"))
 
 
@@ -257,6 +276,37 @@ def digests(docs: DataFrame) -> DataFrame:
     return unpacked(rows, *more, replacing=(*[f"n_{k}" for k in BASE], "base_sha256", "spans", "n_spans"))
 
 
+#: Characters of a block of a text, so that a piece is found without counting from the text's start.
+BLOCK = 1024
+
+
+def _cut(blocks: Column, start: Column, end: Column) -> Column:
+    """The characters from ``start`` up to ``end`` of a text in blocks."""
+    first, last = F.floor(start / BLOCK).cast("int"), F.floor(end / BLOCK).cast("int")
+    head = F.substring(F.get(blocks, first), start % BLOCK + 1, F.when(first == last, end - start).otherwise(BLOCK))
+    tail = F.substring(F.coalesce(F.get(blocks, last), F.lit("")), F.lit(1), end % BLOCK)
+    return F.when(end <= start, "").when(first == last, head).otherwise(F.concat(head, F.array_join(F.slice(blocks, first + 2, last - first - 1), ""), tail))
+
+
+def _replaced(spans: Column, blocks: Column, length: Column, kinds: Column) -> Column:
+    """The text with the name of its kind for each run of overlapping spans, in stretches of spans whose pieces are joined once."""
+    none = F.array().cast("array<string>")
+
+    def step(acc: Column, s: Column) -> Column:
+        piece = F.concat(_cut(blocks, acc["at"], s["start"]), F.get(kinds, s["rank"]))
+        out = F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.array(piece))).otherwise(acc["out"])
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
+
+    def stretch(acc: Column, k: Column) -> Column:
+        part = F.slice(spans, k * STRETCH + 1, F.lit(STRETCH))
+        inner = F.aggregate(part, F.struct(acc["at"].alias("at"), none.alias("out")), step)
+        return _let(inner, lambda x: F.struct(x["at"].alias("at"), F.concat(acc["out"], F.array(F.array_join(x["out"], ""))).alias("out")))
+
+    stretches = F.sequence(F.lit(0), F.floor((F.size(spans) - 1) / STRETCH).cast("int"))
+    first = F.struct(F.lit(0).alias("at"), none.alias("out"))
+    return F.aggregate(stretches, first, stretch, lambda acc: F.concat(F.array_join(acc["out"], ""), _cut(blocks, acc["at"], length)))
+
+
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with each span in ``text`` replaced, and ``n_chars``, where there is one, recounted."""
     rows = detected(docs)
@@ -264,14 +314,8 @@ def redact(docs: DataFrame) -> DataFrame:
     kinds = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     ordered = F.sort_array(F.transform("_found", lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"))))
     rows = rows.withColumn("_text", text).withColumn("_order", ordered)
-    first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        apart = s["start"] >= acc["at"]
-        piece = F.concat(F.substring(F.col("_text"), acc["at"] + 1, s["start"] - acc["at"]), F.get(kinds, s["rank"]))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(apart, F.concat(acc["out"], piece)).otherwise(acc["out"]).alias("out"))
-
-    done = F.aggregate("_order", first, step, lambda acc: F.concat(acc["out"], F.substring(F.col("_text"), acc["at"] + 1, F.length("_text"))))
+    blocks = F.regexp_extract_all("_text", F.lit(f"(?s).{{1,{BLOCK}}}+"), F.lit(0))
+    done = _let(F.col("_order"), lambda spans: _let(blocks, lambda parts: _replaced(spans, parts, F.length("_text"), kinds)))
     rows = rows.withColumn("_new", F.when(F.size("_order") > 0, done).otherwise(F.col("_text")))
     out = []
     for f in rows.schema["_row"].dataType.fields:
