@@ -72,6 +72,27 @@ def test_hot_group_of_near_copies(spark):
     assert got == brute(rows)
 
 
+@pytest.mark.parametrize("dense", [1e-9, 4, 1e9])
+def test_links_of_a_block_by_all_pairs(dense, monkeypatch):
+    monkeypatch.setattr(nd, "DENSE", dense)
+    monkeypatch.setattr(nd, "COLUMNS", 37)
+    rng = np.random.default_rng(4)
+    base = rng.choice(10_000, 120, replace=False)
+    sets = [np.unique(np.r_[base[rng.random(120) < rng.choice([0.8, 0.93, 1.0])], rng.choice(10_000, rng.integers(1, 12))]) for _ in range(70)]
+    blocks = rng.integers(0, 2, 70)
+    for within in (True, False):
+        found, labels = set(), nd.Labels(70)
+        for a, others in nd.close(sets, blocks, within):
+            found |= {(a, int(b)) for b in others}
+            labels.join(a, others)
+        want = {(a, b) for a in range(70) for b in range(a + 1, 70) if (within or blocks[a] != blocks[b]) and 5 * len(np.intersect1d(sets[a], sets[b])) >= 4 * len(np.union1d(sets[a], sets[b]))}
+        assert found == want and 10 < len(want) < 70 * 69 / 2
+        union = nd.Union(70)
+        for a, b in want:
+            union.join(a, b)
+        assert labels.of.tolist() == [union.find(k) for k in range(70)]
+
+
 def test_one_per_class(spark):
     rows = corpus(4) + [(None, "a b"), (None, "a b"), (2, corpus(4)[2][1])]
     df = spark.createDataFrame([(i, t, "x", 7) for i, t in rows], SCHEMA)

@@ -273,6 +273,10 @@ def candidates(nodes: DataFrame, subtrie_nodes: int = SUBTRIE_NODES) -> DataFram
     return components(materialise(rows.mapInArrow(_tied, _TIES), "near-pairs"), "near-ties")
 
 
+#: A shingle is counted by matrix products if more than one in DENSE sets has it; COLUMNS shingles at a time.
+DENSE, COLUMNS = 8, 2048
+
+
 class Union:
     """Disjoint sets over small integers; the smaller root wins."""
 
@@ -289,6 +293,18 @@ class Union:
         self.up[max(a, b)] = min(a, b)
 
 
+class Labels:
+    """The smallest member of each set's group, where a set is joined with many others at once."""
+
+    def __init__(self, n: int):
+        self.of = np.arange(n)
+
+    def join(self, a: int, others: np.ndarray) -> None:
+        met = np.unique(np.append(self.of[others], self.of[a]))
+        if len(met) > 1:
+            self.of[np.isin(self.of, met)] = met[0]
+
+
 def close(sets: list[np.ndarray], blocks: np.ndarray, within: bool) -> Iterator[tuple[int, np.ndarray]]:
     """For each set the later sets at Jaccard >= 0.8 (``within`` false: of the other block only)."""
     sizes = np.array([len(s) for s in sets], np.int64)
@@ -306,14 +322,42 @@ def close(sets: list[np.ndarray], blocks: np.ndarray, within: bool) -> Iterator[
     _, shingle = np.unique(np.concatenate(sets), return_inverse=True)
     owner = np.repeat(np.arange(n), sizes)
     by = np.argsort(shingle, kind="stable")
-    owners, starts = owner[by], np.r_[0, np.cumsum(np.bincount(shingle))]
+    often = np.bincount(shingle)
+    owners, starts = owner[by], np.r_[0, np.cumsum(often)]
     first = np.r_[0, np.cumsum(sizes)]
+    frequent = often > max(1, n / DENSE)
+    common = shared_often(owner, shingle, frequent, n, None if within else blocks)
+    rare = (often > 1) & ~frequent
     for a in range(n):
         own = shingle[first[a] : first[a + 1]]
-        own = own[starts[own + 1] - starts[own] > 1]
+        own = own[rare[own]]
         counts = np.bincount(np.concatenate([owners[starts[s] : starts[s + 1]] for s in own]), minlength=n) if len(own) else np.zeros(n, np.int64)
-        others = np.flatnonzero(counts[a + 1 :]) + a + 1
-        yield a, near(a, others, counts[others])
+        counts = counts[a + 1 :] + common[a, a + 1 :].astype(np.int64)
+        others = np.flatnonzero(counts)
+        yield a, near(a, others + a + 1, counts[others])
+
+
+def shared_often(owner: np.ndarray, shingle: np.ndarray, frequent: np.ndarray, n: int, blocks: np.ndarray | None) -> np.ndarray:
+    """How many of the ``frequent`` shingles each two sets share (with ``blocks``: two sets of different blocks), by products of 0-1 matrices."""
+    out = np.zeros((n, n), np.float32)  # exact: sets are far below 2^24
+    column = np.cumsum(frequent) - 1
+    keep = frequent[shingle]
+    rows, columns = owner[keep], column[shingle[keep]]
+    by = np.argsort(columns, kind="stable")
+    rows, columns = rows[by], columns[by]
+    halves = None if blocks is None else (np.flatnonzero(blocks == blocks[0]), np.flatnonzero(blocks != blocks[0]))
+    for low in range(0, int(frequent.sum()), COLUMNS):
+        lo, hi = np.searchsorted(columns, (low, low + COLUMNS))
+        matrix = np.zeros((n, COLUMNS), np.float32)
+        matrix[rows[lo:hi], columns[lo:hi] - low] = 1
+        if halves is None:
+            out += matrix @ matrix.T
+        else:
+            a, b = halves
+            product = matrix[a] @ matrix[b].T
+            out[np.ix_(a, b)] += product
+            out[np.ix_(b, a)] += product.T
+    return out
 
 
 _LINKS = "node bigint, links bigint, root bigint, split boolean"
@@ -329,13 +373,12 @@ def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sets = [members[x][0] for x in nodes]
         copies = np.array([members[x][1] for x in nodes], np.int64)
         blocks = np.array([members[x][2] for x in nodes], np.int64)
-        links, union = np.zeros(len(nodes), np.int64), Union(len(nodes))
+        links, labels = np.zeros(len(nodes), np.int64), Labels(len(nodes))
         for a, others in close(sets, blocks, unit[1] == unit[2]):
             links[a] += copies[others].sum()
             links[others] += copies[a]
-            for b in others:
-                union.join(a, int(b))
-        return pd.DataFrame({"node": nodes, "links": links, "root": [nodes[union.find(k)] for k in range(len(nodes))], "split": unit[3] > 1})
+            labels.join(a, others)
+        return pd.DataFrame({"node": nodes, "links": links, "root": [nodes[k] for k in labels.of], "split": unit[3] > 1})
 
     out = []
     for batch in batches:
