@@ -68,6 +68,26 @@ def test_against_brute_force(spark, seed):
         assert r.similarity == pytest.approx(want[(r.doc_id, r.item_id)])
 
 
+def test_many_slices_in_one_scan(spark, monkeypatch):
+    docs, items = make(3)
+    df, held = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3), spark.createDataFrame(items, "item_id bigint, text string")
+    want = sorted(map(str, dc.leaks(df, held).collect()))
+    dirty = {r.doc_id for r in dc.leaks(df, held).collect()}
+    monkeypatch.setattr(dc, "SLICE", 2)
+    assert len(list(dc.slices(held))) > dc.HELD and len(dc.scans(held)[0]) == 1
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(batch)
+    spark.conf.set(batch, "7")
+    try:
+        for chars in (dc.SCAN_CHARS, 300):
+            monkeypatch.setattr(dc, "SCAN_CHARS", chars)
+            assert sorted(map(str, dc.leaks(df, held).collect())) == want and want
+            assert {r.doc_id for r in dc.decontaminate(df, held).collect()} == {d for d, _ in docs} - dirty
+        assert len(dc.scans(held)[0]) > 1
+    finally:
+        spark.conf.set(batch, before)
+
+
 def test_places_against_sql(spark):
     con = duckdb.connect()
     for seed in (1, 4):

@@ -28,8 +28,10 @@ each of a text's windows of that width.
 
 The documents are only scanned; nothing is shuffled. The benchmark is the
 small side: it is sent to the workers in slices of at most ``SLICE`` items and
-``SLICE_CHARS`` characters, one scan for a slice, so what a worker holds is
-bounded whatever the benchmark's size.
+``SLICE_CHARS`` characters. One scan of the documents walks as many slices as
+have ``SCAN_CHARS`` characters together, and a worker holds the indexes of at
+most ``HELD`` of them, so what it holds is bounded whatever the benchmark's
+size; only a benchmark beyond ``SCAN_CHARS`` takes a further scan.
 
 Defined results: null and empty texts and items match nothing; a text of
 fewer than five words is a single shingle; words are compared with A-Z in
@@ -41,7 +43,8 @@ from __future__ import annotations
 
 import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import reduce
 from itertools import combinations, repeat
 from statistics import NormalDist
 
@@ -57,6 +60,8 @@ BITS, BLOCK_BITS, RADIUS = 128, 16, 31
 NUMERATOR, DENOMINATOR = 4, 5
 #: Items and characters that a worker holds at once.
 SLICE, SLICE_CHARS = 4096, 32_000_000
+#: Indexes of slices that a worker holds at once, and characters of items that one scan looks for.
+HELD, SCAN_CHARS = 4, 128_000_000
 #: Windows that are fingerprinted at once.
 AT_ONCE = 4096
 
@@ -163,9 +168,13 @@ class HammingIndex:
 
 
 class Benchmark:
-    """Items with their shingles, fingerprints and index; judges texts."""
+    """Items with their shingles, fingerprints and index; judges texts.
 
-    def __init__(self, items: list[tuple[int, str]]):
+    ``sizes`` are those of windows that other items bring in: each window of an
+    item's size is compared with every item, whatever slice either is in.
+    """
+
+    def __init__(self, items: list[tuple[int, str]], sizes: Iterable[int] = ()):
         hashes = WordHashes(limit=1 << 40)
         self.ids, self.bags = [], []
         self.short: dict[int, dict[int, list[int]]] = {}  # words: hash of the item: item ids
@@ -182,7 +191,7 @@ class Benchmark:
         self.words = {w: k + 1 for k, w in enumerate(hashes)}  # 0: in no item
         self.hash_of = np.array([0, *hashes.values()], np.uint64)
         self.shingles = np.array(sorted({s for b in self.bags for s in b}), np.uint64)
-        self.sizes = sorted({b.total() for b in self.bags})
+        self.sizes = sorted({b.total() for b in self.bags}.union(sizes))
         self.places = [np.searchsorted(self.shingles, np.fromiter(b, np.uint64)) for b in self.bags]
         if self.bags:
             sums = np.array([(projections(np.fromiter(b, np.uint64)) * np.sqrt(list(b.values()))[:, None]).sum(0) for b in self.bags])
@@ -308,17 +317,31 @@ HITS = "array<struct<item_id: bigint, similarity: double, first_word: bigint, la
 _held: dict[str, Benchmark] = {}
 
 
-def hits(text: Column, items) -> Column:
-    """The items that each text contains; ``items`` is a broadcast list of (id, text)."""
+def hits(text: Column, slices: list, sizes: list[int]) -> Column:
+    """The items that each text contains; ``slices`` are broadcast lists of (id, text), ``sizes`` all items' shingles.
+
+    One pass over the texts: each batch walks the slices, every other batch
+    backwards, so that the indexes a worker holds serve the next batch first.
+    """
     name = uuid.uuid4().hex
 
+    def index(k: int) -> Benchmark:
+        key = f"{name}-{k}"
+        held = _held.pop(key, None) or Benchmark(slices[k].value, sizes)
+        while len(_held) >= HELD:
+            _held.pop(next(iter(_held)))
+        _held[key] = held  # the one used last goes last
+        return held
+
     @F.arrow_udf(HITS)
     def judge(texts: pa.Array) -> pa.Array:
-        if name not in _held:
-            while len(_held) > 3:
-                _held.pop(next(iter(_held)))
-            _held[name] = Benchmark(items.value)
-        return pa.array([_held[name].judge(t.as_py()) for t in texts], pa.list_(_HIT))
+        out: list[list] = [[] for _ in range(len(texts))]
+        order = range(len(slices))
+        for k in order if f"{name}-{len(slices) - 1}" not in _held else reversed(order):
+            benchmark = index(k)
+            for row, t in zip(out, texts, strict=True):
+                row += benchmark.judge(t.as_py())
+        return pa.array(out, pa.list_(_HIT))
 
     return judge(text)
 
@@ -336,23 +359,35 @@ def slices(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
         yield now
 
 
+def scans(benchmark: DataFrame) -> tuple[list[list], list[int]]:
+    """The broadcast slices of each scan of the documents, one unless the benchmark is beyond ``SCAN_CHARS``, and the sizes of all items."""
+    context = benchmark.sparkSession.sparkContext
+    out, chars, sizes = [[]], 0, set()
+    for items in slices(benchmark):
+        size = sum(len(text) for _, text in items)
+        if out[-1] and chars + size > SCAN_CHARS:
+            out.append([])
+            chars = 0
+        out[-1].append(context.broadcast(items))
+        chars += size
+        sizes.update(n - SHINGLE_WORDS + 1 for n in (len(byte_words(text)) for _, text in items) if n >= SHINGLE_WORDS)
+    return out, sorted(sizes)
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, similarity, first_word, last_word) for each item in a document."""
-    spark = docs.sparkSession
-    out = None
-    for items in slices(benchmark):
-        found = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.explode(hits(F.col("text"), spark.sparkContext.broadcast(items))).alias("hit")).select("doc_id", "hit.*")
-        out = found if out is None else out.union(found)
-    if out is None:
-        out = spark.createDataFrame([], "doc_id bigint, item_id bigint, similarity double, first_word bigint, last_word bigint")
-    return out
+    doc_id, text = F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text")
+    parts, sizes = scans(benchmark)
+    found = [docs.select(doc_id, F.explode(hits(text, held, sizes)).alias("hit")).select("doc_id", "hit.*") for held in parts]
+    return reduce(DataFrame.union, found)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the documents that contain an item."""
     rows = packed(docs, F.col("text").alias("_text"))
-    for items in slices(benchmark):
-        rows = rows.where(F.size(hits(F.col("_text"), docs.sparkSession.sparkContext.broadcast(items))) == 0)
+    parts, sizes = scans(benchmark)
+    for held in parts:
+        rows = rows.where(F.size(hits(F.col("_text"), held, sizes)) == 0)
     return unpacked(rows)
 
 
