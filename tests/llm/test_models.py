@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 import re
 import unicodedata
 import zlib
@@ -177,6 +178,43 @@ def test_long_sequences_are_merged_by_ranks():
     assert tokens.Counter(queries.tokenizer_path())(texts) == [len(x) for x in library.encode(texts)]
 
 
+def test_places_by_rank_equal_merging_all_together():
+    model = tokens.PieceModel(queries.tokenizer_path())
+    rng = random.Random(8)
+    for s in ("ab", "the", "abcdeinorst", "01-=", "漢字é🙂a", "a"):
+        for n in (1, 2, 3, 50, 700, 4000):
+            t = "".join(rng.choice(s) for _ in range(n))
+            assert model.merged_long(t) == model.merged([t])[0]
+
+
+def test_endless_words_take_no_quadratic_time():
+    library = sentencepiece.SentencePieceProcessor(model_file=queries.tokenizer_path())
+    counter, rng = tokens.Counter(queries.tokenizer_path()), random.Random(4)
+    texts = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n)) for n in (40_000, 320_000)]
+    seconds = []
+    for t in texts:
+        now = time.process_time()
+        assert counter([t]) == [len(library.encode(t))]
+        seconds.append(time.process_time() - now)
+    assert seconds[1] < 24 * seconds[0], seconds
+
+
+def test_models_that_change_texts_are_refused(monkeypatch):
+    class Lowering:
+        def encode(self, texts):
+            return [[0]] * len(texts)
+
+    real = tokens.PieceModel.__init__
+
+    def loaded(self, path):
+        real(self, path)
+        self.library = Lowering()
+
+    monkeypatch.setattr(tokens.PieceModel, "__init__", loaded)
+    with pytest.raises(ValueError, match="changes texts"):
+        tokens.Counter(queries.tokenizer_path())
+
+
 def test_pipeline_on_odd_tables(spark, tmp_path):
     schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, copy_no string"
     rng = random.Random(9)

@@ -10,9 +10,13 @@ wherever it occurs, from left to right, and all sequences do so at once. An
 occurrence whose merged symbol makes a pair of as low a rank with a neighbour
 is the sequence's last one in its round, as the library would go on with that
 pair. The symbols that survive are counted; a character outside the
-vocabulary counts its UTF-8 bytes. A sequence of any length, such as a text of
-one endless word, goes the same way: its rounds are at most the pairs that it
-applies.
+vocabulary counts its UTF-8 bytes. A sequence of more than ``LONG`` symbols,
+such as a text of one endless word, goes the same way, but its places wait in
+lists by rank, so that a round touches only the places that it merges and
+their neighbours.
+
+The model must take texts as they are: one whose normaliser changes them is
+refused when it is loaded.
 
 Defined results: null counts as the empty text; an empty text has no tokens;
 control strings inside a text are ordinary text, as is the library's default.
@@ -20,6 +24,7 @@ control strings inside a text are ordinary text, as is the library's default.
 
 from __future__ import annotations
 
+import heapq
 import re
 from functools import lru_cache
 
@@ -37,6 +42,10 @@ AT_ONCE = 1 << 21
 #: Distinct pre-tokens whose counts a worker remembers before it starts anew.
 REMEMBERED = 300_000
 NONE = np.int64(1) << np.int64(30)
+#: Symbols from which a sequence is merged by lists of its places.
+LONG = 4096
+#: Texts that the usual normalisers change.
+PROBES = ("ﬁne ＡＢ①", "e\u0301 \u00c5\u212b", "a  b   c ", "  lead", "x\ty\r\nz\u00a0w", "ABC Straße İ", "\u200bq\u00adr", "a\u0000b")
 
 
 class PieceModel:
@@ -68,6 +77,7 @@ class PieceModel:
         self.ranks = np.array([pairs[k][0] for k in sorted(pairs)], np.int64)
         self.into = np.array([pairs[k][1] for k in sorted(pairs)], np.int64)
         self.other = len(self.symbol)  # any other character
+        self.library = m
         #: Bytes beyond one of each symbol that is no piece: what a merge takes off its count.
         self.surplus = np.zeros(len(self.symbol) + 1, np.int64)
         for c, k in self.symbol.items():
@@ -90,11 +100,18 @@ class PieceModel:
             while to < len(sequences) and (to == at or size + len(sequences[to]) <= AT_ONCE):
                 size += len(sequences[to])
                 to += 1
-            out[at:to] = self.merged(sequences[at:to])
+            short = [k for k in range(at, to) if len(sequences[k]) <= LONG]
+            out[short] = self.merged([sequences[k] for k in short])
+            for k in range(at, to):
+                if len(sequences[k]) > LONG:
+                    out[k] = self.merged_long(sequences[k])
             at = to
         return out
 
     def merged(self, sequences: list[str]) -> np.ndarray:
+        """Tokens of each sequence, all merged round by round together."""
+        if not sequences:
+            return np.zeros(0, np.int64)
         lengths = np.fromiter(map(len, sequences), np.int64, len(sequences))
         get, other = self.symbol.get, self.other
         flat = "".join(sequences)
@@ -136,6 +153,67 @@ class PieceModel:
             rank[-1] = NONE
         return total
 
+    def merged_long(self, sequence: str) -> int:
+        """Tokens of one sequence; its symbols are linked, its places wait in lists by rank."""
+        get, other = self.symbol.get, self.other
+        sym = np.fromiter((get(c, other) for c in sequence), np.int64, len(sequence))
+        n = sym.size
+        total = n + sum(len(sequence[i].encode("utf-8", "surrogatepass")) - 1 for i in np.flatnonzero(sym >= self.known))
+        rank, into = np.full(n, NONE), np.zeros(n, np.int64)
+        after, before = np.minimum(np.arange(1, n + 2), n), np.arange(-1, n)  # n: none
+        heap: list[int] = []
+        waiting: dict[int, list[np.ndarray]] = {}
+
+        def wait(places: np.ndarray) -> None:
+            places = places[rank[places] < NONE]
+            places = places[np.argsort(rank[places], kind="stable")]
+            for part in np.split(places, np.flatnonzero(np.diff(rank[places])) + 1) if places.size else ():
+                low = int(rank[part[0]])
+                if low not in waiting:
+                    waiting[low] = []
+                    heapq.heappush(heap, low)
+                waiting[low].append(part)
+
+        def look(places: np.ndarray) -> None:
+            rank[places] = NONE
+            places = places[after[places] < n]
+            rank[places], into[places] = self.ranked(sym[places], sym[after[places]])
+            wait(places)
+
+        look(np.arange(n))
+        while heap:
+            low = heapq.heappop(heap)
+            there = np.unique(np.concatenate(waiting.pop(low)))
+            there = there[rank[there] == low]  # others have gone or changed
+            if not there.size:
+                continue
+            at = self.chosen_linked(there, sym, into, low, after, before)
+            right = after[at]
+            total -= int((1 + self.surplus[sym[at]] + self.surplus[sym[right]]).sum())
+            sym[at], rank[right] = into[at], NONE
+            after[at] = after[right]
+            before[after[at]] = at
+            left = before[at]
+            look(np.unique(np.r_[at, left[left >= 0]]))
+            wait(there[there > at[-1]])
+        return total
+
+    def chosen_linked(self, at: np.ndarray, sym: np.ndarray, into: np.ndarray, low: int, after: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """As ``chosen``, for the places of one linked sequence."""
+        touching = after[at[:-1]] == at[1:]
+        if touching.any():
+            run = np.maximum.accumulate(np.where(np.r_[True, ~touching], np.arange(at.size), 0))
+            at = at[(np.arange(at.size) - run) % 2 == 0]
+        n, new = sym.size, into[at]
+        beside = after[after[at]]
+        right, _ = self.ranked(new, sym[np.minimum(beside, n - 1)])
+        stops = (beside < n) & (right <= low)
+        beside = before[at]
+        left = np.where(np.r_[False, after[after[at[:-1]]] == at[1:]], np.r_[0, new[:-1]], sym[np.maximum(beside, 0)])
+        there, _ = self.ranked(left, new)
+        stops |= (beside >= 0) & (there <= low)
+        return at[: int(np.argmax(stops)) + 1] if stops.any() else at
+
     def chosen(self, at: np.ndarray, sym: np.ndarray, seq: np.ndarray, rank: np.ndarray, into: np.ndarray) -> np.ndarray:
         """Of the places of each sequence's lowest rank those that are merged in this round."""
         if (np.diff(at) == 1).any():  # of places that overlap every second one, from the left
@@ -178,6 +256,9 @@ class Counter:
 
     def __init__(self, path: str):
         self.model, self.known = PieceModel(path), {}
+        own, theirs = self(list(PROBES)), [len(ids) for ids in self.model.library.encode(list(PROBES))]
+        if own != theirs:
+            raise ValueError(f"the model at {path} changes texts before it cuts them: {dict(zip(PROBES, zip(own, theirs, strict=True), strict=True))}")
 
     def __call__(self, texts: list[str]) -> list[int]:
         if len(self.known) > REMEMBERED:
