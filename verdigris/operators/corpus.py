@@ -29,14 +29,26 @@ def samples(docs: DataFrame, corpus: Corpus, keep: tuple[str, ...] = ()) -> Data
     return rows.orderBy("doc_id").limit(corpus.num_samples) if corpus.num_samples else rows
 
 
+def _sides(middle: Column) -> Column:
+    """Both sides of the array ``words`` as rows to inline: ``middle`` words as human text, the rest for the machine side."""
+    return F.array(
+        F.struct(F.lit("human").alias("text_type"), F.lit(0).alias("label"), F.slice("words", F.lit(1), middle).alias("words")),
+        F.struct(F.lit("ai").alias("text_type"), F.lit(1).alias("label"), F.slice("words", middle + 1, F.greatest(F.size("words"), F.lit(1))).alias("words")),
+    )
+
+
 def halves(docs: DataFrame, corpus: Corpus, keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, keep..., text_type, label, words): the first half of each sample as human text, the rest for the machine side."""
-    middle = corpus.words_per_sample // 2
-    sides = F.array(
-        F.struct(F.lit("human").alias("text_type"), F.lit(0).alias("label"), F.slice("words", F.lit(1), F.lit(middle)).alias("words")),
-        F.struct(F.lit("ai").alias("text_type"), F.lit(1).alias("label"), F.slice("words", F.lit(middle + 1), F.greatest(F.size("words"), F.lit(1))).alias("words")),
-    )
-    return samples(docs, corpus, keep).select("doc_id", *keep, F.inline(sides))
+    return samples(docs, corpus, keep).select("doc_id", *keep, F.inline(_sides(F.lit(corpus.words_per_sample // 2))))
+
+
+def whole_halves(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``halves`` of all words of all documents, however few they are; of an odd number the machine side has one more.
+
+    A document without words, or with a null text, has two empty sides.
+    """
+    words = F.coalesce(T.words(F.col("text")), F.array().cast("array<string>"))
+    return docs.select("doc_id", *keep, words.alias("words")).select("doc_id", *keep, F.inline(_sides(F.floor(F.size("words") / 2).cast("int"))))
 
 
 def dataset(docs: DataFrame, corpus: Corpus) -> DataFrame:

@@ -77,7 +77,7 @@ def summary_of_arrays(scores: DataFrame, keys: tuple[str, ...], sets=EXPERIMENTS
         made.append(F.struct(F.lit(name).alias("experiment"), pss.alias("pss")))
     rows = rows.select(*keys, F.inline(F.array(*made))).where(F.size("pss") > 0)
     total = F.aggregate("pss", F.lit(0.0), lambda a, x: a + x)
-    return rows.select("experiment", *keys, F.size("pss").cast("bigint").alias("n_windows"), (total / F.size("pss")).alias("mean_pss"), F.array_max("pss").alias("max_pss"))
+    return rows.select("experiment", *keys, F.size("pss").cast("bigint").alias("n_windows"), F.try_divide(total, F.size("pss")).alias("mean_pss"), F.array_max("pss").alias("max_pss"))
 
 
 def features(pss: DataFrame, static: DataFrame, n: int, names: tuple[str, ...] = STATIC) -> DataFrame:

@@ -320,3 +320,21 @@ a_{name} AS (SELECT {by}, max(p) AS p, max(n) AS n, sum(pos * (n - fp + neg / 2.
 POINTS = ", ".join(f"{r(c)} AS {c}" for c in ("auc", "threshold", "tpr", "fpr"))
 ORACLES["auc_by_depth"] = f"WITH {DETECTED}, {curve('detected', 'z_score', 'depth', 'points')} SELECT depth, n_pos, n_neg, {POINTS} FROM points"
 ORACLES["auc_by_experiment"] = f"WITH {WINS}, {members()}, {PSS}, texts AS (SELECT experiment, label, {r('avg(pss)')} AS mean_pss FROM pss JOIN ids USING (id) GROUP BY experiment, id, label), {curve('texts', 'mean_pss', 'experiment', 'points')} SELECT experiment, n_pos, n_neg, {POINTS} FROM points"
+
+#: Both halves of all words of all documents in place of the sample halves.
+BOTH = f"""
+uncut AS (SELECT doc_id, coalesce({words('text')}, []) AS words FROM documents),
+halves AS (
+  SELECT doc_id, 'human' AS text_type, 0 AS label, words[1:len(words) // 2] AS words FROM uncut
+  UNION ALL SELECT doc_id, 'ai', 1, words[len(words) // 2 + 1:] FROM uncut)"""
+SIDES = DEEP.replace(CUTS, BOTH)[:-1] + f" UNION ALL SELECT doc_id, text_type, label, d::INTEGER, []::VARCHAR[] FROM halves, range(0, {ROUNDS + 1}) t(d) WHERE len(words) = 0)"
+
+
+def of_both(sql: str) -> str:
+    """A twin over the sample halves as one over whole halves, with windows of the default size."""
+    for source, *more in (("combined", "depth, id, label"), ("top", "depth, id", "commas")):
+        sql = sql.replace(windowed(source, *more), windowed(source, *more, W=50, STEP=10))
+    return sql.replace(DEEP, SIDES).replace(CUTS, BOTH)
+
+
+ORACLES |= {f"{name}_docs": of_both(ORACLES[name]) for name in ("unpivot_depths", "combine_detections", "combine_labeled", "validate_counts", "resume_point", "sequential_id", "auc", "auc_by_depth", "window_literal_depths", "rolling_features", "common_windows", "pss_matrix", "pss_sweep", "auc_by_experiment", "best_experiment")}

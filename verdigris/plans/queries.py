@@ -37,6 +37,11 @@ def whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select("doc_id", F.lit("document").alias("text_type"), F.lit(0).alias("label"), words.alias("words"))
 
 
+def whole_halves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``halves`` of all words of all documents."""
+    return corpus.whole_halves(docs(spark, sf_dir))
+
+
 def deep(spark: SparkSession, sf_dir: str, texts=halves) -> DataFrame:
     return paraphrasing.rounds(texts(spark, sf_dir), PARA)
 
@@ -47,14 +52,14 @@ def detected(spark: SparkSession, sf_dir: str, texts: DataFrame | None = None) -
     return rows.withColumn("bits", F.array_join(F.col("bits").cast("array<string>"), ""))
 
 
-def combined(spark: SparkSession, sf_dir: str) -> DataFrame:
+def combined(spark: SparkSession, sf_dir: str, texts=halves) -> DataFrame:
     """``detected`` with the ids that serve all depths."""
-    texts = stored(halves(spark, sf_dir), "halves")  # short; read for the ids and for the bits
+    texts = stored(texts(spark, sf_dir), "halves")  # read for the ids and for the bits
     return detected(spark, sf_dir, spread(texts)).join(reshape.sequential_ids(texts).drop("label"), ["doc_id", "text_type"])
 
 
-def all_windows(spark: SparkSession, sf_dir: str, keep: tuple[str, ...] = ("depth", "id", "label")) -> DataFrame:
-    return windows.figures(combined(spark, sf_dir).select(*keep, "bits"), WIN, MARK.gamma)
+def all_windows(spark: SparkSession, sf_dir: str, texts=halves, win: Windows = WIN) -> DataFrame:
+    return windows.figures(combined(spark, sf_dir, texts).select("depth", "id", "label", "bits"), win, MARK.gamma)
 
 
 def rounded(df: DataFrame, *columns: str) -> DataFrame:
@@ -303,9 +308,9 @@ def words_per_round(spark, sf_dir, texts=halves):
     return rounded(paraphrasing.words_per_round(deep(spark, sf_dir, texts)))
 
 
-def resume_point(spark, sf_dir):
+def resume_point(spark, sf_dir, texts=halves):
     """Where a job would go on whose third round stopped at the first unlabelled document."""
-    wide = paraphrasing.wide(deep(spark, sf_dir), PARA.iterations).where("text_type = 'ai'")
+    wide = paraphrasing.wide(deep(spark, sf_dir, texts), PARA.iterations).where("text_type = 'ai'")
     labelled = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("l")).distinct()
     rows = wide.join(labelled, F.col("doc_id") == F.col("l"), "left")
     rows = rows.withColumn("paraphrase_iter_3", F.when(F.col("l").isNotNull(), F.col("paraphrase_iter_3")))
@@ -315,27 +320,27 @@ def resume_point(spark, sf_dir):
 # reshaping
 
 
-def unpivot_depths(spark, sf_dir):
-    return reshape.unpivoted(paraphrasing.wide(deep(spark, sf_dir), PARA.iterations), PARA.iterations)
+def unpivot_depths(spark, sf_dir, texts=halves):
+    return reshape.unpivoted(paraphrasing.wide(deep(spark, sf_dir, texts), PARA.iterations), PARA.iterations)
 
 
-def combine_detections(spark, sf_dir):
-    rows = detected(spark, sf_dir).where("text_type = 'ai'").select("doc_id", "depth", "z_score", "num_green_tokens")
+def combine_detections(spark, sf_dir, texts=halves):
+    rows = detected(spark, sf_dir, texts(spark, sf_dir)).where("text_type = 'ai'").select("doc_id", "depth", "z_score", "num_green_tokens")
     parts = [rows.where(F.col("depth") == k).drop("depth") for k in range(PARA.iterations + 1)]
     return rounded(reshape.tagged(parts, "ai"))
 
 
-def combine_labeled(spark, sf_dir):
-    rows = detected(spark, sf_dir).select("doc_id", "text_type", "depth", F.col("bits").alias("0_1_sequence"), "z_score")
+def combine_labeled(spark, sf_dir, texts=halves):
+    rows = detected(spark, sf_dir, texts(spark, sf_dir)).select("doc_id", "text_type", "depth", F.col("bits").alias("0_1_sequence"), "z_score")
     return rounded(reshape.labelled(rows.where("text_type = 'ai'").drop("text_type"), rows.where("text_type = 'human'").drop("text_type")))
 
 
-def sequential_id(spark, sf_dir):
-    return reshape.sequential_ids(halves(spark, sf_dir))
+def sequential_id(spark, sf_dir, texts=halves):
+    return reshape.sequential_ids(texts(spark, sf_dir))
 
 
-def validate_counts(spark, sf_dir):
-    return reshape.counts_by_depth(detected(spark, sf_dir).select("depth", "label"))
+def validate_counts(spark, sf_dir, texts=halves):
+    return reshape.counts_by_depth(detected(spark, sf_dir, texts(spark, sf_dir)).select("depth", "label"))
 
 
 def merge_outer(spark, sf_dir):
@@ -356,10 +361,10 @@ def window_rows(spark, sf_dir):
     return windows.windows(combined(spark, sf_dir).select("depth", "id", "bits"), WIN).select("depth", "id", "win_idx", "win_start", "win_end", "win")
 
 
-def _literal(rows: DataFrame) -> DataFrame:
+def _literal(rows: DataFrame, win: Windows = WIN) -> DataFrame:
     from dataclasses import replace
 
-    return windows.figures(rows, replace(WIN, mode="literal"), MARK.gamma)
+    return windows.figures(rows, replace(win, mode="literal"), MARK.gamma)
 
 
 def window_literal(spark, sf_dir):
@@ -368,10 +373,10 @@ def window_literal(spark, sf_dir):
     return rounded(_literal(rows).select("id", "win_idx", "win_start", "win_end", "z", "run", "freq"))
 
 
-def window_literal_depths(spark, sf_dir):
+def window_literal_depths(spark, sf_dir, texts=halves, win=WIN):
     """``window_literal`` at all depths."""
-    rows = combined(spark, sf_dir).select("depth", "id", "bits")
-    return rounded(_literal(rows).select("depth", "id", "win_idx", "win_start", "win_end", "z", "run", "freq"))
+    rows = combined(spark, sf_dir, texts).select("depth", "id", "bits")
+    return rounded(_literal(rows, win).select("depth", "id", "win_idx", "win_start", "win_end", "z", "run", "freq"))
 
 
 def window_z(spark, sf_dir):
@@ -391,13 +396,13 @@ def autocorr(spark, sf_dir):
     return rounded(_rolling(combined(spark, sf_dir).where("length(bits) > 0").select("depth", "id", "bits")).select("depth", "id", "z_autocorr_lag1", "z_autocorr_lag2"))
 
 
-def _bits(spark, sf_dir) -> DataFrame:
+def _bits(spark, sf_dir, texts=halves) -> DataFrame:
     """The bits of all depths, stored: what follows reads them more than once."""
-    return stored(combined(spark, sf_dir).select("depth", "id", "label", "z_score", "bits"), "bits")
+    return stored(combined(spark, sf_dir, texts).select("depth", "id", "label", "z_score", "bits"), "bits")
 
 
-def _rolling(base: DataFrame) -> DataFrame:
-    return windows.rolling(base, WIN, MARK.gamma)
+def _rolling(base: DataFrame, win: Windows = WIN) -> DataFrame:
+    return windows.rolling(base, win, MARK.gamma)
 
 
 def _whole_bits(spark, sf_dir) -> DataFrame:
@@ -430,8 +435,8 @@ def rolling_presets(spark, sf_dir):
     return rounded(reduce(DataFrame.unionByName, parts)).withColumns({c: S.places(c, 4) for c in windows.STATIC})
 
 
-def rolling_features(spark, sf_dir):
-    return rounded(_rolling(_bits(spark, sf_dir)))
+def rolling_features(spark, sf_dir, texts=halves, win=WIN):
+    return rounded(_rolling(_bits(spark, sf_dir, texts), win))
 
 
 def rolling_wide(spark, sf_dir):
@@ -441,28 +446,29 @@ def rolling_wide(spark, sf_dir):
 # stability and classification
 
 
-def common_windows(spark, sf_dir):
-    return stability.common_windows(all_windows(spark, sf_dir).where("depth BETWEEN 1 AND 8")).select(F.col("n_windows").cast("bigint").alias("n_windows"))
+def common_windows(spark, sf_dir, texts=halves, win=WIN):
+    return stability.common_windows(all_windows(spark, sf_dir, texts, win).where("depth BETWEEN 1 AND 8")).select(F.col("n_windows").cast("bigint").alias("n_windows"))
 
 
 #: The experiment that takes all depths.
 ALL_DEPTHS = max(EXPERIMENTS, key=lambda e: len(e[1]))
 
 
-def _stability(spark, sf_dir, sets=EXPERIMENTS) -> DataFrame:
+def _stability(spark, sf_dir, texts=halves, win: Windows = WIN) -> DataFrame:
     """(experiment, doc_id, text_type, win_idx, pss), made of arrays: no window is a row before it has its figure."""
-    return stability.matrix_of_arrays(windows.local_scores(detected(spark, sf_dir).select("doc_id", "text_type", "depth", "bits"), WIN, MARK.gamma), ("doc_id", "text_type"), sets)
+    scores = windows.local_scores(detected(spark, sf_dir, texts(spark, sf_dir)).select("doc_id", "text_type", "depth", "bits"), win, MARK.gamma)
+    return stability.matrix_of_arrays(scores, ("doc_id", "text_type"))
 
 
-def pss_matrix(spark, sf_dir):
-    texts = stored(halves(spark, sf_dir), "halves")  # short; read for the ids and for the scores
-    scores = windows.local_scores(detected(spark, sf_dir, spread(texts)).select("doc_id", "text_type", "depth", "bits"), WIN, MARK.gamma)
+def pss_matrix(spark, sf_dir, texts=halves, win=WIN):
+    texts = stored(texts(spark, sf_dir), "halves")  # read for the ids and for the scores
+    scores = windows.local_scores(detected(spark, sf_dir, spread(texts)).select("doc_id", "text_type", "depth", "bits"), win, MARK.gamma)
     pss = stability.matrix_of_arrays(scores, ("doc_id", "text_type"), [ALL_DEPTHS])
     return rounded(pss.join(reshape.sequential_ids(texts).drop("label"), ["doc_id", "text_type"]).select("id", "win_idx", "pss"))
 
 
-def pss_sweep(spark, sf_dir):
-    pss = _stability(spark, sf_dir)
+def pss_sweep(spark, sf_dir, texts=halves, win=WIN):
+    pss = _stability(spark, sf_dir, texts, win)
     return rounded(pss.groupBy("experiment", "win_idx").agg(F.count("*").alias("n"), F.avg("pss").alias("mean_pss"), F.max("pss").alias("max_pss")))
 
 
@@ -492,18 +498,19 @@ def _judged(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"), "toxic").join(d, "doc_id")
 
 
-def auc(spark, sf_dir):
-    return rounded(metrics.roc_auc(detected(spark, sf_dir).where("depth = 0").select("label", "z_score"), "z_score"))
+def auc(spark, sf_dir, texts=halves):
+    """AUC of the score of the texts as they are; they need no round of paraphrase."""
+    return rounded(metrics.roc_auc(detection.scored(texts(spark, sf_dir), MARK).select("label", "z_score"), "z_score"))
 
 
-def auc_by_depth(spark, sf_dir):
+def auc_by_depth(spark, sf_dir, texts=halves):
     """AUC of the score at every depth, and the threshold at five percent false positives, in one pass."""
-    return rounded(metrics.operating_points(metrics.roc_curves(detected(spark, sf_dir).select("depth", "label", "z_score"), "z_score", "depth"), "depth"))
+    return rounded(metrics.operating_points(metrics.roc_curves(detected(spark, sf_dir, texts(spark, sf_dir)).select("depth", "label", "z_score"), "z_score", "depth"), "depth"))
 
 
-def auc_by_experiment(spark, sf_dir):
+def auc_by_experiment(spark, sf_dir, texts=halves, win=WIN):
     """The same for every experiment, with a text's mean spread as its score."""
-    scores = windows.local_scores(detected(spark, sf_dir).select("doc_id", "text_type", "label", "depth", "bits"), WIN, MARK.gamma)
+    scores = windows.local_scores(detected(spark, sf_dir, texts(spark, sf_dir)).select("doc_id", "text_type", "label", "depth", "bits"), win, MARK.gamma)
     texts = rounded(stability.summary_of_arrays(scores, ("doc_id", "text_type", "label")))  # ties of scores are then ties
     return rounded(metrics.operating_points(metrics.roc_curves(texts, "mean_pss", "experiment"), "experiment"))
 
@@ -520,8 +527,8 @@ def metrics_all(spark, sf_dir):
     return rounded(metrics.rates(metrics.cells(_judged(spark, sf_dir), "toxic")))
 
 
-def best_experiment(spark, sf_dir):
-    pss = _stability(spark, sf_dir).groupBy("experiment").agg(F.round(F.avg("pss"), 6).alias("mean_pss"))
+def best_experiment(spark, sf_dir, texts=halves, win=WIN):
+    pss = _stability(spark, sf_dir, texts, win).groupBy("experiment").agg(F.round(F.avg("pss"), 6).alias("mean_pss"))
     order = spark.createDataFrame([(n, k) for k, (n, _) in enumerate(EXPERIMENTS)], "experiment string, position int")
     return metrics.best(pss.join(F.broadcast(order), "experiment"), "mean_pss")
 
@@ -545,3 +552,8 @@ WHOLE = (
     "paraphrase_rounds", "words_per_round", "detect_all_depths", "detection_summary",
 )
 QUERIES |= {f"{name}_docs": partial(QUERIES[name], texts=whole) for name in WHOLE}
+#: Queries that compare two sides; NAME_docs takes both halves of all words of all documents, and windows of the default size.
+HALVED = ("unpivot_depths", "combine_detections", "combine_labeled", "validate_counts", "resume_point", "sequential_id", "auc", "auc_by_depth")
+HALVED_WINDOWS = ("window_literal_depths", "rolling_features", "common_windows", "pss_matrix", "pss_sweep", "auc_by_experiment", "best_experiment")
+QUERIES |= {f"{name}_docs": partial(QUERIES[name], texts=whole_halves) for name in HALVED}
+QUERIES |= {f"{name}_docs": partial(QUERIES[name], texts=whole_halves, win=Windows()) for name in HALVED_WINDOWS}
