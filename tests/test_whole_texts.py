@@ -2,9 +2,11 @@
 
 from collections import Counter
 
+import duckdb
 import pytest
 
-from verdigris.plans import queries
+from test_queries import plain
+from verdigris.plans import oracles, queries
 
 
 @pytest.fixture(scope="module")
@@ -28,3 +30,24 @@ def test_all_words_are_read(spark, tables):
     assert Counter(r.doc_id for r in run("green_bits_docs")) == {i: len(ws) - 1 for i, ws in words.items() if len(ws) > 1}
     assert {r.doc_id: len(r.watermark_bits.replace(",", "")) for r in run("bits_csv_docs")} == {i: max(len(ws) - 1, 0) for i, ws in words.items()}
     assert {r.doc_id for r in run("p_value_docs")} == set(words)
+
+
+@pytest.mark.parametrize("name", ["unpivot_depths", "combine_labeled", "validate_counts", "sequential_id", "auc", "rolling_features", "pss_matrix", "auc_by_experiment"])
+def test_both_halves_of_short_and_empty_texts(spark, tables, name):
+    folder, words = tables
+    df = queries.QUERIES[f"{name}_docs"](spark, folder)
+    columns = sorted(df.columns)
+    got = sorted((tuple(map(plain, r)) for r in df.select(*[f"`{c}`" for c in columns]).collect()), key=repr)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet/*.parquet'")
+    want = con.sql(oracles.ORACLES[f"{name}_docs"])
+    at = [want.columns.index(c) for c in columns]
+    assert got == sorted((tuple(plain(r[i]) for i in at) for r in want.fetchall()), key=repr)
+
+
+def test_no_word_is_lost_between_the_halves(spark, tables):
+    folder, words = tables
+    found = {(r.doc_id, r.text_type): r.words for r in queries.whole_halves(spark, folder).collect()}
+    assert len(found) == 2 * len(words)
+    assert {i: found[i, "human"] + found[i, "ai"] for i in words} == words
+    assert all(len(found[i, "ai"]) - len(found[i, "human"]) == len(ws) % 2 for i, ws in words.items())
