@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from jobs.common import log, read_if_there, settings_of, start_logging
 from verdigris.config import EXPERIMENTS, Settings
 from verdigris.functions import scores as S
-from verdigris.operators import corpus, detection, metrics, paraphrasing, stability, windows
+from verdigris.operators import corpus, detection, metrics, stability, windows
 
 CONFIG = Path(__file__).with_suffix(".yaml")
 _RATES = "lang string, n_pos bigint, n_neg bigint, auc double, threshold double, tpr double, fpr double"
@@ -73,8 +73,7 @@ def run(spark: SparkSession, documents: str, labels: str, out: str, settings: Se
 
     docs = studied(spark.read.parquet(documents).select("doc_id", "text", "lang"), spark.read.parquet(labels).select("doc_id", "quality", "toxic"))
     log.info("reading %s, without what %s rules out", documents, labels)
-    deep = paraphrasing.rounds(corpus.halves(docs, settings.corpus, ("lang",)), settings.paraphrase)
-    rows = detection.scored(deep, mark).drop("words").withColumn("bits", F.array_join(F.col("bits").cast("array<string>"), ""))
+    rows = detection.scored_rounds(corpus.halves(docs, settings.corpus, ("lang",)), settings.paraphrase, mark)
     scores = save(rows, "scores", "depth")
 
     own = windows.local_scores(scores.select("doc_id", "text_type", "label", "lang", "depth", "bits"), settings.windows, mark.gamma)

@@ -5,14 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 from verdigris.config import Paraphrase
 from verdigris.functions import text as T
+from verdigris.functions.digests import below as below_share, heads
 from verdigris.functions.scores import below
 from verdigris.sources.storage import exists, remaining, stored
 
@@ -34,19 +37,125 @@ def stand_in(words: Column, doc_id: Column, text_type: Column, depth: int, rate:
     return F.transform(words, one)
 
 
+#: Words of texts whose rounds are made at once.
+AT_ONCE = 250_000
+#: Words that the stand-in can put in a word's place: one for each beginning of a digest.
+_NEW = pa.array([f"w{k:04x}" for k in range(2**16)])
+_NAME, _WORDS = "_name", "_words"
+
+
+class Rounds:
+    """The stand-in's rounds of several texts, in arrays: ``stand_in`` for all their words at once.
+
+    ``words`` has every word that occurs; a text's words at a depth are places
+    in it. ``begins`` says where each text begins and the last one ends. After
+    ``each`` gives a depth, ``at`` are the places and ``changed`` the words that
+    this round replaced.
+    """
+
+    def __init__(self, names: pa.Array, texts: pa.Array, settings: Paraphrase):
+        texts = texts.cast(pa.large_list(pa.string()))
+        self.settings = settings
+        self.none = texts.is_null()
+        self.begins = np.r_[0, np.cumsum(pc.fill_null(pc.list_value_length(texts), 0).to_numpy(zero_copy_only=False))].astype(np.int64)
+        sizes = np.diff(self.begins)
+        row = np.repeat(np.arange(len(texts)), sizes)
+        self.place = np.arange(self.begins[-1]) - self.begins[row]
+        known = texts.flatten().dictionary_encode(null_encoding="encode")
+        self.known = len(known.dictionary)
+        self.words = pa.concat_arrays([known.dictionary, _NEW])
+        self.at = known.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        self.stems = pc.binary_join_element_wise(names.take(pa.array(row)), pa.array(self.place).cast(pa.string()), "", ":")  # name:place:
+
+    def each(self) -> Iterator[int]:
+        """The depths from 0, the originals, to the last round."""
+        tails = tuple(str(k).encode() for k in range(1, self.settings.iterations + 1))
+        swaps = [below_share(self.settings.rate, h) for h in heads(pc.binary_join_element_wise("p", self.stems, ":"), tails)]
+        self.changed = np.ones(len(self.at), bool)
+        yield 0
+        for depth, tail, swap in zip(range(1, len(tails) + 1), tails, swaps, strict=True):
+            here = np.flatnonzero(swap)
+            self.at, self.changed = self.at.copy(), swap
+            self.at[here] = self.known + (heads(pc.binary_join_element_wise("r", self.stems.take(pa.array(here)), ":"), (tail,))[0] >> 16)
+            yield depth
+
+    def lists(self) -> pa.Array:
+        """The texts' words at the present depth."""
+        return pa.ListArray.from_arrays(pa.array(self.begins.astype(np.int32)), self.words.take(pa.array(self.at)), mask=self.none)
+
+
+def each_rounds(texts: DataFrame, settings: Paraphrase, columns: str, made: Callable[[pa.RecordBatch, Rounds], Iterator[list[pa.Array]]]) -> DataFrame:
+    """``texts`` without ``words`` and with the columns (DDL) that ``made`` makes of a batch's rounds.
+
+    ``made`` gives, for each batch of rows it is to return, the arrays of the
+    new columns, a row per text. Rounds are made inside a text's row.
+    """
+    kept = [c for c in texts.columns if c != "words"]
+    name = F.concat_ws(":", F.col("doc_id").cast("string"), F.col("text_type"))
+    rows = texts.select(*kept, name.alias(_NAME), F.col("words").cast("array<string>").alias(_WORDS))
+    schema = StructType([*(texts.schema[c] for c in kept), *StructType.fromDDL(columns)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            sizes = pc.fill_null(pc.list_value_length(whole.column(_WORDS)), 0).to_numpy(zero_copy_only=False)
+            piece = (np.cumsum(sizes) - sizes) // AT_ONCE
+            edges = np.flatnonzero(np.r_[True, piece[1:] != piece[:-1], True]) if len(piece) else []
+            for lo, hi in zip(edges, edges[1:]):
+                batch = whole.slice(lo, hi - lo)
+                rest = batch.drop_columns([_NAME, _WORDS])
+                for more in made(rest, Rounds(batch.column(_NAME), batch.column(_WORDS), settings)):
+                    yield pa.RecordBatch.from_arrays([*rest.columns, *more], names=schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def _depth(depth: int, n: int) -> pa.Array:
+    return pa.array(np.full(n, depth, np.int32))
+
+
 def rounds(texts: DataFrame, settings: Paraphrase) -> DataFrame:
     """``texts`` (doc_id, text_type, words and any more) with ``depth`` and its words, from depth 0, the original, to the last round."""
-    rows = texts.withColumn("_w0", F.col("words"))
-    for k in range(1, settings.iterations + 1):
-        rows = rows.withColumn(f"_w{k}", stand_in(F.col(f"_w{k - 1}"), F.col("doc_id"), F.col("text_type"), k, settings.rate))
-    depths = F.array(*[F.struct(F.lit(k).alias("depth"), F.col(f"_w{k}").alias("words")) for k in range(settings.iterations + 1)])
-    return rows.select(*[c for c in texts.columns if c != "words"], F.inline(depths))
+
+    def made(rest: pa.RecordBatch, found: Rounds) -> Iterator[list[pa.Array]]:
+        for depth in found.each():
+            yield [_depth(depth, len(rest)), found.lists()]
+
+    return each_rounds(texts, settings, "depth int, words array<string>", made)
+
+
+def _joined(lists: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """Texts of words, and how many words they have."""
+    return pc.binary_join(lists, " "), pc.list_value_length(lists).cast(pa.int64())
+
+
+def round_texts(texts: DataFrame, settings: Paraphrase) -> DataFrame:
+    """``rounds`` with the words as ``text``, and their number as ``word_count``."""
+
+    def made(rest: pa.RecordBatch, found: Rounds) -> Iterator[list[pa.Array]]:
+        for depth in found.each():
+            yield [_depth(depth, len(rest)), *_joined(found.lists())]
+
+    return each_rounds(texts, settings, "depth int, text string, word_count bigint", made)
+
+
+def _wide_names(iterations: int) -> list[tuple[str, str]]:
+    return [("original_text", "original_word_count")] + [(f"paraphrase_iter_{k}", f"word_count_iter_{k}") for k in range(1, iterations + 1)]
+
+
+def wide_rounds(texts: DataFrame, settings: Paraphrase) -> DataFrame:
+    """``wide`` of the rounds of ``texts``, made inside a text's row: nothing is shuffled, and rows that share a key stay apart."""
+
+    def made(rest: pa.RecordBatch, found: Rounds) -> Iterator[list[pa.Array]]:
+        yield [column for _ in found.each() for column in _joined(found.lists())]
+
+    columns = ", ".join(f"{text} string, {count} bigint" for text, count in _wide_names(settings.iterations))
+    return each_rounds(texts.select(*KEY, "words"), settings, columns, made)
 
 
 def wide(deep: DataFrame, iterations: int) -> DataFrame:
     """original_text and its count, then paraphrase_iter_k and word_count_iter_k for each round."""
     text, count = F.array_join("words", " "), F.size("words").cast("bigint")
-    names = [("original_text", "original_word_count")] + [(f"paraphrase_iter_{k}", f"word_count_iter_{k}") for k in range(1, iterations + 1)]
+    names = _wide_names(iterations)
     picks = [p for k, (a, b) in enumerate(names) for p in (F.max(F.when(F.col("depth") == k, text)).alias(a), F.max(F.when(F.col("depth") == k, count)).alias(b))]
     return deep.groupBy("doc_id", "text_type").agg(*picks)
 
@@ -149,7 +258,7 @@ def resumed_rounds(texts: DataFrame, path: str, make: Callable[[], Paraphraser],
 
 def wide_texts(deep: DataFrame, iterations: int) -> DataFrame:
     """``wide`` of rows that hold their text and its count."""
-    names = [("original_text", "original_word_count")] + [(f"paraphrase_iter_{k}", f"word_count_iter_{k}") for k in range(1, iterations + 1)]
+    names = _wide_names(iterations)
     return deep.groupBy(*KEY).agg(*[F.max(F.when(F.col("depth") == k, F.col(c))).alias(n) for k, pair in enumerate(names) for c, n in zip(("text", "word_count"), pair, strict=True)])
 
 
@@ -166,4 +275,6 @@ def resume_point(df: DataFrame, iterations: int, key: str = "doc_id") -> DataFra
 
 
 def words_per_round(deep: DataFrame) -> DataFrame:
-    return deep.groupBy("text_type", "depth").agg(F.avg(F.size("words")).alias("mean_words"), F.count("*").alias("n"))
+    """Of rows that hold their ``words``, or their text and its ``word_count``."""
+    n = F.col("word_count") if "word_count" in deep.columns else F.size("words")
+    return deep.groupBy("text_type", "depth").agg(F.avg(n).alias("mean_words"), F.count("*").alias("n"))

@@ -48,8 +48,7 @@ def deep(spark: SparkSession, sf_dir: str, texts=halves) -> DataFrame:
 
 def detected(spark: SparkSession, sf_dir: str, texts: DataFrame | None = None) -> DataFrame:
     """(doc_id, text_type, label, depth, bits string, counts, z) of all depths."""
-    rows = detection.scored(paraphrasing.rounds(texts or halves(spark, sf_dir), PARA), MARK).drop("words")
-    return rows.withColumn("bits", F.array_join(F.col("bits").cast("array<string>"), ""))
+    return detection.scored_rounds(texts or halves(spark, sf_dir), PARA, MARK)
 
 
 def combined(spark: SparkSession, sf_dir: str, texts=halves) -> DataFrame:
