@@ -51,3 +51,8 @@ def test_rounds_in_arrays_equal_columns(spark, settings, mark):
     assert same(deep.where("doc_id <> 5").select("doc_id", "text_type", "depth", F.array_join("words", " ").alias("text")), paraphrasing.round_texts(texts, settings).where("doc_id <> 5"))
     bits = F.array_join(F.col("bits").cast("array<string>"), "")
     assert same(detection.scored(deep, mark).drop("words").withColumn("bits", bits), detection.scored_rounds(texts, settings, mark))
+
+
+@pytest.mark.parametrize("name", ["combine_detections", "combine_labeled"])
+def test_detections_are_made_once(spark, folder, name):
+    assert "documents.parquet" not in plan(queries.QUERIES[f"{name}_docs"](spark, folder))

@@ -324,7 +324,8 @@ def unpivot_depths(spark, sf_dir, texts=halves):
 
 
 def combine_detections(spark, sf_dir, texts=halves):
-    rows = detected(spark, sf_dir, texts(spark, sf_dir)).where("text_type = 'ai'").select("doc_id", "depth", "z_score", "num_green_tokens")
+    rows = detected(spark, sf_dir, texts(spark, sf_dir).where("text_type = 'ai'")).select("doc_id", "depth", "z_score", "num_green_tokens")
+    rows = stored(rows, "detections")  # made once, read for each depth
     parts = [rows.where(F.col("depth") == k).drop("depth") for k in range(PARA.iterations + 1)]
     return rounded(reshape.tagged(parts, "ai"))
 
