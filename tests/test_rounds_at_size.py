@@ -56,3 +56,10 @@ def test_rounds_in_arrays_equal_columns(spark, settings, mark):
 @pytest.mark.parametrize("name", ["combine_detections", "combine_labeled"])
 def test_detections_are_made_once(spark, folder, name):
     assert "documents.parquet" not in plan(queries.QUERIES[f"{name}_docs"](spark, folder))
+
+
+def test_bits_are_hashed_after_they_are_rows(spark, folder):
+    lines = plan(queries.QUERIES["green_bits_docs"](spark, folder)).splitlines()
+    assert not [x for x in lines if "md5" in x and ("Filter" in x or "Generate" in x)]
+    nothing = spark.createDataFrame([(1, None), (2, []), (3, ["a"])], "id int, words array<string>")
+    assert detection.exploded_bits(nothing, MARK, "id").count() == 0

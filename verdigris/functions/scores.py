@@ -16,7 +16,10 @@ def uniform(*parts: Column) -> Column:
 
 def below(share: float, *parts: Column) -> Column:
     """``uniform(*parts) < share``, compared as hexadecimal digits, which needs no conversion."""
-    text = F.concat_ws(":", *[p.cast("string") for p in parts])
+    return _below(share, F.concat_ws(":", *[p.cast("string") for p in parts]))
+
+
+def _below(share: float, text: Column) -> Column:
     return F.substring(F.md5(text), 1, 8) < F.lit(f"{math.ceil(share * 4294967296):08x}")
 
 
@@ -30,10 +33,26 @@ def is_green(before: Column, token: Column, key: int, gamma: float, select_green
     return below(gamma, F.lit(key), before, token) if select_green else ~below(1 - gamma, F.lit(key), before, token)
 
 
+def green_text(hashed: Column, gamma: float, select_green: bool = True) -> Column:
+    """``is_green`` of a key and two tokens that are joined by colons already."""
+    return _below(gamma, hashed) if select_green else ~_below(1 - gamma, hashed)
+
+
+def neighbours(tokens: Column) -> Column:
+    """Each token from the second on with the one before it, as structs (prev, token); null for a null array.
+
+    What is done with a pair needs nothing of the array. A function of places
+    that looks tokens up in the array has the array made anew for every place
+    where the optimizer puts its definition for its name, as it does for the
+    filters that it infers from an explosion.
+    """
+    rest = F.greatest(F.size(tokens) - 1, F.lit(0))
+    return F.arrays_zip(F.slice(tokens, F.lit(1), rest).alias("prev"), F.slice(tokens, F.lit(2), rest).alias("token"))
+
+
 def green_bits(tokens: Column, key: int, gamma: float, select_green: bool = True) -> Column:
     """0/1 for each token from the second on."""
-    places = F.when(F.size(tokens) > 1, F.sequence(F.lit(1), F.size(tokens) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(places, lambda i: F.when(is_green(F.get(tokens, i - 1), F.get(tokens, i), key, gamma, select_green), 1).otherwise(0))
+    return F.transform(neighbours(tokens), lambda p: F.when(is_green(p["prev"], p["token"], key, gamma, select_green), 1).otherwise(0))
 
 
 def z_score(green: Column, n: Column, gamma: float) -> Column:

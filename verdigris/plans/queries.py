@@ -214,8 +214,7 @@ def detect_text(spark, sf_dir, texts=halves):
 
 
 def green_bits(spark, sf_dir, texts=halves):
-    rows = detection.scored(texts(spark, sf_dir), MARK)
-    return rows.select("doc_id", "text_type", F.posexplode("bits").alias("pos", "bit")).select("doc_id", "text_type", F.col("pos").cast("bigint").alias("pos"), F.col("bit").cast("bigint").alias("bit"))
+    return detection.exploded_bits(texts(spark, sf_dir), MARK, "doc_id", "text_type")
 
 
 def bits_csv(spark, sf_dir, texts=halves):
