@@ -58,6 +58,11 @@ def test_detections_are_made_once(spark, folder, name):
     assert "documents.parquet" not in plan(queries.QUERIES[f"{name}_docs"](spark, folder))
 
 
+@pytest.mark.parametrize("name", ["unpivot_depths", "paraphrase_rounds", "detect_all_depths"])
+def test_rounds_are_not_shuffled(spark, folder, name):
+    assert "hashpartitioning" not in plan(queries.QUERIES[f"{name}_docs"](spark, folder))
+
+
 def test_bits_are_hashed_after_they_are_rows(spark, folder):
     lines = plan(queries.QUERIES["green_bits_docs"](spark, folder)).splitlines()
     assert not [x for x in lines if "md5" in x and ("Filter" in x or "Generate" in x)]

@@ -308,7 +308,7 @@ def words_per_round(spark, sf_dir, texts=halves):
 
 def resume_point(spark, sf_dir, texts=halves):
     """Where a job would go on whose third round stopped at the first unlabelled document."""
-    wide = paraphrasing.wide(deep(spark, sf_dir, texts), PARA.iterations).where("text_type = 'ai'")
+    wide = paraphrasing.wide_rounds(texts(spark, sf_dir).where("text_type = 'ai'"), PARA)
     labelled = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("l")).distinct()
     rows = wide.join(labelled, F.col("doc_id") == F.col("l"), "left")
     rows = rows.withColumn("paraphrase_iter_3", F.when(F.col("l").isNotNull(), F.col("paraphrase_iter_3")))
@@ -319,7 +319,7 @@ def resume_point(spark, sf_dir, texts=halves):
 
 
 def unpivot_depths(spark, sf_dir, texts=halves):
-    return reshape.unpivoted(paraphrasing.wide(deep(spark, sf_dir, texts), PARA.iterations), PARA.iterations)
+    return reshape.unpivoted(paraphrasing.wide_rounds(texts(spark, sf_dir), PARA), PARA.iterations)
 
 
 def combine_detections(spark, sf_dir, texts=halves):
