@@ -42,10 +42,6 @@ def whole_halves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.whole_halves(docs(spark, sf_dir))
 
 
-def deep(spark: SparkSession, sf_dir: str, texts=halves) -> DataFrame:
-    return paraphrasing.rounds(texts(spark, sf_dir), PARA)
-
-
 def detected(spark: SparkSession, sf_dir: str, texts: DataFrame | None = None) -> DataFrame:
     """(doc_id, text_type, label, depth, bits string, counts, z) of all depths."""
     return detection.scored_rounds(texts or halves(spark, sf_dir), PARA, MARK)
@@ -299,7 +295,7 @@ def paraphrase_budget(spark, sf_dir):
 
 
 def paraphrase_rounds(spark, sf_dir, texts=halves):
-    return deep(spark, sf_dir, texts).select("doc_id", "text_type", "depth", F.array_join("words", " ").alias("text"))
+    return paraphrasing.round_texts(texts(spark, sf_dir), PARA).select("doc_id", "text_type", "depth", "text")
 
 
 def words_per_round(spark, sf_dir, texts=halves):
