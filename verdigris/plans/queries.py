@@ -299,7 +299,7 @@ def paraphrase_rounds(spark, sf_dir, texts=halves):
 
 
 def words_per_round(spark, sf_dir, texts=halves):
-    return rounded(paraphrasing.words_per_round(deep(spark, sf_dir, texts)))
+    return rounded(paraphrasing.words_per_round(paraphrasing.round_texts(texts(spark, sf_dir), PARA)))
 
 
 def resume_point(spark, sf_dir, texts=halves):
