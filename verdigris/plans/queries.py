@@ -327,6 +327,7 @@ def combine_detections(spark, sf_dir, texts=halves):
 
 def combine_labeled(spark, sf_dir, texts=halves):
     rows = detected(spark, sf_dir, texts(spark, sf_dir)).select("doc_id", "text_type", "depth", F.col("bits").alias("0_1_sequence"), "z_score")
+    rows = stored(rows, "detections")  # made once, read for each side and for the depths that both have
     return rounded(reshape.labelled(rows.where("text_type = 'ai'").drop("text_type"), rows.where("text_type = 'human'").drop("text_type")))
 
 
