@@ -79,3 +79,10 @@ def test_distinct_pairs_take_linear_time(spark):
     # tokens that hold what joins them
     odd = spark.createDataFrame([(["a:b", "c", "a", "b:c", "a:b", "c"],)], "words array<string>")
     assert detection.unique_bigram_scores(odd, MARK).first().num_tokens_scored == 4
+
+
+def test_common_windows_without_window_rows(spark, folder):
+    assert "Join" not in plan(queries.QUERIES["common_windows_docs"](spark, folder))
+    bits = spark.createDataFrame([(1, "01" * 60), (1, ""), (2, "1"), (3, "")], "depth int, bits string")
+    want = stability.common_windows(windows.figures(bits, Windows(), 0.25)).first().n_windows
+    assert stability.common_windows_of_arrays(windows.local_scores(bits, Windows(), 0.25)).first().n_windows == want == 1

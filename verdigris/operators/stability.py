@@ -18,6 +18,11 @@ def common_windows(wins: DataFrame) -> DataFrame:
     return wins.groupBy("depth").agg((F.max("win_idx") + 1).alias("n")).agg(F.min("n").alias("n_windows"))
 
 
+def common_windows_of_arrays(scores: DataFrame) -> DataFrame:
+    """``common_windows`` of rows (depth, zs) that hold a text's local scores as an array: no window is a row."""
+    return scores.groupBy("depth").agg(F.max(F.size("zs")).alias("n")).where("n > 0").agg(F.min("n").alias("n_windows"))
+
+
 def _deviation(values: list[Column]) -> Column:
     """Population deviation of columns of a row."""
     n = len(values)

@@ -443,7 +443,8 @@ def rolling_wide(spark, sf_dir):
 
 
 def common_windows(spark, sf_dir, texts=halves, win=WIN):
-    return stability.common_windows(all_windows(spark, sf_dir, texts, win).where("depth BETWEEN 1 AND 8")).select(F.col("n_windows").cast("bigint").alias("n_windows"))
+    scores = windows.local_scores(detected(spark, sf_dir, texts(spark, sf_dir)).where("depth BETWEEN 1 AND 8").select("depth", "bits"), win, MARK.gamma)
+    return stability.common_windows_of_arrays(scores).select(F.col("n_windows").cast("bigint").alias("n_windows"))
 
 
 #: The experiment that takes all depths.
