@@ -81,6 +81,14 @@ def test_distinct_pairs_take_linear_time(spark):
     assert detection.unique_bigram_scores(odd, MARK).first().num_tokens_scored == 4
 
 
+def test_pairs_are_shuffled_once(spark, folder):
+    texts = spark.createDataFrame([(1, "ai", ["a", "b", "a", "b"]), (1, "ai", ["a", "b"]), (2, "ai", ["a", "b"])], "doc_id bigint, text_type string, words array<string>")
+    assert plan(vocabulary.corpus_bigrams(texts)).count("hashpartitioning") == 1
+    own = plan(queries.QUERIES["bigram_counts_docs"](spark, folder))
+    assert own.count("hashpartitioning") == 1 and own.index("Generate") < own.index("hashpartitioning")  # texts are dealt, not pairs
+    assert {(r.doc_id, r.prev, r.token): r.n for r in vocabulary.bigrams(texts).collect()} == {(1, "a", "b"): 3, (1, "b", "a"): 1, (2, "a", "b"): 1}
+
+
 def test_common_windows_without_window_rows(spark, folder):
     assert "Join" not in plan(queries.QUERIES["common_windows_docs"](spark, folder))
     bits = spark.createDataFrame([(1, "01" * 60), (1, ""), (2, "1"), (3, "")], "depth int, bits string")

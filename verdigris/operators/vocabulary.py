@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from verdigris.config import Watermark
 from verdigris.functions.permutation import permuted
-from verdigris.functions.scores import is_green, uniform
+from verdigris.functions.scores import is_green, neighbours, uniform
 from verdigris.operators.order import ranked
 
 #: Contexts for which exact lists are made at once; a stated query set against the vocabulary.
@@ -108,15 +108,17 @@ def exact_lists(contexts: DataFrame, vocab: DataFrame, mark: Watermark) -> DataF
 
 
 def bigrams(texts: DataFrame) -> DataFrame:
-    """(doc_id, text_type, prev, token, n): how often each pair of neighbours occurs in a text."""
-    pairs = F.arrays_zip(F.slice("words", F.lit(1), F.greatest(F.size("words") - 1, F.lit(0))).alias("prev"), F.slice("words", F.lit(2), F.greatest(F.size("words"), F.lit(1))).alias("token"))
-    rows = texts.select("doc_id", "text_type", F.explode(pairs).alias("pair"))
+    """(doc_id, text_type, prev, token, n): how often each pair of neighbours occurs in a text.
+
+    Of texts that are ``storage.dealt`` by doc_id no pair is shuffled.
+    """
+    rows = texts.select("doc_id", "text_type", F.explode(neighbours(F.col("words"))).alias("pair"))
     return rows.groupBy("doc_id", "text_type", F.col("pair.prev").alias("prev"), F.col("pair.token").alias("token")).agg(F.count("*").alias("n"))
 
 
 def corpus_bigrams(texts: DataFrame) -> DataFrame:
-    """(prev, token, n) over all texts."""
-    return bigrams(texts).groupBy("prev", "token").agg(F.sum("n").cast("bigint").alias("n"))
+    """(prev, token, n) over all texts, counted in each task before they are shuffled."""
+    return texts.select(F.inline(neighbours(F.col("words")))).groupBy("prev", "token").agg(F.count("*").alias("n"))
 
 
 def biased_logits(pairs: DataFrame, mark: Watermark) -> DataFrame:

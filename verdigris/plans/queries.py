@@ -11,7 +11,7 @@ from verdigris.config import EXPERIMENTS, SMALL, WINDOW_PRESETS, Corpus, Windows
 from verdigris.functions import scores as S
 from verdigris.functions import text as T
 from verdigris.operators import corpus, decoding, detection, generation, metrics, paraphrasing, reshape, stability, subwords, vocabulary, windows
-from verdigris.sources.storage import remaining, spread, stored
+from verdigris.sources.storage import dealt, remaining, spread, stored
 
 CUT, MARK, PARA, WIN = SMALL.corpus, SMALL.watermark, SMALL.paraphrase, SMALL.windows
 #: Windows of each sequence under SMALL: 60 words give 59 bits.
@@ -23,18 +23,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def docs(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents").select("doc_id", "text", *columns))
+def docs(spark: SparkSession, sf_dir: str, *columns: str, deal=spread) -> DataFrame:
+    return deal(table(spark, sf_dir, "documents").select("doc_id", "text", *columns))
 
 
-def halves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.halves(docs(spark, sf_dir), CUT)
+def halves(spark: SparkSession, sf_dir: str, deal=spread) -> DataFrame:
+    return corpus.halves(docs(spark, sf_dir, deal=deal), CUT)
 
 
-def whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def whole(spark: SparkSession, sf_dir: str, deal=spread) -> DataFrame:
     """(doc_id, text_type, label, words) of all documents with all their words; a null text has none."""
     words = F.coalesce(T.words(F.col("text")), F.array().cast("array<string>"))
-    return docs(spark, sf_dir).select("doc_id", F.lit("document").alias("text_type"), F.lit(0).alias("label"), words.alias("words"))
+    return docs(spark, sf_dir, deal=deal).select("doc_id", F.lit("document").alias("text_type"), F.lit(0).alias("label"), words.alias("words"))
 
 
 def whole_halves(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -178,7 +178,7 @@ def bias_logits(spark, sf_dir, texts=halves):
 
 
 def bigram_counts(spark, sf_dir, texts=halves):
-    return vocabulary.bigrams(texts(spark, sf_dir))
+    return vocabulary.bigrams(texts(spark, sf_dir, deal=lambda d: dealt(d, "doc_id")))
 
 
 def watermark_generate(spark, sf_dir):

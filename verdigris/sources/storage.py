@@ -85,6 +85,19 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+#: Parts in which each partition of a scan is dealt by a key.
+PARTS = 16
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt by ``keys``, so that grouping by them, and by more that is made of its rows, shuffles nothing again.
+
+    Into several parts for each partition of the scan, so that what a task
+    makes of its rows and counts stays in its memory however large the table.
+    """
+    return df.repartition(df.rdd.getNumPartitions() * PARTS, *keys)
+
+
 def remaining(todo: DataFrame, done: DataFrame, key: str | list[str] = "id") -> DataFrame:
     """What a resumed job still has to do; a null key is done if a null one is there."""
     keys = [key] if isinstance(key, str) else key
