@@ -182,3 +182,24 @@ def test_large_subtries_in_blocks(spark, nodes):
     found = nd.sketches(df).where("node IS NOT NULL").groupBy("node").agg({"signature": "first"}).toDF("node", "signature")
     roots = {r.node: r.root for r in nd.candidates(found, subtrie_nodes=nodes).collect()}
     assert roots == {r.node: r.root for r in nd.candidates(found).collect()}
+
+
+def test_a_step_of_components_is_a_small_plan(spark, monkeypatch):
+    rng = random.Random(5)
+    edges = [(k, k - 1) for k in range(1, 60)] + [(100, 100 + k) for k in range(1, 50)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)]
+    label = {n: n for e in edges for n in e if e[0] != e[1]}
+    for _ in range(len(label)):
+        for a, b in edges:
+            if a != b:
+                label[a] = label[b] = min(label[a], label[b])
+    read, store = [], nd.materialise
+
+    def storing(df, name):
+        read.append(str(df._jdf.queryExecution().analyzed().toString()).count("Relation ["))
+        return store(df, name)
+
+    monkeypatch.setattr(nd, "materialise", storing)
+    monkeypatch.setattr(nd, "HOT_ROWS", 20)
+    found = nd.components(spark.createDataFrame(edges, "a bigint, b bigint"), "test")
+    assert {r.node: r.root for r in found.collect()} == label
+    assert len(read) > 5 and max(read) <= 5  # two of rows, three of what is joined; a step in one plan read 100
