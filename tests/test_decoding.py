@@ -132,3 +132,66 @@ def test_command_line_takes_a_model(spark, tmp_path):
     got = {r.doc_id: r.generated_text for r in spark.read.parquet(f"{tmp_path}/out/watermarked").collect()}
     mark = Watermark()
     assert got == {k: " ".join(WORDS[t] for t in one_by_one(Toy(), [k], 12, mark, decoding.seed_of(k), 1.0)) for k in range(9)}
+
+
+class Pairs:
+    """Logits of the latest token alone; counts what it is asked."""
+
+    vocabulary, end, unknown, asked = WORDS, None, 5, 0
+
+    def begin(self, prompts):
+        pass
+
+    def step(self, rows, tokens):
+        self.asked += len(rows)
+        out = np.sin(np.outer(1 + tokens, np.arange(len(WORDS)))) * 3
+        out[:, 11], out[:, 12], out[:, 13] = -np.inf, -2000.0, out[:, 14]
+        return out
+
+
+@pytest.mark.parametrize("room", [64_000_000, 16 * len(WORDS) * 5])
+def test_a_model_of_pairs_is_asked_once_for_a_token(monkeypatch, room):
+    monkeypatch.setattr(decoding, "SCORES", room)
+    rng = np.random.default_rng(3)
+    prompts, seeds = [rng.integers(0, 60, 4) for _ in range(90)], [decoding.seed_of(k) for k in range(90)]
+    expected = [one_by_one(Pairs(), p.tolist(), 20, MARK, s, 0.7) for p, s in zip(prompts, seeds)]
+    bias = decoding.Bias(MARK, WORDS)
+    plain, known = Pairs(), Pairs()
+    known.of_pairs = True
+    asked = decoding.Asked(known, bias, 0.7)
+    for at in range(0, 90, 30):
+        part = slice(at, at + 30)
+        assert [g.tolist() for g in decoding.decode(known, prompts[part], 20, bias, seeds[part], 0.7, asked)] == expected[part]
+    assert [g.tolist() for g in decoding.decode(plain, prompts, 20, bias, seeds, 0.7)] == expected
+    assert plain.asked == 90 * 20 and known.asked <= (60 if room > 10**6 else 90 * 20) and len(asked._kept) <= room // (16 * 60)
+
+
+def test_draws_are_the_largest_sums():
+    rng = np.random.default_rng(4)
+    draw = decoding.Draws(500)
+    for k in range(400):
+        scores = rng.normal(0, rng.choice([0.0, 1.0, 30.0, 2000.0]), 500)
+        scores[rng.integers(0, 500, 9)] = rng.choice([-np.inf, scores.max(), 0.0] if k % 50 else [np.inf, np.nan])
+        seed = int(rng.integers(0, 2**64, dtype=np.uint64))
+        with np.errstate(invalid="ignore"):
+            assert draw(decoding.Scores(scores, 1.0), seed, k) == (scores + decoding._noise(seed, k, 500)).argmax()
+
+
+def test_masks_outlive_a_task_and_pairs_are_counted_as_ids(spark, monkeypatch):
+    assert decoding.bias_of(MARK, list(WORDS)) is decoding.bias_of(replace(MARK), tuple(WORDS)) is not decoding.bias_of(MARK, WORDS, exact=True)
+    texts = spark.createDataFrame([(k, [f"w{(k * j * j + j) % 97}" for j in range(30)]) for k in range(20)] + [(90, []), (91, ["w1"]), (92, None)], "doc_id bigint, words array<string>")
+    count, seen = {}, {}
+    for r in texts.collect():
+        for w in r.words or []:
+            seen[w] = seen.get(w, 0) + 1
+        for pair in zip(r.words or [], (r.words or [])[1:]):
+            count[pair] = count.get(pair, 0) + 1
+    top = sorted(seen, key=lambda w: (-seen[w], w))[:40]
+    model = decoding.corpus_model(texts, words=40, followers=3)
+    assert model.vocabulary == top
+    for a, w in enumerate(top):
+        best = sorted((-count[w, x], b) for b, x in enumerate(top) if (w, x) in count)[:3]
+        assert (a in model.follow) == bool(best)
+        if best:
+            total = -sum(n for n, _ in best)
+            assert {int(b): float(s) for b, s in zip(*model.follow[a])} == {b: -n / total for n, b in best}

@@ -5,6 +5,11 @@ bias adds delta to the scores of each row's green tokens, on arrays; a token is
 drawn for each row; rows that are done leave the batch. What is drawn depends on
 the row's own seed and step alone, so a row's text doesn't depend on which rows
 it shares a batch with.
+
+Tokens are drawn by the largest sum of score and noise, and noise takes two
+logarithms. A bound that takes none leaves the few tokens that may have the
+largest sum, and only their sums are made. What depends on the latest token
+alone (its green list; its scores, if the model is one of pairs) is made once.
 """
 
 from __future__ import annotations
@@ -22,16 +27,23 @@ from pyspark.sql import functions as F
 
 from verdigris.config import Watermark
 from verdigris.functions.permutation import permute
+from verdigris.functions.scores import neighbours
 from verdigris.operators import generation, vocabulary
 
 #: Rows that are decoded together, so that rows times vocabulary stays small.
 ROWS = 64
 #: Green masks that are kept, one per token that came before.
 MASKS = 4096
+#: Bytes of scores that are kept, of models whose scores depend on the latest token alone.
+SCORES = 64_000_000
 
 
 class StepModel(Protocol):
-    """A language model, loaded once per worker. A token's id is its place in ``vocabulary``."""
+    """A language model, loaded once per task. A token's id is its place in ``vocabulary``.
+
+    A model that says ``of_pairs = True`` gives logits that depend on the latest
+    token alone; it is asked for them once, not for each row and step.
+    """
 
     vocabulary: Sequence[str]
     #: The id that ends a text, if there is one.
@@ -95,15 +107,84 @@ class Bias:
 
 def _noise(seed: int, step: int, n: int) -> np.ndarray:
     """Gumbel noise of one row and step."""
-    u = np.random.Generator(np.random.Philox(key=np.array([seed, step], np.uint64))).random(n)
+    return _gumbel(np.random.Generator(np.random.Philox(key=np.array([seed, step], np.uint64))).random(n))
+
+
+def _gumbel(u: np.ndarray) -> np.ndarray:
     return -np.log(-np.log(np.maximum(u, 1e-300)))
 
 
-def decode(model: StepModel, prompts: list[np.ndarray], length: int, bias: Callable[[np.ndarray, np.ndarray], np.ndarray] | None, seeds: list[int], temperature: float = 1.0) -> list[np.ndarray]:
+class Scores:
+    """Scores of what follows one row, and what bounds their sums with noise: exp(top - score)."""
+
+    def __init__(self, scores: np.ndarray, temperature: float):
+        self.of = scores / temperature if temperature else scores
+        self.best = int(self.of.argmax())
+        with np.errstate(over="ignore"):
+            self.weights = np.exp(self.of[self.best] - self.of) if temperature and np.isfinite(self.of[self.best]) else None
+
+
+class Draws:
+    """The token of largest score + ``_noise``, the first among equals."""
+
+    def __init__(self, n: int):
+        self._bits = np.random.Philox(key=np.zeros(2, np.uint64))
+        self._begin = self._bits.state
+        self._key = self._begin["state"]["key"]
+        self._random = np.random.Generator(self._bits).random
+        self._u, self._least = np.empty(n), np.empty(n)
+
+    def __call__(self, scores: Scores, seed: int, step: int) -> int:
+        self._key[:] = seed, step
+        self._bits.state = self._begin
+        u, least = self._u, self._least
+        self._random(out=u)
+        if scores.weights is None:
+            return int((scores.of + _gumbel(u)).argmax())
+        # the largest score - log(-log u) has the smallest -log(u) * weight, which is never below (1 - u) * weight
+        np.subtract(1.0, u, out=least)
+        np.multiply(least, scores.weights, out=least)
+        at = int(least.argmin())
+        bound = -math.log(max(u[at], 1e-300)) * scores.weights[at]
+        few = np.flatnonzero(least <= bound * (1 + 1e-9))
+        return int(few[(scores.of[few] + _gumbel(u[few])).argmax()])
+
+
+class Asked:
+    """The biased scores of each row, those of a model of pairs kept by the latest token."""
+
+    def __init__(self, model: StepModel, bias: Callable[[np.ndarray, np.ndarray], np.ndarray] | None, temperature: float):
+        self.model, self.bias, self.temperature = model, bias, temperature
+        self._most = SCORES // (16 * len(model.vocabulary)) if getattr(model, "of_pairs", False) else 0
+        self._kept: OrderedDict[int, Scores] = OrderedDict()
+
+    def _made(self, rows: np.ndarray, tokens: np.ndarray) -> list[Scores]:
+        scores = np.asarray(self.model.step(rows, tokens), np.float64)
+        if self.bias is not None:
+            scores = self.bias(scores, tokens)
+        return [Scores(s, self.temperature) for s in scores]
+
+    def __call__(self, rows: np.ndarray, tokens: np.ndarray) -> list[Scores]:
+        if not self._most:
+            return self._made(rows, tokens)
+        known, first = np.unique(tokens, return_index=True)
+        new = np.array([k for k, t in enumerate(known.tolist()) if t not in self._kept], np.int64)
+        if len(new):
+            self._kept |= zip(known[new].tolist(), self._made(rows[first[new]], known[new]), strict=True)
+        found = [self._kept[t] for t in tokens.tolist()]
+        for t in known.tolist():
+            self._kept.move_to_end(t)
+        while len(self._kept) > self._most:
+            self._kept.popitem(last=False)
+        return found
+
+
+def decode(model: StepModel, prompts: list[np.ndarray], length: int, bias: Callable[[np.ndarray, np.ndarray], np.ndarray] | None, seeds: list[int], temperature: float = 1.0, asked: Asked | None = None) -> list[np.ndarray]:
     """What follows each prompt: at most ``length`` ids, up to but without the end.
 
     A prompt without tokens has nothing to follow. Temperature 0 takes the best
     token, the first among equals, and else tokens are drawn from the softmax.
+    ``asked`` keeps scores from one batch to the next.
     """
     out = np.zeros((len(prompts), max(length, 0)), np.int64)
     sizes = np.zeros(len(prompts), np.int64)
@@ -112,13 +193,11 @@ def decode(model: StepModel, prompts: list[np.ndarray], length: int, bias: Calla
         return [out[k, :0] for k in range(len(prompts))]
     model.begin(prompts)
     last = np.array([prompts[k][-1] for k in live], np.int64)
+    asked, draw = asked or Asked(model, bias, temperature), None
     for step in range(length):
-        scores = np.asarray(model.step(live, last), np.float64)
-        if bias is not None:
-            scores = bias(scores, last)
-        if temperature:
-            scores = scores / temperature + np.stack([_noise(seeds[k], step, scores.shape[1]) for k in live])
-        pick = scores.argmax(1)
+        scores = asked(live, last)
+        draw = draw or Draws(len(scores[0].of))
+        pick = np.array([draw(s, seeds[k], step) if temperature else s.best for s, k in zip(scores, live.tolist(), strict=True)], np.int64)
         goes_on = pick != model.end if model.end is not None else np.ones(len(pick), bool)
         out[live[goes_on], step] = pick[goes_on]
         sizes[live[goes_on]] += 1
@@ -128,6 +207,18 @@ def decode(model: StepModel, prompts: list[np.ndarray], length: int, bias: Calla
     return [out[k, : sizes[k]] for k in range(len(prompts))]
 
 
+_BIAS: dict[tuple, Bias] = {}
+
+
+def bias_of(mark: Watermark, vocabulary: Sequence[str], exact: bool = False) -> Bias:
+    """A bias whose masks a worker keeps from task to task; that of the latest mark and vocabulary only."""
+    key = mark, exact, tuple(vocabulary)
+    if key not in _BIAS:
+        _BIAS.clear()
+        _BIAS[key] = Bias(mark, vocabulary, exact)
+    return _BIAS[key]
+
+
 def seed_of(key) -> int:
     """64 bits of a row's key."""
     return int.from_bytes(hashlib.md5(str(key).encode()).digest()[:8])
@@ -145,13 +236,13 @@ def decoded(prompts: DataFrame, make: Callable[[], StepModel], length: int, mark
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = make()
         ids = {t: k for k, t in enumerate(model.vocabulary)}
-        bias = Bias(mark, model.vocabulary, exact)
+        asked = Asked(model, bias_of(mark, model.vocabulary, exact), temperature)
         for whole in batches:
             for at in range(0, len(whole), ROWS):
                 batch = whole.slice(at, ROWS)
                 known = [[ids.get(w, model.unknown) for w in words] for words in batch.column("words").to_pylist()]
-                asked = [np.array([i for i in row if i is not None], np.int64) for row in known]
-                new = decode(model, asked, length, bias, [seed_of(k) for k in batch.column("doc_id").to_pylist()], temperature)
+                begun = [np.array([i for i in row if i is not None], np.int64) for row in known]
+                new = decode(model, begun, length, asked.bias, [seed_of(k) for k in batch.column("doc_id").to_pylist()], temperature, asked)
                 texts = [[model.vocabulary[i] for i in row.tolist()] for row in new]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.list_(pa.string()))], names=["doc_id", "words", "new"])
 
@@ -162,6 +253,7 @@ class BigramModel:
     """Logits from counts of pairs: log of the share of followers, backed off to the words' own shares."""
 
     end = None
+    of_pairs = True
 
     def __init__(self, vocabulary: list[str], shares: np.ndarray, follow: dict[int, tuple[np.ndarray, np.ndarray]], weight: float = 0.9):
         self.vocabulary, self.follow, self.weight = vocabulary, follow, weight
@@ -190,15 +282,15 @@ def corpus_model(texts: DataFrame, words: int = 2000, followers: int = 50) -> Bi
     """
     if words < 1 or followers < 1:
         raise ValueError("a model knows a word and a follower at least")
-    known = vocabulary.vocabulary(texts).where(F.col("tok_id") < words)
-    listed = sorted((r.tok_id, r.token, r.n) for r in known.collect())  # at most ``words``
+    counts = vocabulary.counted(texts).orderBy(F.col("n").desc(), "token").limit(words)
+    listed = [(i, r.token, r.n) for i, r in enumerate(counts.collect())]  # at most ``words``
     if not listed:
         return BigramModel(["nothing"], np.ones(1), {})
-    ids = known.sparkSession.createDataFrame([(t, i) for i, t, _ in listed], "token string, id int")
-    own = F.arrays_zip(F.slice("words", F.lit(1), F.greatest(F.size("words") - 1, F.lit(0))).alias("prev"), F.slice("words", F.lit(2), F.greatest(F.size("words"), F.lit(1))).alias("token"))
-    counts = texts.select(F.inline(own)).groupBy("prev", "token").agg(F.count("*").alias("n"))
-    few = F.broadcast(ids)  # at most ``words`` rows
-    pairs = counts.join(few, "token").withColumnRenamed("id", "b").join(few.select(F.col("token").alias("prev"), F.col("id").alias("a")), "prev")
+    ids = texts.sparkSession.createDataFrame([(t, i) for i, t, _ in listed], "known string, id int")
+    few = lambda c: F.broadcast(ids.select(F.col("known").alias(c), F.col("id").alias(f"{c}_id")))  # noqa: E731  at most ``words`` rows
+    # pairs are counted as ids: what a task sends is bounded by the model, not by its texts
+    met = texts.select(F.inline(neighbours(F.col("words")))).join(few("prev"), "prev").join(few("token"), "token")
+    pairs = met.groupBy(F.col("prev_id").alias("a"), F.col("token_id").alias("b")).agg(F.count("*").alias("n"))
     place = F.row_number().over(Window.partitionBy("a").orderBy(F.col("n").desc(), "b"))  # at most ``words`` rows to a word
     follow: dict[int, list[tuple[int, int]]] = {}
     for r in pairs.select("a", "b", "n", place.alias("place")).where(F.col("place") <= followers).collect():  # words * followers at most

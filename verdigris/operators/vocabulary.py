@@ -24,10 +24,14 @@ MOST_CONTEXTS = 100_000
 RANGES = 1024
 
 
+def counted(texts: DataFrame) -> DataFrame:
+    """(token, n) of the ``words``."""
+    return texts.select(F.explode("words").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+
+
 def vocabulary(texts: DataFrame) -> DataFrame:
     """(token, n, tok_id) of the ``words``: ids from 0 by falling frequency, then by token."""
-    counts = texts.select(F.explode("words").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
-    return ranked(counts, [F.col("n").desc(), F.col("token").asc()], "rank").select("token", "n", (F.col("rank") - 1).alias("tok_id"))
+    return ranked(counted(texts), [F.col("n").desc(), F.col("token").asc()], "rank").select("token", "n", (F.col("rank") - 1).alias("tok_id"))
 
 
 def token_ids(texts: DataFrame, vocab: DataFrame) -> DataFrame:
