@@ -54,3 +54,36 @@ def test_lists_look_random(spark):
     places = np.array([P.permute(np.array([0, 1, 1999]), size, f"15485863:w{k}") for k in range(n)]) < int(size * 0.25)
     assert np.abs(places.mean(0) - 0.25).max() < 4 * (0.25 * 0.75 / n) ** 0.5
     assert abs((places[:, 0] & places[:, 1]).mean() - 0.0625) < 4 * (0.0625 * 0.9375 / n) ** 0.5
+
+
+@pytest.mark.parametrize("front", [True, False])
+def test_lists_are_never_broadcast(spark, monkeypatch, front):
+    """Lists of several blocks, the last one short, that are larger than what may be broadcast."""
+    monkeypatch.setattr(vocabulary, "BLOCK", 1000, raising=False)
+    monkeypatch.setattr(vocabulary, "PART", 8000, raising=False)
+    size, mark = 50_021, replace(Watermark(), select_green_tokens=front)
+    length = int(size * mark.gamma)
+    vocab = spark.range(size).select(F.concat(F.lit("t"), F.col("id")).alias("token"), F.col("id").alias("tok_id"))
+    contexts = spark.createDataFrame([("a",), ("é",), ("a",), (None,), ("",)], "prev string")
+    most = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(most)
+    spark.conf.set(most, "64k")
+    try:
+        listed = vocabulary.exact_lists(contexts, vocab, mark)
+        rows = listed.collect()
+        plan = listed._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(most, before)
+    places = np.arange(length) if front else np.arange(size - length, size)
+    want = [(p, f"t{t}") for p in ("a", "é", "") for t in P.permute(places, size, f"{mark.hash_key}:{p}", backwards=True)]
+    assert sorted(map(tuple, rows)) == sorted(want)
+    assert "BroadcastHashJoin" not in plan
+
+
+def test_contexts_of_any_type_and_none(spark):
+    mark = Watermark()
+    vocab = spark.range(40).select(F.concat(F.lit("t"), F.col("id")).alias("token"), F.col("id").alias("tok_id"))
+    listed = vocabulary.exact_lists(spark.createDataFrame([(7,), (None,), (-1,)], "prev int"), vocab, mark)
+    assert listed.dtypes == [("prev", "int"), ("token", "string")]
+    assert {r.prev: r["count"] for r in listed.groupBy("prev").count().collect()} == {7: 10, -1: 10}
+    assert vocabulary.exact_lists(spark.createDataFrame([(None,)], "prev string"), vocab, mark).collect() == []

@@ -81,8 +81,12 @@ def permuted(x: Column, size: int, seed: Column, backwards: bool = False) -> Col
 
 def permute(x: np.ndarray, size: int, seed: str, backwards: bool = False) -> np.ndarray:
     """``permuted`` of an array of numbers in [0, size)."""
+    return permute_by(x, size, hashlib.md5(seed.encode()).hexdigest(), backwards)
+
+
+def permute_by(x: np.ndarray, size: int, digest: str, backwards: bool = False) -> np.ndarray:
+    """``permute`` by the seed's MD5 digest."""
     a, b = radices(size)
-    digest = hashlib.md5(seed.encode()).hexdigest()
     words = [int(digest[8 * k : 8 * k + 8], 16) for k in range(4)]
     sign = -1 if backwards else 1
 

@@ -10,18 +10,26 @@ out. ``greenlists`` ranks a whole vocabulary by hash for stated contexts.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from verdigris.config import Watermark
-from verdigris.functions.permutation import permuted
+from verdigris.functions.permutation import permute_by, permuted
 from verdigris.functions.scores import is_green, neighbours, uniform
 from verdigris.operators.order import ranked
+from verdigris.sources.storage import stored
 
 #: Contexts for which exact lists are made at once; a stated query set against the vocabulary.
 MOST_CONTEXTS = 100_000
 #: Ranges of hash values by which a context's tokens are counted.
 RANGES = 1024
+#: Places of an exact list that are turned back at once, and places to a task, in MOST_PARTS tasks at most (then each has more).
+BLOCK, PART, MOST_PARTS = 1 << 14, 1 << 18, 10_000
 
 
 def counted(texts: DataFrame) -> DataFrame:
@@ -98,17 +106,40 @@ def exact_lists(contexts: DataFrame, vocab: DataFrame, mark: Watermark) -> DataF
     """(prev, token): the exact list of each distinct, not null ``prev`` of ``contexts``, written out.
 
     The places on a list are turned back into token ids, so a context costs as
-    much as its list is long, and only that is joined with the vocabulary.
+    much as its list is long, and only that is joined with the vocabulary. A
+    list is dealt to the tasks in blocks of places, which the task that has a
+    block counts out; the plan and the driver hold no place. Spark takes the
+    rows that are made of blocks for as few as the blocks and would broadcast
+    them, so the join is asked to merge.
     """
     size = vocab.count()
     length = int(size * mark.gamma)
-    first = 0 if mark.select_green_tokens else size - length
-    names = contexts.select("prev").where("prev IS NOT NULL").distinct()
     if not length:
         return vocab.select(F.col("token").alias("prev"), "token").limit(0)
-    places = names.withColumn("place", F.explode(F.sequence(F.lit(first).cast("bigint"), F.lit(first + length - 1).cast("bigint"))))
-    listed = places.select("prev", permuted(F.col("place"), size, _seed(F.col("prev"), mark), backwards=True).alias("tok_id"))
-    return listed.join(vocab.select("tok_id", "token"), "tok_id").select("prev", "token")
+    first = 0 if mark.select_green_tokens else size - length
+    names = stored(contexts.select("prev").where("prev IS NOT NULL").distinct(), "contexts")
+    parts = min(-(-names.count() * length // PART), MOST_PARTS)
+    blocks = vocab.sparkSession.range(0, length, BLOCK).select((F.col("id") + first).alias("start"))
+    rows = names.select("prev", F.md5(_seed(F.col("prev"), mark)).alias("digest")).crossJoin(blocks)
+    listed = _listed(rows.repartition(max(parts, 1), "prev", "start"), size, first + length, BLOCK)
+    return listed.hint("merge").join(vocab.select("tok_id", "token"), "tok_id").select("prev", "token")
+
+
+def _listed(rows: DataFrame, size: int, end: int, block: int) -> DataFrame:
+    """(prev, tok_id): which token the permutation of ``digest`` sends to each place from ``start`` on, ``block`` of them, before ``end``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prev, ids, n = [], [], 0
+            for k, (digest, start) in enumerate(zip(batch.column("digest").to_pylist(), batch.column("start").to_pylist(), strict=True), 1):
+                ids.append(permute_by(np.arange(start, min(start + block, end)), size, digest, backwards=True))
+                prev.append(np.full(len(ids[-1]), k - 1))
+                n += len(ids[-1])
+                if n >= block or k == len(batch):  # short lists share a batch
+                    yield pa.RecordBatch.from_arrays([batch.column("prev").take(pa.array(np.concatenate(prev))), pa.array(np.concatenate(ids))], names=["prev", "tok_id"])
+                    prev, ids, n = [], [], 0
+
+    return rows.mapInArrow(run, StructType([rows.schema["prev"], StructField("tok_id", LongType())]))
 
 
 def bigrams(texts: DataFrame) -> DataFrame:
